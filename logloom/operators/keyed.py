@@ -32,39 +32,40 @@ def attach_by_key(
     keys: Sequence[str],
     values: Sequence[str],
     weight: str = "n",
-    hot_share: int = 1000,
+    hot_keys: int = 1000,
 ) -> DataFrame:
     """Left join of one ``stats`` row per key back to the rows of ``df``.
 
-    ``stats[weight]`` is the number of rows a key has in ``df``. Keys holding more
-    than ``1 / hot_share`` of all rows are by that test fewer than ``hot_share``, so
-    they are broadcast; every other key is small and joins by shuffle. In that
-    shuffle the rows of hot keys are spread by their own hash. Null keys match.
+    ``stats[weight]`` is the number of rows a key has in ``df``. The ``hot_keys``
+    heaviest keys are broadcast (never more rows than that); any other key then holds
+    less than ``1 / hot_keys`` of the rows and joins by shuffle. In that shuffle the
+    rows of hot keys, already served, are spread by their own hash. Null keys match.
+
+    Build ``stats`` from the narrow input, not from an already joined ``df``: it is
+    read twice here and chained joins would otherwise multiply the plan.
     """
-    total = stats.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * F.lit(hot_share) > total
-    hot = stats.filter(is_hot).select(
+    ranked = stats.orderBy(F.desc(weight), *keys).limit(hot_keys)
+    hot = ranked.select(
         *[F.col(k).alias(f"__hk_{k}") for k in keys],
         *[F.col(v).alias(f"__hv_{v}") for v in values],
         F.lit(True).alias("__hot"),
     )
-    cold = stats.filter(~is_hot).select(
+    cold = stats.select(
         *[F.col(k).alias(f"__ck_{k}") for k in keys],
         *[F.col(v).alias(f"__cv_{v}") for v in values],
         F.lit(0).alias("__csalt"),
     )
-    salt = row_salt(df)
     marked = df.join(
-        F.broadcast(hot), _same([(df[k], hot[f"__hk_{k}"]) for k in keys]), "left"
-    ).withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0)))
+        F.broadcast(hot), _same([(F.col(k), F.col(f"__hk_{k}")) for k in keys]), "left"
+    ).withColumn("__salt", F.when(F.col("__hot"), row_salt(df)).otherwise(F.lit(0)))
     joined = marked.join(
         cold,
-        _same([(marked[k], cold[f"__ck_{k}"]) for k in keys])
-        & (marked["__salt"] == cold["__csalt"]),
+        _same([(F.col(k), F.col(f"__ck_{k}")) for k in keys])
+        & (F.col("__salt") == F.col("__csalt")),
         "left",
     )
     found = [F.coalesce(f"__hv_{v}", f"__cv_{v}").alias(v) for v in values]
-    return joined.select(*[df[c] for c in df.columns if c not in values], *found)
+    return joined.select(*[F.col(c) for c in df.columns if c not in values], *found)
 
 
 def _same(pairs) -> Column:

@@ -161,15 +161,17 @@ def message_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def multi_session(df: DataFrame, key: str, flag: str, freq: str | None = None) -> DataFrame:
+def multi_session(
+    df: DataFrame, base: DataFrame, key: str, flag: str, freq: str | None = None
+) -> DataFrame:
     """Flag keys seen in more than one session; ``freq`` also adds the key's row count.
 
-    Sessions per key are counted by distinct (key, session) pairs, never gathered.
+    Sessions per key are counted by distinct (key, session) pairs of the narrow
+    ``base`` rows, never gathered.
     """
-    pairs = df.groupBy(key, "session_id").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = base.groupBy(key, "session_id").agg(F.count(F.lit(1)).alias("rows"))
     stats = pairs.groupBy(key).agg(
-        F.sum("rows").alias("n"),
-        F.count("session_id").alias("__sessions"),
+        F.sum("rows").alias("n"), F.count("session_id").alias("__sessions")
     )
     values = ["__sessions"]
     if freq:
@@ -178,19 +180,19 @@ def multi_session(df: DataFrame, key: str, flag: str, freq: str | None = None) -
     return attach_by_key(df, stats, [key], values).withColumn(flag, many).drop("__sessions")
 
 
-def frequency_encoding(df: DataFrame, columns: Sequence[str], rare_below: int = 2) -> DataFrame:
+def frequency_encoding(
+    df: DataFrame, base: DataFrame, columns: Sequence[str], rare_below: int = 2
+) -> DataFrame:
     """Per column: row count of its value, value or ``RARE``, and a rare flag.
 
-    Rows are first reduced to distinct combinations of the columns. The per-column
-    counts are brought together on those, and only once back to the rows.
+    The per-column counts meet on the distinct combinations of the columns, so the rows
+    themselves are joined once and not once per column.
     """
     columns = list(columns)
-    combos = count_by_key(df, columns)
+    combos = count_by_key(base, columns)
     for c in columns:
-        stats = combos.groupBy(c).agg(
-            F.sum("n").alias(f"{c}_freq"), F.count(F.lit(1)).alias("w")
-        )
-        combos = attach_by_key(combos, stats, [c], [f"{c}_freq"], weight="w")
+        per_value = base.groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias(f"{c}_freq"))
+        combos = combos.join(per_value, F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
     coded = attach_by_key(df, combos, columns, [f"{c}_freq" for c in columns])
     out = {}
     for c in columns:
@@ -200,13 +202,19 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str], rare_below: int =
     return coded.withColumns(out)
 
 
+def step_features(raw: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
+    """The event features a session table needs: one shuffle of the events."""
+    return message_flags(session_deltas(normalize_events(raw), rules))
+
+
 def event_features(raw: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
     """All event features."""
-    df = session_deltas(ip_features(time_features(normalize_events(raw))), rules)
-    df = message_flags(df)
-    df = multi_session(df, "user_id", "user_multi_session", "user_id_freq")
-    df = multi_session(df, "source_ip", "ip_multi_session", "source_ip_freq")
-    return frequency_encoding(df, ["level", "event", "status", "target"], rules.rare_below)
+    base = normalize_events(raw)
+    df = ip_features(time_features(step_features(raw, rules)))
+    df = multi_session(df, base, "user_id", "user_multi_session", "user_id_freq")
+    df = multi_session(df, base, "source_ip", "ip_multi_session", "source_ip_freq")
+    columns = ["level", "event", "status", "target"]
+    return frequency_encoding(df, base, columns, rules.rare_below)
 
 
 def session_table(events: DataFrame) -> DataFrame:

@@ -13,17 +13,22 @@ from logloom.operators.keyed import attach_by_key, count_by_key
 from logloom.operators.lines import assemble, attach_records, drop_noise
 from logloom.operators.ordered import scan_prior
 from logloom.profiles import LogProfile
+from logloom.session import durable
 
 
 def structure(lines: DataFrame, profile: LogProfile, base_date: str | None = None) -> DataFrame:
-    """Lines -> structured records with all features of the profile."""
+    """Lines -> structured records with all features of the profile.
+
+    The records are written out once before they are counted by template, so the text is
+    parsed a single time however often the result is used.
+    """
     quiet = _drop_noise_keeping_pool_stats(lines, profile)
     records = assemble(attach_records(quiet, profile, base_date))
     kept = records.filter(
         ~R.low_value(F.col("level"), F.col("message"), F.col("logger"), profile)
         | _pool_stats(F.col("message"), F.col("logger"), profile)
     )
-    featured = template_frequency(record_features(kept, profile))
+    featured = template_frequency(durable(record_features(kept, profile)))
     return signature_intervals(featured) if profile.signature_fields else featured
 
 

@@ -58,6 +58,12 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("tinyint")
 
 
+def _half_even(c: Column, digits: int = 3) -> Column:
+    """Round the way numpy does: scale, nearest even integer, scale back."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
+
+
 def add_missing_columns(df: DataFrame, names: Sequence[str] = EXPECTED_COLUMNS) -> DataFrame:
     """Add the expected columns that are absent, as null text."""
     absent = [n for n in names if n not in df.columns]
@@ -220,8 +226,9 @@ def event_features(raw: DataFrame, rules: SessionRules = SessionRules()) -> Data
 def session_table(events: DataFrame) -> DataFrame:
     """One row per session: aggregates and what follows from them.
 
-    Sums, extremes and moments combine map-side; distinct counts are planned by Spark
-    as a two-step aggregate, so no task holds all values of one session.
+    Sums, extremes and moments combine map-side. Distinct counts are an aggregate of
+    their own over the bare columns, so that Spark's two-step plan for them multiplies
+    neither the windows nor the wide rows; both sides end up partitioned by session.
     """
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(event_order())])
     d = F.col("delta_ms")
@@ -229,9 +236,15 @@ def session_table(events: DataFrame) -> DataFrame:
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.col("__at"))
 
+    own = events.filter(F.col("session_id").isNotNull())
+    distinct = own.groupBy("session_id").agg(
+        *[
+            F.count_distinct(c).alias(f"{c}_nunique")
+            for c in ("step_id", "source_ip", "user_id", "target")
+        ]
+    )
     agg = (
-        events.filter(F.col("session_id").isNotNull())
-        .withColumn("__at", at)
+        own.withColumn("__at", at)
         .groupBy("session_id")
         .agg(
             F.min("timestamp").alias("timestamp_min"),
@@ -239,20 +252,16 @@ def session_table(events: DataFrame) -> DataFrame:
             F.count("timestamp").alias("timestamp_count"),
             F.min("step_id").alias("step_id_min"),
             F.max("step_id").alias("step_id_max"),
-            F.count_distinct("step_id").alias("step_id_nunique"),
-            F.bround(F.sum(d), 3).alias("delta_ms_sum"),
-            F.bround(F.avg(d), 3).alias("delta_ms_mean"),
-            F.bround(F.stddev_samp(d), 3).alias("delta_ms_std"),
-            F.bround(F.max(d), 3).alias("delta_ms_max"),
+            _half_even(F.sum(d)).alias("delta_ms_sum"),
+            _half_even(F.avg(d)).alias("delta_ms_mean"),
+            _half_even(F.stddev_samp(d)).alias("delta_ms_std"),
+            _half_even(F.max(d)).alias("delta_ms_max"),
             F.count_if(F.col("status") == "fail").alias("n_failures"),
             F.count_if(F.col("level") == "ERROR").alias("n_errors"),
             *[F.sum(f).alias(f"{f}_sum") for f in FLAGS],
-            F.count_distinct("source_ip").alias("source_ip_nunique"),
-            F.count_distinct("user_id").alias("user_id_nunique"),
             F.min_by("user_id", known("user_id")).alias(
                 "user_id_first"
             ),
-            F.count_distinct("target").alias("target_nunique"),
             F.min_by("target", known("target")).alias(
                 "target_first"
             ),
@@ -264,7 +273,7 @@ def session_table(events: DataFrame) -> DataFrame:
         )
     )
     start = F.col("timestamp_min")
-    return agg.withColumns(
+    return agg.join(distinct, "session_id").withColumns(
         {
             "duration_ms": millis_between(F.col("timestamp_max"), start),
             "avg_step_interval": F.col("delta_ms_mean"),

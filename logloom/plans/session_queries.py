@@ -57,8 +57,8 @@ def event_step_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {AUTH_SQL} SELECT line_number, epoch_ms(ts) AS ts_epoch_ms, hour(ts)::BIGINT AS ts_hour,"
-    " minute(ts)::BIGINT AS ts_minute, second(ts)::BIGINT AS ts_second, epoch_ms(ts) % 1000 AS ts_millisecond,"
+    f"WITH {AUTH_SQL} SELECT line_number, epoch_us(ts) // 1000 AS ts_epoch_ms, hour(ts)::BIGINT AS ts_hour,"
+    " minute(ts)::BIGINT AS ts_minute, second(ts)::BIGINT AS ts_second, (epoch_us(ts) // 1000) % 1000 AS ts_millisecond,"
     " (isodow(ts) - 1)::BIGINT AS ts_dayofweek, (isodow(ts) >= 6)::TINYINT AS ts_is_weekend,"
     " (hour(ts) BETWEEN 9 AND 17)::TINYINT AS ts_is_business_hours FROM ev"
 )
@@ -115,9 +115,8 @@ def event_frequency_encoding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"WITH {SESSION_SQL} SELECT session_id, {sql_time('tmin')} AS timestamp_min, {sql_time('tmax')} AS timestamp_max,"
-    " n_events, step_id_min, step_id_max, step_id_nunique, round(delta_ms_sum, 2) AS delta_ms_sum,"
-    " round(delta_ms_mean, 2) AS delta_ms_mean, round(delta_ms_std, 2) AS delta_ms_std,"
-    " round(delta_ms_max, 2) AS delta_ms_max, n_failures, n_errors, step_jump_sum, step_reverse_sum,"
+    " n_events, step_id_min, step_id_max, step_id_nunique, delta_ms_sum, delta_ms_mean,"
+    " delta_ms_std, delta_ms_max, n_failures, n_errors, step_jump_sum, step_reverse_sum,"
     " step_event_mismatch_sum, delta_too_fast_sum, delta_too_slow_sum, simultaneous_event_sum,"
     " has_error_keyword_sum, source_ip_nunique, user_id_nunique, user_id_first, target_nunique, target_first,"
     " line_number_min, line_number_max, round(duration_ms, 3) AS duration_ms, final_status FROM sess"
@@ -127,7 +126,7 @@ def session_features(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(
         "session_id", "timestamp_min", "timestamp_max", "n_events", "step_id_min", "step_id_max",
         "step_id_nunique",
-        *[F.round(c, 2).alias(c) for c in ("delta_ms_sum", "delta_ms_mean", "delta_ms_std", "delta_ms_max")],
+        "delta_ms_sum", "delta_ms_mean", "delta_ms_std", "delta_ms_max",
         "n_failures", "n_errors", *[f"{f}_sum" for f in S.FLAGS], "source_ip_nunique",
         "user_id_nunique", "user_id_first", "target_nunique", "target_first", "line_number_min",
         "line_number_max", F.round("duration_ms", 3).alias("duration_ms"), "final_status",
@@ -137,7 +136,7 @@ def session_features(spark: SparkSession, sf: str) -> DataFrame:
 _SCORE_SQL = (
     "session_id, n_events, n_failures, is_successful::TINYINT AS is_successful, start_hour::BIGINT AS start_hour,"
     " start_dayofweek::BIGINT AS start_dayofweek, round(anomaly_score_statistical, 6) AS anomaly_score_statistical,"
-    " round(anomaly_score_rules, 6) AS anomaly_score_rules, round(anomaly_score_final, 6) AS anomaly_score_final"
+    " round(anomaly_score_rules::DOUBLE, 6) AS anomaly_score_rules, round(anomaly_score_final, 6) AS anomaly_score_final"
 )
 _SCORE_OUT = (
     "session_id", "n_events", "n_failures", "is_successful", "start_hour", "start_dayofweek",

@@ -122,8 +122,8 @@ scored AS (SELECT sess.*, (final_status = 'success')::INT AS is_successful,
    + CASE WHEN s6 > 0 THEN abs((coalesce(delta_ms_std, 0) - m6) / p6) ELSE 0 END)
   / ((s1 > 0)::INT + (s2 > 0)::INT + (s3 > 0)::INT + (s4 > 0)::INT + (s5 > 0)::INT + (s6 > 0)::INT)
   AS anomaly_score_statistical,
-  0.3 * (duration_ms > 300000)::INT + 0.4 * (n_failures > 3)::INT
-  + 0.2 * (step_jump_sum > 0)::INT + 0.1 * (step_reverse_sum > 0)::INT AS anomaly_score_rules
+  0.3 * (duration_ms > 300000)::DOUBLE + 0.4 * (n_failures > 3)::DOUBLE
+  + 0.2 * (step_jump_sum > 0)::DOUBLE + 0.1 * (step_reverse_sum > 0)::DOUBLE AS anomaly_score_rules
   FROM sess, mom),
 final AS (SELECT *, 0.6 * anomaly_score_statistical + 0.4 * anomaly_score_rules AS anomaly_score_final FROM scored)
 """

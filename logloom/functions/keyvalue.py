@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import strip
+from logloom.functions.text import WORD, strip
 
 _PAIR = r"\s*([A-Za-z0-9_\-]+)\s*:\s*(\"(?:[^\"\\]|\\.)*\"|[^,]+?)\s*(?:,|$)"
 _QUOTED = r'(?s)^"(?:[^"\\]|\\.)*"$'
@@ -53,7 +53,7 @@ def colon_pairs_rest(line: Column) -> Column:
     return F.when(rest != "", rest)
 
 
-_EQUALS = r"(?U)(\w+)=([^=]*?)(?=\s+\w+=|$)"
+_EQUALS = rf"([{WORD}]+)=([^=]*?)(?=\s+[{WORD}]+=|$)"
 
 
 def equals_pairs(line: Column) -> Column:

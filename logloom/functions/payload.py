@@ -26,7 +26,7 @@ NESTED_ACTIONS = ("opa_anomaly_check", "direct_anomaly_check")
 
 def strip_html(c: Column) -> Column:
     """Line-break tags become line ends, other tags vanish."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)<br\s*/?>", "\n"), r"<[^>]+>", "")
+    return F.regexp_replace(F.regexp_replace(c, r"<br\s*/?>", "\n"), r"<[^>]+>", "")
 
 
 def labelled_fields(text: Column) -> Column:
@@ -39,7 +39,7 @@ def labelled_fields(text: Column) -> Column:
 
     def entry(line: Column, i: Column) -> Column:
         body = strip(F.substring(line, F.lit(3), F.length(line)))
-        inline = r"(?s)^(.+?)(?U:\s*)\[(.+)\]$"
+        inline = r"(?s)^(.+?)\s*\[(.+)\]$"
         has_value = body.rlike(inline)
         label = strip(F.when(has_value, F.regexp_extract(body, inline, 1)).otherwise(body))
         key = F.coalesce(names[label], label)

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import contains_any, first_group, strip
+from logloom.functions.text import DIGIT, SPACE, WORD, contains_any, first_group, rstrip, strip
 from logloom.profiles import LogProfile
 
 
 def noise_line(c: Column, profile: LogProfile) -> Column:
     """True for lines that belong to no record."""
     regex = "|".join(f"(?:{r})" for r in profile.noise_regex)
-    return c.rlike(f"(?U){regex}") | contains_any(c, profile.noise_terms)
+    return c.rlike(regex) | contains_any(c, profile.noise_terms)
 
 
 def stack_line(c: Column) -> Column:
     """True for lines of a stack trace or indented continuation."""
-    line = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+\z", "")
+    line = rstrip(c)
     return (
-        line.rlike(r"(?U)^\s*at\s+[\w.$]+\(.*\)$|^\s*Caused by: .+$")
+        line.rlike(rf"^[{SPACE}]*(?:at[{SPACE}]+[{WORD}.$]+\(.*\)|Caused by: .+)$")
         | line.startswith("\t")
         | line.startswith("    ")
         | (c.startswith(" ") & (F.contains(c, F.lit("at ")) | F.contains(c, F.lit("..."))))
@@ -98,12 +98,16 @@ def error_code(message: Column, timing_aware: bool = False) -> Column:
     The timing-aware form ignores messages about durations and also accepts the
     name of an exception class.
     """
-    http = first_group(message, r"(?U)\b([4-5]\d{2})\b")
-    tries = [F.concat(F.lit("HTTP_"), http), first_group(message, r"(?U)\b([A-Z]{2,}-\d{3,})\b")]
+    left, right = rf"(?<![{WORD}])", rf"(?![{WORD}])"
+    http = first_group(message, rf"(?=[45]){left}([45]{DIGIT}{{2}}){right}")
+    tries = [
+        F.concat(F.lit("HTTP_"), http),
+        first_group(message, rf"(?=[A-Z]){left}([A-Z]{{2,}}-{DIGIT}{{3,}}){right}"),
+    ]
     if not timing_aware:
         return F.coalesce(*tries)
-    tries.append(first_group(message, r"(?U)\b(\w+Exception|\w+Error)\b"))
-    timing = message.rlike(r"(?iU)\[\d+\]\s*milliseconds?") | contains_any(
+    tries.append(first_group(message, rf"{left}([{WORD}]+(?:Exception|Error)){right}"))
+    timing = message.rlike(r"(?i)\[[0-9]+\]\s*milliseconds?") | contains_any(
         F.lower(message),
         ("initialization", "startup", "took", "elapsed", "duration", "completed in"),
     )
@@ -113,8 +117,8 @@ def error_code(message: Column, timing_aware: bool = False) -> Column:
 def processing_time_ms(message: Column) -> Column:
     """Milliseconds a message reports; seconds are not scaled."""
     found = F.coalesce(
-        first_group(message, r"(?iU)\[(\d+)\]\s*milliseconds?"),
-        first_group(message, r"(?iU)(?:took|elapsed|duration)[:=\s]*(\d+)\s*m?s"),
+        first_group(message, r"(?i)\[([0-9]+)\]\s*milliseconds?"),
+        first_group(message, r"(?i)(?:took|elapsed|duration)[:=\s]*([0-9]+)\s*m?s"),
     )
     return found.try_cast("int")
 
@@ -149,7 +153,7 @@ def sso_fields(message: Column) -> dict[str, Column]:
         "saml_issuer": F.when(is_request, first_group(message, issuer)),
         "crypto_operation": F.when(is_init, "INIT").when(is_test, "SELF_TEST"),
         "crypto_status": F.when(is_test & contains_any(message, ("OK",)), "SUCCESS"),
-        "connection_time_ms": F.when(is_pool, first_group(message, r"(?U)\[ (\d+) ms\.\]")).try_cast("int"),
+        "connection_time_ms": F.when(is_pool, first_group(message, r"\[ (\d+) ms\.\]")).try_cast("int"),
         "db_operation": F.when(is_pool, "POOL_CREATE"),
     }
 
@@ -157,7 +161,7 @@ def sso_fields(message: Column) -> dict[str, Column]:
 def pool_fields(message: Column, logger: Column) -> dict[str, Column]:
     """Connection pool counters and actions of pool loggers."""
     pool = contains_any(F.lower(F.coalesce(logger, F.lit(""))), ("hikari",))
-    stats = r"(?U)Pool stats \(total=(\d+), active=(\d+), idle=(\d+), waiting=(\d+)\)"
+    stats = r"Pool stats \(total=(\d+), active=(\d+), idle=(\d+), waiting=(\d+)\)"
     total, active, idle, waiting = (
         F.when(pool, first_group(message, stats, i)).try_cast("int") for i in (1, 2, 3, 4)
     )
@@ -178,7 +182,7 @@ def signature_fields(message: Column, logger: Column) -> dict[str, Column]:
     """Certificate, signer, signed-data and timing fields of signature verifier records."""
     is_sig = contains_any(logger, ("SignedDataVerifier", "CertificateVerifier"))
     m = F.when(is_sig, message)
-    code = first_group(m, r"(?U)responseCode=(\d+)").try_cast("int")
+    code = first_group(m, r"responseCode=(\d+)").try_cast("int")
     dn = F.coalesce(
         first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signOrgData"),
         first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signerInfos"),
@@ -226,5 +230,5 @@ def signature_fields(message: Column, logger: Column) -> dict[str, Column]:
         "signer_count": F.when(F.size(signers) > 0, F.size(signers)),
         "signed_data_hash": first_group(m, r"signedData=.*@([a-fA-F0-9]+)"),
         "signature_data_complexity": F.when(is_vo, F.length(m)),
-        "signature_field_count": F.when(is_vo, F.regexp_count(m, F.lit(r"(?U)\w+="))),
+        "signature_field_count": F.when(is_vo, F.regexp_count(m, F.lit(rf"[{WORD}]+="))),
     }

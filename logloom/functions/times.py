@@ -37,14 +37,22 @@ def _ntz(c: Column, pattern: str) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
 
 
+def timestamp_text(raw: Column) -> Column:
+    """Comma fractions become points, runs of white space one blank."""
+    return F.regexp_replace(F.translate(raw, ",", "."), r"\s+", " ")
+
+
 def _month_case(c: Column) -> Column:
     """``18-MAR-2030 ...`` -> ``18-Mar-2030 ...``."""
     return F.concat(F.left(c, F.lit(3)), F.initcap(F.substring(c, 4, 3)), F.substring(c, 7, 40))
 
 
 def full_timestamp(raw: Column, two_digit_year: bool = True, seconds_only: bool = True) -> Column:
-    """Timestamp of a text that carries its date; null when no format fits."""
-    c = F.regexp_replace(F.translate(raw, ",", "."), r"(?U)\s+", " ")
+    """Timestamp of a text that carries its date; null when no format fits.
+
+    The text has single blanks and a point before the fraction (``timestamp_text``).
+    """
+    c = raw
     tries = [
         F.when(
             c.rlike(r"^\d{2}-[A-Za-z]{3}-\d{4} "),
@@ -64,13 +72,11 @@ def full_timestamp(raw: Column, two_digit_year: bool = True, seconds_only: bool
 
 def is_clock(raw: Column) -> Column:
     """True for a time of day without a date that is a possible time."""
-    c = F.translate(raw, ",", ".")
-    return c.rlike(_CLOCK) & _clock_on(F.lit("2000-01-01"), raw).isNotNull()
+    return raw.rlike(_CLOCK) & _clock_on(F.lit("2000-01-01"), raw).isNotNull()
 
 
 def _clock_on(day: Column, raw: Column) -> Column:
-    c = F.translate(raw, ",", ".")
-    return _ntz(F.concat_ws(" ", day, c), f"yyyy-MM-dd HH:mm:ss{_FRACTION}")
+    return _ntz(F.concat_ws(" ", day, raw), f"yyyy-MM-dd HH:mm:ss{_FRACTION}")
 
 
 def clock_on_date(raw: Column, date: Column) -> Column:
@@ -104,14 +110,18 @@ def utc_timestamp(raw: Column) -> Column:
     return F.try_to_timestamp(F.trim(raw))
 
 
+def _micros_between(later: Column, earlier: Column) -> Column:
+    return F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+
+
 def millis_between(later: Column, earlier: Column) -> Column:
     """Difference in milliseconds as a double."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)).cast("double") / 1000.0
+    return _micros_between(later, earlier).cast("double") / 1000.0
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Difference in seconds as a double."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)).cast("double") / 1_000_000.0
+    return _micros_between(later, earlier).cast("double") / 1_000_000.0
 
 
 def calendar(ts: Column, zone: str | None = None) -> dict[str, Column]:

@@ -18,6 +18,7 @@ from logloom.functions.times import (
     is_clock,
     iso_millis,
     normalize_level,
+    timestamp_text,
 )
 from logloom.operators.ordered import scan_prior
 from logloom.profiles import HeaderPattern, LogProfile
@@ -41,46 +42,58 @@ def parse_headers(lines: DataFrame, profile: LogProfile) -> DataFrame:
 
     ``hdr.full_ts`` is set when the header carries a date, ``hdr.clock`` otherwise. A
     header whose time is impossible is no header; no further pattern is tried.
+
+    The steps are columns of their own, so that each regex runs once per line.
     """
     value = F.col("value")
-    out = None
-    for pattern in profile.headers:
-        fits = value.rlike(f"(?sU){pattern.regex}")
-        parts = _parts(value, pattern)
-        out = F.when(fits, parts) if out is None else out.when(fits, parts)
-    with_parts = lines.withColumn("__h", out)
-    h = F.col("__h")
-    full = F.when(
-        h["clock_only"] == "0",
-        full_timestamp(h["ts"], profile.two_digit_year, profile.two_digit_year),
+    form, cut = None, None
+    for i, pattern in enumerate(profile.headers):
+        fits = value.rlike(f"(?s){pattern.regex}")
+        form = F.when(fits, F.lit(i)) if form is None else form.when(fits, F.lit(i))
+        chosen, parts = F.col("__form") == i, _cut(value, pattern)
+        cut = F.when(chosen, parts) if cut is None else cut.when(chosen, parts)
+    clocks = [i for i, pattern in enumerate(profile.headers) if pattern.clock_only]
+    staged = (
+        lines.withColumn("__form", form)
+        .withColumn("__cut", cut)
+        .withColumn("__ts", timestamp_text(F.get("__cut", F.lit(0))))
     )
-    clock = F.when((h["clock_only"] == "1"), _as_clock(h["ts"]))
-    valid = full.isNotNull() | (clock.isNotNull() & is_clock(clock))
-    header = F.struct(
-        full.alias("full_ts"),
-        clock.alias("clock"),
-        normalize_level(h["level"]).alias("level"),
-        h["thread"].alias("thread"),
-        h["logger"].alias("logger"),
-        F.when(h["pid"] != "", h["pid"]).alias("pid"),
-        strip(h["message"]).alias("message"),
+    is_clock_form = F.col("__form").isin(*clocks) if clocks else F.lit(False)
+    ts = F.col("__ts")
+    staged = staged.withColumns(
+        {
+            "__full": F.when(
+                ~is_clock_form, full_timestamp(ts, profile.two_digit_year, profile.two_digit_year)
+            ),
+            "__clock": F.when(
+                is_clock_form,
+                F.when(ts.rlike(r"^\d{2}:\d{2}:\d{2}$"), F.concat(ts, F.lit(".000"))).otherwise(ts),
+            ),
+        }
     )
-    return with_parts.withColumn("hdr", F.when(h.isNotNull() & valid, header)).drop("__h")
 
+    def part(i: int) -> Column:
+        return F.get("__cut", F.lit(i))
 
-def _as_clock(ts: Column) -> Column:
-    return F.when(ts.rlike(r"^\d{2}:\d{2}:\d{2}$"), F.concat(ts, F.lit(".000"))).otherwise(ts)
+    header = F.struct(
+        F.col("__full").alias("full_ts"),
+        F.col("__clock").alias("clock"),
+        normalize_level(part(1)).alias("level"),
+        part(2).alias("thread"),
+        part(3).alias("logger"),
+        F.when(part(4) != "", part(4)).alias("pid"),
+        strip(part(5)).alias("message"),
+    )
+    valid = F.col("__full").isNotNull() | is_clock(F.col("__clock"))
+    return staged.withColumn("hdr", F.when(valid, header)).drop(
+        "__form", "__cut", "__ts", "__full", "__clock"
+    )
 
 
-def _parts(value: Column, p: HeaderPattern) -> Column:
+def _cut(value: Column, p: HeaderPattern) -> Column:
     """All groups of a pattern from one replace, instead of one regex run per group."""
     groups = [f"${g}" if g else "" for g in (p.ts, p.level, p.thread, p.logger, p.pid, p.message)]
-    cut = F.split(F.regexp_replace(value, f"(?sU){p.regex}", _SEP.join(groups)), _SEP, 6)
-    names = ("ts", "level", "thread", "logger", "pid", "message")
-    return F.struct(
-        *[cut[i].alias(n) for i, n in enumerate(names)],
-        F.lit("1" if p.clock_only else "0").alias("clock_only"),
-    )
+    return F.split(F.regexp_replace(value, f"(?s){p.regex}", _SEP.join(groups)), _SEP, 6)
 
 
 def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None = None) -> DataFrame:
@@ -95,51 +108,57 @@ def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None
     here = F.struct(F.col("chunk").alias("chunk"), F.col("pos").alias("pos"))
     marker = F.when(hdr.isNotNull(), F.lit("closed"))
     if profile.xml_blocks:
-        marker = (
-            marker.when(xml_closes(value), F.lit("closed")).when(xml_opens(value), F.lit("open"))
+        # cheap test first: most lines hold no tag at all
+        tagged = F.contains(value, F.lit("<")) & F.contains(value, F.lit(">"))
+        marker = marker.when(
+            tagged, F.when(xml_closes(value), F.lit("closed")).when(xml_opens(value), F.lit("open"))
         )
     scanned = scan_prior(
-        parse_headers(lines, profile),
+        parse_headers(lines, profile).withColumn("mark", marker),
         ["source"],
         ["chunk"],
         ["pos"],
         last={
             "__date": F.to_date(hdr["full_ts"]),
             "__rec": F.when(hdr.isNotNull(), here),
-            "__mark": marker,
+            "__mark": F.col("mark"),
         },
     )
-    base = F.lit(base_date).cast("date")
-    date = F.coalesce("__date", base)
-    ts = F.coalesce(hdr["full_ts"], clock_on_date(hdr["clock"], date))
-    header = hdr.isNotNull() & ts.isNotNull()
+    date = F.coalesce("__date", F.lit(base_date).cast("date"))
+    dated = scanned.withColumn("ts", F.coalesce(hdr["full_ts"], clock_on_date(hdr["clock"], date)))
+    header = F.col("ts").isNotNull()
     # without a date seen so far no clock-only header can have opened a record
     rec = F.when(header, here).when(date.isNotNull(), F.col("__rec"))
     in_xml = F.coalesce(F.col("__mark") == "open", F.lit(False))
     if profile.xml_blocks:
-        in_xml = in_xml | xml_opens(value)
+        in_xml = in_xml | F.coalesce(F.col("mark") == "open", F.lit(False))
+        # a block that opens and closes on one line is still XML
+        in_xml = in_xml | (F.coalesce(F.col("mark") == "closed", F.lit(False)) & xml_opens(value))
     kind = (
         F.when(header, F.lit("header"))
         .when(in_xml, F.lit("xml"))
         .when(stack_line(value), F.lit("stack"))
         .otherwise(F.lit("text"))
     )
-    return scanned.select(
-        "source", "chunk", "pos", "value", "hdr", rec.alias("rec"),
-        F.when(header, ts).alias("ts"), kind.alias("kind"),
+    return dated.select(
+        "source", "chunk", "pos", "value", "hdr", rec.alias("rec"), "ts", kind.alias("kind")
     )
 
 
 def assemble(attached: DataFrame) -> DataFrame:
-    """One row per record: header parts, merged message, stack lines and XML text."""
-    at = F.struct("chunk", "pos")
-    body = F.when(
-        F.col("kind") != "header", F.struct(at.alias("at"), F.col("kind"), F.col("value"))
-    )
+    """One row per record: header parts, merged message, stack lines and XML text.
+
+    Lines of a chunk are together already, so most of a record is gathered map-side.
+    """
 
     def head(c: Column) -> Column:
         return F.max(F.when(F.col("kind") == "header", c))
 
+    def gather(kind: str, c: Column) -> Column:
+        return F.sort_array(
+            F.collect_list(F.when(F.col("kind") == kind, F.struct("chunk", "pos", c.alias("value"))))
+        ).alias(kind)
+
     grouped = (
         attached.filter(F.col("rec").isNotNull())
         .groupBy("source", "rec")
@@ -150,16 +169,13 @@ def assemble(attached: DataFrame) -> DataFrame:
             head(F.col("hdr.logger")).alias("logger"),
             head(F.col("hdr.pid")).alias("pid"),
             head(F.col("hdr.message")).alias("head_message"),
-            F.collect_list(body).alias("body"),
+            gather("text", strip(F.col("value"))),
+            gather("stack", F.col("value")),
+            gather("xml", F.col("value")),
         )
     )
-    body = F.array_sort("body")
-
-    def of(kind: str) -> Column:
-        return F.transform(F.filter("lines", lambda b: b["kind"] == kind), lambda b: b["value"])
-
-    added = F.transform(of("text"), strip)
-    return grouped.withColumn("lines", body).select(
+    message = F.array_join(F.concat(F.array("head_message"), F.col("text.value")), " ")
+    return grouped.select(
         "source",
         F.col("rec.chunk").alias("chunk"),
         F.col("rec.pos").alias("pos"),
@@ -169,9 +185,9 @@ def assemble(attached: DataFrame) -> DataFrame:
         "thread",
         "logger",
         "pid",
-        strip(F.array_join(F.concat(F.array("head_message"), added), " ")).alias("message"),
-        of("stack").alias("stack"),
-        F.when(F.size(of("xml")) > 0, F.array_join(of("xml"), "\n")).alias("xml_content"),
+        strip(message).alias("message"),
+        F.col("stack.value").alias("stack"),
+        F.when(F.size("xml") > 0, F.array_join(F.col("xml.value"), "\n")).alias("xml_content"),
     )
 
 

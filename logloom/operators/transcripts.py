@@ -11,7 +11,7 @@ from logloom.functions.text import strip
 from logloom.operators.lines import number_lines
 from logloom.operators.ordered import scan_prior
 
-_HEADER = r"(?U)^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.+)$"
+_HEADER = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.+)$"
 
 
 def transcript_entries(lines: DataFrame) -> DataFrame:

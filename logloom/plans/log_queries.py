@@ -250,9 +250,9 @@ def message_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT *, list_filter(string_split_regex(text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+'), x -> x <> '') AS toks FROM documents)
+    """WITH w AS (SELECT *, list_filter(string_split_regex(text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+'), lambda x: x <> '') AS toks FROM documents)
     SELECT doc_id, len(toks)::INT AS word_count, length(text)::INT AS char_count,
-    len(list_distinct(list_transform(toks, x -> lower(x))))::INT AS unique_words,
+    len(list_distinct(list_transform(toks, lambda x: lower(x))))::INT AS unique_words,
     length(regexp_replace(text, '[^.,;:!?]', '', 'g'))::INT AS punctuation_count,
     len(regexp_extract_all(text, '\\p{Nd}+'))::INT AS number_count FROM w"""
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from logloom.functions.text import BASE_STEPS, POOL_STEPS, SSO_STEPS
+from logloom.functions.text import BASE_STEPS, POOL_STEPS, SSO_STEPS, WORD
 
 # --- Fixed values: header patterns -----------------------------------------------------
 # Groups in every pattern: ts, level, thread, logger, pid, message (see HeaderPattern).
@@ -33,25 +33,25 @@ def _headers(level: str) -> dict[str, HeaderPattern]:
         # 14:13:17.330 [main] DEBUG a.b.Provider - text
         "clock_dash": HeaderPattern(
             "clock_dash",
-            rf"^(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3,6}})\s+\[([^\]]+)\]\s+({level})\s+([\w.$\-]+)\s*[:\-]\s*(.*)$",
+            rf"^(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3,6}})\s+\[([^\]]+)\]\s+({level})\s+([{WORD}.$\-]+)\s*[:\-]\s*(.*)$",
             ts=1, thread=2, level=3, logger=4, pid=0, message=5, clock_only=True,
         ),
         # 14:13:17.330 [main] DEBUG a.b.Provider -- text
         "clock": HeaderPattern(
             "clock",
-            rf"^(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3,6}})\s+\[([^\]]+)\]\s+({level})\s+([\w.$\-]+)\s*(?:--|:)\s*(.*)$",
+            rf"^(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3,6}})\s+\[([^\]]+)\]\s+({level})\s+([{WORD}.$\-]+)\s*(?:--|:)\s*(.*)$",
             ts=1, thread=2, level=3, logger=4, pid=0, message=5, clock_only=True,
         ),
         # 18-Mar-2030 10:51:51.333 WARNING [main] org.x.Y text
         "container": HeaderPattern(
             "container",
-            rf"^(\d{{2}}-[A-Za-z]{{3}}-\d{{4}}\s+\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}})\s+({level})\s+\[([^\]]+)\]\s+([\w.$]+)\s+(.*)$",
+            rf"^(\d{{2}}-[A-Za-z]{{3}}-\d{{4}}\s+\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}})\s+({level})\s+\[([^\]]+)\]\s+([{WORD}.$]+)\s+(.*)$",
             ts=1, level=2, thread=3, logger=4, pid=0, message=5,
         ),
         # 2030-04-24 10:09:19.752 ERROR 121 --- [   main] o.s.App : text
         "framework": HeaderPattern(
             "framework",
-            rf"^({day}\.\d{{3,6}})\s+({level})\s+(\d+)?\s*(?:---)?\s*\[\s*([^\]]+)\]\s+([\w.$\-]+)\s*[:\-]\s*(.*)$",
+            rf"^({day}\.\d{{3,6}})\s+({level})\s+(\d+)?\s*(?:---)?\s*\[\s*([^\]]+)\]\s+([{WORD}.$\-]+)\s*[:\-]\s*(.*)$",
             ts=1, level=2, pid=3, thread=4, logger=5, message=6,
         ),
         # DEBUG 30-03-21 03:34:06[pool adder] [Pool:729] - text
@@ -63,7 +63,7 @@ def _headers(level: str) -> dict[str, HeaderPattern]:
         # 2030-04-24 10:09:19,752 ERROR [main] com.x.Foo - text
         "simple": HeaderPattern(
             "simple",
-            rf"^({day}[.,]\d{{3,6}})\s+({level})\s+\[([^\]]+)\]\s+([\w.$]+)\s*[:\-]\s*(.*)$",
+            rf"^({day}[.,]\d{{3,6}})\s+({level})\s+\[([^\]]+)\]\s+([{WORD}.$]+)\s*[:\-]\s*(.*)$",
             ts=1, level=2, thread=3, logger=4, pid=0, message=5,
         ),
         # [DEBUG][14:15:18][exec-9][com.x.Y.run] - text

@@ -11,7 +11,7 @@ from logloom.profiles import LogProfile
 
 def noise_line(c: Column, profile: LogProfile) -> Column:
     """True for lines that belong to no record."""
-    regex = "|".join(f"(?:{r})" for r in profile.noise_regex)
+    regex = "^(?:" + "|".join(r.removeprefix("^") for r in profile.noise_regex) + ")"
     return c.rlike(regex) | contains_any(c, profile.noise_terms)
 
 

@@ -5,71 +5,74 @@ fine for a small domain (a score from 0 to 110), not for billions of distinct
 doubles. ``exact_quantiles`` selects by rank instead: two histograms of at most
 ``bins`` cells narrow each wanted rank down to one tiny interval, and only the
 distinct values inside that interval are sorted.
+
+The distinct values with their counts are written to the checkpoint folder first:
+the rows behind them, often a whole pipeline, are computed once. One row of
+extremes and counts comes to the driver to place the cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.session import durable
+
 _BINS = 65536
+_OUT = "prob double, value double"
 
 
 def exact_quantiles(
     df: DataFrame, column: str, probs: Sequence[float], bins: int = _BINS
 ) -> DataFrame:
-    """Rows ``(prob, value)``: numpy-style linear quantiles of a numeric column."""
+    """Rows ``(prob, value)``: numpy-style linear quantiles of a numeric column.
+
+    Null and NaN are left out; of no values at all every quantile is null.
+    """
     x = F.col(column).cast("double")
-    values = (
+    values = durable(
         df.select(x.alias("x"))
         .filter(F.col("x").isNotNull() & ~F.isnan("x"))
         .groupBy("x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    span = values.agg(
-        F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n"))
-    ).scalar()
-    # each quantile needs the two order statistics around h = p * (n - 1)
-    h = [F.lit(float(p)) * (span["n"] - 1) for p in probs]
-    wanted = F.array(
+    lo, hi, total, distinct = values.agg(
+        F.min("x"), F.max("x"), F.sum("n"), F.count(F.lit(1))
+    ).first()
+    if not total:
+        return df.sparkSession.createDataFrame([(p, None) for p in probs], _OUT)
+    # each quantile needs the two order statistics around p * (n - 1)
+    places = [p * (total - 1) for p in probs]
+    want = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("q"),
-                F.lit(side).alias("side"),
-                (F.floor(h[i]) if side == 0 else F.ceil(h[i])).cast("bigint").alias("rank"),
-            )
-            for i in range(len(probs))
-            for side in (0, 1)
+            F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), F.lit(rank).cast("bigint").alias("rank"))
+            for q, at in enumerate(places)
+            for side, rank in ((0, math.floor(at)), (1, math.ceil(at)))
         ]
     )
-    width = (span["hi"] - span["lo"]) / bins
-    offset = F.col("x") - span["lo"]
-    cell = F.when(width > 0, F.least(F.floor(offset / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    inner = F.when(
-        width > 0,
-        F.least(
-            F.floor((offset - F.col("b1") * width) / (width / bins)), F.lit(bins - 1)
-        ),
-    ).otherwise(F.lit(0))
-    binned = (
-        values.withColumn("b1", cell.cast("bigint")).withColumn("b2", inner.cast("bigint"))
-    )
-
-    first = _locate(
-        binned.groupBy("b1").agg(F.sum("n").alias("n")).withColumn("want", wanted), [], "b1"
-    )
-    second = _locate(_within(binned, first, ["b1"], "b2"), ["b1"], "b2")
-    third = _locate(_within(binned, second, ["b1", "b2"], "x"), ["b1", "b2"], "x")
-    ends = third.groupBy("q").agg(
+    width = (hi - lo) / bins
+    if distinct <= bins or width / bins == 0.0:
+        found = _locate(values.withColumn("want", want), [], "x")
+    else:
+        offset = F.col("x") - F.lit(lo)
+        outer = F.least(F.floor(offset / width), F.lit(bins - 1))
+        inner = F.floor((offset - F.col("b1") * width) / (width / bins))
+        binned = values.withColumn("b1", outer.cast("bigint")).withColumn(
+            "b2", F.greatest(F.lit(0), F.least(inner, F.lit(bins - 1))).cast("bigint")
+        )
+        coarse = binned.groupBy("b1").agg(F.sum("n").alias("n")).withColumn("want", want)
+        first = _locate(coarse, [], "b1")
+        second = _locate(_within(binned, first, ["b1"], "b2"), ["b1"], "b2")
+        found = _locate(_within(binned, second, ["b1", "b2"], "x"), ["b1", "b2"], "x")
+    ends = found.groupBy("q").agg(
         F.max(F.when(F.col("side") == 0, F.col("x"))).alias("below"),
         F.max(F.when(F.col("side") == 1, F.col("x"))).alias("above"),
     )
-    prob = F.array(*[F.lit(float(p)) for p in probs])
-    at = F.element_at(prob, F.col("q") + 1)
-    pos = at * (span["n"] - 1)
-    frac = pos - F.floor(pos)
+    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q") + 1)
+    frac = F.element_at(F.array(*[F.lit(p - math.floor(p)) for p in places]), F.col("q") + 1)
     return ends.select(
         at.alias("prob"), (F.col("below") + (F.col("above") - F.col("below")) * frac).alias("value")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.plans.tables import table
+from logloom.plans.tables import spread, table
 
 # pos = event_id * 10 + k; small chunks so that records straddle chunk borders often
 CHUNK = 25_000
@@ -32,7 +32,7 @@ def _lines(df: DataFrame, parts: list[tuple[int, Column, Column]]) -> DataFrame:
 
 def sso_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Records with three header forms, stack traces, continuation and noise lines."""
-    df = table(spark, sf, "events")
+    df = spread(table(spark, sf, "events"), "event_id")
     e, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
     level = (
         F.when(kind == "error", "ERROR").when(kind == "view", "WARN").when(kind == "click", "DEBUG")
@@ -139,7 +139,7 @@ recs AS (SELECT *, count(*) OVER (PARTITION BY message_template) AS template_fre
 
 def signature_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One signature verifier record per purchase or signup."""
-    df = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    df = spread(table(spark, sf, "events"), "event_id").filter(F.col("event_type").isin("purchase", "signup"))
     e, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     hexa = F.lower(F.hex(F.col("event_id") + 4096))
     code = F.when(F.col("event_type") == "purchase", "0").otherwise("7")
@@ -165,7 +165,7 @@ sigw AS (SELECT *, lag(ts) OVER w AS prev, row_number() OVER w AS k FROM sig
 
 def pool_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Connection pool records per event."""
-    df = table(spark, sf, "events")
+    df = spread(table(spark, sf, "events"), "event_id")
     user = F.col("user_id")
     action = (
         F.when(F.col("event_id") % 3 == 0, F.lit("Added connection c@ab12"))

@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from logloom import profiles
 from logloom.functions.records import error_code, log_category
-from logloom.functions.text import BASE_STEPS, complexity, message_template
+from logloom.functions.text import BASE_STEPS, complexity, message_template, squeeze
 from logloom.operators import lines as L
 from logloom.operators import summaries as A
 from logloom.operators import systemlog
+from logloom.operators.ordered import line_chunk, scan_prior
 from logloom.plans.derived_logs import (
-    CHUNK,
     SIGNATURE_SQL,
     SSO_LINES_SQL,
     pool_lines,
     signature_lines,
     sso_lines,
 )
-from logloom.plans.tables import rounded, sql_time, table, text_time
-from logloom.sources.readers import table_lines
+from logloom.plans.tables import rounded, table
 
 QUERIES = {}
 ORACLE = {}
@@ -290,9 +289,6 @@ def codes_and_categories(spark: SparkSession, sf: str) -> DataFrame:
 )
 def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
     """User turns open records, later turns are merged into them."""
-    from logloom.functions.text import squeeze
-    from logloom.operators.ordered import line_chunk, scan_prior
-
     turns = table(spark, sf, "conversations").withColumn("chunk", line_chunk(F.col("turn"), 4))
     is_user = F.col("role") == "user"
     seen = scan_prior(turns, ["conv_id"], ["chunk"], ["turn"], last={"open": F.when(is_user, F.col("turn"))})
@@ -315,8 +311,6 @@ def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
     row_number() OVER (ORDER BY min(conv_id * 1000 + turn)) AS seen_rank FROM conversations GROUP BY 1"""
 )
 def first_seen_order(spark: SparkSession, sf: str) -> DataFrame:
-    from logloom.operators.ordered import scan_prior
-
     df = table(spark, sf, "conversations").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
     seen = A.first_seen(df, "role", "at").withColumn("block", F.floor(F.col("first_at") / 1_000_000))
     ranked = scan_prior(seen, [], ["block"], ["first_at"], totals={"before": F.lit(1)})

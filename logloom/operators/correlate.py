@@ -37,7 +37,9 @@ def match_sides(idp: DataFrame, sp: DataFrame, raw_rows: bool = False) -> DataFr
 
     Columns are prefixed ``idp_`` and ``sp_``, keys are ``idp_id`` and ``sp_id``. Each
     side is first reduced to one row per id, unless ``raw_rows`` asks for every pair.
+    Rows without an id belong to no sequence.
     """
+    idp, sp = idp.filter("idp_id IS NOT NULL"), sp.filter("sp_id IS NOT NULL")
     if not raw_rows:
         idp = first_per_key(idp, "idp_id", ["idp_file", "idp_line"])
         sp = first_per_key(sp, "sp_id", ["sp_file", "sp_line"])

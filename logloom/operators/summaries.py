@@ -28,12 +28,12 @@ def hourly_filled(df: DataFrame, ts: str) -> DataFrame:
 
     The hour axis grows with the time span only, never with the rows.
     """
-    hourly = hourly(df, ts)
-    ends = hourly.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+    counts = hourly(df, ts)
+    ends = counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     axis = ends.filter(F.col("lo").isNotNull()).select(
         F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("hour")
     )
-    return axis.join(hourly, "hour", "left").select(
+    return axis.join(counts, "hour", "left").select(
         "hour", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
 

@@ -27,9 +27,8 @@ def query(sql: str | None):
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders that are not pending; the id of low-priority orders is unknown."""
-    o = table(spark, sf, "orders").filter("o_orderstatus <> 'P'")
-    return o.select(
+    """Orders; the id of low-priority orders is unknown."""
+    return table(spark, sf, "orders").select(
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias("request_id"),
         F.col("o_orderdate").cast("timestamp").alias("request_timestamp"),
         F.col("o_orderpriority").alias("sp_provider"),
@@ -38,11 +37,10 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """First shipped line of each order."""
-    first = table(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'R'")
     one = C.first_per_key(
-        first.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"),
+        table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"),
         "l_orderkey",
-        ["l_partkey", "l_suppkey", "l_shipdate"],
+        ["l_shipdate", "l_partkey", "l_suppkey"],
     )
     return one.select(
         F.col("l_orderkey").alias("in_response_to"),
@@ -52,10 +50,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SIDES = """req AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS request_id,
-  o_orderdate AS request_timestamp, o_orderpriority AS sp_provider FROM orders WHERE o_orderstatus <> 'P'),
-resp AS (SELECT l_orderkey AS in_response_to, arg_min(l_partkey, (l_partkey, l_suppkey, l_shipdate)) AS response_id,
-  arg_min(l_shipdate, (l_partkey, l_suppkey, l_shipdate)) AS response_timestamp
-  FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R' GROUP BY 1)"""
+  o_orderdate AS request_timestamp, o_orderpriority AS sp_provider FROM orders),
+resp AS (SELECT l_orderkey AS in_response_to, arg_min(l_partkey, (l_shipdate, l_partkey, l_suppkey)) AS response_id,
+  min(l_shipdate) AS response_timestamp FROM lineitem GROUP BY 1)"""
 
 
 @query(
@@ -79,9 +76,8 @@ def unmatched_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey % 5 <> 0")
-    idp = o.select(
-        F.col("o_orderkey").alias("idp_id"),
+    idp = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias("idp_id"),
         F.col("o_orderdate").cast("timestamp").alias("idp_ts"),
         F.lit(None).cast("timestamp").alias("idp_issue_instant"),
         F.col("o_orderpriority").alias("idp_provider"),
@@ -89,8 +85,7 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("idp.log").alias("idp_file"),
         F.col("o_orderkey").alias("idp_line"),
     )
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'R'")
-    sp = li.select(
+    sp = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("sp_id"),
         F.col("l_shipdate").cast("timestamp").alias("sp_ts"),
         F.lit(None).cast("timestamp").alias("sp_issue_instant"),
@@ -98,17 +93,17 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", "Success").alias("sp_status"),
         F.concat(F.lit("agent"), F.col("l_suppkey") % 4).alias("sp_agent"),
         F.lit("sp.log").alias("sp_file"),
+        # lines of an order in the sequence of their parts and suppliers
         (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("sp_line"),
-        F.col("l_shipdate").alias("sp_seen"),
     )
-    return C.enrich_matches(C.match_sides(idp, sp.drop("sp_seen")))
+    return C.enrich_matches(C.match_sides(idp, sp))
 
 
 _MATCH = """idp AS (SELECT o_orderkey AS idp_id, o_orderdate AS idp_ts, o_orderpriority AS idp_provider,
-  CASE WHEN o_orderstatus = 'P' THEN 'License Error' END AS idp_error FROM orders WHERE o_orderkey % 5 <> 0),
+  CASE WHEN o_orderstatus = 'P' THEN 'License Error' END AS idp_error FROM orders WHERE o_orderpriority <> '5-LOW'),
 spl AS (SELECT l_orderkey AS sp_id, l_shipdate AS ts, CASE WHEN l_returnflag = 'A' THEN 'SP' || (l_suppkey % 3) END AS provider,
   CASE WHEN l_linestatus = 'F' THEN 'Success' END AS status, 'agent' || (l_suppkey % 4) AS agent,
-  l_partkey * 100000 + l_suppkey AS line FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R'),
+  l_partkey * 100000 + l_suppkey AS line FROM lineitem),
 sp AS (SELECT sp_id, arg_min(ts, line) AS sp_ts, arg_min(provider, line) AS sp_provider, arg_min(status, line) AS sp_status,
   arg_min(agent, line) AS sp_agent FROM spl GROUP BY 1),
 m0 AS (SELECT coalesce(sp.sp_id, idp_id) AS sp_id, idp_ts, sp_ts, idp_provider, sp_provider, idp_error, sp_status, sp_agent
@@ -204,11 +199,12 @@ def address_ranges(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("10."), n, F.lit(".127.255")).alias("ip_end"),
         ),
         F.struct(
-            F.concat(F.lit("8."), n * 2, F.lit(".0.0")), F.concat(F.lit("8."), n * 2 + 1, F.lit(".63.255"))
+            F.concat(F.lit("8."), n * 2, F.lit(".0.0")).alias("ip_start"),
+            F.concat(F.lit("8."), n * 2 + 1, F.lit(".63.255")).alias("ip_end"),
         ),
         F.struct(
-            F.concat(F.lit("2001:db8:"), n + 10, F.lit("::")),
-            F.concat(F.lit("2001:db8:"), n + 10, F.lit(":7fff:ffff:ffff:ffff:ffff")),
+            F.concat(F.lit("2001:db8:"), n + 10, F.lit("::")).alias("ip_start"),
+            F.concat(F.lit("2001:db8:"), n + 10, F.lit(":7fff:ffff:ffff:ffff:ffff")).alias("ip_end"),
         ),
     )
     return table(spark, sf, "nation").select(

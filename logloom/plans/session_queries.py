@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators import sessions as S
 from logloom.operators import summaries as A
 from logloom.plans.tables import AUTH_SQL, RULES, SESSION_SQL, auth_events, rounded, sql_time, text_time
+from logloom.session import durable
 
 QUERIES = {}
 ORACLE = {}
@@ -160,8 +161,8 @@ def high_risk_sessions(spark: SparkSession, sf: str) -> DataFrame:
     " WHERE anomaly_score_final > (SELECT quantile_cont(anomaly_score_final, 0.9) FROM final) + 1e-9"
 )
 def score_quantile_cut(spark: SparkSession, sf: str) -> DataFrame:
-    df = A.above_quantile(scored(spark, sf).select("session_id", "anomaly_score_final"), "anomaly_score_final", 0.9)
-    return rounded(df)
+    scores = durable(scored(spark, sf).select("session_id", "anomaly_score_final"))
+    return rounded(A.above_quantile(scores, "anomaly_score_final", 0.9))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import WORD, strip
+from logloom.functions.text import WORD, let, strip
 
 _PAIR = r"\s*([A-Za-z0-9_\-]+)\s*:\s*(\"(?:[^\"\\]|\\.)*\"|[^,]+?)\s*(?:,|$)"
 _QUOTED = r'(?s)^"(?:[^"\\]|\\.)*"$'
@@ -13,11 +13,17 @@ _QUOTED = r'(?s)^"(?:[^"\\]|\\.)*"$'
 
 def last_wins_map(keys: Column, values: Column) -> Column:
     """Map of two arrays in which the last of several equal keys wins."""
-    count = F.size(keys)
-    back = F.reverse(keys)
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    kept = F.filter(entries, lambda e, i: F.array_position(back, e["k"]) == (count - i))
-    return F.map_from_entries(kept)
+
+    def build(s: Column) -> Column:
+        entries = F.zip_with(s["k"], s["v"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        return F.map_from_entries(
+            F.filter(
+                entries,
+                lambda e, i: F.array_position(F.reverse(s["k"]), e["k"]) == (F.size(s["k"]) - i),
+            )
+        )
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), build)
 
 
 def unescape(inner: Column) -> Column:
@@ -82,12 +88,15 @@ def name_parts(dn: Column) -> Column:
     entries = F.transform(
         parts, lambda p: F.struct(F.lower(strip(p[0])).alias("k"), strip(p[1]).alias("v"))
     )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    values = F.transform(
-        keys,
-        lambda k: F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"]),
-    )
-    return F.map_from_arrays(keys, values)
+
+    def build(all_parts: Column) -> Column:
+        keys = F.array_distinct(all_parts["k"])
+        values = F.transform(
+            keys, lambda k: F.transform(F.filter(all_parts, lambda e: e["k"] == k), lambda e: e["v"])
+        )
+        return F.map_from_arrays(keys, values)
+
+    return F.when(dn.isNotNull(), let(entries, build))
 
 
 def metadata_pair(line: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from logloom.functions.text import let
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -22,10 +23,10 @@ INTERNAL_NETWORKS = (
 
 def ipv4_to_int(c: Column) -> Column:
     """Number of an IPv4 address; null for anything else."""
-    p = F.split(c, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.try_element_at(p, F.lit(i + 1)).cast("bigint")
+    octets = F.split(c, r"\.")
+    number = F.aggregate(
+        octets, F.lit(0).cast("bigint"), lambda total, octet: total * 256 + octet.cast("bigint")
+    )
     return F.when(c.rlike(IPV4), number)
 
 
@@ -50,30 +51,43 @@ def internal_flag(c: Column, networks: tuple[str, ...] = INTERNAL_NETWORKS) -> C
     return F.coalesce(inside, F.lit(False)).cast("tinyint")
 
 
+_HEXTETS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+_IPV6 = rf"^(?:{_HEXTETS})?(?:::(?:{_HEXTETS})?)?$"
+
+
 def ipv6_to_hex(c: Column) -> Column:
     """32 hex digits of an IPv6 address; null for anything else."""
-    low = F.lower(c)
-    # a dotted tail stands for the last two groups
-    tail = F.regexp_extract(low, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    number = ipv4_to_int(tail)
-    groups = F.concat(
-        F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF)))
-    )
-    plain = F.when(tail == "", low).otherwise(
-        F.concat(F.regexp_replace(low, r"\d+\.\d+\.\d+\.\d+$", ""), groups)
-    )
-    halves = F.split(plain, "::")
-    head = F.filter(F.split(halves[0], ":"), lambda g: g != "")
-    rest = F.filter(
-        F.split(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), ":"), lambda g: g != ""
-    )
-    given = F.size(head) + F.size(rest)
-    gap = F.size(halves) == 2
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
-    full = F.concat(head, zeros, rest)
-    shape = plain.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
-    valid = shape & c.contains(":") & F.when(gap, given < 8).otherwise(given == 8)
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def plain(low: Column) -> Column:
+        # a dotted tail stands for the last two groups
+        tail = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
+        number = ipv4_to_int(F.regexp_extract(low, tail, 0))
+        groups = F.concat_ws(
+            ":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number.bitwiseAND(0xFFFF)))
+        )
+        return F.when(low.contains("."), F.concat(F.regexp_replace(low, tail, ""), groups)).otherwise(low)
+
+    def groups_of(c: Column) -> Column:
+        return F.array_remove(F.split(c, ":"), "")
+
+    def expand(address: Column) -> Column:
+        gap = F.contains(address, F.lit("::"))
+        head = groups_of(F.substring_index(address, "::", 1))
+        rest = F.when(gap, groups_of(F.substring_index(address, "::", -1))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+        def fill(p: Column) -> Column:
+            given = F.size(p["head"]) + F.size(p["rest"])
+            zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
+            full = F.concat(p["head"], zeros, p["rest"])
+            fits = F.when(gap, given < 8).otherwise(given == 8)
+            return F.when(fits, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+        whole = let(F.struct(head.alias("head"), rest.alias("rest")), fill)
+        return F.when(address.rlike(_IPV6), whole)
+
+    return F.when(c.contains(":"), let(let(F.lower(c), plain), expand))
 
 
 def ip_family(c: Column) -> Column:

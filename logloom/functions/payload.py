@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.keyvalue import equals_lines, last_wins_map, name_parts
-from logloom.functions.text import contains_any, strip
+from logloom.functions.text import contains_any, let, strip
 
 # Labels of the verifier's report -> field names.
 LABELS = {
@@ -36,14 +36,13 @@ def labelled_fields(text: Column) -> Column:
     """
     lines = F.filter(F.transform(F.split(strip_html(text), "\n"), strip), lambda x: x != "")
     names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    inline = r"(?s)^(.+?)\s*\[(.+)\]$"
 
-    def entry(line: Column, i: Column) -> Column:
+    def entry(line: Column, below: Column) -> Column:
         body = strip(F.substring(line, F.lit(3), F.length(line)))
-        inline = r"(?s)^(.+?)\s*\[(.+)\]$"
         has_value = body.rlike(inline)
         label = strip(F.when(has_value, F.regexp_extract(body, inline, 1)).otherwise(body))
         key = F.coalesce(names[label], label)
-        below = F.get(lines, i + 1)
         under = below.startswith("[") & below.endswith("]")
         value = (
             F.when(has_value & key.isin(*_FLAGS), F.lit("true"))
@@ -53,10 +52,11 @@ def labelled_fields(text: Column) -> Column:
         )
         return F.when(line.startswith("- "), F.struct(key.alias("k"), value.alias("v")))
 
-    entries = F.filter(F.transform(lines, entry), lambda e: e.isNotNull())
-    return last_wins_map(
-        F.transform(entries, lambda e: e["k"]), F.transform(entries, lambda e: e["v"])
-    )
+    def build(all_lines: Column) -> Column:
+        below = F.concat(F.slice(all_lines, F.lit(2), F.size(all_lines)), F.array(F.lit("")))
+        return F.filter(F.zip_with(all_lines, below, entry), lambda e: e.isNotNull())
+
+    return let(let(lines, build), lambda found: last_wins_map(found["k"], found["v"]))
 
 
 def json_object(text: Column) -> Column:
@@ -65,39 +65,59 @@ def json_object(text: Column) -> Column:
     return F.when(looks, F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true"}))
 
 
-def payload_fields(lines: Column, action: Column) -> dict[str, Column]:
-    """Kind of a payload, its fields as a map, nested input and name parts."""
-    text = strip(F.array_join(lines, "\n"))
-    as_json = json_object(text)
-    has_label = contains_any(text, tuple(LABELS))
-    pairs = equals_lines(lines)
-    is_pairs = F.contains(text, F.lit("=")) & ~has_label & (F.size(pairs) > 0)
+def classify_payload(entries: DataFrame, lines: str = "payload_lines", action: str = "action") -> DataFrame:
+    """Add kind of the payload, its fields as a map, nested input and name parts.
+
+    Each reading is a column of its own, so that it runs once per entry.
+    """
+    text = F.col("payload_text")
+    tried = (
+        entries.withColumn("payload_text", strip(F.array_join(lines, "\n")))
+        .withColumns(
+            {
+                "__json": json_object(text),
+                "__label": contains_any(text, tuple(LABELS)),
+                "__dash": F.contains(text, F.lit("- ")),
+            }
+        )
+        .withColumn(
+            "__pairs",
+            F.when(
+                F.col("__json").isNull() & ~F.col("__label") & F.contains(text, F.lit("=")),
+                equals_lines(F.col(lines)),
+            ),
+        )
+    )
     kind = (
-        F.when(lines.isNull(), None)
+        F.when(F.col(lines).isNull(), None)
         .when(text == "", "empty")
-        .when(as_json.isNotNull(), "json")
-        .when(is_pairs, "pairs")
-        .when(has_label | F.contains(text, F.lit("- ")), "labelled")
+        .when(F.col("__json").isNotNull(), "json")
+        .when(F.size("__pairs") > 0, "pairs")
+        .when(F.col("__label") | F.col("__dash"), "labelled")
         .otherwise("text")
     )
-    fields = (
-        F.when(kind == "json", as_json)
-        .when(kind == "pairs", pairs)
-        .when(kind == "labelled", labelled_fields(text))
+    read = tried.withColumn("payload_kind", kind)
+    kind = F.col("payload_kind")
+    read = read.withColumn(
+        "payload_fields",
+        F.when(kind == "json", F.col("__json"))
+        .when(kind == "pairs", F.col("__pairs"))
+        .when(kind == "labelled", labelled_fields(text)),
     )
+    fields = F.col("payload_fields")
     nested = F.when(
-        action.isin(*NESTED_ACTIONS) & kind.isin("json", "pairs"), json_object(fields["input"])
+        F.col(action).isin(*NESTED_ACTIONS) & kind.isin("json", "pairs"), json_object(fields["input"])
     )
-    user = F.coalesce(nested["user_dn"], F.when(kind != "json", fields["user_dn"]))
-    issuer = F.when(kind != "json", fields["issuer_dn"])
-    return {
-        "payload_kind": kind,
-        "payload_text": text,
-        "payload_fields": fields,
-        "payload_input": nested,
-        "user_dn": F.when(user.isNotNull(), name_parts(user)),
-        "issuer_dn": F.when(issuer.isNotNull(), name_parts(issuer)),
-    }
+    read = read.withColumn("payload_input", nested)
+    plain = kind != "json"
+    return read.withColumns(
+        {
+            "user_dn": name_parts(
+                F.coalesce(F.col("payload_input")["user_dn"], F.when(plain, fields["user_dn"]))
+            ),
+            "issuer_dn": name_parts(F.when(plain, fields["issuer_dn"])),
+        }
+    ).drop("__json", "__label", "__dash", "__pairs")
 
 
 def payload_variant(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +40,14 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, rf"[{SPACE}]+"), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    A column used twice is computed twice, and inside a lambda once per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
     """True when the text holds one of the literal terms; false for null."""
     hit = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.net import ip_family, ip_sort_key
+from logloom.functions.net import ip_sort_key
 from logloom.operators.keyed import attach_by_key, count_by_key
 from logloom.operators.ordered import scan_prior
 
@@ -31,21 +31,16 @@ def country_of_ip(events: DataFrame, ranges: DataFrame, ip: str = "source_ip") -
     """
     counts = count_by_key(events.filter(F.col(ip).isNotNull()), [ip])
     points = counts.select(
-        F.col(ip),
-        "n",
-        ip_family(F.col(ip)).alias("family"),
-        ip_sort_key(F.col(ip)).alias("key"),
-        F.lit(1).alias("kind"),
+        F.col(ip), "n", ip_sort_key(F.col(ip)).alias("key"), F.lit(1).alias("kind")
     )
     starts = ranges.select(
-        ip_family(F.col("ip_start")).alias("family"),
         ip_sort_key(F.col("ip_start")).alias("key"),
         F.lit(0).alias("kind"),
         F.struct(ip_sort_key(F.col("ip_end")).alias("until"), F.col("country")).alias("range"),
     )
     line = points.unionByName(starts, allowMissingColumns=True).filter(
         F.col("key").isNotNull()
-    ).withColumns(
+    ).withColumn("family", F.when(F.length("key") == 8, "4").otherwise("6")).withColumns(
         {
             # 16-bit, then 32-bit (v6: 48-bit) prefixes; both follow the order of the keys
             "wide": F.left("key", F.lit(4)),

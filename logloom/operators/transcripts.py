@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.keyvalue import header_map, last_wins_map, metadata_pair
-from logloom.functions.payload import payload_fields
+from logloom.functions.payload import classify_payload
 from logloom.functions.text import strip
 from logloom.operators.lines import number_lines
 from logloom.operators.ordered import scan_prior
@@ -56,7 +56,7 @@ def transcript_entries(lines: DataFrame) -> DataFrame:
         F.when(~F.coalesce(is_header, F.lit(False)) & in_block, F.col("before.at")).alias("block"),
     ).filter("rec.ok")
     plain = F.col("mark").isNull() & F.col("block").isNull()
-    pair = F.when(plain, metadata_pair(F.col("value")))
+    rows = rows.withColumn("pair", F.when(plain, metadata_pair(F.col("value"))))
     inside = F.col("mark").isNull() & F.col("block").isNotNull()
 
     def head(c):
@@ -74,31 +74,24 @@ def transcript_entries(lines: DataFrame) -> DataFrame:
         head(F.regexp_extract(trimmed, _HEADER, 1)).alias("timestamp"),
         head(F.regexp_extract(trimmed, _HEADER, 2)).alias("direction"),
         head(F.regexp_extract(trimmed, _HEADER, 3)).alias("action"),
-        F.collect_list(F.when(pair.isNotNull(), F.struct("at", pair.alias("pair")))).alias("meta"),
-        F.collect_list(F.when(inside, F.struct("at", "block", "value"))).alias("body"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("pair").isNotNull(), F.struct("at", "pair")))
+        ).alias("meta"),
+        F.sort_array(F.collect_list(F.when(inside, F.struct("at", "block", "value")))).alias("body"),
         last_end.alias("last_end"),
         last_mark.alias("last_mark"),
     )
-    meta = F.array_sort("meta")
     open_at_end = F.col("last_mark.mark") == "begin"
     wanted = F.when(open_at_end, F.col("last_mark.at")).otherwise(F.col("last_end.block"))
-    chosen = F.transform(
-        F.filter(F.array_sort("body"), lambda b: b["block"] == F.col("wanted")), lambda b: b["value"]
-    )
+    chosen = F.filter("body", lambda b: b["block"] == F.col("wanted"))["value"]
     entries = grouped.withColumn("wanted", wanted).select(
         "source", "line_number", "timestamp", "direction", "action",
-        last_wins_map(
-            F.transform(meta, lambda m: m["pair"]["k"]), F.transform(meta, lambda m: m["pair"]["v"])
-        ).alias("metadata"),
+        last_wins_map(F.col("meta")["pair"]["k"], F.col("meta")["pair"]["v"]).alias("metadata"),
         F.when(
             open_at_end | F.col("last_end").isNotNull(), F.coalesce(chosen, F.array())
         ).alias("payload_lines"),
     )
-    return entries.withColumns(
-        {
-            "headers": F.when(
-                F.col("metadata")["headers"].isNotNull(), header_map(F.col("metadata")["headers"])
-            ),
-            **payload_fields(F.col("payload_lines"), F.col("action")),
-        }
+    headers = F.col("metadata")["headers"]
+    return classify_payload(
+        entries.withColumn("headers", F.when(headers.isNotNull(), header_map(headers)))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.net import ip_sort_key
 from logloom.operators.keyed import attach_by_key, count_by_key
 from logloom.operators.ordered import scan_prior
+from logloom.session import durable
 
 # Codes outside the standard list, and their names.
 NAME_OVERRIDES = {
@@ -53,7 +54,9 @@ def country_of_ip(events: DataFrame, ranges: DataFrame, ip: str = "source_ip") -
         line, ["family"], ["wide", "narrow"], ["key", "kind"], last={"found": F.col("range")}
     ).filter("kind = 1")
     country = F.when(F.col("key") <= F.col("found.until"), F.col("found.country"))
-    return attach_by_key(events, placed.select(ip, "n", country.alias("country")), [ip], ["country"])
+    # one row per distinct address, placed once and written out before it is read twice
+    found = durable(placed.select(ip, "n", country.alias("country")))
+    return attach_by_key(events, found, [ip], ["country"])
 
 
 def country_names(df: DataFrame, names: DataFrame, code: str = "country", max_names: int = 10_000) -> DataFrame:

@@ -28,7 +28,7 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
-        F.replace("value", F.lit("�"), F.lit("")).alias("value"),
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("value"),
     )
 
 

@@ -178,31 +178,49 @@ def pool_fields(message: Column, logger: Column) -> dict[str, Column]:
     }
 
 
-def signature_fields(message: Column, logger: Column) -> dict[str, Column]:
-    """Certificate, signer, signed-data and timing fields of signature verifier records."""
+def signature_parts(message: Column, logger: Column) -> dict[str, Column]:
+    """The raw pieces of a signature verifier message that ``signature_fields`` reads."""
     is_sig = contains_any(logger, ("SignedDataVerifier", "CertificateVerifier"))
     m = F.when(is_sig, message)
-    code = first_group(m, r"responseCode=(\d+)").try_cast("int")
-    dn = F.coalesce(
-        first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signOrgData"),
-        first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signerInfos"),
-    )
-    units = F.regexp_extract_all(dn, F.lit(r"ou=([^,]+)"), F.lit(1))
-    chain = first_group(m, r"userCerts=\[(.*?)\]")
-    hashes = F.regexp_extract_all(chain, F.lit(r"X509Certificate@([a-fA-F0-9]+)"), F.lit(1))
-    signers = F.regexp_extract_all(
-        first_group(m, r"signerInfos=\[(.*?)\]"), F.lit(r"SignerInfo@([a-fA-F0-9]+)"), F.lit(1)
-    )
-    raw_bytes = F.split(first_group(m, r"signOrgData=\[([^\]]+)\]"), ", ")
-    numbers = F.transform(raw_bytes, lambda b: strip(b).try_cast("int"))
+    return {
+        "__msg": m,
+        "__code": first_group(m, r"responseCode=(\d+)"),
+        "__dn": F.coalesce(
+            first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signOrgData"),
+            first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signerInfos"),
+        ),
+        "__chain": first_group(m, r"userCerts=\[(.*?)\]"),
+        "__bytes": F.split(first_group(m, r"signOrgData=\[([^\]]+)\]"), ", "),
+        "__signers": F.regexp_extract_all(
+            first_group(m, r"signerInfos=\[(.*?)\]"), F.lit(r"SignerInfo@([a-fA-F0-9]+)"), F.lit(1)
+        ),
+        "__signed_at": strip(first_group(m, r"signingTime=([^,)]+)")),
+    }
+
+
+def signature_arrays() -> dict[str, Column]:
+    """Second layer: what is read out of the raw pieces."""
+    clock = F.get(F.split(F.replace(F.col("__signed_at"), F.lit(" KST"), F.lit("")), r"\s+"), F.lit(3))
+    return {
+        "__units": F.regexp_extract_all(F.col("__dn"), F.lit(r"ou=([^,]+)"), F.lit(1)),
+        "__hashes": F.regexp_extract_all(
+            F.col("__chain"), F.lit(r"X509Certificate@([a-fA-F0-9]+)"), F.lit(1)
+        ),
+        "__numbers": F.transform("__bytes", lambda b: strip(b).try_cast("int")),
+        "__hour": F.when(
+            contains_any(F.col("__signed_at"), ("KST",)) & F.contains(clock, F.lit(":")),
+            F.substring_index(clock, ":", 1).try_cast("int"),
+        ),
+    }
+
+
+def signature_fields() -> dict[str, Column]:
+    """Certificate, signer, signed-data and timing fields from both layers."""
+    m, dn, units, hashes = (F.col(c) for c in ("__msg", "__dn", "__units", "__hashes"))
+    numbers, signers, hour = F.col("__numbers"), F.col("__signers"), F.col("__hour")
+    code = F.col("__code").try_cast("int")
     whole = ~F.exists(numbers, lambda n: n.isNull())
     total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, n: a + n)
-    signed_at = strip(first_group(m, r"signingTime=([^,)]+)"))
-    clock = F.get(F.split(F.regexp_replace(F.replace(signed_at, F.lit(" KST"), F.lit("")), r"\s+", " "), " "), F.lit(3))
-    hour = F.when(
-        contains_any(signed_at, ("KST",)) & clock.rlike(":"),
-        F.get(F.split(clock, ":"), F.lit(0)).try_cast("int"),
-    )
     is_vo = contains_any(m, ("SignedDataVO(",))
     return {
         "signature_response_code": code,
@@ -213,15 +231,15 @@ def signature_fields(message: Column, logger: Column) -> dict[str, Column]:
         "user_organization": F.when(F.size(units) > 0, F.array_join(units, ",")),
         "user_country": first_group(dn, r"c=([^,]+)"),
         "primary_cert_hash": first_group(m, r"userCert=.*@([a-fA-F0-9]+)"),
-        "cert_chain_length": F.when(chain.isNotNull(), F.size(hashes)),
+        "cert_chain_length": F.when(F.col("__chain").isNotNull(), F.size(hashes)),
         "cert_chain_hashes": F.when(F.size(hashes) > 0, hashes),
-        "signing_time": signed_at,
+        "signing_time": F.col("__signed_at"),
         "signing_hour": hour,
         "signing_time_period": F.when((hour < 6) | (hour >= 22), "night")
         .when(hour < 12, "morning")
         .when(hour < 18, "afternoon")
         .when(hour.isNotNull(), "evening"),
-        "sign_data_length": F.when(raw_bytes.isNotNull(), F.size(raw_bytes)),
+        "sign_data_length": F.when(F.col("__bytes").isNotNull(), F.size("__bytes")),
         "sign_data_avg": F.when(whole, total / F.size(numbers)),
         "sign_data_min": F.when(whole, F.array_min(numbers)),
         "sign_data_max": F.when(whole, F.array_max(numbers)),
@@ -230,5 +248,6 @@ def signature_fields(message: Column, logger: Column) -> dict[str, Column]:
         "signer_count": F.when(F.size(signers) > 0, F.size(signers)),
         "signed_data_hash": first_group(m, r"signedData=.*@([a-fA-F0-9]+)"),
         "signature_data_complexity": F.when(is_vo, F.length(m)),
-        "signature_field_count": F.when(is_vo, F.regexp_count(m, F.lit(rf"[{WORD}]+="))),
+        # a word followed by "=" is counted at its "="
+        "signature_field_count": F.when(is_vo, F.regexp_count(m, F.lit(rf"(?<=[{WORD}])="))),
     }

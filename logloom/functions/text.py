@@ -31,8 +31,8 @@ def rstrip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """One blank between words, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    """One blank between words, none at the ends. Single blanks are left alone."""
+    return F.trim(F.regexp_replace(c, rf"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " "))
 
 
 def words(c: Column) -> Column:
@@ -96,10 +96,22 @@ def message_template(c: Column, steps: Sequence[str] = BASE_STEPS) -> Column:
     out = c
     for step in steps:
         pattern, label = TEMPLATE_STEPS[step]
-        out = F.regexp_replace(out, pattern, label)
+        if step == "EMAIL":
+            # the dearest pattern; most messages hold no "@" at all
+            out = let(out, _replace_if("@", pattern, label))
+        else:
+            out = F.regexp_replace(out, pattern, label)
     return squeeze(out)
 
 
+def _replace_if(hint: str, pattern: str, label: str) -> Callable[[Column], Column]:
+    def body(c: Column) -> Column:
+        found = F.contains(c, F.lit(hint))
+        return F.when(found, F.regexp_replace(c, pattern, label)).otherwise(c)
+
+    return body
+
+
 def complexity(c: Column) -> dict[str, Column]:
     """Word, character, distinct word, punctuation and digit-run counts."""
     tokens = words(c)

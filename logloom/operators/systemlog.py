@@ -73,7 +73,10 @@ def record_features(records: DataFrame, profile: LogProfile) -> DataFrame:
     if profile.signature_fields:
         if profile.timing_aware_codes:
             base = base.withColumn("processing_time_ms", R.processing_time_ms(message))
-        base = base.withColumns(R.signature_fields(message, logger))
+        # in layers, so that no piece is extracted twice
+        base = base.withColumns(R.signature_parts(message, logger)).withColumns(R.signature_arrays())
+        base = base.withColumns(R.signature_fields())
+        base = base.drop(*[c for c in base.columns if c.startswith("__")])
     return base.drop("stack")
 
 

@@ -19,7 +19,7 @@ from logloom.plans.derived_logs import (
     signature_lines,
     sso_lines,
 )
-from logloom.plans.tables import rounded, table
+from logloom.plans.tables import rounded, spread, table
 
 QUERIES = {}
 ORACLE = {}
@@ -243,7 +243,7 @@ for _pattern, _label in (
 @query(f"SELECT doc_id, md5(trim(regexp_replace({_TEMPLATE_SQL}, '\\s+', ' ', 'g'))) AS template_md5 FROM documents")
 def message_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Templates of whole document texts."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.md5(message_template(F.col("text"), BASE_STEPS)).alias("template_md5")
     )
 
@@ -256,7 +256,7 @@ def message_templates(spark: SparkSession, sf: str) -> DataFrame:
     len(regexp_extract_all(text, '\\p{Nd}+'))::INT AS number_count FROM w"""
 )
 def message_complexity(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "documents")
+    df = spread(table(spark, sf, "documents"), "doc_id")
     return df.select("doc_id", *[c.alias(n) for n, c in complexity(F.col("text")).items()])
 
 

@@ -9,6 +9,7 @@ from logloom.functions.text import complexity
 from logloom.operators import importance as I
 from logloom.operators.correlate import match_requests
 from logloom.operators.forest import isolation_forest
+from logloom.operators.neighbours import flag_outliers, local_outlier_factor
 from logloom.operators.transactions import transaction_features
 from logloom.plans.match_queries import _SIDES, requests, responses
 from logloom.plans.tables import rounded, table
@@ -117,3 +118,17 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 def isolation_forest_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     df = isolation_forest(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 0.1)
     return df.select("vec_id", "iso_score", "anomaly_score", "is_anomaly", "anomaly_label")
+
+
+@query(
+    """WITH d AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS place FROM d) WHERE place <= 10),
+    kd AS (SELECT id, max(dist) AS k_dist FROM near GROUP BY 1),
+    lrd AS (SELECT near.id, 1.0 / (avg(greatest(dist, k_dist)) + 1e-10) AS lrd FROM near JOIN kd ON kd.id = near.other GROUP BY 1),
+    lof AS (SELECT near.id, avg(o.lrd) / any_value(i.lrd) AS lof FROM near JOIN lrd o ON o.id = near.other JOIN lrd i ON i.id = near.id GROUP BY 1)
+    SELECT id, round(lof, 5) AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM lof) + 1e-12 AS is_anomaly FROM lof"""
+)
+def outlier_factor_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    scored = local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
+    return rounded(flag_outliers(scored, 0.1), 5)

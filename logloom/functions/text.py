@@ -16,8 +16,9 @@ _BLANKS = (
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\w\p{L}\p{N}"
 DIGIT = r"[0-9\p{Nd}]"
-_LEFT, _RIGHT = rf"(?<![{WORD}])", rf"(?![{WORD}])"
-_EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+# Word edges. The plain ASCII test comes first and turns most places down at once.
+_LEFT, _RIGHT = rf"(?<!\w)(?<![{WORD}])", rf"(?![{WORD}])"
+_EDGE = rf"(?:(?<!\w)|(?!\w))(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 
 
 def strip(c: Column) -> Column:
@@ -69,7 +70,7 @@ TEMPLATE_STEPS: dict[str, tuple[str, str]] = {
     "URL": (rf"https?://[^{SPACE}<>\"']+", "<URL>"),
     "COOKIE": (r"JSESSIONID=[A-Z0-9]+", "JSESSIONID=<ID>"),
     "EMAIL": (
-        rf"(?=[A-Za-z0-9._%+\-]){_EDGE}[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_RIGHT}",
+        rf"(?=[A-Za-z0-9._%+\-]){_EDGE}[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_RIGHT}",
         "<EMAIL>",
     ),
     "UUID": (

@@ -22,7 +22,7 @@ EXPECTED_COLUMNS = (
 
 @dataclass(frozen=True)
 class SessionRules:
-    """Fixed values of the session rules, with the reference's defaults."""
+    """Fixed values of the session rules."""
 
     event_steps: Mapping[str, int] = field(
         default_factory=lambda: {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,35 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="logloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; set here only where a local session has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="logloom-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and continue from the files.
+
+    Later readers take the columns they need; ``unstage`` drops the files once nothing
+    that still has to run reads them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stage_path = path
+    return read
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete what ``stage`` wrote for these frames."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

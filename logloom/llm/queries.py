@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, secret_scan, token_counts
+from logloom.llm import bpe, ngram_join, secret_scan, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,27 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    classes = ngram_join.ngram_classes(_table(spark, sf, "documents"), words=3, percent=90)
+    return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+_OP3_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+  lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION
+  SELECT reach.d, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c.component_id
+FROM sets JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) c ON c.d = sets.doc_id
+"""
+
+
 def _joined(spans: str | Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
@@ -90,7 +111,8 @@ FROM documents d LEFT JOIN per USING (doc_id)
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_secret_scan": op5_secret_scan,
 }
 
-ORACLE = {"op5_secret_scan": _OP5_SQL}
+ORACLE = {"op3_ngram_jaccard": _OP3_SQL, "op5_secret_scan": _OP5_SQL}

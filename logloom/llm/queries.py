@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, ngram_join, secret_scan, token_counts
+from logloom.llm import bpe, ngram_join, packing, secret_scan, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,11 @@ FROM sets JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) c ON c.d
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(_table(spark, sf, "documents"), BYTE_BPE))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def _joined(spans: str | Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
@@ -112,6 +117,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
 }
 

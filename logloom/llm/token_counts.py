@@ -64,6 +64,15 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> list[np.ndarray]:
 
 
 _COUNTS: dict[str, WordCache] = {}
+_IDS: dict[str, WordCache] = {}
+
+
+def ids_cache(path: str) -> WordCache:
+    """Of this Python worker: pre-token -> its ids as little-endian 32-bit bytes."""
+    if path not in _IDS:
+        vocab = load(path)
+        _IDS[path] = WordCache(lambda words: [x.astype("<i4").tobytes() for x in merge_ragged(vocab, words)])
+    return _IDS[path]
 
 
 def count_all(path: str, texts: Sequence[str | None]) -> list[int]:

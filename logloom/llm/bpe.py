@@ -23,19 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.vocab import NO_RANK, Vocabulary, WordCache, load
+from logloom.llm.vocab import NO_RANK, TextEncoder, Vocabulary, in_order, load
 
 LONG = 64  # symbols from which a pre-token gets a tree of its own
 _NONE = np.int64(2**62)
 
 
-def merge_rows(vocab: Vocabulary, words: Sequence[np.ndarray], width: int) -> list[np.ndarray]:
-    """Merge pre-tokens of at most ``width`` (a power of two) symbols, one tree a row."""
-    n = len(words)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+def merge_rows(vocab: Vocabulary, flat: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge pre-tokens of at most ``width`` (a power of two) symbols, one tree a row; ids and their numbers."""
+    n = len(lengths)
     sym = np.zeros((n, width), dtype=np.int64)
     inside = np.arange(width) < lengths[:, None]
-    sym[inside] = np.concatenate(words)
+    sym[inside] = flat
     after = np.where(np.arange(1, width + 1) < lengths[:, None], np.arange(1, width + 1), -1)
     before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
     tree = np.full((n, 2 * width), _NONE, dtype=np.int64)
@@ -76,7 +75,7 @@ def merge_rows(vocab: Vocabulary, words: Sequence[np.ndarray], width: int) -> li
         update(rows[has], h[has], key(rows[has], h[has], i[has]))
         rows = rows[tree[rows, 1] < _NONE]
     left = inside & (sym >= 0)
-    return np.split(sym[left], np.cumsum(left.sum(axis=1))[:-1])
+    return sym[left], left.sum(axis=1)
 
 
 def merge_long(vocab: Vocabulary, symbols: np.ndarray) -> np.ndarray:
@@ -117,50 +116,37 @@ def merge_long(vocab: Vocabulary, symbols: np.ndarray) -> np.ndarray:
     return np.array([s for s in sym if s >= 0], dtype=np.int64)
 
 
-def encode_words(vocab: Vocabulary, words: Sequence[str]) -> list[np.ndarray]:
-    """Ids of each pre-token, in the order given."""
-    symbols = [vocab.symbols(w) for w in words]
-    out: list[np.ndarray | None] = [None] * len(words)
-    by_width: dict[int, list[int]] = {}
-    for i, s in enumerate(symbols):
-        if len(s) > LONG:
-            out[i] = merge_long(vocab, s)
+def merge_trees(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens in a row, and their numbers."""
+    flat, lengths = vocab.symbols(words)
+    starts = np.cumsum(lengths) - lengths
+    width = np.ones(len(lengths), dtype=np.int64)
+    while (short := width < np.minimum(lengths, 2 * LONG)).any():
+        width[short] *= 2
+    owners, ids = [], []
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        if w > LONG:
+            for i in at.tolist():
+                merged = merge_long(vocab, flat[starts[i] : starts[i] + lengths[i]])
+                owners.append(np.full(len(merged), i))
+                ids.append(merged)
         else:
-            by_width.setdefault(1 << max(len(s) - 1, 0).bit_length(), []).append(i)
-    for width, at in by_width.items():
-        for i, ids in zip(at, merge_rows(vocab, [symbols[i] for i in at], width)):
-            out[i] = ids
-    return out
+            mine = np.repeat(width == w, lengths)
+            merged, counts = merge_rows(vocab, flat[mine], lengths[at], w)
+            owners.append(np.repeat(at, counts))
+            ids.append(merged)
+    return in_order(owners, ids, len(words))
 
 
-_CACHES: dict[str, WordCache] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def _cache(path: str) -> WordCache:
-    """Of this Python worker: pre-token -> its ids as 32-bit bytes."""
-    if path not in _CACHES:
-        vocab = load(path)
-        _CACHES[path] = WordCache(lambda words: [x.astype("<i4").tobytes() for x in encode_words(vocab, words)])
-    return _CACHES[path]
-
-
-def encode_all(path: str, texts: Sequence[str | None], cache: WordCache | None = None) -> list[bytes]:
+def encode_all(path: str, texts: Sequence[str | None]) -> list[bytes]:
     """The ids of each text as little-endian 32-bit bytes."""
-    vocab, cache = load(path), _cache(path) if cache is None else cache
-    out = []
-    for text in texts:
-        parts = []
-        for special, piece in vocab.split(text or ""):
-            if special:
-                parts.append(vocab.special[piece].to_bytes(4, "little"))
-                continue
-            try:
-                parts.extend([cache[w] for w in piece])
-            except KeyError:
-                cache.prepare(piece)
-                parts.extend([cache[w] for w in piece])
-        out.append(b"".join(parts))
-    return out
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path, merge_trees)
+    return _ENCODERS[path].encode(texts)
 
 
 def list_array(buffers: Sequence[bytes]) -> pa.ListArray:
@@ -220,7 +206,7 @@ def decode(df: DataFrame, vocabulary: str, keep: Sequence[str] = ("id",), ids_co
     return chosen.mapInArrow(run, f"{kinds}, decoded string")
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes, so that a task holds little at a time."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):

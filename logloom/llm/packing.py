@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import encode_all, slices
-from logloom.llm.token_counts import ids_cache
+from logloom.llm.bpe import slices
+from logloom.llm.token_counts import ids_of_all
 from logloom.session import stage
 
 
@@ -42,7 +42,7 @@ def pieces(
         for batch in batches:
             for part in slices(batch):
                 rows: list[list] = [[], [], [], [], []]
-                encoded = encode_all(vocabulary, part.column(1).to_pylist(), ids_cache(vocabulary))
+                encoded = ids_of_all(vocabulary, part.column(1).to_pylist())
                 for i, ids in enumerate(encoded):
                     ids += tail
                     n = len(ids) // 4

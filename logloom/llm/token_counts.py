@@ -20,17 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bpe import slices
-from logloom.llm.vocab import NO_RANK, Vocabulary, WordCache, load
+from logloom.llm.vocab import NO_RANK, TextEncoder, Vocabulary, in_order
 
 
-def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> list[np.ndarray]:
-    """Ids of each pre-token; all of them are merged together, round by round."""
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
-    if not words:
-        return out
-    parts = [vocab.symbols(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-    sym = np.concatenate(parts)
+def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens in a row, and their numbers; they are merged together, round by round."""
+    sym, lengths = vocab.symbols(words)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    owners, ids = [], []
     while sym.size:
         rank = np.full(len(sym), NO_RANK)
         made = np.zeros(len(sym), dtype=np.int64)
@@ -38,63 +35,37 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> list[np.ndarray]:
         rank[:-1][owner[:-1] != owner[1:]] = NO_RANK
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         lowest = np.minimum.reduceat(rank, starts)
-        sizes = np.diff(np.r_[starts, len(sym)])
-        done = np.repeat(lowest == NO_RANK, sizes)
+        lowest = np.repeat(lowest, np.diff(np.r_[starts, len(sym)]))
+        done = lowest == NO_RANK
         if done.any():
-            ended = starts[lowest == NO_RANK]
-            kept = sizes[lowest == NO_RANK]
-            for at, size in zip(ended.tolist(), kept.tolist()):
-                out[owner[at]] = sym[at : at + size]
+            owners.append(owner[done])
+            ids.append(sym[done])
             go = ~done
-            sym, owner, rank, made = sym[go], owner[go], rank[go], made[go]
-            lowest, sizes = lowest[lowest != NO_RANK], sizes[lowest != NO_RANK]
-            if not sym.size:
-                break
-        hit = rank == np.repeat(lowest, sizes)
+            sym, owner, rank, made, lowest = sym[go], owner[go], rank[go], made[go], lowest[go]
         # in a run of overlapping hits (x x x) every second one counts, from the left
-        at = np.flatnonzero(hit)
-        first = np.r_[True, np.diff(at) != 1]
-        run_start = np.maximum.accumulate(np.where(first, at, 0))
-        at = at[(at - run_start) % 2 == 0]
+        at = np.flatnonzero(rank == lowest)
+        first = np.r_[True, np.diff(at) != 1][: len(at)]
+        at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0] if at.size else at
         sym[at] = made[at]
         keep = np.ones(len(sym), dtype=bool)
         keep[at + 1] = False
         sym, owner = sym[keep], owner[keep]
-    return out
+    return in_order(owners, ids, len(words))
 
 
-_COUNTS: dict[str, WordCache] = {}
-_IDS: dict[str, WordCache] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def ids_cache(path: str) -> WordCache:
-    """Of this Python worker: pre-token -> its ids as little-endian 32-bit bytes."""
-    if path not in _IDS:
-        vocab = load(path)
-        _IDS[path] = WordCache(lambda words: [x.astype("<i4").tobytes() for x in merge_ragged(vocab, words)])
-    return _IDS[path]
+def ids_of_all(path: str, texts: Sequence[str | None]) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit bytes."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path, merge_ragged)
+    return _ENCODERS[path].encode(texts)
 
 
 def count_all(path: str, texts: Sequence[str | None]) -> list[int]:
     """Tokens of each text."""
-    vocab = load(path)
-    if path not in _COUNTS:
-        _COUNTS[path] = WordCache(lambda words: [len(x) for x in merge_ragged(vocab, words)])
-    cache = _COUNTS[path]
-    out = []
-    for text in texts:
-        n = 0
-        for special, piece in vocab.split(text or ""):
-            if special:
-                n += 1
-                continue
-            try:
-                n += sum([cache[w] for w in piece])
-            except KeyError:
-                cache.prepare(piece)
-                n += sum([cache[w] for w in piece])
-        out.append(n)
-    return out
+    return [len(ids) // 4 for ids in ids_of_all(path, texts)]
 
 
 def token_counts(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -35,8 +35,8 @@ def byte_characters() -> list[str]:
 class Vocabulary:
     """Token ids, merge ranks and the text rules of one tokenizers JSON file.
 
-    ``split(text)`` yields ``(is_special, piece)``: special strings inside the text are
-    single tokens, every other piece is a pre-token whose bytes are merged on their own.
+    Special strings inside a text are single tokens; the rest is split into pre-tokens, whose
+    bytes are merged each on their own.
     """
 
     def __init__(self, path: str):
@@ -51,6 +51,7 @@ class Vocabulary:
         own = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split"]
         self._words = regex.compile(own[0] if own else BYTE_LEVEL_SPLIT)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.blank_first = not own  # a blank belongs to the pre-token behind it
         self._nfc = any(s["type"] == "NFC" for s in steps)
         self._lower = any(s["type"] == "Lowercase" for s in steps)
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -77,23 +78,19 @@ class Vocabulary:
         """Pre-tokens of a text without special strings."""
         return self._words.findall(self.normal(text))
 
-    def split(self, text: str):
-        """``(special, piece)`` pairs; ``piece`` is a list of pre-tokens or a special string."""
-        if self._cut is None or "<|" not in text:
-            yield False, self.words(text)
-            return
-        for i, part in enumerate(self._cut.split(text)):
-            if i % 2:
-                yield True, part
-            elif part:
-                yield False, self.words(part)
-
-    def symbols(self, word: str) -> np.ndarray:
-        """Ids of the single bytes of a pre-token, the last one with the word-end suffix."""
-        raw = np.frombuffer(word.encode("utf-8"), dtype=np.uint8)
+    def parts(self, text: str) -> list[str]:
+        """The text cut at special strings, which stand at the odd places."""
+        return self._cut.split(text) if self._cut is not None and "<|" in text else [text]
+
+    def symbols(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the single bytes of all pre-tokens in a row, word ends with the suffix, and the lengths."""
+        coded = [w.encode("utf-8") for w in words]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
         out = self.byte_ids[raw]
-        out[-1] = self.last_ids[raw[-1]]
-        return out
+        last = np.cumsum(lengths) - 1
+        out[last] = self.last_ids[raw[last]]
+        return out, lengths
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NO_RANK`` without a merge) and merged id of each adjacent pair."""
@@ -109,20 +106,96 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class WordCache(dict):
-    """Pre-token -> encoded form, filled a batch at a time; emptied when it holds ``most`` words.
+def in_order(owners: list[np.ndarray], ids: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids sorted by owner, each owner's in the order given, and their number for each of ``n`` owners."""
+    if not owners:
+        return np.empty(0, np.int64), np.zeros(n, np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(ids)[order], np.bincount(owner, minlength=n)
+
 
-    Only a memo: what it forgets is encoded again, so results don't depend on its size.
+class _Memo(dict):
+    """A memo of bounded size: beyond ``most`` entries it keeps those in use now.
+
+    What it forgets is made again, so results don't depend on its size.
     """
 
-    def __init__(self, encode_words, most: int = 400_000):
+    def __init__(self, make, most: int):
         super().__init__()
-        self._encode_words, self._most = encode_words, most
+        self._make, self._most = make, most
 
-    def prepare(self, words) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > self._most:
+    def prepare(self, keys: set) -> None:
+        """Afterwards all ``keys`` are there."""
+        new = keys.difference(self)
+        if new and len(self) + len(new) > self._most:
+            used = {k: self[k] for k in keys if k in self}
             self.clear()
-            new = list(set(words))
+            self.update(used)
         if new:
-            self.update(zip(new, self._encode_words(new)))
+            new = list(new)
+            self.update(zip(new, self._make(new)))
+
+
+class TextEncoder:
+    """Encodes texts with one vocabulary, a slice at a time; one per Python worker.
+
+    A text is cut at its blanks. Such a chunk has the same tokens wherever it stands, if the
+    blank before it isn't followed by more white space; a text for which that doesn't hold
+    is cut into its pre-tokens instead. Chunks and pre-tokens met before are remembered.
+
+    ``merge(vocab, words)`` gives the ids of all pre-tokens in a row and their numbers.
+    """
+
+    def __init__(self, path: str, merge, most: int = 400_000):
+        self.vocab, self._merge = load(path), merge
+        self._words = _Memo(self._encode_words, most)
+        self._chunks = _Memo(self._encode_chunks, most)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        ids, counts = self._merge(self.vocab, words)
+        data, ends = ids.astype("<i4").tobytes(), np.cumsum(counts * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _encode_chunks(self, chunks: list) -> list[bytes | None]:
+        """Of ``(text,)`` as it stands, of a string with the blank before it."""
+        words, blank = self.vocab.words, " " if self.vocab.blank_first else ""
+        lists: list[list[str] | None] = []
+        for c in chunks:
+            if isinstance(c, tuple):
+                lists.append(words(c[0]))
+            elif blank and (not c or c[0].isspace()):
+                lists.append(None)
+            else:
+                lists.append(words(blank + c))
+        self._words.prepare(set().union(*(x for x in lists if x)))
+        ids = self._words.__getitem__
+        return [None if x is None else b"".join(map(ids, x)) for x in lists]
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text (null: none) as little-endian 32-bit bytes."""
+        vocab, chunks = self.vocab, self._chunks
+        cut = [vocab.parts(t or "") for t in texts]
+        pieces = []
+        for parts in cut:
+            for part in parts[::2]:
+                found = part.split(" ")
+                if vocab.blank_first:
+                    found[0] = (found[0],)
+                pieces.append(found)
+        chunks.prepare(set().union(*pieces))
+        get, at, out = chunks.__getitem__, iter(pieces), []
+        for parts in cut:
+            ids = []
+            for i, part in enumerate(parts):
+                if i % 2:
+                    ids.append(vocab.special[part].to_bytes(4, "little"))
+                    continue
+                try:
+                    ids.append(b"".join(map(get, next(at))))
+                except TypeError:  # a blank inside a run of white space
+                    words = vocab.words(part)
+                    self._words.prepare(set(words))
+                    ids.append(b"".join(map(self._words.__getitem__, words)))
+            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+        return out

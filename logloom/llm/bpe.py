@@ -206,7 +206,7 @@ def decode(df: DataFrame, vocabulary: str, keep: Sequence[str] = ("id",), ids_co
     return chosen.mapInArrow(run, f"{kinds}, decoded string")
 
 
-def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes, so that a task holds little at a time."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):

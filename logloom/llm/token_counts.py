@@ -27,12 +27,11 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, n
     """Ids of all pre-tokens in a row, and their numbers; they are merged together, round by round."""
     sym, lengths = vocab.symbols(words)
     owner = np.repeat(np.arange(len(words)), lengths)
+    rank, made = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=np.int64)
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    rank[inner], made[inner] = vocab.lookup(sym[inner], sym[inner + 1])
     owners, ids = [], []
     while sym.size:
-        rank = np.full(len(sym), NO_RANK)
-        made = np.zeros(len(sym), dtype=np.int64)
-        rank[:-1], made[:-1] = vocab.lookup(sym[:-1], sym[1:])
-        rank[:-1][owner[:-1] != owner[1:]] = NO_RANK
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         lowest = np.minimum.reduceat(rank, starts)
         lowest = np.repeat(lowest, np.diff(np.r_[starts, len(sym)]))
@@ -44,12 +43,21 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, n
             sym, owner, rank, made, lowest = sym[go], owner[go], rank[go], made[go], lowest[go]
         # in a run of overlapping hits (x x x) every second one counts, from the left
         at = np.flatnonzero(rank == lowest)
-        first = np.r_[True, np.diff(at) != 1][: len(at)]
-        at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0] if at.size else at
+        if not at.size:
+            break
+        first = np.r_[True, np.diff(at) != 1]
+        at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
         sym[at] = made[at]
         keep = np.ones(len(sym), dtype=bool)
         keep[at + 1] = False
-        sym, owner = sym[keep], owner[keep]
+        sym, owner, rank, made = sym[keep], owner[keep], rank[keep], made[keep]
+        # only the pairs with a merged symbol are new
+        at = at - np.arange(len(at))
+        new = np.zeros(len(sym), dtype=bool)
+        new[at] = new[at[at > 0] - 1] = True
+        rank[new] = NO_RANK
+        at = np.flatnonzero(new[:-1] & (owner[:-1] == owner[1:]))
+        rank[at], made[at] = vocab.lookup(sym[at], sym[at + 1])
     return in_order(owners, ids, len(words))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections.abc import Sequence
 
 import numpy as np
 import regex
@@ -17,6 +18,7 @@ import regex
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 NO_RANK = np.int64(2**31 - 1)
+_SLOTS = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -64,8 +66,7 @@ class Vocabulary:
             right.append(self.ids[b])
             made.append(self.ids[a + b])
         code = np.array(left, dtype=np.int64) << 32 | np.array(right, dtype=np.int64)
-        order = np.argsort(code, kind="stable")
-        self._codes, self._rank, self._made = code[order], order.astype(np.int64), np.array(made, dtype=np.int64)[order]
+        self._table(code, np.array(made, dtype=np.int64))
         self.pairs = dict(zip(zip(left, right), zip(range(len(made)), made)))
 
     def normal(self, text: str) -> str:
@@ -92,13 +93,37 @@ class Vocabulary:
         out[last] = self.last_ids[raw[last]]
         return out, lengths
 
+    def _table(self, code: np.ndarray, made: np.ndarray) -> None:
+        """A slot for every pair: the first part of the table has most, the second those whose slot was taken."""
+        mask, size = np.uint64(_SLOTS - 1), len(code)
+        for seed in range(1, 1000):
+            factors = 0x9E3779B97F4A7C15 * (2 * seed + 1), 0xC2B2AE3D27D4EB4F * (2 * seed + 1)
+            self._mul = [np.uint64(f % (1 << 64)) for f in factors]
+            one, two = (((code.view(np.uint64) * m) >> np.uint64(40) & mask).astype(np.int64) for m in self._mul)
+            two += _SLOTS
+            slots = np.full(2 * _SLOTS, -1, dtype=np.int64)
+            slots[one] = np.arange(size)
+            late = np.flatnonzero(slots[one] != np.arange(size))
+            if len(np.unique(two[late])) == len(late):
+                slots[two[late]] = late
+                break
+        else:
+            raise ValueError("no table for the merges")
+        empty = slots < 0
+        self._code = np.where(empty, np.int64(-1), code[slots])
+        self._rank = np.append(np.where(empty, NO_RANK, slots), NO_RANK)  # the last one: of pairs without a place
+        self._made = np.append(np.where(empty, 0, made[slots]), 0)
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NO_RANK`` without a merge) and merged id of each adjacent pair."""
         code = left << 32 | right
-        at = np.searchsorted(self._codes, code)
-        at[at == len(self._codes)] = 0
-        found = self._codes[at] == code
-        return np.where(found, self._rank[at], NO_RANK), self._made[at]
+        mask = np.uint64(_SLOTS - 1)
+        at = ((code.view(np.uint64) * self._mul[0]) >> np.uint64(40) & mask).view(np.int64)
+        other = np.nonzero(self._code[at] != code)
+        if other[0].size:
+            again = ((code[other].view(np.uint64) * self._mul[1]) >> np.uint64(40) & mask).view(np.int64) + _SLOTS
+            at[other] = np.where(self._code[again] == code[other], again, 2 * _SLOTS)
+        return self._rank[at], self._made[at]
 
 
 @functools.lru_cache(maxsize=4)
@@ -159,18 +184,22 @@ class TextEncoder:
 
     def _encode_chunks(self, chunks: list) -> list[bytes | None]:
         """Of ``(text,)`` as it stands, of a string with the blank before it."""
-        words, blank = self.vocab.words, " " if self.vocab.blank_first else ""
-        lists: list[list[str] | None] = []
+        words, normal, blank = self.vocab.words, self.vocab.normal, " " if self.vocab.blank_first else ""
+        lists: list[Sequence[str] | None] = []
         for c in chunks:
             if isinstance(c, tuple):
                 lists.append(words(c[0]))
             elif blank and (not c or c[0].isspace()):
                 lists.append(None)
+            elif (plain := c if blank else normal(c)).isalpha():
+                lists.append((blank + plain,))  # letters only: one pre-token
+            elif (head := plain[:-1]).isalpha() and not ((end := plain[-1]).isalnum() or end.isspace()):
+                lists.append((blank + head, end))
             else:
                 lists.append(words(blank + c))
         self._words.prepare(set().union(*(x for x in lists if x)))
         ids = self._words.__getitem__
-        return [None if x is None else b"".join(map(ids, x)) for x in lists]
+        return [None if x is None else ids(x[0]) if len(x) == 1 else b"".join(map(ids, x)) for x in lists]
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text (null: none) as little-endian 32-bit bytes."""

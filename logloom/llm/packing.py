@@ -178,6 +178,25 @@ def pack_items(lengths: Sequence[int], size: int) -> list[list[int]]:
     return [[order[i] for i in b] for b in bins]
 
 
+def _block_packer(size: int, first: int):
+    """Packs one block; its sequences are numbered behind those of block ``first``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "__row"], ascending=[False, True]).reset_index(drop=True)
+        lengths, block = pdf["length"].tolist(), int(pdf["__block"].iloc[0])
+        ids, offsets, fills = [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
+        for k, items in enumerate(pack_items(lengths, size)):
+            end = 0
+            for i in items:
+                ids[i], offsets[i] = (first + block) << 32 | k, end
+                end += lengths[i]
+            for i in items:
+                fills[i] = end
+        return pdf.drop(columns="__block").assign(sequence_id=ids, offset=offsets, __fill=fills)
+
+    return run
+
+
 def pack(cut: DataFrame, size: int = 1024, block_rows: int = 4096) -> DataFrame:
     """``cut`` (with ``length``) and ``sequence_id``, ``offset`` of each row.
 
@@ -194,22 +213,7 @@ def pack(cut: DataFrame, size: int = 1024, block_rows: int = 4096) -> DataFrame:
         n = rest.count()
         last, blocks = blocks, max(1, -(-n // block_rows))
         deal = F.pmod(F.xxhash64("__row", F.lit(at)), F.lit(blocks)).cast("long")
-        first = at
-
-        def run(pdf: pd.DataFrame, first: int = first) -> pd.DataFrame:
-            pdf = pdf.sort_values(["length", "__row"], ascending=[False, True]).reset_index(drop=True)
-            lengths, block = pdf["length"].tolist(), int(pdf["__block"].iloc[0])
-            ids, offsets, fills = [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
-            for k, items in enumerate(pack_items(lengths, size)):
-                end = 0
-                for i in items:
-                    ids[i], offsets[i] = (first + block) << 24 | k, end
-                    end += lengths[i]
-                for i in items:
-                    fills[i] = end
-            return pdf.drop(columns="__block").assign(sequence_id=ids, offset=offsets, __fill=fills)
-
-        packed = stage(rest.withColumn("__block", deal).groupBy("__block").applyInPandas(run, shape))
+        packed = stage(rest.withColumn("__block", deal).groupBy("__block").applyInPandas(_block_packer(size, at), shape))
         at += blocks
         counted = packed.agg(
             F.count_distinct(F.when(F.col("__fill") < size, F.col("sequence_id"))).alias("open")

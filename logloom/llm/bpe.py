@@ -142,20 +142,13 @@ def merge_trees(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encode_all(path: str, texts: Sequence[str | None]) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit bytes."""
+def encode_all(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit ids of all texts in a row, and their number for each text."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path, merge_trees)
     return _ENCODERS[path].encode(texts)
 
 
-def list_array(buffers: Sequence[bytes]) -> pa.ListArray:
-    """One list of 32-bit ids for each buffer."""
-    offsets = np.zeros(len(buffers) + 1, dtype=np.int32)
-    np.cumsum([len(b) // 4 for b in buffers], out=offsets[1:])
-    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(buffers), dtype="<i4")))
-
-
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``df``: ``id`` and the token ``ids`` of its whole text.
 
@@ -166,8 +159,10 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids = encode_all(vocabulary, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids)], ["id", "ids"])
+                ids, counts = encode_all(vocabulary, part.column(1))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
@@ -206,7 +201,7 @@ def decode(df: DataFrame, vocabulary: str, keep: Sequence[str] = ("id",), ids_co
     return chosen.mapInArrow(run, f"{kinds}, decoded string")
 
 
-def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes, so that a task holds little at a time."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):

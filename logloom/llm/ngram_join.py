@@ -46,43 +46,85 @@ _CHUNK = 1 << 14
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, a memo of bounded size."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = value
-        return value
 
+_BASE = 0x9E3779B97F4A7C15  # 5 modulo 8, so its powers have the longest period
+_STEP = 1 << 16
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
-_HASHES = _WordHashes()
 
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(_STEP, dtype=np.uint64)
+    out[0] = x = 1
+    for i in range(1, _STEP):
+        out[i] = x = x * base % (1 << 64)
+    return out
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _power(table: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
+    """``base ** at`` from a table of the first powers."""
+    out = table[at % _STEP]
+    high = at // _STEP
+    if high.size and high.max():
+        steps = np.array([pow(base, _STEP * h, 1 << 64) for h in range(int(high.max()) + 1)], dtype=np.uint64)
+        out = out * steps[high]
+    return out
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and their number in each text.
+
+    A polynomial over the lower-cased bytes: prefix sums over all texts at once, from which
+    every word gets its own part.
+    """
+    raw = [t.encode("utf-8") if t else b"" for t in texts]
+    data = _LOWER[np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)]
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if data.size and not space[0]:
+        edge = np.r_[0, edge]
+    start, end = edge[::2], edge[1::2]
+    place = np.arange(len(data))
+    sums = np.cumsum(_VALUES[data] * _power(_UP, _BASE, place))
+    first = np.where(start > 0, sums[start - 1], np.uint64(0)) if start.size else np.empty(0, np.uint64)
+    own = (sums[end - 1] - first) * _power(_DOWN, pow(_BASE, -1, 1 << 64), start)
+    limits = np.cumsum([len(r) + 1 for r in raw])
+    counts = np.diff(np.r_[0, np.searchsorted(start, limits)])
+    return _mixed(own + (end - start).astype(np.uint64) * _M1), counts
+
+
+def shingle_lists(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Hashes of all word n-grams of each text in their order; ``A-Z`` are lower-cased, words end at ASCII white space."""
+    h, counts = word_hashes(texts)
+    joined = _grams(h, words)
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(joined[at : at + n - words + 1] if n >= words else _grams(h[at : at + n], n)[: min(n, 1)])
+        at += n
+    return out
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Hashes of all word n-grams of a text in their order; ``A-Z`` are lower-cased, words end at ASCII white space."""
-    found = text.encode("utf-8").lower().split() if text else []
-    if not found:
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    if not n or len(h) < n:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), dtype=np.int64, count=len(found)).view(np.uint64)
-    n = min(words, len(found))
-    out = h[: len(h) - n + 1] + np.uint64(n)
+    m = len(h) - n + 1
+    out = h[:m] + np.uint64(n)
     for j in range(1, n):
-        out = _mixed(out) + h[j : len(h) - n + 1 + j]
+        out = _mixed(out) + h[j : j + m]
     return _mixed(out)
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingles(text, words))
-
-
 def set_name(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -91,12 +133,14 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all texts fall into each of ``2 ** 20`` cells; 64 rows come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[np.ndarray] = []
         total = np.zeros(1 << _CELL_BITS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
-                found = [shingles(t, words) >> np.uint64(64 - _CELL_BITS) for t in part.column(0).to_pylist()]
-                if found:
-                    total += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(total))
+                for found in shingle_lists(part.column(0).to_pylist(), words):
+                    cells.append((found >> np.uint64(64 - _CELL_BITS)).astype(np.int64))
+                total += np.bincount(np.concatenate(cells), minlength=len(total))
+                cells.clear()
         salt = TaskContext.get().partitionId() % 1024
         rows = [(c // _CHUNK, total[c : c + _CHUNK]) for c in range(0, len(total), _CHUNK)]
         rows = [(c, x.astype("<i4" if x.max() < 1 << 31 else "<i8")) for c, x in rows if x.any()]
@@ -132,8 +176,8 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sizes, sids, keys, prefixes = [], [], [], []
-                for text in part.column(2).to_pylist():
-                    h = shingle_set(text, words)
+                for found in shingle_lists(part.column(2).to_pylist(), words):
+                    h = np.unique(found)
                     n = len(h)
                     sizes.append(n)
                     if not n:
@@ -168,28 +212,76 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column), F.col(text_column))
 
 
+_MARK_BITS = 25
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bit for each cell of ``2 ** 25`` that a key falls into; 64 rows come to the driver."""
+    width = (1 << _MARK_BITS) // 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << _MARK_BITS, dtype=bool)
+        for batch in batches:
+            bits[_cell(batch.column(0))] = True
+        chunks = [c for c in range(64) if bits[c * width : (c + 1) * width].any()]
+        salt = TaskContext.get().partitionId() % 1024
+        packed = [np.packbits(bits[c * width : (c + 1) * width]).tobytes() for c in chunks]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([salt] * len(chunks), pa.int32()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())],
+            ["salt", "chunk", "bits"],
+        )
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width // 8, dtype=np.uint8)
+        for raw in pdf["bits"]:
+            total |= np.frombuffer(raw, dtype=np.uint8)
+        return pd.DataFrame({"salt": [0], "chunk": pdf["chunk"].iloc[:1], "bits": [total.tobytes()]})
+
+    shape = "salt int, chunk int, bits binary"
+    part = keys.mapInArrow(mark, shape).groupBy("salt", "chunk").applyInPandas(unite, shape)
+    out = np.zeros((1 << _MARK_BITS) // 8, dtype=np.uint8)
+    for row in part.groupBy("chunk").applyInPandas(unite, shape).collect():
+        out[row["chunk"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def _cell(keys: pa.Array) -> np.ndarray:
+    return (keys.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+
+
 def _hash_sets(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """``sid, h``: the whole set of each ``sid`` in ``names(rid, sid)``, from one text each."""
+    """``sid, h``: the whole set of each ``sid`` in ``names(rid, sid)``.
+
+    Texts whose key can't be wanted are passed by on the spot; only sets are shuffled.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(names.select("rid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
         for batch in batches:
-            for part in slices(batch):
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                found = [s == set_name(h) for s, h in zip(part.column(0).to_pylist(), sets)]
+            cell = _cell(batch.column(0))
+            wanted = bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+            if not wanted.any():
+                continue
+            for part in slices(batch.filter(pa.array(wanted.astype(bool)))):
+                sets = [np.unique(x) for x in shingle_lists(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).filter(pa.array(found, pa.bool_())),
-                        pa.array([h.view(np.int64) for h, f in zip(sets, found) if f], pa.list_(pa.int64())),
+                        pa.array([set_name(h) for h in sets], pa.binary()),
+                        pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
                     ],
                     ["sid", "h"],
                 )
 
-    rows = docs.select("rid", "text").join(names, "rid").select("sid", "text")
-    return rows.mapInArrow(run, "sid binary, h array<long>").dropDuplicates(["sid"])
+    found = docs.select("rid", "text").mapInArrow(run, "sid binary, h array<long>")
+    return found.dropDuplicates(["sid"]).join(names.select("sid"), "sid", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the staged ``pairs(a, b)`` whose whole sets link."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    names = members.select("rid", "sid").join(wanted, "sid", "left_semi")
+    sets = _hash_sets(docs, names, words)
     left = sets.select(F.col("sid").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("sid").alias("b"), F.col("h").alias("hb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -199,6 +291,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.expr(f"100L * i >= {percent}L * (n - i)")).select("a", "b")
 
 
+def _enough(shared: Column, percent: int) -> Column:
+    """Whether sets of ``n1`` and ``n2`` shingles can link with at most ``shared`` in common."""
+    return (100 + percent) * shared >= percent * (F.col("n1") + F.col("n2"))
+
+
+def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Leads ``a, b`` of the group pairs ``g1, g2`` that can link by their prefixes and sizes.
+
+    All they share up to the last common shingle of both prefixes is counted; behind it they
+    share what is left of the shorter one at most.
+    """
+    one = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g1", "a", "n1", "x1"))])
+    two = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g2", "b", "n2", "x2"))])
+    met = pairs.join(one, "g1").join(two, "g2").withColumn("both", F.array_intersect("x1", "x2"))
+    last = met.filter(F.size("both") > 0).withColumn("last", F.element_at("both", -1))
+    left = F.least(
+        F.col("n1") - F.array_position("x1", F.col("last")), F.col("n2") - F.array_position("x2", F.col("last"))
+    )
+    return last.filter(_enough(F.size("both") + left, percent)).select("a", "b")
+
+
 def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each group with the first and the next two groups of its lists, among those of like size."""
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent) if percent < 100 else F.lit(1.01)))
@@ -235,36 +348,30 @@ def ngram_classes(
     rows = stage(_sets(docs, words, percent))
     named = rows.filter("sid IS NOT NULL")
     members = named.groupBy("sid").agg(
-        F.min("id").alias("id"), F.min("rid").alias("rid"), F.min("gkey").alias("gkey"), F.min("n").alias("n"),
-        F.first("prefix").alias("prefix"),
-    )
+        F.min("id").alias("id"), F.min("rid").alias("rid"), F.min("gkey").alias("gkey"), F.min("n").alias("n")
+    )
     members = stage(members.withColumn("g", F.xxhash64("gkey")))
-    groups = members.groupBy("gkey").agg(
-        F.min("g").alias("g"), F.min("sid").alias("lead"), F.min("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.count(F.lit(1)).alias("k"),
+    groups = named.groupBy("gkey").agg(
+        F.min("sid").alias("lead"), F.max("sid").alias("last"), F.min("n").alias("n"), F.first("prefix").alias("prefix")
+    )
+    groups = stage(
+        groups.select(F.xxhash64("gkey").alias("g"), "gkey", "lead", (F.col("lead") < F.col("last")).alias("many"), "n", "prefix")
     )
-    groups = stage(groups)
     postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "tok"))
-    common = groups.select("k", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.sum("k").alias("c"))
-    shared = stage(postings.join(common.filter("c > 1").select("tok"), "tok"))
-
-    leads = groups.select("g", "lead")
-    first = leads.select(F.col("g").alias("g1"), F.col("lead").alias("a"))
-    second = leads.select(F.col("g").alias("g2"), F.col("lead").alias("b"))
-    starred = _list_pairs(shared, percent).join(first, "g1").join(second, "g2").select("a", "b")
-    crowded = groups.filter("k > 1").select("gkey", F.col("lead").alias("a"))
+    common = groups.select("many", F.explode("prefix").alias("tok")).groupBy("tok")
+    common = common.agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many")).filter("c > 1 OR many")
+    shared = stage(postings.join(common.select("tok"), "tok"))
+
+    starred = _able_pairs(_list_pairs(shared, percent), groups, percent)
+    crowded = groups.filter("many").select("gkey", F.col("lead").alias("a"))
     inside = members.select("gkey", F.col("sid").alias("b")).join(crowded, "gkey").filter("a <> b").select("a", "b")
     pairs = stage(starred.unionByName(inside))
-
-    # every set that can be in a pair: its group shares a shingle with another one or has several members
-    near = shared.select("g").union(groups.filter("k > 1").select("g")).distinct()
-    names = members.join(near, "g", "left_semi").select("rid", "sid")
-    sets = stage(_hash_sets(docs, names, words))
-    links = stage(_verified(pairs, sets, percent))
+    links = stage(_verified(pairs, docs, members, words, percent))
     joined = connected_components(links)
 
     # group pairs between components: shared prefix shingles and what can follow them
-    of_member = members.select("g", "sid", "n").join(near, "g", "left_semi")
+    near = shared.select("g").distinct()
+    of_member = members.select("g", "sid").join(near, "g", "left_semi")
     placed = of_member.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stage(placed.select("g", "sid", F.coalesce("root", "sid").alias("root")))
     units = placed.select("g", "root").distinct()
@@ -278,11 +385,11 @@ def ngram_classes(
         F.count(F.lit(1)).alias("c"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
     )
     most = F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
-    able = bounded.filter((100 + percent) * most >= percent * (F.col("n1") + F.col("n2")))
+    able = bounded.filter(_enough(most, percent))
     of_one, of_two = (placed.select(*[F.col(c).alias(c + x) for c in ("g", "root", "sid")]) for x in "12")
     expanded = able.join(of_one, ["g1", "root1"]).join(of_two, ["g2", "root2"])
     rest = stage(expanded.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct())
-    more = stage(_verified(rest, sets, percent))
+    more = stage(_verified(rest, docs, members, words, percent))
     classes = joined
     if not more.isEmpty():
         classes = connected_components(links.unionByName(more))
@@ -298,7 +405,7 @@ def ngram_classes(
             "class_key",
         )
     )
-    unstage(rows, members, groups, shared, pairs, sets, links, placed, lists, rest, more)
+    unstage(rows, members, groups, shared, pairs, links, placed, lists, rest, more)
     return out
 
 

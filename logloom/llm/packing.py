@@ -17,13 +17,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bpe import slices
-from logloom.llm.token_counts import ids_of_all
+from logloom.llm.token_counts import encoder
 from logloom.session import stage
 
 
@@ -42,10 +43,10 @@ def pieces(
         for batch in batches:
             for part in slices(batch):
                 rows: list[list] = [[], [], [], [], []]
-                encoded = ids_of_all(vocabulary, part.column(1).to_pylist())
-                for i, ids in enumerate(encoded):
-                    ids += tail
-                    n = len(ids) // 4
+                flat, counts = encoder(vocabulary).encode(part.column(1))
+                data, stops = flat.tobytes(), np.cumsum(counts * 4)
+                for i, (n, stop) in enumerate(zip((counts + 1).tolist(), stops.tolist())):
+                    ids = data[stop - 4 * (n - 1) : stop] + tail
                     ends = range(n % size or min(n, size), n + 1, size)
                     start = 0
                     for k, end in enumerate(ends):

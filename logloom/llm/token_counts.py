@@ -64,16 +64,11 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, n
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def ids_of_all(path: str, texts: Sequence[str | None]) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit bytes."""
+def encoder(path: str) -> TextEncoder:
+    """Of this Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path, merge_ragged)
-    return _ENCODERS[path].encode(texts)
-
-
-def count_all(path: str, texts: Sequence[str | None]) -> list[int]:
-    """Tokens of each text."""
-    return [len(ids) // 4 for ids in ids_of_all(path, texts)]
+    return _ENCODERS[path]
 
 
 def token_counts(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -82,8 +77,8 @@ def token_counts(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                counts = pa.array(count_all(vocabulary, part.column(2).to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], counts], ["id", "n_bytes", "n_tokens"])
+                _, counts = encoder(vocabulary).encode(part.column(2), only_counts=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     kind = df.schema[id_column].dataType.simpleString()

@@ -12,6 +12,8 @@ import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The split patterns of the two public vocabularies.
@@ -174,57 +176,96 @@ class TextEncoder:
 
     def __init__(self, path: str, merge, most: int = 400_000):
         self.vocab, self._merge = load(path), merge
-        self._words = _Memo(self._encode_words, most)
+        self._words = _Memo(self._merged, most)
         self._chunks = _Memo(self._encode_chunks, most)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit bytes."""
+        if not words:
+            return []
         ids, counts = self._merge(self.vocab, words)
         data, ends = ids.astype("<i4").tobytes(), np.cumsum(counts * 4).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _encode_chunks(self, chunks: list) -> list[bytes | None]:
-        """Of ``(text,)`` as it stands, of a string with the blank before it."""
+        """Of ``(text,)`` as it stands, of a string with the blank before it; None if that can't be told."""
         words, normal, blank = self.vocab.words, self.vocab.normal, " " if self.vocab.blank_first else ""
-        lists: list[Sequence[str] | None] = []
-        for c in chunks:
+        out: list[bytes | None] = [None] * len(chunks)
+        alone: list[str] = []
+        alone_at: list[int] = []
+        lists: list[tuple[int, Sequence[str]]] = []
+        for i, c in enumerate(chunks):
             if isinstance(c, tuple):
-                lists.append(words(c[0]))
-            elif blank and (not c or c[0].isspace()):
-                lists.append(None)
-            elif (plain := c if blank else normal(c)).isalpha():
-                lists.append((blank + plain,))  # letters only: one pre-token
-            elif (head := plain[:-1]).isalpha() and not ((end := plain[-1]).isalnum() or end.isspace()):
-                lists.append((blank + head, end))
+                lists.append((i, words(c[0])))
+                continue
+            if not blank:
+                c = normal(c)
+            elif not c or c[0].isspace():
+                continue
+            if c.isalpha():  # letters only: one pre-token
+                alone.append(blank + c)
+                alone_at.append(i)
+            elif (head := c[:-1]).isalpha() and not ((end := c[-1]).isalnum() or end.isspace()):
+                lists.append((i, (blank + head, end)))
             else:
-                lists.append(words(blank + c))
-        self._words.prepare(set().union(*(x for x in lists if x)))
-        ids = self._words.__getitem__
-        return [None if x is None else ids(x[0]) if len(x) == 1 else b"".join(map(ids, x)) for x in lists]
-
-    def encode(self, texts) -> list[bytes]:
-        """The ids of each text (null: none) as little-endian 32-bit bytes."""
-        vocab, chunks = self.vocab, self._chunks
-        cut = [vocab.parts(t or "") for t in texts]
-        pieces = []
-        for parts in cut:
-            for part in parts[::2]:
-                found = part.split(" ")
-                if vocab.blank_first:
-                    found[0] = (found[0],)
-                pieces.append(found)
-        chunks.prepare(set().union(*pieces))
-        get, at, out = chunks.__getitem__, iter(pieces), []
-        for parts in cut:
-            ids = []
-            for i, part in enumerate(parts):
-                if i % 2:
-                    ids.append(vocab.special[part].to_bytes(4, "little"))
-                    continue
-                try:
-                    ids.append(b"".join(map(get, next(at))))
-                except TypeError:  # a blank inside a run of white space
-                    words = vocab.words(part)
-                    self._words.prepare(set(words))
-                    ids.append(b"".join(map(self._words.__getitem__, words)))
-            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+                lists.append((i, words(blank + c)))
+        for i, ids in zip(alone_at, self._merged(alone)):
+            out[i] = ids
+        self._words.prepare(set().union(*(x for _, x in lists)))
+        get = self._words.__getitem__
+        for i, x in lists:
+            out[i] = b"".join(map(get, x))
         return out
+
+    def _one(self, text: str) -> bytes:
+        """The ids of any text, pre-token by pre-token."""
+        ids = []
+        for i, part in enumerate(self.vocab.parts(text)):
+            if i % 2:
+                ids.append(self.vocab.special[part].to_bytes(4, "little"))
+            else:
+                words = self.vocab.words(part)
+                self._words.prepare(set(words))
+                ids.extend(map(self._words.__getitem__, words))
+        return b"".join(ids)
+
+    def encode(self, texts: pa.Array, only_counts: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+        """The 32-bit ids of all texts (null: none) in a row, and their number for each text."""
+        n = len(texts)
+        if not n:
+            return np.empty(0, dtype="<i4"), np.zeros(0, dtype=np.int64)
+        texts = texts.fill_null("")
+        odd = np.zeros(n, dtype=bool)
+        if self.vocab.special:
+            odd |= pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        at, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if self.vocab.blank_first:
+            heads = [(chunks[i],) for i in at[first].tolist()]
+            at[first] = np.arange(len(chunks), len(chunks) + n)
+            chunks += heads
+        self._chunks.prepare(set(chunks))
+        values = list(map(self._chunks.__getitem__, chunks))
+        if None in values:  # a blank inside a run of white space
+            unsure = np.array([v is None for v in values])
+            odd |= np.logical_or.reduceat(unsure[at], first)
+            values = [v or b"" for v in values]
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        length = size[at]
+        counts = np.add.reduceat(length, first)
+        whole = {i: self._one(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        if only_counts:
+            for i, ids in whole.items():
+                counts[i] = len(ids) // 4
+            return None, counts
+        start = np.cumsum(size) - size
+        source = np.repeat(start[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        flat = np.frombuffer(b"".join(values), dtype="<i4")[source]
+        if whole:
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i, ids in whole.items():
+                parts[i] = np.frombuffer(ids, dtype="<i4")
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return flat, counts

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, ngram_join, packing, rule_quality, secret_scan, token_counts
+from logloom.llm import bpe, ngram_join, packing, rule_quality, secret_scan, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +83,19 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.interleaved(_table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "source",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = rule_quality.judge(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
     return judged.select(F.col("id").alias("doc_id"), *rule_quality.COUNTS, "base_failed", "kept", "score")
@@ -124,6 +137,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op8_stratified_shards": op8_stratified_shards,
     "op9_quality_rules": op9_quality_rules,
 }
 

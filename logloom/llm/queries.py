@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, ngram_join, packing, rule_quality, secret_scan, sharding, token_counts
+from logloom.llm import bpe, ngram_join, packing, pii, rule_quality, secret_scan, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +101,18 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *rule_quality.COUNTS, "base_failed", "kept", "score")
 
 
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[_count("spans", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+        _count("spans", pii.CONTEXT).alias("n_context"),
+    )
+
+
 def _kind_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
     """Spans of one kind: the pieces between the matches give the places."""
     p = pattern.replace("'", "''")
@@ -139,6 +151,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_quality_rules": op9_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE = {"op3_ngram_jaccard": _OP3_SQL, "op5_secret_scan": _OP5_SQL}

@@ -26,6 +26,7 @@ Other columns are not read, so their names don't matter.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,10 +250,10 @@ def _cell(keys: pa.Array) -> np.ndarray:
     return (keys.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
 
 
-def _hash_sets(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """``sid, h``: the whole set of each ``sid`` in ``names(rid, sid)``.
+def _wanted_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``sid, z``: a packed text of each ``sid`` in ``names(rid, sid)``.
 
-    Texts whose key can't be wanted are passed by on the spot; only sets are shuffled.
+    Texts whose key can't be wanted are passed by on the spot; only the others are shuffled.
     """
     marks = docs.sparkSession.sparkContext.broadcast(_marks(names.select("rid")))
 
@@ -261,34 +262,34 @@ def _hash_sets(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             cell = _cell(batch.column(0))
             wanted = bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
-            if not wanted.any():
-                continue
-            for part in slices(batch.filter(pa.array(wanted.astype(bool)))):
-                sets = [np.unique(x) for x in shingle_lists(part.column(1).to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([set_name(h) for h in sets], pa.binary()),
-                        pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
-                    ],
-                    ["sid", "h"],
-                )
+            part = batch.filter(pa.array(wanted.astype(bool)))
+            packed = [zlib.compress((t or "").encode("utf-8")) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["rid", "z"])
 
-    found = docs.select("rid", "text").mapInArrow(run, "sid binary, h array<long>")
-    return found.dropDuplicates(["sid"]).join(names.select("sid"), "sid", "left_semi")
+    found = docs.select("rid", "text").mapInArrow(run, "rid long, z binary").dropDuplicates(["rid"])
+    return found.join(names, "rid").select("sid", "z")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the staged ``pairs(a, b)`` whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    names = members.select("rid", "sid").join(wanted, "sid", "left_semi")
-    sets = _hash_sets(docs, names, words)
-    left = sets.select(F.col("sid").alias("a"), F.col("h").alias("ha"))
-    right = sets.select(F.col("sid").alias("b"), F.col("h").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
-    counted = both.select(
-        "a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("i")
-    )
-    return counted.filter(F.expr(f"100L * i >= {percent}L * (n - i)")).select("a", "b")
+    texts = _wanted_texts(docs, members.select("rid", "sid").join(wanted, "sid", "left_semi"))
+    left = texts.select(F.col("sid").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("sid").alias("b"), F.col("z").alias("zb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                packed = part.column(2).to_pylist() + part.column(3).to_pylist()
+                sets = [np.unique(x) for x in shingle_lists([zlib.decompress(z).decode("utf-8") for z in packed], words)]
+                linked = []
+                for x, y in zip(sets, sets[len(part) :]):
+                    i = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * i >= percent * (len(x) + len(y) - i))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def _enough(shared: Column, percent: int) -> Column:
@@ -313,7 +314,7 @@ def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each group with the first and the next two groups of its lists, among those of like size."""
+    """Each group with the first and three of the next groups of its lists, among those of like size."""
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent) if percent < 100 else F.lit(1.01)))
     tiled = postings.withColumn("band", band).select(
         "tok",
@@ -327,7 +328,7 @@ def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
         ).alias("tile"),
     )
     in_list = Window.partitionBy("tok", "tile").orderBy(F.xxhash64("g"), "g")
-    partners = F.array(F.first("g").over(in_list), F.lead("g", 1).over(in_list), F.lead("g", 2).over(in_list))
+    partners = F.array(F.first("g").over(in_list), *[F.lead("g", i).over(in_list) for i in (1, 2, 4)])
     met = tiled.withColumn("met", partners)
     found = met.select("g", F.explode("met").alias("o")).filter("o IS NOT NULL AND o <> g")
     return found.select(F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2")).distinct()
@@ -357,7 +358,7 @@ def ngram_classes(
     groups = stage(
         groups.select(F.xxhash64("gkey").alias("g"), "gkey", "lead", (F.col("lead") < F.col("last")).alias("many"), "n", "prefix")
     )
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "tok"))
+    postings = groups.select("g", "n", F.size("prefix").alias("most"), F.posexplode("prefix").alias("pos", "tok"))
     common = groups.select("many", F.explode("prefix").alias("tok")).groupBy("tok")
     common = common.agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many")).filter("c > 1 OR many")
     shared = stage(postings.join(common.select("tok"), "tok"))
@@ -370,17 +371,22 @@ def ngram_classes(
     joined = connected_components(links)
 
     # group pairs between components: shared prefix shingles and what can follow them
-    near = shared.select("g").distinct()
-    of_member = members.select("g", "sid").join(near, "g", "left_semi")
+    # a prefix shingle that no other group has can't be shared: ``cap`` is what a group can share at all
+    near = shared.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
+    of_member = members.select("g", "sid").join(near.select("g"), "g", "left_semi")
     placed = of_member.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stage(placed.select("g", "sid", F.coalesce("root", "sid").alias("root")))
-    units = placed.select("g", "root").distinct()
-    lists = shared.join(units, "g")
+    units = placed.select("g", "root").distinct().join(near, "g")
+    lists = shared.drop("most").join(units, "g")
     mixed = lists.groupBy("tok").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
     lists = stage(lists.join(mixed.select("tok"), "tok"))
-    one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos")]) for x in "12")
-    like = percent * F.greatest("n1", "n2") <= 100 * F.least("n1", "n2")
-    met = one.join(two, "tok").filter((F.col("root1") < F.col("root2")) & like)
+    one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos", "cap")]) for x in "12")
+    # the smaller set of a link shares more of itself, so a shorter prefix of it will do
+    one = one.filter(F.col("pos1") <= F.col("n1") - F.ceil(2 * percent * F.col("n1") / (100 + percent)))
+    first = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("root1") < F.col("root2"))
+    like = percent * F.col("n2") <= 100 * F.col("n1")
+    able_to = _enough(F.least("cap1", "cap2"), percent)
+    met = one.join(two, "tok").filter((F.col("root1") != F.col("root2")) & first & like & able_to)
     bounded = met.groupBy("g1", "root1", "g2", "root2", "n1", "n2").agg(
         F.count(F.lit(1)).alias("c"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
     )

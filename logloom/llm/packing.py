@@ -5,8 +5,8 @@ rest. Whole pieces are sequences already. The others are dealt into blocks of bo
 at random; a block is packed best fit, longest first, and then improved: a bin that is not
 full takes a piece from an emptier one, or exchanges one for one, two for one or one for
 two, whenever that raises the sum of squared fills, until nothing does. Pieces of bins that
-are still not full meet again in new blocks, until one block holds them all or a round
-saves no sequence.
+are still not full meet again in new blocks, until one block holds them all, their free room
+is less than a sequence or a round gains none of it.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each;
 an empty table gives no rows; other columns are not read, so their names don't matter.
@@ -41,7 +41,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 8 << 20):
                 rows: list[list] = [[], [], [], [], []]
                 flat, counts = encoder(vocabulary).encode(part.column(1))
                 data, stops = flat.tobytes(), np.cumsum(counts * 4)
@@ -209,20 +209,19 @@ def pack(cut: DataFrame, size: int = 1024, block_rows: int = 4096) -> DataFrame:
     whole = whole.withColumn("sequence_id", -1 - F.col("__row")).withColumn("offset", F.lit(0).cast("long"))
     results, rest = [whole], staged.filter(F.col("length") < size)
     shape = ", ".join(f"`{n}` {t}" for n, t in staged.dtypes) + ", sequence_id long, offset long, __fill long"
-    at, blocks, sequences = 0, None, None
+    at, saved = 0, None
     while True:
-        n = rest.count()
-        last, blocks = blocks, max(1, -(-n // block_rows))
+        blocks = max(1, -(-rest.count() // block_rows))
         deal = F.pmod(F.xxhash64("__row", F.lit(at)), F.lit(blocks)).cast("long")
         packed = stage(rest.withColumn("__block", deal).groupBy("__block").applyInPandas(_block_packer(size, at), shape))
         at += blocks
-        counted = packed.agg(
-            F.count_distinct(F.when(F.col("__fill") < size, F.col("sequence_id"))).alias("open")
-        ).first()["open"]
-        if blocks == 1 or counted < 2 or blocks == last and counted == sequences:
+        bins = packed.filter(F.col("__fill") < size).groupBy("sequence_id").agg(F.first("__fill").alias("fill"))
+        free = bins.agg(F.coalesce(F.sum(size - F.col("fill")), F.lit(0))).first()[0]
+        # another round can save the free room of all open bins at most
+        if blocks == 1 or free < size or saved is not None and free >= saved:
             results.append(packed.drop("__fill"))
             break
-        sequences = counted
+        saved = free
         results.append(packed.filter(F.col("__fill") >= size).drop("__fill"))
         rest = packed.filter(F.col("__fill") < size).drop("sequence_id", "offset", "__fill")
     out = results[0]

@@ -174,7 +174,7 @@ class TextEncoder:
     ``merge(vocab, words)`` gives the ids of all pre-tokens in a row and their numbers.
     """
 
-    def __init__(self, path: str, merge, most: int = 400_000):
+    def __init__(self, path: str, merge, most: int = 300_000):
         self.vocab, self._merge = load(path), merge
         self._words = _Memo(self._merged, most)
         self._chunks = _Memo(self._encode_chunks, most)
@@ -191,22 +191,20 @@ class TextEncoder:
         """Of ``(text,)`` as it stands, of a string with the blank before it; None if that can't be told."""
         words, normal, blank = self.vocab.words, self.vocab.normal, " " if self.vocab.blank_first else ""
         out: list[bytes | None] = [None] * len(chunks)
-        alone: list[str] = []
-        alone_at: list[int] = []
+        plain = [c[0] if isinstance(c, tuple) else c for c in chunks] if blank else list(map(normal, chunks))
+        letters = [c.isalpha() for c in plain]
+        heads = [isinstance(c, tuple) for c in chunks] if blank else [False] * len(chunks)
+        # letters only: one pre-token
+        alone_at = [i for i, (ok, head) in enumerate(zip(letters, heads)) if ok and not head]
+        alone = [blank + plain[i] for i in alone_at]
         lists: list[tuple[int, Sequence[str]]] = []
-        for i, c in enumerate(chunks):
-            if isinstance(c, tuple):
-                lists.append((i, words(c[0])))
+        for i, (c, ok, head) in enumerate(zip(plain, letters, heads)):
+            if head:
+                lists.append((i, words(c)))
+            elif ok or blank and (not c or c[0].isspace()):
                 continue
-            if not blank:
-                c = normal(c)
-            elif not c or c[0].isspace():
-                continue
-            if c.isalpha():  # letters only: one pre-token
-                alone.append(blank + c)
-                alone_at.append(i)
-            elif (head := c[:-1]).isalpha() and not ((end := c[-1]).isalnum() or end.isspace()):
-                lists.append((i, (blank + head, end)))
+            elif (front := c[:-1]).isalpha() and not ((end := c[-1]).isalnum() or end.isspace()):
+                lists.append((i, (blank + front, end)))
             else:
                 lists.append((i, words(blank + c)))
         for i, ids in zip(alone_at, self._merged(alone)):
@@ -261,7 +259,8 @@ class TextEncoder:
                 counts[i] = len(ids) // 4
             return None, counts
         start = np.cumsum(size) - size
-        source = np.repeat(start[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        source = np.repeat((start[at] - (np.cumsum(length) - length)).astype(np.int32), length)
+        source += np.arange(len(source), dtype=np.int32)
         flat = np.frombuffer(b"".join(values), dtype="<i4")[source]
         if whole:
             parts = np.split(flat, np.cumsum(counts)[:-1])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, ngram_join, packing, pii, rule_quality, secret_scan, sharding, token_counts
+from logloom.llm import bpe, neighbour_graph, ngram_join, packing, pii, rule_quality, secret_scan, sharding, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +83,10 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbour_graph.nearest(_table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.interleaved(_table(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -149,6 +153,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_personal_data": op10_personal_data,

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, neighbour_graph, ngram_join, packing, pii, rule_quality, secret_scan, sharding, token_counts
+from logloom.llm import (
+    bpe,
+    neighbour_graph,
+    ngram_join,
+    packing,
+    pii,
+    rule_quality,
+    secret_scan,
+    sharding,
+    token_counts,
+    training_order,
+)
+from logloom.session import shared_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +97,22 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sequence with its slot, and a checksum of what its record in the shard files holds."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    cut = training_order.sequences(_table(spark, sf, "documents"), BYTE_BPE)
+    index = training_order.write_shards(cut, path)
+    if index.isEmpty():
+        return index.select(F.col("id").alias("doc_id"), "piece", "n_tokens", "slot", "shard").withColumn(
+            "record_crc32", F.lit(None).cast("long")
+        )
+    records = training_order.read_records(spark, path)
+    read = records.select("slot", F.crc32("record").alias("record_crc32"))
+    return index.join(read, "slot", "left").select(
+        F.col("id").alias("doc_id"), "piece", F.col("n_tokens").cast("long"), "slot", "shard", "record_crc32"
+    )
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbour_graph.nearest(_table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
 
@@ -153,6 +183,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_training_order": op6_training_order,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_quality_rules": op9_quality_rules,

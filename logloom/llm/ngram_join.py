@@ -9,9 +9,10 @@ then by hash, so prefixes hold the rarest shingles.
 2. Groups meet in the lists of their prefix shingles. At first every group is verified only
    against the first and the next groups of its lists, which joins large families of near
    copies with work in step with their size.
-3. Group pairs that share a shingle and are not joined yet are filtered by size and by the
-   shingles they can still share behind the prefix; what passes is expanded to its members
-   and verified on the whole sets. No link between different components is lost.
+3. Group pairs that share a shingle and are not joined yet are filtered by size, by how many
+   shingles they have in 64 ranges of hashes and by what they can still share behind the
+   prefix; what passes is expanded to its members and verified on the whole sets. All these
+   are bounds, so no link between different components is lost.
 4. Links become components by contraction.
 
 Shingles are 64-bit hashes, sets are named by 128-bit ones. Texts are not copied between
@@ -169,20 +170,23 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rid, id, n, sid, gkey, prefix`` of every row; no ``sid`` without shingles."""
+    """``rid, id, n, sid, gkey, prefix, parts`` of every row; no ``sid`` without shingles.
+
+    ``parts`` counts the shingles of the set in 64 ranges of their hashes.
+    """
     cells = docs.sparkSession.sparkContext.broadcast(_cells(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = cells.value
         for batch in batches:
             for part in slices(batch):
-                sizes, sids, keys, prefixes = [], [], [], []
+                sizes, sids, keys, prefixes, parts = [], [], [], [], []
                 for found in shingle_lists(part.column(2).to_pylist(), words):
                     h = np.unique(found)
                     n = len(h)
                     sizes.append(n)
                     if not n:
-                        sids.append(None), keys.append(None), prefixes.append(None)
+                        sids.append(None), keys.append(None), prefixes.append(None), parts.append(None)
                         continue
                     length = n - -(-percent * n // 100) + 1
                     order = np.lexsort((h, common[(h >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]))
@@ -190,6 +194,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sids.append(set_name(h))
                     keys.append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                     prefixes.append(prefix)
+                    parts.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -198,13 +203,14 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(sids, pa.binary()),
                         pa.array(keys, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(parts, pa.list_(pa.int32())),
                     ],
-                    ["rid", "id", "n", "sid", "gkey", "prefix"],
+                    ["rid", "id", "n", "sid", "gkey", "prefix", "parts"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("rid", "id", "text").mapInArrow(
-        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>"
+        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<int>"
     )
 
 
@@ -297,15 +303,22 @@ def _enough(shared: Column, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (F.col("n1") + F.col("n2"))
 
 
+def _parts_allow(one: str, two: str, percent: int) -> Column:
+    """Whether two sets can link by how many shingles each has in the ranges; true where that isn't known."""
+    shared = F.aggregate(F.zip_with(one, two, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    return F.coalesce(_enough(shared, percent), F.lit(True))
+
+
 def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Leads ``a, b`` of the group pairs ``g1, g2`` that can link by their prefixes and sizes.
 
     All they share up to the last common shingle of both prefixes is counted; behind it they
     share what is left of the shorter one at most.
     """
-    one = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g1", "a", "n1", "x1"))])
-    two = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g2", "b", "n2", "x2"))])
+    one = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix", "parts"), ("g1", "a", "n1", "x1", "y1"))])
+    two = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix", "parts"), ("g2", "b", "n2", "x2", "y2"))])
     met = pairs.join(one, "g1").join(two, "g2").withColumn("both", F.array_intersect("x1", "x2"))
+    met = met.filter(_parts_allow("y1", "y2", percent))
     last = met.filter(F.size("both") > 0).withColumn("last", F.element_at("both", -1))
     left = F.least(
         F.col("n1") - F.array_position("x1", F.col("last")), F.col("n2") - F.array_position("x2", F.col("last"))
@@ -314,12 +327,15 @@ def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each group with the first and three of the next groups of its lists, among those of like size."""
+    """Each group with the first and three of the next groups of its lists, among those of like size.
+
+    Those with the fewest shingles of their own come first: a family gathers around its middle.
+    """
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent) if percent < 100 else F.lit(1.01)))
     tiled = postings.withColumn("band", band).select(
         "tok",
         "g",
-        "n",
+        (F.col("n") - F.col("cap")).alias("own"),
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("t"), F.floor(F.col("band") / 2).alias("z")),
@@ -327,7 +343,7 @@ def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
             )
         ).alias("tile"),
     )
-    in_list = Window.partitionBy("tok", "tile").orderBy(F.xxhash64("g"), "g")
+    in_list = Window.partitionBy("tok", "tile").orderBy("own", F.xxhash64("g"), "g")
     partners = F.array(F.first("g").over(in_list), *[F.lead("g", i).over(in_list) for i in (1, 2, 4)])
     met = tiled.withColumn("met", partners)
     found = met.select("g", F.explode("met").alias("o")).filter("o IS NOT NULL AND o <> g")
@@ -353,15 +369,23 @@ def ngram_classes(
     )
     members = stage(members.withColumn("g", F.xxhash64("gkey")))
     groups = named.groupBy("gkey").agg(
-        F.min("sid").alias("lead"), F.max("sid").alias("last"), F.min("n").alias("n"), F.first("prefix").alias("prefix")
-    )
+        F.min("sid").alias("lead"), F.max("sid").alias("last"), F.min("n").alias("n"),
+        F.first("prefix").alias("prefix"), F.first("parts").alias("parts"),
+    )
+    many = F.col("lead") < F.col("last")
     groups = stage(
-        groups.select(F.xxhash64("gkey").alias("g"), "gkey", "lead", (F.col("lead") < F.col("last")).alias("many"), "n", "prefix")
+        groups.select(
+            F.xxhash64("gkey").alias("g"), "gkey", "lead", many.alias("many"), "n", "prefix",
+            F.when(~many, F.col("parts")).alias("parts"),
+        )
     )
     postings = groups.select("g", "n", F.size("prefix").alias("most"), F.posexplode("prefix").alias("pos", "tok"))
     common = groups.select("many", F.explode("prefix").alias("tok")).groupBy("tok")
     common = common.agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many")).filter("c > 1 OR many")
-    shared = stage(postings.join(common.select("tok"), "tok"))
+    found = stage(postings.join(common.select("tok"), "tok"))
+    # a prefix shingle that no other group has can't be shared: ``cap`` is what a group can share at all
+    near = found.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
+    shared = stage(found.drop("most").join(near, "g"))
 
     starred = _able_pairs(_list_pairs(shared, percent), groups, percent)
     crowded = groups.filter("many").select("gkey", F.col("lead").alias("a"))
@@ -371,22 +395,22 @@ def ngram_classes(
     joined = connected_components(links)
 
     # group pairs between components: shared prefix shingles and what can follow them
-    # a prefix shingle that no other group has can't be shared: ``cap`` is what a group can share at all
-    near = shared.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
-    of_member = members.select("g", "sid").join(near.select("g"), "g", "left_semi")
+    of_member = members.select("g", "sid").join(shared.select("g").distinct(), "g", "left_semi")
     placed = of_member.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stage(placed.select("g", "sid", F.coalesce("root", "sid").alias("root")))
-    units = placed.select("g", "root").distinct().join(near, "g")
-    lists = shared.drop("most").join(units, "g")
+    units = placed.select("g", "root").distinct()
+    lists = shared.join(units, "g").join(groups.select("g", "parts").dropDuplicates(["g"]), "g")
     mixed = lists.groupBy("tok").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
     lists = stage(lists.join(mixed.select("tok"), "tok"))
-    one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos", "cap")]) for x in "12")
+    one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos", "cap", "parts")]) for x in "12")
     # the smaller set of a link shares more of itself, so a shorter prefix of it will do
     one = one.filter(F.col("pos1") <= F.col("n1") - F.ceil(2 * percent * F.col("n1") / (100 + percent)))
     first = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("root1") < F.col("root2"))
     like = percent * F.col("n2") <= 100 * F.col("n1")
     able_to = _enough(F.least("cap1", "cap2"), percent)
-    met = one.join(two, "tok").filter((F.col("root1") != F.col("root2")) & first & like & able_to)
+    met = one.join(two, "tok").filter(
+        (F.col("root1") != F.col("root2")) & first & like & able_to & _parts_allow("parts1", "parts2", percent)
+    )
     bounded = met.groupBy("g1", "root1", "g2", "root2", "n1", "n2").agg(
         F.count(F.lit(1)).alias("c"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
     )
@@ -411,7 +435,7 @@ def ngram_classes(
             "class_key",
         )
     )
-    unstage(rows, members, groups, shared, pairs, links, placed, lists, rest, more)
+    unstage(rows, members, groups, found, shared, pairs, links, placed, lists, rest, more)
     return out
 
 

@@ -116,9 +116,8 @@ def merge_long(vocab: Vocabulary, symbols: np.ndarray) -> np.ndarray:
     return np.array([s for s in sym if s >= 0], dtype=np.int64)
 
 
-def merge_trees(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def merge_trees(vocab: Vocabulary, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pre-tokens in a row, and their numbers."""
-    flat, lengths = vocab.symbols(words)
     starts = np.cumsum(lengths) - lengths
     width = np.ones(len(lengths), dtype=np.int64)
     while (short := width < np.minimum(lengths, 2 * LONG)).any():
@@ -136,7 +135,7 @@ def merge_trees(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np
             merged, counts = merge_rows(vocab, flat[mine], lengths[at], w)
             owners.append(np.repeat(at, counts))
             ids.append(merged)
-    return in_order(owners, ids, len(words))
+    return in_order(owners, ids, len(lengths))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -12,7 +12,7 @@ repeated rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,9 @@ from logloom.llm.bpe import slices
 from logloom.llm.vocab import NO_RANK, TextEncoder, Vocabulary, in_order
 
 
-def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def merge_ragged(vocab: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pre-tokens in a row, and their numbers; they are merged together, round by round."""
-    sym, lengths = vocab.symbols(words)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     rank, made = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=np.int64)
     inner = np.flatnonzero(owner[:-1] == owner[1:])
     rank[inner], made[inner] = vocab.lookup(sym[inner], sym[inner + 1])
@@ -58,7 +57,7 @@ def merge_ragged(vocab: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, n
         rank[new] = NO_RANK
         at = np.flatnonzero(new[:-1] & (owner[:-1] == owner[1:]))
         rank[at], made[at] = vocab.lookup(sym[at], sym[at + 1])
-    return in_order(owners, ids, len(words))
+    return in_order(owners, ids, len(lengths))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -85,11 +85,24 @@ class Vocabulary:
         """The text cut at special strings, which stand at the odd places."""
         return self._cut.split(text) if self._cut is not None and "<|" in text else [text]
 
-    def symbols(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the single bytes of all pre-tokens in a row, word ends with the suffix, and the lengths."""
-        coded = [w.encode("utf-8") for w in words]
-        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
+    def symbols(self, words: Sequence[str] | pa.Array, blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the single bytes of all pre-tokens in a row, word ends with the suffix, and the lengths.
+
+        With ``blank`` each pre-token has a blank before it.
+        """
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+        data = words.buffers()[2]
+        raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+        lengths = np.diff(ends).astype(np.int64)
+        if blank:
+            lengths += 1
+            first = np.cumsum(lengths) - lengths
+            spaced = np.full(int(lengths.sum()), 32, dtype=np.uint8)
+            rest = np.ones(len(spaced), dtype=bool)
+            rest[first] = False
+            spaced[rest] = raw
+            raw = spaced
         out = self.byte_ids[raw]
         last = np.cumsum(lengths) - 1
         out[last] = self.last_ids[raw[last]]
@@ -164,6 +177,36 @@ class _Memo(dict):
             self.update(zip(new, self._make(new)))
 
 
+def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs ``start`` to ``start + count`` of ``flat`` one after another."""
+    source = np.repeat((start - (np.cumsum(count) - count)).astype(np.int32), count)
+    source += np.arange(len(source), dtype=np.int32)
+    return flat[source]
+
+
+class _Store:
+    """Ids of chunks met before, in one array; beyond ``most`` chunks only those in use now stay."""
+
+    def __init__(self, most: int):
+        self.most, self.place = most, {}
+        self.flat, self.start, self.count = np.empty(0, "<i4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, chunks: list, flat: np.ndarray, count: np.ndarray) -> None:
+        """``count`` is -1 for a chunk whose ids can't be told."""
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
+        size = np.maximum(count, 0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, flat.astype("<i4")])
+
+    def shrink(self, chunks: list) -> None:
+        known = [c for c in chunks if c in self.place]
+        at = np.array([self.place[c] for c in known], dtype=np.int64)
+        start, count, flat = self.start[at], self.count[at], self.flat
+        self.__init__(self.most)
+        self.add(known, _ragged(flat, start, np.maximum(count, 0)), count)
+
+
 class TextEncoder:
     """Encodes texts with one vocabulary, a slice at a time; one per Python worker.
 
@@ -171,60 +214,58 @@ class TextEncoder:
     blank before it isn't followed by more white space; a text for which that doesn't hold
     is cut into its pre-tokens instead. Chunks and pre-tokens met before are remembered.
 
-    ``merge(vocab, words)`` gives the ids of all pre-tokens in a row and their numbers.
+    ``merge(vocab, symbols, lengths)`` gives the ids of all pre-tokens in a row and their numbers.
     """
 
-    def __init__(self, path: str, merge, most: int = 300_000):
+    def __init__(self, path: str, merge, most: int = 500_000):
         self.vocab, self._merge = load(path), merge
-        self._words = _Memo(self._merged, most)
-        self._chunks = _Memo(self._encode_chunks, most)
+        self._words = _Memo(self._merged, most // 2)
+        self._chunks = _Store(most)
 
     def _merged(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token as little-endian 32-bit bytes."""
-        if not words:
-            return []
-        ids, counts = self._merge(self.vocab, words)
+        ids, counts = self._merge(self.vocab, *self.vocab.symbols(words))
         data, ends = ids.astype("<i4").tobytes(), np.cumsum(counts * 4).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _encode_chunks(self, chunks: list) -> list[bytes | None]:
-        """Of ``(text,)`` as it stands, of a string with the blank before it; None if that can't be told."""
-        words, normal, blank = self.vocab.words, self.vocab.normal, " " if self.vocab.blank_first else ""
-        out: list[bytes | None] = [None] * len(chunks)
-        plain = [c[0] if isinstance(c, tuple) else c for c in chunks] if blank else list(map(normal, chunks))
-        letters = [c.isalpha() for c in plain]
-        heads = [isinstance(c, tuple) for c in chunks] if blank else [False] * len(chunks)
-        # letters only: one pre-token
-        alone_at = [i for i, (ok, head) in enumerate(zip(letters, heads)) if ok and not head]
-        alone = [blank + plain[i] for i in alone_at]
-        lists: list[tuple[int, Sequence[str]]] = []
-        for i, (c, ok, head) in enumerate(zip(plain, letters, heads)):
-            if head:
-                lists.append((i, words(c)))
-            elif ok or blank and (not c or c[0].isspace()):
-                continue
+    def _remember(self, chunks: list[str]) -> None:
+        """Encode new chunks, each with the blank before it."""
+        words, blank = self.vocab.words, self.vocab.blank_first
+        plain = chunks if blank else list(map(self.vocab.normal, chunks))
+        strings = pa.array(plain, pa.string())
+        letters = pc.utf8_is_alpha(strings)
+        alone = letters.to_numpy(zero_copy_only=False)
+        if alone.any():  # letters only: one pre-token
+            ids, counts = self._merge(self.vocab, *self.vocab.symbols(strings.filter(letters), blank))
+            self._chunks.add([chunks[i] for i in np.flatnonzero(alone).tolist()], ids, counts)
+        names, lists = [], []
+        for i in np.flatnonzero(~alone).tolist():
+            c = plain[i]
+            names.append(chunks[i])
+            if blank and (not c or c[0].isspace()):
+                lists.append(None)
             elif (front := c[:-1]).isalpha() and not ((end := c[-1]).isalnum() or end.isspace()):
-                lists.append((i, (blank + front, end)))
+                lists.append((" " + front if blank else front, end))
             else:
-                lists.append((i, words(blank + c)))
-        for i, ids in zip(alone_at, self._merged(alone)):
-            out[i] = ids
-        self._words.prepare(set().union(*(x for _, x in lists)))
+                lists.append(words(" " + c if blank else c))
+        self._words.prepare(set().union(*filter(None, lists)))
         get = self._words.__getitem__
-        for i, x in lists:
-            out[i] = b"".join(map(get, x))
-        return out
+        values = [b"" if x is None else b"".join(map(get, x)) for x in lists]
+        counts = np.array([-1 if x is None else len(v) // 4 for x, v in zip(lists, values)], dtype=np.int64)
+        self._chunks.add(names, np.frombuffer(b"".join(values), dtype="<i4"), counts)
+
+    def _plainly(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, pre-token by pre-token."""
+        lists = list(map(self.vocab.words, texts))
+        self._words.prepare(set().union(*lists))
+        return [b"".join(map(self._words.__getitem__, x)) for x in lists]
 
     def _one(self, text: str) -> bytes:
-        """The ids of any text, pre-token by pre-token."""
-        ids = []
-        for i, part in enumerate(self.vocab.parts(text)):
-            if i % 2:
-                ids.append(self.vocab.special[part].to_bytes(4, "little"))
-            else:
-                words = self.vocab.words(part)
-                self._words.prepare(set(words))
-                ids.extend(map(self._words.__getitem__, words))
+        """The ids of a text with special strings or odd white space."""
+        parts = self.vocab.parts(text)
+        ids = self._plainly(parts[::2])
+        for i, special in enumerate(parts[1::2]):
+            ids[i] += self.vocab.special[special].to_bytes(4, "little")
         return b"".join(ids)
 
     def encode(self, texts: pa.Array, only_counts: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
@@ -239,29 +280,33 @@ class TextEncoder:
         cut = pc.split_pattern(texts, " ")
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        at, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, chunks, store = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), self._chunks
+        new = [c for c in chunks if c not in store.place]
+        if len(store.place) + len(new) > store.most:
+            store.shrink(chunks)
+        if new:
+            self._remember(new)
+        place = np.fromiter(map(store.place.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        start, count, flat = store.start[place], store.count[place], store.flat
         if self.vocab.blank_first:
-            heads = [(chunks[i],) for i in at[first].tolist()]
+            # the first chunk of a text has no blank before it
+            heads = self._plainly([chunks[i] for i in at[first].tolist()])
             at[first] = np.arange(len(chunks), len(chunks) + n)
-            chunks += heads
-        self._chunks.prepare(set(chunks))
-        values = list(map(self._chunks.__getitem__, chunks))
-        if None in values:  # a blank inside a run of white space
-            unsure = np.array([v is None for v in values])
-            odd |= np.logical_or.reduceat(unsure[at], first)
-            values = [v or b"" for v in values]
-        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        length = size[at]
+            size = np.array([len(v) // 4 for v in heads], dtype=np.int64)
+            start = np.concatenate([start, len(flat) + np.cumsum(size) - size])
+            count = np.concatenate([count, size])
+            flat = np.concatenate([flat, np.frombuffer(b"".join(heads), dtype="<i4")])
+        if (count < 0).any():  # a blank inside a run of white space
+            odd |= np.logical_or.reduceat((count < 0)[at], first)
+            count = np.maximum(count, 0)
+        length = count[at]
         counts = np.add.reduceat(length, first)
         whole = {i: self._one(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
         if only_counts:
             for i, ids in whole.items():
                 counts[i] = len(ids) // 4
             return None, counts
-        start = np.cumsum(size) - size
-        source = np.repeat((start[at] - (np.cumsum(length) - length)).astype(np.int32), length)
-        source += np.arange(len(source), dtype=np.int32)
-        flat = np.frombuffer(b"".join(values), dtype="<i4")[source]
+        flat = _ragged(flat, start[at], length)
         if whole:
             parts = np.split(flat, np.cumsum(counts)[:-1])
             for i, ids in whole.items():

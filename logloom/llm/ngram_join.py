@@ -172,7 +172,8 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``rid, id, n, sid, gkey, prefix, parts`` of every row; no ``sid`` without shingles.
 
-    ``parts`` counts the shingles of the set in 64 ranges of their hashes.
+    ``parts`` counts the shingles of the set in 64 ranges of their hashes; null if a count needs
+    more than 16 bits.
     """
     cells = docs.sparkSession.sparkContext.broadcast(_cells(docs, words))
 
@@ -194,7 +195,8 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sids.append(set_name(h))
                     keys.append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                     prefixes.append(prefix)
-                    parts.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64))
+                    ranges = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64)
+                    parts.append(ranges if ranges.max() < 1 << 15 else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -203,14 +205,14 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(sids, pa.binary()),
                         pa.array(keys, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
-                        pa.array(parts, pa.list_(pa.int32())),
+                        pa.array(parts, pa.list_(pa.int16())),
                     ],
                     ["rid", "id", "n", "sid", "gkey", "prefix", "parts"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("rid", "id", "text").mapInArrow(
-        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<int>"
+        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<smallint>"
     )
 
 
@@ -305,7 +307,7 @@ def _enough(shared: Column, percent: int) -> Column:
 
 def _parts_allow(one: str, two: str, percent: int) -> Column:
     """Whether two sets can link by how many shingles each has in the ranges; true where that isn't known."""
-    shared = F.aggregate(F.zip_with(one, two, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    shared = F.aggregate(F.zip_with(one, two, lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda a, b: a + b)
     return F.coalesce(_enough(shared, percent), F.lit(True))
 
 
@@ -326,23 +328,22 @@ def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return last.filter(_enough(F.size("both") + left, percent)).select("a", "b")
 
 
+def _tiled(postings: DataFrame, percent: int) -> DataFrame:
+    """Every row in two tiles of sizes; sets that can link have a tile in common."""
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent) if percent < 100 else F.lit(1.01)))
+    tiles = F.array(
+        F.struct(F.lit(0).alias("t"), F.floor(band / 2).alias("z")),
+        F.struct(F.lit(1).alias("t"), F.floor((band + 1) / 2).alias("z")),
+    )
+    return postings.withColumn("tile", F.explode(tiles))
+
+
 def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each group with the first and three of the next groups of its lists, among those of like size.
 
     Those with the fewest shingles of their own come first: a family gathers around its middle.
     """
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent) if percent < 100 else F.lit(1.01)))
-    tiled = postings.withColumn("band", band).select(
-        "tok",
-        "g",
-        (F.col("n") - F.col("cap")).alias("own"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("t"), F.floor(F.col("band") / 2).alias("z")),
-                F.struct(F.lit(1).alias("t"), F.floor((F.col("band") + 1) / 2).alias("z")),
-            )
-        ).alias("tile"),
-    )
+    tiled = _tiled(postings, percent).withColumn("own", F.col("n") - F.col("cap"))
     in_list = Window.partitionBy("tok", "tile").orderBy("own", F.xxhash64("g"), "g")
     partners = F.array(F.first("g").over(in_list), *[F.lead("g", i).over(in_list) for i in (1, 2, 4)])
     met = tiled.withColumn("met", partners)
@@ -379,13 +380,19 @@ def ngram_classes(
             F.when(~many, F.col("parts")).alias("parts"),
         )
     )
-    postings = groups.select("g", "n", F.size("prefix").alias("most"), F.posexplode("prefix").alias("pos", "tok"))
+    postings = groups.select("g", "n", "many", F.size("prefix").alias("most"), F.posexplode("prefix").alias("pos", "tok"))
     common = groups.select("many", F.explode("prefix").alias("tok")).groupBy("tok")
     common = common.agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many")).filter("c > 1 OR many")
     found = stage(postings.join(common.select("tok"), "tok"))
+    # only groups of like size can link
+    tiled = _tiled(found, percent)
+    like = tiled.groupBy("tok", "tile").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many"))
+    like = like.filter("c > 1 OR many").select("tok", "tile")
+    kept = tiled.join(like, ["tok", "tile"]).select("tok", "g", "n", "most", "pos").distinct()
+    kept = stage(kept)
     # a prefix shingle that no other group has can't be shared: ``cap`` is what a group can share at all
-    near = found.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
-    shared = stage(found.drop("most").join(near, "g"))
+    near = kept.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
+    shared = stage(kept.drop("most").join(near, "g"))
 
     starred = _able_pairs(_list_pairs(shared, percent), groups, percent)
     crowded = groups.filter("many").select("gkey", F.col("lead").alias("a"))
@@ -399,9 +406,10 @@ def ngram_classes(
     placed = of_member.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stage(placed.select("g", "sid", F.coalesce("root", "sid").alias("root")))
     units = placed.select("g", "root").distinct()
-    lists = shared.join(units, "g").join(groups.select("g", "parts").dropDuplicates(["g"]), "g")
+    lists = shared.join(units, "g")
     mixed = lists.groupBy("tok").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    lists = stage(lists.join(mixed.select("tok"), "tok"))
+    of_group = groups.select("g", "parts").dropDuplicates(["g"])
+    lists = stage(lists.join(mixed.select("tok"), "tok").join(of_group, "g"))
     one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos", "cap", "parts")]) for x in "12")
     # the smaller set of a link shares more of itself, so a shorter prefix of it will do
     one = one.filter(F.col("pos1") <= F.col("n1") - F.ceil(2 * percent * F.col("n1") / (100 + percent)))
@@ -435,7 +443,7 @@ def ngram_classes(
             "class_key",
         )
     )
-    unstage(rows, members, groups, found, shared, pairs, links, placed, lists, rest, more)
+    unstage(rows, members, groups, found, kept, shared, pairs, links, placed, lists, rest, more)
     return out
 
 

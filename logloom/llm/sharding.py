@@ -3,7 +3,7 @@
 Rows of a source are put into a seeded random order. A row's place is its rank plus a fixed
 phase of its source, divided by the rows of the source, so every source is spread evenly over
 the places from 0 to 1. Sorted by place and cut into equal runs, each shard holds every
-source in proportion, within one row. The law is ``rows``: counts of shards differ by one at
+source in proportion, but for rounding. The law is ``rows``: counts of shards differ by one at
 most.
 
 Ranks and positions come from counts: keys that are uniform by construction are cut into

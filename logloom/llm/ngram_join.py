@@ -143,9 +143,9 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
                     cells.append((found >> np.uint64(64 - _CELL_BITS)).astype(np.int64))
                 total += np.bincount(np.concatenate(cells), minlength=len(total))
                 cells.clear()
-        salt = TaskContext.get().partitionId() % 1024
+        salt = TaskContext.get().partitionId() // _FAN
         rows = [(c // _CHUNK, total[c : c + _CHUNK]) for c in range(0, len(total), _CHUNK)]
-        rows = [(c, x.astype("<i4" if x.max() < 1 << 31 else "<i8")) for c, x in rows if x.any()]
+        rows = [(c, x.astype(np.min_scalar_type(x.max()))) for c, x in rows if x.any()]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([salt] * len(rows), pa.int32()),
@@ -158,17 +158,28 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_CHUNK, dtype=np.int64)
         for raw in pdf["counts"]:
-            total += np.frombuffer(raw, dtype="<i4" if len(raw) == 4 * _CHUNK else "<i8")
-        return pd.DataFrame({"salt": [0], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+            total += np.frombuffer(raw, dtype=f"<u{len(raw) // _CHUNK}").astype(np.int64)
+        return pdf.iloc[:1].assign(counts=[total.tobytes()])
 
     shape = "salt int, chunk int, counts binary"
-    part = docs.select("text").mapInArrow(count, shape).groupBy("salt", "chunk").applyInPandas(add, shape)
+    part = docs.select("text").mapInArrow(count, shape)
     out = np.zeros(1 << _CELL_BITS, dtype=np.int64)
-    for row in part.groupBy("chunk").applyInPandas(add, shape).collect():
+    for row in _united(part, add, shape).collect():
         out[row["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(row["counts"], dtype="<i8")
     return out
 
 
+_FAN = 64
+
+
+def _united(part: DataFrame, unite, shape: str) -> DataFrame:
+    """One row per chunk from rows of tasks, some ``_FAN`` to a group at a time; ``salt`` counts tasks by ``_FAN``."""
+    for _ in range(2):
+        part = part.groupBy("salt", "chunk").applyInPandas(unite, shape)
+        part = part.withColumn("salt", F.floor(F.col("salt") / _FAN).cast("int"))
+    return part.groupBy("chunk").applyInPandas(unite, shape)
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``rid, id, n, sid, gkey, prefix, parts`` of every row; no ``sid`` without shingles.
 
@@ -233,7 +244,7 @@ def _marks(keys: DataFrame) -> np.ndarray:
         for batch in batches:
             bits[_cell(batch.column(0))] = True
         chunks = [c for c in range(64) if bits[c * width : (c + 1) * width].any()]
-        salt = TaskContext.get().partitionId() % 1024
+        salt = TaskContext.get().partitionId() // _FAN
         packed = [np.packbits(bits[c * width : (c + 1) * width]).tobytes() for c in chunks]
         yield pa.RecordBatch.from_arrays(
             [pa.array([salt] * len(chunks), pa.int32()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())],
@@ -244,12 +255,12 @@ def _marks(keys: DataFrame) -> np.ndarray:
         total = np.zeros(width // 8, dtype=np.uint8)
         for raw in pdf["bits"]:
             total |= np.frombuffer(raw, dtype=np.uint8)
-        return pd.DataFrame({"salt": [0], "chunk": pdf["chunk"].iloc[:1], "bits": [total.tobytes()]})
+        return pdf.iloc[:1].assign(bits=[total.tobytes()])
 
     shape = "salt int, chunk int, bits binary"
-    part = keys.mapInArrow(mark, shape).groupBy("salt", "chunk").applyInPandas(unite, shape)
+    part = keys.mapInArrow(mark, shape)
     out = np.zeros((1 << _MARK_BITS) // 8, dtype=np.uint8)
-    for row in part.groupBy("chunk").applyInPandas(unite, shape).collect():
+    for row in _united(part, unite, shape).collect():
         out[row["chunk"] * width // 8 :][: width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
@@ -317,10 +328,13 @@ def _able_pairs(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     All they share up to the last common shingle of both prefixes is counted; behind it they
     share what is left of the shorter one at most.
     """
-    one = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix", "parts"), ("g1", "a", "n1", "x1", "y1"))])
-    two = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix", "parts"), ("g2", "b", "n2", "x2", "y2"))])
-    met = pairs.join(one, "g1").join(two, "g2").withColumn("both", F.array_intersect("x1", "x2"))
-    met = met.filter(_parts_allow("y1", "y2", percent))
+    sizes = [groups.select(*[F.col(c).alias(c + x) for c in ("g", "n", "parts")]) for x in "12"]
+    met = pairs.join(sizes[0], "g1").join(sizes[1], "g2")
+    like = percent * F.greatest("n1", "n2") <= 100 * F.least("n1", "n2")
+    met = stage(met.filter(like & _parts_allow("parts1", "parts2", percent)).select("g1", "g2"))
+    one = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g1", "a", "n1", "x1"))])
+    two = groups.select(*[F.col(c).alias(t) for c, t in zip(("g", "lead", "n", "prefix"), ("g2", "b", "n2", "x2"))])
+    met = met.join(one, "g1").join(two, "g2").withColumn("both", F.array_intersect("x1", "x2"))
     last = met.filter(F.size("both") > 0).withColumn("last", F.element_at("both", -1))
     left = F.least(
         F.col("n1") - F.array_position("x1", F.col("last")), F.col("n2") - F.array_position("x2", F.col("last"))
@@ -380,19 +394,21 @@ def ngram_classes(
             F.when(~many, F.col("parts")).alias("parts"),
         )
     )
-    postings = groups.select("g", "n", "many", F.size("prefix").alias("most"), F.posexplode("prefix").alias("pos", "tok"))
+    postings = groups.select("g", "n", "many", F.posexplode("prefix").alias("pos", "tok"))
     common = groups.select("many", F.explode("prefix").alias("tok")).groupBy("tok")
     common = common.agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many")).filter("c > 1 OR many")
-    found = stage(postings.join(common.select("tok"), "tok"))
     # only groups of like size can link
-    tiled = _tiled(found, percent)
-    like = tiled.groupBy("tok", "tile").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many"))
-    like = like.filter("c > 1 OR many").select("tok", "tile")
-    kept = tiled.join(like, ["tok", "tile"]).select("tok", "g", "n", "most", "pos").distinct()
-    kept = stage(kept)
+    by_size = Window.partitionBy("tok").orderBy("n", "g")
+    near = postings.join(common.select("tok"), "tok").select(
+        "*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more")
+    )
+    like = (percent * F.col("n") <= 100 * F.col("less")) | (percent * F.col("more") <= 100 * F.col("n")) | F.col("many")
+    found = stage(near.filter(like).drop("less", "more", "many"))
     # a prefix shingle that no other group has can't be shared: ``cap`` is what a group can share at all
-    near = kept.groupBy("g").agg((F.max("n") - F.min("most") + F.count(F.lit(1))).alias("cap"))
-    shared = stage(kept.drop("most").join(near, "g"))
+    most = groups.select("g", F.size("prefix").alias("most"))
+    caps = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).join(most, "g").groupBy("g")
+    caps = caps.agg(F.max("c").alias("c"), F.min("most").alias("most"))
+    shared = stage(found.join(caps, "g").withColumn("cap", F.col("n") - F.col("most") + F.col("c")).drop("c", "most"))
 
     starred = _able_pairs(_list_pairs(shared, percent), groups, percent)
     crowded = groups.filter("many").select("gkey", F.col("lead").alias("a"))
@@ -443,7 +459,7 @@ def ngram_classes(
             "class_key",
         )
     )
-    unstage(rows, members, groups, found, kept, shared, pairs, links, placed, lists, rest, more)
+    unstage(rows, members, groups, found, shared, pairs, links, placed, lists, rest, more)
     return out
 
 

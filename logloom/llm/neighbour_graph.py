@@ -263,9 +263,10 @@ def nearest(
     n, most = nodes.agg(
         F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     ).first()
-    blocks = max(1, -(-n // block_rows))
+    # at least two blocks a core, so that small tables are spread as well
+    blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // block_rows))
     packed = stage(_packed(nodes, float(most) ** 0.5))
-    edges = stage(_first_lists(nodes, packed, dim, degree, blocks, 2, seed))
+    edges = stage(_first_lists(nodes, packed, dim, degree, max(1, n // 1024), 2, seed))
     for i in range(rounds):
         better = stage(_descend(edges, packed, dim, degree, reverse, blocks, seed + i))
         unstage(edges)

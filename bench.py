@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from logloom.plans.registry import QUERIES
@@ -28,6 +29,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="logloom-bench-"),
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

@@ -44,11 +44,14 @@ def _network(cidr: str) -> tuple[int, int]:
 
 def internal_flag(c: Column, networks: tuple[str, ...] = INTERNAL_NETWORKS) -> Column:
     """1 for an address inside one of the networks; 0 for others, errors and null."""
-    number = ipv4_to_int(c)
-    inside = F.lit(False)
-    for first, final in map(_network, networks):
-        inside = inside | number.between(first, final)
-    return F.coalesce(inside, F.lit(False)).cast("tinyint")
+
+    def in_any(number: Column) -> Column:
+        inside = F.lit(False)
+        for first, final in map(_network, networks):
+            inside = inside | number.between(first, final)
+        return inside
+
+    return F.coalesce(let(ipv4_to_int(c), in_any), F.lit(False)).cast("tinyint")
 
 
 _HEXTETS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
@@ -101,13 +104,47 @@ def ip_sort_key(c: Column) -> Column:
     return F.when(v4.isNotNull(), F.lower(F.lpad(F.hex(v4), 8, "0"))).otherwise(ipv6_to_hex(c))
 
 
+# Further networks that are not public, and v6 prefixes as hex digits.
+LOCAL_NETWORKS = (
+    "0.0.0.0/8",
+    "169.254.0.0/16",
+    "192.0.0.0/29",
+    "192.0.0.170/31",
+    "198.18.0.0/15",
+    "240.0.0.0/4",
+)
+LOCAL_PREFIXES_V6 = (
+    "00000000000000000000000000000000",
+    "00000000000000000000000000000001",
+    "00000000000000000000ffff",
+    "0064ff9b0001",
+    "0100000000000000",
+    "200100",
+    "200101",
+    "20010db8",
+    "fc",
+    "fd",
+    "fe8",
+    "fe9",
+    "fea",
+    "feb",
+)
+
+
 def simple_country(c: Column, known: dict[str, str] | None = None) -> Column:
     """Country rule without a range table: private and test addresses are local."""
-    number = ipv4_to_int(c)
-    local = F.lit(False)
-    for cidr in INTERNAL_NETWORKS + ("169.254.0.0/16", "0.0.0.0/8", "240.0.0.0/4"):
-        first, final = _network(cidr)
-        local = local | number.between(first, final)
+
+    def is_local(number: Column, wide: Column) -> Column:
+        inside = F.lit(False)
+        for first, final in map(_network, INTERNAL_NETWORKS + LOCAL_NETWORKS):
+            inside = inside | number.between(first, final)
+        for prefix in LOCAL_PREFIXES_V6:
+            inside = inside | wide.startswith(prefix)
+        return inside
+
+    # the address is read once, not once for each network
+    parsed = F.struct(ipv4_to_int(c).alias("v4"), ipv6_to_hex(c).alias("v6"))
+    local = let(parsed, lambda p: F.coalesce(is_local(F.coalesce(p["v4"], F.lit(-1)), F.coalesce(p["v6"], F.lit("-"))), F.lit(False)))
     out = F.when(local, F.lit("KR"))
     for address, code in (known or {}).items():
         out = out.when(c == address, F.lit(code))

@@ -62,7 +62,7 @@ def exception_type(stack: Column) -> Column:
     first = F.get(lines, F.lit(0))
     return (
         F.when(F.size(stack) < 1, None)
-        .when(caused(hit), head(F.substring(hit, 12, 1_000_000)))
+        .when(caused(hit), head(F.substring(hit, F.lit(12), F.length(hit))))
         .when(hit.isNotNull(), head(hit))
         .when(F.contains(first, F.lit(":")), F.substring_index(first, ":", 1))
         .otherwise(F.left(first, F.lit(200)))

@@ -44,7 +44,7 @@ def timestamp_text(raw: Column) -> Column:
 
 def _month_case(c: Column) -> Column:
     """``18-MAR-2030 ...`` -> ``18-Mar-2030 ...``."""
-    return F.concat(F.left(c, F.lit(3)), F.initcap(F.substring(c, 4, 3)), F.substring(c, 7, 40))
+    return F.concat(F.left(c, F.lit(3)), F.initcap(F.substring(c, 4, 3)), F.substring(c, F.lit(7), F.length(c)))
 
 
 def full_timestamp(raw: Column, two_digit_year: bool = True, seconds_only: bool = True) -> Column:

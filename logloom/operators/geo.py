@@ -59,24 +59,22 @@ def country_of_ip(events: DataFrame, ranges: DataFrame, ip: str = "source_ip") -
     return attach_by_key(events, found, [ip], ["country"])
 
 
-def country_names(df: DataFrame, names: DataFrame, code: str = "country", max_names: int = 10_000) -> DataFrame:
+def country_names(df: DataFrame, names: DataFrame, code: str = "country") -> DataFrame:
     """Add ``country_name`` from a ``(code, name)`` dimension.
 
-    Null codes read "no info", codes without a name "unknown(code)". The dimension is
-    broadcast only up to ``max_names`` rows; a larger one joins by shuffle.
+    Null codes read "no info", codes without a name "unknown(code)"; of several names of a
+    code the first in order counts. Only the distinct codes meet the dimension, their names
+    come back to the rows as per-key results.
     """
-    dim = names.select(
-        F.upper(F.trim("code")).alias("__code"), F.col("name").alias("__name")
-    ).dropDuplicates(["__code"])
-    small = dim.limit(max_names + 1).count() <= max_names
-    side = F.broadcast(dim) if small else dim
-    joined = df.join(side, F.upper(F.trim(F.col(code))) == F.col("__code"), "left")
+    dim = names.groupBy(F.upper(F.trim("code")).alias("__code")).agg(F.min("name").alias("__name"))
+    used = count_by_key(df.select(code), [code])
+    named = used.join(dim, F.upper(F.trim(F.col(code))) == F.col("__code"), "left")
     name = (
         F.when(F.col(code).isNull(), F.lit(NO_INFO))
         .when(F.col("__name").isNotNull(), F.col("__name"))
         .otherwise(F.concat(F.lit(f"{UNKNOWN}("), F.col(code), F.lit(")")))
     )
-    return joined.withColumn("country_name", name).drop("__code", "__name")
+    return attach_by_key(df, named.select(code, "n", name.alias("country_name")), [code], ["country_name"])
 
 
 def name_overrides(df: DataFrame) -> DataFrame:

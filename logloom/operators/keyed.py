@@ -11,13 +11,18 @@ from pyspark.sql import types as T
 _SALTS = 1024
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether a column of this type can be hashed: no map at any depth."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def row_salt(df: DataFrame, buckets: int = _SALTS) -> Column:
     """A bucket number from the row's own content, so a retried task repeats it."""
-    plain = [
-        f.name
-        for f in df.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
+    plain = [f.name for f in df.schema.fields if _hashable(f.dataType)]
     return F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int") + 1
 
 

@@ -13,14 +13,15 @@ from logloom.operators.ordered import scan_prior, time_chunk
 
 
 def transaction_features(
-    tx: DataFrame, one_hot: dict[str, str], max_levels: int = 200
+    tx: DataFrame, one_hot: dict[str, str], levels: dict[str, Sequence[str | None]] | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Numeric features per transaction and their names.
 
     ``tx`` has ``request_id, request_timestamp, response_id, status_code,
     transaction_duration`` and the columns to encode. ``one_hot`` maps such a column to
-    the prefix of its indicator columns; missing values get the level ``nan``. A column
-    with more than ``max_levels`` levels is refused.
+    the prefix of its indicator columns; missing values get the level ``nan``. ``levels``
+    names the levels of a column (None for missing values); without it they are looked up,
+    which makes a column for every level there is.
     """
     ts = F.col("request_timestamp")
     chunked = tx.withColumn("__chunk", time_chunk(ts, "10 minutes"))
@@ -33,8 +34,7 @@ def transaction_features(
     ).drop("__chunk")
     per_hour = (
         tx.groupBy(F.date_trunc("hour", ts).alias("__hour"))
-        .agg(F.count("request_timestamp").alias("hourly_transaction_count"))
-        .withColumn("n", F.col("hourly_transaction_count"))
+        .agg(F.count("request_timestamp").alias("hourly_transaction_count"), F.count(F.lit(1)).alias("n"))
     )
     df = attach_by_key(
         scanned.withColumn("__hour", F.date_trunc("hour", ts)), per_hour, ["__hour"], ["hourly_transaction_count"]
@@ -61,7 +61,7 @@ def transaction_features(
         "duration_z_score": F.try_divide(F.col("transaction_duration") - F.col("__m.m"), F.col("__m.s")),
     }
     for column, prefix in one_hot.items():
-        for level in _levels(tx, column, max_levels):
+        for level in (levels or {}).get(column) or _levels(tx, column):
             hit = F.col(column).isNull() if level is None else F.col(column).eqNullSafe(F.lit(level))
             named[f"{prefix}{'nan' if level is None else level}"] = hit.cast("int")
     keep = [c for c in tx.columns if c not in named]
@@ -71,9 +71,7 @@ def transaction_features(
     return out, list(named)
 
 
-def _levels(df: DataFrame, column: str, max_levels: int) -> Sequence[str | None]:
-    rows = df.select(column).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels")
+def _levels(df: DataFrame, column: str) -> Sequence[str | None]:
+    rows = df.select(column).distinct().collect()
     levels = sorted(r[0] for r in rows if r[0] is not None)
     return [*levels, None] if any(r[0] is None for r in rows) else levels

@@ -13,7 +13,7 @@ from logloom.operators.lines import tagged_xml_fields
 from logloom.operators.tokens import embedded_json, token_rows
 from logloom.operators.transcripts import transcript_entries
 from logloom.plans.derived_logs import CHUNK
-from logloom.plans.tables import spread, sql_time, table, text_time
+from logloom.plans.tables import sql_time, table, text_time
 from logloom.sources.readers import key_value_events, table_lines
 
 QUERIES = {}
@@ -60,7 +60,7 @@ def _numbered(df: DataFrame, parts) -> DataFrame:
 )
 def key_value_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``key: value`` lines with quoted commas, escapes, duplicates and a tail."""
-    e = spread(table(spark, sf, "events"), "event_id").withColumn("id", F.col("event_id"))
+    e = table(spark, sf, "events").withColumn("id", F.col("event_id"))
     line = F.concat(
         F.lit("timestamp: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z, level: INFO, step_id: 1, event: "),
         F.col("event_type"), F.lit(', message: "u,'), _text("user_id"), F.lit(' \\"q\\"", note: "'),
@@ -216,7 +216,7 @@ def labelled_report(spark: SparkSession, sf: str) -> DataFrame:
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as transcript entries with metadata and three kinds of payload."""
     role, turn = F.col("role"), _text("turn")
-    c = spread(table(spark, sf, "conversations"), "conv_id", "turn").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    c = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     quoted = F.to_json(F.struct(F.col("turn").cast("string").alias("n"), F.col("text")))
     flat = text.squeeze(F.col("text"))
     head = F.concat(
@@ -256,7 +256,7 @@ _AUDIT_ROWS = """SELECT o_orderkey * 10 AS pos, 0 AS part, strftime(o_orderdate,
 
 def audit_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as audit lines: JSON, one-line pairs, and blocks of which some are too short."""
-    o = spread(table(spark, sf, "orders"), "o_orderkey").withColumn("id", F.col("o_orderkey"))
+    o = table(spark, sf, "orders").withColumn("id", F.col("o_orderkey"))
     status, prio, user = F.col("o_orderstatus"), F.col("o_orderpriority"), F.concat(F.lit("u"), _text("o_custkey"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     json = F.concat(
@@ -328,7 +328,7 @@ def saml_texts(spark: SparkSession, sf: str) -> DataFrame:
         .when(status == "O", response)
         .otherwise(assertion)
     )
-    return spread(table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", xml.alias("xml"))
+    return table(spark, sf, "orders").select("o_orderkey", xml.alias("xml"))
 
 
 @query(

@@ -40,10 +40,7 @@ def _hour(df: DataFrame) -> DataFrame:
     SELECT strftime(ax.hour, '%Y-%m-%d %H') AS hour, coalesce(n, 0) AS n FROM ax LEFT JOIN h USING (hour)"""
 )
 def hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
-    return _hour(A.hourly_filled(events(spark, sf).filter("event_type = 'error'"), "ts"))
-
-
-ORACLE["hourly_filled"] = ORACLE["hourly_filled"].replace("FROM events", "FROM events WHERE event_type = 'error'")
+    return _hour(A.hourly_filled(events(spark, sf), "ts"))
 
 
 @query(
@@ -260,7 +257,7 @@ def flatten_json(spark: SparkSession, sf: str) -> DataFrame:
     return primary_first(flatten(nested))
 
 
-@query(None)
+@query("SELECT * FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|42'), o_orderkey LIMIT 1000")
 def reproducible_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A thousand orders picked by a seeded hash."""
     return sample_rows(table(spark, sf, "orders"), ["o_orderkey"], 1000)

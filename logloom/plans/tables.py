@@ -15,16 +15,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over the cores when the input has fewer files than cores.
-
-    Text parsing is bound by CPU, so a single small file would keep one core busy. A
-    large input already has a split per core and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def auth_events(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as authentication events; one session per user and day."""
     kind, user = F.col("event_type"), F.col("user_id")

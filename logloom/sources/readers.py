@@ -103,5 +103,5 @@ def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """A repeatable sample of ``n`` rows, the same for any partitioning."""
-    order = F.xxhash64(*keys, F.lit(seed))
+    order = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
     return df.orderBy(order, *keys).limit(n)

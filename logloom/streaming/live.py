@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def session_deltas(
             steps = rows["step_id"].astype("float64")
             before, step_before = us.shift(1).astype("float64"), steps.shift(1)
             if ts_us is not None:
-                before.iloc[0], step_before.iloc[0] = float(ts_us), float(last_step)
+                before.iloc[0], step_before.iloc[0] = float(ts_us), np.nan if last_step is None else float(last_step)
             yield pd.DataFrame(
                 {
                     "session_id": rows["session_id"],
@@ -84,13 +85,14 @@ def session_deltas(
                     "step_gap": (steps - step_before).fillna(1).astype("int64"),
                 }
             )
-            ts_us, last_step = int(us.iloc[-1]), int(steps.iloc[-1])
+            ts_us, last_step = int(us.iloc[-1]), None if pd.isna(steps.iloc[-1]) else int(steps.iloc[-1])
         if ts_us is not None:
             state.update((ts_us, last_step))
             _keep_until(state, ts_us // 1000 + idle_ms)
 
     return (
         stream.select("session_id", "timestamp", "step_id")
+        .filter("timestamp IS NOT NULL")
         .withWatermark("timestamp", late)
         .groupBy("session_id")
         .applyInPandasWithState(
@@ -163,6 +165,7 @@ def signature_alerts(
 
     return (
         stream.select("user_name", "ts")
+        .filter("ts IS NOT NULL")
         .withWatermark("ts", late)
         .groupBy("user_name")
         .applyInPandasWithState(

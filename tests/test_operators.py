@@ -17,6 +17,9 @@ from logloom.operators.quality import column_set_check
 from logloom.operators.quantiles import exact_quantiles
 from logloom.operators.transcripts import transcript_entries
 from logloom.sources import readers, sinks
+from logloom.functions.net import simple_country
+from logloom.operators.geo import NO_INFO, UNKNOWN, country_names
+from logloom.operators.keyed import row_salt
 
 
 @pytest.mark.parametrize("hot_keys", [1, 3, 1000])
@@ -225,3 +228,25 @@ def test_readers_and_sinks(spark, tmp_path, log_file):
     assert "tags" in spark.read.text(str(tmp_path / "schema")).first().value
     checked = {(r.column, r.problem) for r in column_set_check(df, ["id", "other"]).collect()}
     assert checked == {("other", "missing"), ("tags", "unexpected")}
+
+
+def test_local_addresses_of_both_families(spark):
+    local = ["::1", "::", "fd00::1", "fe80::1", "2001:db8::5", "::ffff:8.8.8.8", "198.18.0.1", "192.0.0.3", "10.1.2.3"]
+    public = ["2606:4700::1", "8.8.8.8", "198.20.0.1", "2001:4860::8888", "no address", None]
+    df = spark.createDataFrame([(x,) for x in local + public], "ip string")
+    rows = df.select("ip", simple_country(F.col("ip")).alias("c")).collect()
+    assert [r.c for r in rows] == ["KR"] * len(local) + ["Unknown"] * len(public)
+
+
+def test_salt_of_nested_maps(spark):
+    df = spark.sql("SELECT 1 AS a, named_struct('m', map('x', 1)) AS s, array(map('y', 2)) AS l")
+    assert 1 <= df.select(row_salt(df).alias("r")).first().r <= 1024
+
+
+def test_names_of_hot_null_and_unknown_codes(spark):
+    codes = spark.createDataFrame([("kr",)] * 50 + [(None,)] * 50 + [("Q1",), (" KR ",)], "country string")
+    names = spark.createDataFrame([("KR", "b"), ("kr ", "a")], "code string, name string")
+    rows = country_names(codes, names).groupBy("country", "country_name").count().collect()
+    assert {(r.country, r.country_name, r["count"]) for r in rows} == {
+        ("kr", "a", 50), (None, NO_INFO, 50), ("Q1", f"{UNKNOWN}(Q1)", 1), (" KR ", "a", 1)
+    }

@@ -65,6 +65,13 @@ def json_object(text: Column) -> Column:
     return F.when(looks, F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true"}))
 
 
+def unescaped(text: Column) -> Column:
+    """Escapes like ``\\u00e9`` that are left in a text, decoded; the text itself if that fails."""
+    quoted = F.concat(F.lit('["'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"]'))
+    decoded = F.from_json(quoted, "array<string>")[0]
+    return F.when(F.contains(text, F.lit("\\u")), F.coalesce(decoded, text)).otherwise(text)
+
+
 def classify_payload(entries: DataFrame, lines: str = "payload_lines", action: str = "action") -> DataFrame:
     """Add kind of the payload, its fields as a map, nested input and name parts.
 
@@ -105,15 +112,18 @@ def classify_payload(entries: DataFrame, lines: str = "payload_lines", action: s
         .when(kind == "labelled", labelled_fields(text)),
     )
     fields = F.col("payload_fields")
+    # an input that is no object survives as it stands
+    given = fields["input"]
     nested = F.when(
-        F.col(action).isin(*NESTED_ACTIONS) & kind.isin("json", "pairs"), json_object(fields["input"])
+        F.col(action).isin(*NESTED_ACTIONS) & kind.isin("json", "pairs") & given.isNotNull(),
+        F.coalesce(json_object(given), F.create_map(F.lit("raw"), given)),
     )
     read = read.withColumn("payload_input", nested)
     plain = kind != "json"
     return read.withColumns(
         {
             "user_dn": name_parts(
-                F.coalesce(F.col("payload_input")["user_dn"], F.when(plain, fields["user_dn"]))
+                F.coalesce(unescaped(F.col("payload_input")["user_dn"]), F.when(plain, fields["user_dn"]))
             ),
             "issuer_dn": name_parts(F.when(plain, fields["issuer_dn"])),
         }

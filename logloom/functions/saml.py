@@ -60,6 +60,11 @@ def _has_dtd(xml: Column) -> Column:
     return F.contains(F.upper(xml), F.lit("<!DOCTYPE"))
 
 
+def _has_tag(xml: Column, name: str) -> Column:
+    """Whether an element of this name stands anywhere in the text, in any name space."""
+    return xml.rlike(rf"<(?:[\w.\-]+:)?{name}[\s/>]")
+
+
 def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     """The fields of an AuthnRequest, Response or Assertion; ``x`` is ``read_saml(xml)``.
 
@@ -79,6 +84,7 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     inner = x["Assertion"]
     issuer = F.coalesce(x["Issuer"], F.when(resp, inner["Issuer"]))
     name_id = x["Subject"]["NameID"]
+    deep_id = F.nullif(F.regexp_extract(xml, r"<(?:[\w.\-]+:)?NameID(?:\s[^>]*)?>([^<]*)<", 1), F.lit(""))
     classes = x["RequestedAuthnContext"]["AuthnContextClassRef"]
     status = x["Status"]["StatusCode"]["_Value"]
     confirm = F.get(x["Subject"]["SubjectConfirmation"], F.lit(0))
@@ -88,10 +94,9 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     attr_ok = asrt & attribute["_Name"].isNotNull() & attr_value.isNotNull()
     long_attr = F.length(F.coalesce(attr_text, F.lit(""))) > 100
     signature = F.coalesce(x["Signature"], inner["Signature"])
-    encrypted = F.coalesce(x["EncryptedAssertion"]["EncryptedData"], x["EncryptedData"])
 
-    def flag(c: Column) -> Column:
-        return F.when(~broken & c.isNotNull(), F.lit(True))
+    def flag(name: str) -> Column:
+        return F.when(~broken & _has_tag(xml, name), F.lit(True))
 
     return {
         "saml_type": kind,
@@ -103,7 +108,7 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
         "saml_assertion_consumer_url": F.when(req, x["_AssertionConsumerServiceURL"]),
         "saml_issuer": F.when(any_kind, issuer["_VALUE"]),
         "saml_sp_provided_id": F.when(req, x["Issuer"]["_SPProvidedID"]),
-        "saml_name_id": F.when(req | asrt, name_id["_VALUE"]),
+        "saml_name_id": F.when(req | asrt, F.coalesce(name_id["_VALUE"], deep_id)),
         "saml_name_id_format": F.when(req | asrt, name_id["_Format"]),
         "saml_auth_context_classes": F.when(req & (F.size(classes) > 0), classes),
         "saml_in_response_to": F.when(resp, x["_InResponseTo"]).when(
@@ -124,9 +129,9 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
         "saml_attribute_name": F.when(attr_ok, attribute["_Name"]),
         "saml_attribute_value": F.when(attr_ok & ~long_attr, attr_text),
         "saml_attribute_value_length": F.when(attr_ok & long_attr, F.length(attr_text)),
-        "saml_has_encrypted_assertion": flag(x["EncryptedAssertion"]),
-        "saml_has_encrypted_data": flag(encrypted),
-        "saml_has_signature": flag(signature),
+        "saml_has_encrypted_assertion": flag("EncryptedAssertion"),
+        "saml_has_encrypted_data": flag("EncryptedData"),
+        "saml_has_signature": flag("Signature"),
         "saml_signature_algorithm": F.when(
             ~broken, signature["SignedInfo"]["SignatureMethod"]["_Algorithm"]
         ),

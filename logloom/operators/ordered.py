@@ -69,6 +69,17 @@ def scan_prior(
     return out.filter(F.col(_PHASE) == 1).drop(_PHASE, *value.values())
 
 
+def scan_some(df: DataFrame, needs_state: Column, *args, **kwargs) -> DataFrame:
+    """``scan_prior`` over the rows with ``needs_state``; the others pass by it with null state.
+
+    Rows without a key or a place in the order would otherwise all meet in one chunk.
+    """
+    needs = F.coalesce(needs_state, F.lit(False))
+    scanned = scan_prior(df.filter(needs), *args, **kwargs)
+    added = {f.name: F.lit(None).cast(f.dataType) for f in scanned.schema.fields if f.name not in df.columns}
+    return scanned.unionByName(df.filter(~needs).withColumns(added))
+
+
 def _carry(df, keys, chunks, order, last, totals) -> DataFrame:
     """One row per chunk with the state at its start."""
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])

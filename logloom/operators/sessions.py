@@ -12,7 +12,7 @@ from logloom.functions.net import internal_flag, ipv4_to_int
 from logloom.functions.text import error_keyword_flag, strip, unusual_length_flag
 from logloom.functions.times import calendar, millis_between, utc_timestamp
 from logloom.operators.keyed import attach_by_key, count_by_key
-from logloom.operators.ordered import scan_prior, time_chunk
+from logloom.operators.ordered import scan_prior, scan_some, time_chunk
 
 EXPECTED_COLUMNS = (
     "timestamp", "level", "session_id", "event", "step_id", "user_id",
@@ -116,15 +116,16 @@ def ip_features(df: DataFrame) -> DataFrame:
 def session_deltas(df: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
     """Time and step differences to the previous event of the session, with their flags."""
     chunked = df.withColumn("__chunk", time_chunk(F.col("timestamp"), rules.chunk))
-    scanned = scan_prior(
+    # events without a session have no predecessor
+    scanned = scan_some(
         chunked,
+        F.col("session_id").isNotNull(),
         ["session_id"],
         ["__chunk"],
         event_order(),
         last={"__prev": F.struct(F.col("timestamp").alias("ts"), F.col("step_id").alias("step"))},
     ).drop("__chunk")
-    # events without a session have no predecessor
-    prev = F.when(F.col("session_id").isNotNull(), F.col("__prev"))
+    prev = F.col("__prev")
     steps = F.create_map(*[F.lit(x) for pair in rules.event_steps.items() for x in pair])
     with_prev = scanned.withColumns(
         {

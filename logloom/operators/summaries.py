@@ -274,6 +274,12 @@ def binary_splits(events: DataFrame, zone: str | None = None) -> DataFrame:
     return wide.unpivot([], wide.columns, "split", "n")
 
 
+def outcome_split(sessions: DataFrame) -> DataFrame:
+    """Sessions that succeeded against those that did not."""
+    outcome = F.when(F.col("is_successful") == 1, "success").otherwise("failure")
+    return sessions.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def headline(records: DataFrame) -> DataFrame:
     """Counters of a log dashboard: all, severe, errors and warnings, license issues."""
     has_status = "license_status" in records.columns

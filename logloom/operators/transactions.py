@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.times import seconds_between
 from logloom.operators.keyed import attach_by_key
-from logloom.operators.ordered import scan_prior, time_chunk
+from logloom.operators.ordered import scan_some, time_chunk
 
 
 def transaction_features(
@@ -25,11 +25,13 @@ def transaction_features(
     """
     ts = F.col("request_timestamp")
     chunked = tx.withColumn("__chunk", time_chunk(ts, "10 minutes"))
-    scanned = scan_prior(
+    # rows without a time have no predecessor
+    scanned = scan_some(
         chunked,
+        ts.isNotNull(),
         [],
         ["__chunk"],
-        [ts.isNull(), ts, F.col("request_id"), F.col("response_id")],
+        [ts, F.col("request_id"), F.col("response_id")],
         last={"__prev": ts},
     ).drop("__chunk")
     per_hour = (

@@ -150,6 +150,14 @@ def session_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scored(spark, sf).select(*_SCORE_OUT))
 
 
+@query(
+    f"""WITH {SESSION_SQL} SELECT CASE WHEN is_successful = 1 THEN 'success' ELSE 'failure' END AS outcome, count(*) AS n
+    FROM final GROUP BY 1"""
+)
+def outcome_split(spark: SparkSession, sf: str) -> DataFrame:
+    return A.outcome_split(scored(spark, sf))
+
+
 @query(f"WITH {SESSION_SQL} SELECT {_SCORE_SQL} FROM final WHERE anomaly_score_final > 1.0")
 def high_risk_sessions(spark: SparkSession, sf: str) -> DataFrame:
     df = scored(spark, sf).filter(F.col("anomaly_score_final") > RULES.high_risk)

@@ -18,6 +18,8 @@ from logloom.operators.quantiles import exact_quantiles
 from logloom.operators.transcripts import transcript_entries
 from logloom.sources import readers, sinks
 from logloom.functions.net import simple_country
+from logloom.functions.payload import NESTED_ACTIONS, classify_payload
+from logloom.functions.saml import read_saml, saml_fields
 from logloom.operators.geo import NO_INFO, UNKNOWN, country_names
 from logloom.operators.keyed import row_salt
 
@@ -250,3 +252,28 @@ def test_names_of_hot_null_and_unknown_codes(spark):
     assert {(r.country, r.country_name, r["count"]) for r in rows} == {
         ("kr", "a", 50), (None, NO_INFO, 50), ("Q1", f"{UNKNOWN}(Q1)", 1), (" KR ", "a", 1)
     }
+
+
+def test_rows_without_state_pass_by(spark):
+    rows = [(1, 5, "a"), (1, 7, "b"), (None, 6, "c"), (None, 8, "d")]
+    df = spark.createDataFrame(rows, "k int, t int, v string").withColumn("c", F.col("t").cast("long"))
+    out = ordered.scan_some(df, F.col("k").isNotNull(), ["k"], ["c"], ["t"], last={"prev": F.col("v")}).collect()
+    assert {(r.k, r.v, r.prev) for r in out} == {(1, "a", None), (1, "b", "a"), (None, "c", None), (None, "d", None)}
+
+
+def test_nested_input_that_is_no_object_survives(spark):
+    lines = [["{'input': 'not json'}"], ['{"input": "{\\"user_dn\\": \\"cn=\\\\\\\\u00e9,o=x\\"}"}']]
+    df = spark.createDataFrame([(NESTED_ACTIONS[0], x) for x in lines], "action string, payload_lines array<string>")
+    rows = classify_payload(df).collect()
+    assert rows[0].payload_input == {"raw": "not json"}
+    assert "é" in str(rows[1].user_dn)
+
+
+def test_saml_elements_at_any_depth(spark):
+    text = (
+        '<saml:Assertion xmlns:saml="s" ID="i"><saml:Subject><saml:EncryptedID><xenc:EncryptedData xmlns:xenc="e"/>'
+        "</saml:EncryptedID></saml:Subject><x><saml:NameID>deep</saml:NameID></x></saml:Assertion>"
+    )
+    df = spark.createDataFrame([(text,)], "xml string").withColumn("x", read_saml(F.col("xml")))
+    row = df.select(*[c.alias(n) for n, c in saml_fields(F.col("xml"), F.col("x")).items()]).first()
+    assert (row.saml_has_encrypted_data, row.saml_name_id, row.saml_has_signature) == (True, "deep", None)

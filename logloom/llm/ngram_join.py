@@ -10,7 +10,7 @@ then by hash, so prefixes hold the rarest shingles.
    against the first and the next groups of its lists, which joins large families of near
    copies with work in step with their size.
 3. Group pairs that share a shingle and are not joined yet are filtered by size, by how many
-   shingles they have in 64 ranges of hashes and by what they can still share behind the
+   shingles they have in 256 ranges of hashes and by what they can still share behind the
    prefix; what passes is expanded to its members and verified on the whole sets. All these
    are bounds, so no link between different components is lost.
 4. Links become components by contraction.
@@ -183,8 +183,8 @@ def _united(part: DataFrame, unite, shape: str) -> DataFrame:
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``rid, id, n, sid, gkey, prefix, parts`` of every row; no ``sid`` without shingles.
 
-    ``parts`` counts the shingles of the set in 64 ranges of their hashes; null if a count needs
-    more than 16 bits.
+    ``parts`` counts the shingles of the set in 256 ranges of their hashes; null if a count needs
+    more than 8 bits.
     """
     cells = docs.sparkSession.sparkContext.broadcast(_cells(docs, words))
 
@@ -206,8 +206,8 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sids.append(set_name(h))
                     keys.append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                     prefixes.append(prefix)
-                    ranges = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64)
-                    parts.append(ranges if ranges.max() < 1 << 15 else None)
+                    ranges = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256)
+                    parts.append(ranges if ranges.max() < 1 << 7 else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -216,14 +216,14 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(sids, pa.binary()),
                         pa.array(keys, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
-                        pa.array(parts, pa.list_(pa.int16())),
+                        pa.array(parts, pa.list_(pa.int8())),
                     ],
                     ["rid", "id", "n", "sid", "gkey", "prefix", "parts"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("rid", "id", "text").mapInArrow(
-        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<smallint>"
+        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<tinyint>"
     )
 
 

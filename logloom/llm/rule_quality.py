@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from logloom.llm.bpe import slices
 from logloom.llm.ngram_join import row_key
-from logloom.session import stage
+from logloom.session import stage, unstage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE_COUNTS = ("n_lines", "n_letters", "n_upper", "n_marks", "n_stutters")
 _WINDOW = 5
+# The limits of the fixed rules.
+LEAST_WORDS, MOST_REPEATED = 10, 20
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
@@ -96,7 +98,7 @@ def count_rules(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return chosen.mapInArrow(run, f"rid long, id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def base_failed(least_words: int = 10, most_repeated: int = 20) -> Column:
+def base_failed(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> Column:
     """The fixed rules: too few words, or too many of them repeated (per cent)."""
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
@@ -180,20 +182,35 @@ def fit_forest(
     return Forest(*(np.array(v) for v in (feature, value, left, right, roots)), float(_mean_path(min(rows, len(x)))))
 
 
+def ratio_matrix(counts: dict[str, np.ndarray], prior: int = 20) -> np.ndarray:
+    """The statistics of ``ratios`` from arrays of counts."""
+    words = counts["n_words"] + float(prior)
+    return np.column_stack(
+        [
+            np.minimum((counts["word_chars"] + 5 * prior) / words, 10.0),
+            np.minimum(counts["n_symbols"] / words, 1.0),
+            np.minimum(counts["n_marks"] / words, 1.0),
+            counts["n_upper"] / (counts["n_letters"] + 5.0 * prior),
+            counts["n_stutters"] / words,
+        ]
+    )
+
+
 def forest_scores(counts: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` of every row."""
     shared = counts.sparkSession.sparkContext.broadcast(forest)  # its size is set by trees and rows a tree
-    n = len(ratios())
+    names = (*COUNTS, *MORE_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)])
-            score = pa.array(shared.value.score(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[n:], score], [*keep, "score"])
+            found = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+            score = pa.array(shared.value.score(ratio_matrix(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(names) :], score], [*keep, "score"])
 
     kinds = dict(counts.dtypes)
     shape = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double"
-    return counts.select(*ratios(), *keep).mapInArrow(run, shape)
+    kept = [F.col(c).alias(f"__{c}") for c in keep]
+    return counts.select(*names, *kept).mapInArrow(run, shape)
 
 
 def calibrated(scored: DataFrame, good_kept: float = 0.995, default: float = 0.6, bins: int = 10_000) -> float:
@@ -217,22 +234,15 @@ def calibrated(scored: DataFrame, good_kept: float = 0.995, default: float = 0.6
     return float(best[len(best) // 2] + 1) / bins
 
 
-def judge(
-    df: DataFrame,
+def fitted(
+    counts: DataFrame,
     labels: DataFrame | None,
-    id_column: str = "doc_id",
-    text_column: str = "text",
     sample_rows: int = 8192,
     good_kept: float = 0.995,
     default_threshold: float = 0.6,
-) -> DataFrame:
-    """``rid, id``, all counts, ``base_failed``, ``score`` and ``kept`` of every row.
-
-    ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad). ``sample_rows`` bounds the rows
-    the forest is fitted on. The counts are staged in the shared folder.
-    """
-    counts = stage(count_rules(df, id_column, text_column)).withColumn("base_failed", base_failed())
-    passed = counts.filter(~F.col("base_failed"))
+) -> tuple[Forest, float] | None:
+    """Forest and threshold from staged counts; None if the fixed rules pass no row."""
+    passed = counts.filter(~base_failed())
     sampled = passed
     if labels is not None:
         known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label"))
@@ -243,22 +253,59 @@ def judge(
     # four times the sample by hash first, so that tasks send the driver no more than that in all
     share = min(1.0, 4 * sample_rows / max(sampled.count(), 1))
     drawn = sampled.filter(F.abs(F.xxhash64("rid") / F.lit(2.0**63)) <= share)
-    rows = drawn.orderBy(F.xxhash64("rid"), "rid").limit(sample_rows).select(*ratios()).collect()
+    names = (*COUNTS, *MORE_COUNTS)
+    rows = drawn.orderBy(F.xxhash64("rid"), "rid").limit(sample_rows).select(*names).collect()
     if not rows:
+        return None
+    of_rows = ratio_matrix(dict(zip(names, np.array(rows, dtype=float).T)))
+    wide = counts.select(*ratios())
+    ends = wide.agg(*[F.min(n) for n in wide.columns], *[F.max(n) for n in wide.columns]).first()
+    half = len(wide.columns)
+    forest = fit_forest(of_rows, np.array(ends[:half]), np.array(ends[half:]))
+    if labels is None:
+        return forest, default_threshold
+    return forest, calibrated(forest_scores(passed_known, forest, ["good"]), good_kept, default_threshold)
+
+
+def judge(
+    df: DataFrame, labels: DataFrame | None, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """``rid, id``, all counts, ``base_failed``, ``score`` and ``kept`` of every row.
+
+    ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad). ``options`` are those of
+    ``fitted``; its ``sample_rows`` bounds the rows the forest is fitted on. The counts are
+    staged in the shared folder.
+    """
+    counts = stage(count_rules(df, id_column, text_column))
+    failed = counts.withColumn("base_failed", base_failed())
+    found = fitted(counts, labels, **options)
+    if found is None:
         verdict = F.lit(None).cast("double")
-        return counts.withColumn("score", verdict).withColumn("kept", ~F.col("base_failed"))
-    names = counts.select(*ratios()).columns
-    ends = counts.select(*ratios()).agg(*[F.min(n) for n in names], *[F.max(n) for n in names]).first()
-    forest = fit_forest(np.array(rows, dtype=float), np.array(ends[: len(names)]), np.array(ends[len(names) :]))
-    threshold = default_threshold
-    if labels is not None:
-        threshold = calibrated(forest_scores(passed_known, forest, ["good"]), good_kept, default_threshold)
-    scored = forest_scores(counts, forest, [*counts.columns])
+        return failed.withColumn("score", verdict).withColumn("kept", ~F.col("base_failed"))
+    forest, threshold = found
+    scored = forest_scores(failed, forest, failed.columns)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold))
 
 
-def keep_good(df: DataFrame, labels: DataFrame | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` without the rows that ``judge`` rejects."""
-    rejected = judge(df, labels, id_column, text_column).filter("NOT kept").select(F.col("rid").alias("__rid")).distinct()
-    keyed = df.withColumn("__rid", row_key(id_column, text_column))
-    return keyed.join(rejected, "__rid", "left_anti").drop("__rid")
+def keep_good(
+    df: DataFrame, labels: DataFrame | None, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """``df`` without the rows that ``judge`` rejects; texts are judged where they are read, none is shuffled."""
+    counts = stage(count_rules(df, id_column, text_column))
+    found = fitted(counts, labels, **options)
+    unstage(counts)
+    shared = df.sparkSession.sparkContext.broadcast(found)
+    names, at = (*COUNTS, *MORE_COUNTS), df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = [rule_counts(t) for t in part.column(at).to_pylist()]
+                of = dict(zip(names, np.array(rows, dtype=np.int64).reshape(len(rows), len(names)).T))
+                good = (of["n_words"] >= LEAST_WORDS) & (100 * of["n_repeat_words"] <= MOST_REPEATED * of["n_words"])
+                if shared.value is not None:
+                    forest, threshold = shared.value
+                    good &= forest.score(ratio_matrix(of)) < threshold
+                yield part.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

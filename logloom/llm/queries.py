@@ -103,13 +103,13 @@ def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
     cut = training_order.sequences(_table(spark, sf, "documents"), BYTE_BPE)
     index = training_order.write_shards(cut, path)
     if index.isEmpty():
-        return index.select(F.col("id").alias("doc_id"), "piece", "n_tokens", "slot", "shard").withColumn(
+        return index.select(F.col("id").alias("doc_id"), "start", "n_docs", "n_tokens", "slot", "shard").withColumn(
             "record_crc32", F.lit(None).cast("long")
         )
     records = training_order.read_records(spark, path)
     read = records.select("slot", F.crc32("record").alias("record_crc32"))
     return index.join(read, "slot", "left").select(
-        F.col("id").alias("doc_id"), "piece", F.col("n_tokens").cast("long"), "slot", "shard", "record_crc32"
+        F.col("id").alias("doc_id"), "start", "n_docs", "n_tokens", "slot", "shard", "record_crc32"
     )
 
 

@@ -1,31 +1,31 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Documents are encoded and cut into sequences of one length, the last one padded. Sequences
-get consecutive numbers from counts per task. A keyed Feistel network permutes the numbers;
-values outside the range walk on through the network until they fall inside, so every
-sequence has a global slot of its own and the order needs no sort key. Slots are cut into
-ranges, one file each, whose records all have the same number of bytes: slot ``i`` of a shard
-starts at ``i * stride``, so a reader can start anywhere and go on where it stopped.
+Each task encodes its documents, joins them by end tokens and cuts the stream into sequences
+of one length; only its last sequence is padded. Sequences get consecutive numbers from
+counts per task. A keyed Feistel network permutes the numbers; values outside the range walk
+on through the network until they fall inside, so every sequence has a global slot of its own
+and the order needs no sort key. Slots are cut into ranges, one file each, whose records all
+have the same number of bytes: slot ``i`` of a shard starts at ``i * stride``, so a reader can
+start anywhere and go on where it stopped.
 
 A file is written by Spark's text writer: a record is the ids as little-endian 16- or 32-bit
 numbers and one line feed. The path may be in any store Spark writes to; a lost executor's
 files are written again by the commit protocol.
 
-Defined results: a null or empty text is the end token and padding; repeated rows are
-sequences of their own; an empty table gives no files; other columns are not read.
+Defined results: a null or empty text is the end token alone; repeated rows are repeated in
+the stream; an empty table gives no files; other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logloom.llm.bpe import slices
 from logloom.llm.token_counts import encoder
@@ -52,6 +52,38 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
+class _Stream:
+    """Documents joined to sequences: what is left over waits for the next documents."""
+
+    def __init__(self, length: int, end_id: int, ids: pa.Array):
+        self.length, self.end_id = length, end_id
+        self.tokens, self.at, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), ids
+
+    def add(self, flat: np.ndarray, counts: np.ndarray, ids: pa.Array) -> None:
+        size = counts + 1
+        first = np.cumsum(size) - size
+        new = np.full(int(size.sum()), self.end_id, dtype=np.int64)
+        new[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))] = flat
+        self.at = np.concatenate([self.at, first + len(self.tokens)])
+        self.tokens = np.concatenate([self.tokens, new])
+        self.ids = pa.concat_arrays([self.ids, ids])
+
+    def take(self, last: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First document of each sequence, its tokens before, documents, tokens and the padded sequences."""
+        n = -(-len(self.tokens) // self.length) if last else len(self.tokens) // self.length
+        start = np.arange(n) * self.length
+        stop = np.minimum(start + self.length, len(self.tokens))
+        of = np.searchsorted(self.at, start, "right") - 1
+        documents = np.searchsorted(self.at, stop, "left") - of
+        padded = np.full(n * self.length, self.end_id, dtype=np.int64)
+        used = min(n * self.length, len(self.tokens))
+        padded[:used] = self.tokens[:used]
+        out = self.ids.take(pa.array(of)), start - self.at[of], documents, stop - start, padded.reshape(n, -1)
+        rest = np.searchsorted(self.at, used, "right") - 1 if used < len(self.tokens) else len(self.at)
+        self.tokens, self.at, self.ids = self.tokens[used:], self.at[rest:] - used, self.ids.slice(rest)
+        return out
+
+
 def sequences(
     df: DataFrame,
     vocabulary: str,
@@ -61,41 +93,42 @@ def sequences(
     text_column: str = "text",
     wide: bool = False,
 ) -> DataFrame:
-    """``task, number, id, piece, n_tokens, packed``: padded sequences, numbered within each task.
+    """``task, number, id, start, n_docs, n_tokens, packed``: sequences, numbered within each task.
 
-    ``packed`` is the compressed record, ids as 16-bit numbers or, if ``wide``, 32-bit ones.
+    A sequence begins in document ``id``, ``start`` of whose tokens stand before it. ``packed``
+    is the compressed record, ids as 16-bit numbers or, if ``wide``, 32-bit ones.
     """
     kind = "<u4" if wide else "<u2"
+    names = ["task", "number", "id", "start", "n_docs", "n_tokens", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, stream = TaskContext.get().partitionId(), 0, None
+        pack = zstandard.ZstdCompressor(level=3).compress
+
+        def rows(last: bool = False) -> pa.RecordBatch:
+            nonlocal number
+            ids, start, documents, tokens, padded = stream.take(last)
+            n = len(start)
+            packed = [pack(r.tobytes()) for r in padded.astype(kind)]
+            columns = [np.full(n, task, np.int32), np.arange(number, number + n), start, documents, tokens]
+            number += n
+            made = [pa.array(c, pa.int64()) for c in columns[1:]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0]), made[0], ids, *made[1:], pa.array(packed, pa.binary())], names
+            )
+
         for batch in batches:
             for part in slices(batch):
-                flat, counts = encoder(vocabulary).encode(part.column(1))
-                of = (counts + length) // length  # the end token included
-                padded = np.full(int(of.sum()) * length, end_id, dtype=kind)
-                to = np.repeat((np.cumsum(of) - of) * length - (np.cumsum(counts) - counts), counts)
-                padded[to + np.arange(len(flat))] = flat
-                first = np.repeat(np.cumsum(of) - of, of)
-                piece = np.arange(len(first)) - first
-                tokens = np.minimum(np.repeat(counts + 1, of) - piece * length, length)
-                packed = [zlib.compress(r.tobytes(), 1) for r in padded.reshape(-1, length)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), task), pa.int32()),
-                        pa.array(np.arange(number, number + len(first))),
-                        part.column(0).take(pa.array(np.repeat(np.arange(len(of)), of))),
-                        pa.array(piece, pa.int32()),
-                        pa.array(tokens, pa.int32()),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    ["task", "number", "id", "piece", "n_tokens", "packed"],
-                )
-                number += len(first)
+                if stream is None:
+                    stream = _Stream(length, end_id, part.column(0).slice(0, 0))
+                stream.add(*encoder(vocabulary).encode(part.column(1)), part.column(0))
+                yield rows()
+        if stream is not None:
+            yield rows(last=True)
 
     id_kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
-        run, f"task int, number long, id {id_kind}, piece int, n_tokens int, packed binary"
+        run, f"task int, number long, id {id_kind}, start long, n_docs long, n_tokens long, packed binary"
     )
 
 
@@ -104,38 +137,42 @@ def write_shards(
 ) -> DataFrame:
     """Write the sequences of ``cut`` under ``path`` in training order.
 
-    Returns ``slot, shard, id, piece, n_tokens`` of every sequence. Shard ``k`` is the one file
+    Returns ``slot, shard, id, start, n_docs, n_tokens`` of every sequence. Shard ``k`` is the one file
     in ``shard=k``; ``shard_bytes`` bounds it.
     """
     stride = length * (4 if wide else 2) + 1
     per_shard = max(1, shard_bytes // stride)
     staged = stage(cut)
-    tasks = staged.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    starts = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    n = staged.count()
+    tasks = staged.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each task
+    sizes = np.zeros(max((r["task"] for r in tasks), default=-1) + 1, dtype=np.int64)
+    for r in tasks:
+        sizes[r["task"]] = r["n"]
+    n = int(sizes.sum())
+    starts = staged.sparkSession.sparkContext.broadcast(np.cumsum(sizes) - sizes)
+    names = ["id", "start", "n_docs", "n_tokens", "packed"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = feistel(batch.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[1:]], ["slot", *names])
+            number = starts.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
+            slot = feistel(number, n, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[2:]], ["slot", *names])
 
-    names = ["id", "piece", "n_tokens", "packed"]
     kinds = dict(staged.dtypes)
     shape = "slot long, " + ", ".join(f"{c} {kinds[c]}" for c in names)
-    numbered = staged.join(starts, "task").select((F.col("start") + F.col("number")).alias("slot"), *names)
+    numbered = staged.select("task", "number", *names)
     placed = numbered.mapInArrow(place, shape).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     shards = max(1, -(-n // per_shard))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw = [zlib.decompress(z) for z in batch.column(1).to_pylist()]
+            raw = [unpacked(z) for z in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["shard", "value"])
 
     ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "packed")
     records = ordered.mapInArrow(unpack, "shard int, value binary").withColumn("value", F.col("value").cast("string"))
     records.write.partitionBy("shard").text(path)
-    index = stage(placed.select("slot", "shard", "id", "piece", "n_tokens"))
+    index = stage(placed.select("slot", "shard", "id", "start", "n_docs", "n_tokens"))
     unstage(staged)
     return index
 

@@ -219,17 +219,20 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     texts, lib = odd_texts(100), Tokenizer.from_file(BYTE)
     path = f"file://{tmp_path}/shards"
     options = {"length": 16, "shard_bytes": 33 * 40}
-    index = training_order.write_shards(training_order.sequences(frame(spark, texts), BYTE, length=16), path, **options)
+    cut = training_order.sequences(frame(spark, texts).coalesce(1), BYTE, length=16)
+    index = training_order.write_shards(cut, path, **options)
     slots = {r.slot: r for r in index.collect()}
     assert sorted(slots) == list(range(len(slots)))
     read = {r.slot: r.ids for r in training_order.record_ids(training_order.read_records(spark, path, **options)).collect()}
-    of = {}
-    for slot, r in slots.items():
-        of.setdefault(r.id, []).append((r.piece, read[slot][: r.n_tokens]))
-        assert set(read[slot][r.n_tokens :]) <= {50256}
-    for i, t in enumerate(texts):
-        ids = [x for _, part in sorted(of[i]) for x in part]
-        assert ids == lib.encode(t or "", add_special_tokens=False).ids + [50256]
+    encoded = [lib.encode(t or "", add_special_tokens=False).ids + [50256] for t in texts]
+    stream, first = [x for ids in encoded for x in ids], [0, *np.cumsum([len(ids) for ids in encoded]).tolist()]
+    got = []
+    for r in sorted(slots.values(), key=lambda r: (r.id, r.start)):
+        assert first[r.id] + r.start == len(got)
+        got += read[r.slot][: r.n_tokens]
+        assert r.n_docs == sum(a < len(got) and b > len(got) - r.n_tokens for a, b in zip(first, first[1:]))
+        assert set(read[r.slot][r.n_tokens :]) <= {50256}
+    assert got == stream
     late = training_order.read_records(spark, path, **options, start=57)
     assert sorted(r.slot for r in late.select("slot").collect()) == list(range(57, len(slots)))
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings the results or their speed depend on; they may be changed in a running session.
 # Methods above 8000 bytes are never compiled by the JVM, so wide projections run faster
-# as split methods than as one fused one.
+# as split methods than as one fused one. Rows with long texts go to Python in small batches.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

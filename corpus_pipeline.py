@@ -17,16 +17,19 @@ from logloom.session import prepare, stage
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules or the forest reject go."""
+    prepare(spark)
     return rule_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
+    prepare(spark)
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked and ``n_chars`` follows the text."""
+    prepare(spark)
     masked = secret_scan.redact_secrets(docs)
     if "n_chars" not in masked.columns:
         return masked
@@ -36,6 +39,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their sequence and place."""
+    prepare(spark)
     packed = packing.pack(packing.pieces(docs, BYTE_BPE))
     return packed.withColumnRenamed("id", "doc_id")
 
@@ -52,7 +56,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each one written and read again."""
-    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))

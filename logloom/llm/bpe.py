@@ -205,3 +205,4 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -126,8 +126,9 @@ class Vocabulary:
             raise ValueError("no table for the merges")
         empty = slots < 0
         self._code = np.where(empty, np.int64(-1), code[slots])
-        self._rank = np.append(np.where(empty, NO_RANK, slots), NO_RANK)  # the last one: of pairs without a place
-        self._made = np.append(np.where(empty, 0, made[slots]), 0)
+        # the last one: of pairs without a place
+        self._rank = np.append(np.where(empty, NO_RANK, slots), NO_RANK).astype(np.int32)
+        self._made = np.append(np.where(empty, 0, made[slots]), 0).astype(np.int32)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NO_RANK`` without a merge) and merged id of each adjacent pair."""
@@ -138,7 +139,7 @@ class Vocabulary:
         if other[0].size:
             again = ((code[other].view(np.uint64) * self._mul[1]) >> np.uint64(40) & mask).view(np.int64) + _SLOTS
             at[other] = np.where(self._code[again] == code[other], again, 2 * _SLOTS)
-        return self._rank[at], self._made[at]
+        return self._rank[at].astype(np.int64), self._made[at].astype(np.int64)
 
 
 @functools.lru_cache(maxsize=4)

@@ -69,7 +69,14 @@ class Vocabulary:
             made.append(self.ids[a + b])
         code = np.array(left, dtype=np.int64) << 32 | np.array(right, dtype=np.int64)
         self._table(code, np.array(made, dtype=np.int64))
-        self.pairs = dict(zip(zip(left, right), zip(range(len(made)), made)))
+        self._merges = code, np.array(made, dtype=np.int32)
+
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and merged id by pair; only long pre-tokens need it."""
+        code, made = self._merges
+        ends = zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())
+        return dict(zip(ends, zip(range(len(made)), made.tolist())))
 
     def normal(self, text: str) -> str:
         if self._nfc and not text.isascii():
@@ -220,7 +227,7 @@ class TextEncoder:
 
     def __init__(self, path: str, merge, most: int = 300_000):
         self.vocab, self._merge = load(path), merge
-        self._words = _Memo(self._merged, most // 2)
+        self._words = _Memo(self._merged, most // 4)
         self._chunks = _Store(most)
 
     def _merged(self, words: list[str]) -> list[bytes]:

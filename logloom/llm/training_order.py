@@ -166,11 +166,14 @@ def write_shards(
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw = [unpacked(z) for z in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["shard", "value"])
-
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "packed")
-    records = ordered.mapInArrow(unpack, "shard int, value binary").withColumn("value", F.col("value").cast("string"))
+            raw = [unpacked(z) for z in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], ["shard", "slot", "value"])
+
+    dealt = placed.repartition(shards, "shard").select("shard", "slot", "packed")
+    records = dealt.mapInArrow(unpack, "shard int, slot long, value binary")
+    # The sort comes last: behind a Python step the writer would sort by shard once more and, on spills, lose the slots' order.
+    ordered = records.sortWithinPartitions("shard", "slot")
+    records = ordered.select("shard", F.col("value").cast("string").alias("value"))
     records.write.partitionBy("shard").text(path)
     index = stage(placed.select("slot", "shard", "id", "start", "n_docs", "n_tokens"))
     unstage(staged)

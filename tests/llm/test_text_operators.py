@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -237,6 +238,24 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert sorted(r.slot for r in late.select("slot").collect()) == list(range(57, len(slots)))
 
 
+def test_shards_keep_the_slots_when_sorts_spill(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    options = {"length": 16, "shard_bytes": 33 * 700}
+    texts = [" ".join(str(i * 31 + j) for j in range(12)) for i in range(1500)]
+    cut = training_order.sequences(frame(spark, texts).repartition(2), BYTE, length=16)
+    conf = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()
+    threshold = "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(threshold, "60")
+    try:
+        index = training_order.write_shards(cut, path, **options)
+    finally:
+        conf.remove(threshold)
+    packed = {(r.id, r.start): zstandard.ZstdDecompressor().decompress(r.packed) for r in cut.collect()}
+    want = {r.slot: packed[r.id, r.start] for r in index.collect()}
+    assert len({r.shard for r in index.select("shard").distinct().collect()}) >= 2 and len(want) == len(packed)
+    assert {r.slot: bytes(r.record) for r in training_order.read_records(spark, path, **options).collect()} == want
+
+
 def test_digest_columns_of_the_queries(spark, tmp_path):
     from logloom.llm.queries import QUERIES
 

@@ -1,10 +1,13 @@
-"""Personal data: fixed patterns, and more identifiers found through the words before them.
+"""Personal data: fixed patterns, and more identifiers found through the words around them.
 
 The matches of the fixed patterns are seeds. A cue is a word with ``:``, ``=`` or ``#`` behind
-it; whatever follows it, personal or not, is an instance of that cue. Cues and instances form
+it, the one to three words before a unit of text, or the one or two after it. Units are
+identifiers, groups of digits and words in any script; punctuation between them is no part of
+a cue. Whatever stands at a cue, personal or not, is an instance of it. Cues and instances form
 a graph that is scored in rounds: a cue by the mean confidence of its instances, an instance
 that is no seed by its best cue. Cues with enough seeds and a high score discover what stands
-behind them and looks like an identifier, though no fixed pattern knows it.
+at them, though no fixed pattern knows it. Cues with fewer seeds never count, so instances are
+only gathered for the others. Cues and instances are told apart by 64-bit hashes.
 
 All of it is DataFrame expressions. Matches are placed by the lengths of what lies between
 them. The patterns are the fixed ones with possessive repeats and starts only where a run of
@@ -32,6 +35,11 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _CUE = r"""(?<![A-Za-z_.-])[A-Za-z][A-Za-z_.-]*+\x20?[:=#]\x20?["']?"""
 _CUED = _CUE + r"""[A-Za-z0-9+(][^\s"',;|]*+(?:\x20[().0-9-]++)*+"""
 
+_CORE = r"""[^\s\p{Z},;|<>"'!?:=#]"""
+_NUMBER = rf"[+(]*+[0-9][().0-9-]*+(?!{_CORE})(?:(?<=[0-9)])\x20[().-]*+[0-9][().0-9-]*+(?!{_CORE}))*+"
+_WORD = rf"(?:[+(]++(?=[0-9])|[\p{{L}}\p{{N}}_]){_CORE}*+"
+_UNIT = rf"{_PHONE}(?![0-9])|{_EMAIL}|{_IP}(?!\.?{_CORE})|{_CARD}(?!\.?[^\s\p{{Z}},;|<>\"'!?:=#).])|{_NUMBER}|{_WORD}"
+
 
 def _placed(text: Column, pattern: str, known: Column) -> Column:
     """Array of ``(start, m)`` for the matches of ``pattern``; ``known`` tells texts that can have one."""
@@ -112,36 +120,71 @@ def cued(text: Column) -> Column:
     return F.transform(_placed(text, _CUED, able), one)
 
 
-def discovered(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, least_score: float = 0.7) -> DataFrame:
-    """``cue, value`` pairs that high-confidence cues discover in ``edges(cue, value, seed)``.
+def _is_seed(value: Column) -> Column:
+    """Whether a fixed pattern knows the whole unit."""
+    n = F.length(_digits(value))
+    address = value.rlike(f"^(?:{_EMAIL})$") | value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
+    number = value.rlike(f"^{_CARD}$") & _is_card(value) | value.rlike(f"^{_PHONE}$") & n.between(9, 15)
+    return F.when(value.rlike("[0-9@]"), F.contains(value, F.lit("@")) & address | (n >= 4) & (address | number)).otherwise(
+        F.lit(False)
+    )
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """``row, at, n, key, seed, cues`` for the units ``u`` of ``rows``: length, hash, hashes of the words around."""
+    found = rows.filter(F.size("u") > 1)
+    none = F.lit(None).cast("string")
+    here = {f"b{k}": F.concat(F.array_repeat(none, k), F.col("u")) for k in (1, 2, 3)}
+    here |= {f"a{k}": F.slice("u", k + 1, F.size("u")) for k in (1, 2)}
+    both = found.select("row", F.size("u").alias("size"), F.arrays_zip(F.col("u"), *[c.alias(k) for k, c in here.items()]).alias("z"))
+    each = both.select("row", "size", F.posexplode("z").alias("at", "x")).filter("at < size")
+    word = {k: F.lower(F.btrim(F.col("x")[k], F.lit(" ().!?-_"))) for k in here}
+    known = {"b1": ["b1"], "b2": ["b2", "b1"], "b3": ["b3", "b2", "b1"], "a1": ["a1"], "a2": ["a1", "a2"]}
+    whole = lambda names: F.coalesce(*[F.when(F.col("x")[k].isNull(), True) for k in names], F.lit(False))
+    cues = [F.when(~whole(w), F.xxhash64(F.lit(k), *[word[j] for j in w])) for k, w in known.items()]
+    value = F.rtrim(F.col("x")["u"], F.lit(" ().!?-"))
+    made = each.select(
+        "row", "at", F.length(value).alias("n"), F.xxhash64(value).alias("key"), _is_seed(value).alias("seed"), F.array(*cues).alias("cues")
+    )
+    return made.filter("n > 0")
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    each = found.select("row", "at", "n", "key", "seed", F.explode("cues").alias("cue"))
+    return each.filter("cue IS NOT NULL")
+
+
+def scored_cues(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, least_score: float = 0.7) -> DataFrame:
+    """``cue``: those that may discover something, from ``edges(cue, value, seed)``.
 
     ``edges`` has a row for each cue and instance; ``seed`` tells instances that fixed
     patterns know. A cue needs ``least_seeds`` different seeds and ``least_score``.
     """
-    values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("conf"))
-    scored = None
-    for _ in range(rounds):
-        joined = edges.join(values, "value")
-        scored = joined.groupBy("cue").agg(
-            F.avg("conf").alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds")
-        )
-        scored = scored.filter((F.col("seeds") >= least_seeds))
-        best = edges.join(scored, "cue", "left").groupBy("value")
-        values = best.agg(
-            F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("score"), F.lit(0.0))).alias("conf")
-        )
-    good = scored.filter(F.col("score") >= least_score).select("cue")
-    return edges.filter("NOT seed").join(good, "cue", "left_semi").select("cue", "value")
-
-
-def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    seed = F.col("seed").cast("double")
+    conf, scored = edges.withColumn("conf", seed), None
+    for i in range(rounds):
+        mean = conf.groupBy("cue").agg(F.avg("conf").alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+        scored = stage(mean.filter(F.col("seeds") >= least_seeds).select("cue", "score"))
+        if i + 1 < rounds:
+            # a seed's confidence is 1 whatever its cues are, so only other instances meet their cues
+            other = edges.filter("NOT seed").join(F.broadcast(scored), "cue")
+            best = other.groupBy("value").agg(F.max("score").alias("best"))
+            conf = edges.join(best, "value", "left").withColumn("conf", F.greatest(seed, F.coalesce("best", F.lit(0.0))))
+    return scored.filter(F.col("score") >= least_score).select("cue")
+
+
+def find_pii(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_seeds: int = 3
+) -> DataFrame:
     """One row per row of ``df``: ``id`` and ``spans``, an array of ``(start, rank, end, kind)``.
 
     Base spans have ranks 0 to 3, discovered ones rank 4 and kind ``context``; these never
     overlap a base span. What the texts hold is staged in the shared folder.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    found = df.select(F.col(id_column).alias("id"), base_spans(text).alias("base"), cued(text).alias("cued"))
+    found = df.select(F.col(id_column).alias("id"), text.alias("text"))
+    u = F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0)).alias("u")
+    found = found.select("id", "text", base_spans(F.col("text")).alias("base"), cued(F.col("text")).alias("cued"), u)
     rows = stage(found.withColumn("row", F.monotonically_increasing_id()))
 
     def hit(c: Column, base: Column) -> Column:
@@ -152,22 +195,49 @@ def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
     named = marked.select(
         "row",
-        F.col("x.c.cue").alias("cue"),
-        F.col("x.c.value").alias("value"),
+        F.xxhash64(F.lit("label"), F.col("x.c.cue")).alias("cue"),
+        F.xxhash64("x.c.value").alias("value"),
         F.col("x.c.start").alias("start"),
         F.col("x.c.end").alias("end"),
         F.col("x.seed").alias("seed"),
     )
-    edges = stage(named.groupBy("cue", "value").agg(F.max("seed").alias("seed")))
-    like = F.contains(F.col("value"), F.lit("@")) | (F.length(_digits(F.col("value"))) >= 4)
-    new = stage(discovered(edges).filter(like))
-    more = named.filter("NOT seed").join(new, ["cue", "value"], "left_semi")
-    more = more.select(
+    around = units(rows)
+    seeds = _edges(around.filter("seed")).select("cue", "key").distinct()
+    seeded = stage(seeds.groupBy("cue").count().filter(F.col("count") >= least_seeds).select("cue"))
+    near = _edges(around).join(F.broadcast(seeded), "cue", "left_semi")
+    near = near.select("cue", F.col("key").alias("value"), "seed").distinct()
+    labels = named.groupBy("cue", "value").agg(F.max("seed").alias("seed"))
+    edges = stage(near.unionByName(labels))
+    good = stage(scored_cues(edges, least_seeds=least_seeds))
+    new = edges.filter("NOT seed").join(F.broadcast(good), "cue", "left_semi").select("cue", "value")
+    more = named.filter("NOT seed").join(F.broadcast(good), "cue", "left_semi").join(new, ["cue", "value"], "left_semi")
+    more = more.select("row", "start", "end")
+
+    # Places are summed up only for texts in which something was discovered.
+    at = _edges(around).join(F.broadcast(good), "cue", "left_semi").filter("NOT seed")
+    at = at.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
+    size = F.zip_with(
+        F.split("text", _UNIT, -1), F.col("u"),
+        lambda b, u: F.struct(F.length(b).alias("b"), F.coalesce(F.length(u), F.lit(0)).alias("u")),
+    )
+    sized = rows.join(at, F.col("row") == F.col("__row")).select("row", "base", "hits", size.alias("size"))
+
+    def place(h: Column) -> Column:
+        before = F.slice("size", F.lit(1), h["at"])
+        start = F.aggregate(before, F.lit(0), lambda n, x: n + x["b"] + x["u"]) + F.col("size")[h["at"]]["b"]
+        return F.struct(start.alias("start"), (start + h["n"]).alias("end"))
+
+    placed = sized.select("row", "base", F.explode(F.transform("hits", place)).alias("c"))
+    placed = placed.filter(~hit(F.col("c"), F.col("base"))).select("row", "c.start", "c.end")
+    more = more.unionByName(placed).select(
         "row", F.struct("start", F.lit(4).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).alias("span")
     )
     more = more.groupBy(F.col("row").alias("__row")).agg(F.collect_set("span").alias("more"))  # spans of one text
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)
+    outer = F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y)))
+    more = more.select("__row", outer.alias("more"))
     both = rows.join(more, F.col("row") == F.col("__row"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     result = stage(both.select("id", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans")))
-    unstage(rows, edges, new)
+    unstage(rows, seeded, edges, good)
     return result

@@ -143,6 +143,28 @@ def test_personal_data_as_regular_expressions_and_contexts(spark):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_personal_data_in_prose_contexts(spark):
+    found = {
+        "You may call {} tonight": ("+1 (743) 555-30{}", "555-12345"),
+        "so mail me at {}": ("user{}@example.com", "jane at-example"),
+        "Phone (home): {}": ("+1 (743) 555-31{}", "(555) 12-345"),
+        "телефон:{}": ("+7 (743) 555-32{}", "555-777-1"),
+        "{} was my card": ("41111111111111{}", "7777-8888"),
+    }
+    texts, want = [], {}
+    for form, (seed, unseen) in found.items():
+        luhny = [c for i in range(10, 100) if luhn(c := re.sub("[^0-9]", "", seed.format(i))) or "card" not in form]
+        texts += [f"w{i} " * 5 + form.format(seed.format(luhny[i][-2:] if "card" in form else 10 + i)) for i in range(9)]
+        value = unseen.split(" at-")[0]
+        texts.append("some other text é " + form.format(unseen))
+        want[len(texts) - 1] = [(pii.CONTEXT, texts[-1].index(value), texts[-1].index(value) + len(value))]
+    texts += [f"the {x}" for x in ("555-12345", "house", "+1 (743) 555-9999", "tree", "a@b.cc", "road", "1.2.3.4", "sea")]
+    texts += [f"the thing{c}" for c in "abcdefghijkl"]
+    for r in pii.find_pii(frame(spark, texts)).collect():
+        spans = [(s["kind"], s["start"], s["end"]) for s in r.spans if s["kind"] == pii.CONTEXT]
+        assert spans == want.get(r.id, []), texts[r.id]
+
+
 def test_rule_counts_by_brute_force():
     rng = random.Random(3)
     for _ in range(300):

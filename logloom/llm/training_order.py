@@ -78,7 +78,7 @@ class _Stream:
         padded = np.full(n * self.length, self.end_id, dtype=np.int64)
         used = min(n * self.length, len(self.tokens))
         padded[:used] = self.tokens[:used]
-        out = self.ids.take(pa.array(of)), start - self.at[of], documents, stop - start, padded.reshape(n, -1)
+        out = self.ids.take(pa.array(of)), start - self.at[of], documents, stop - start, padded.reshape(n, self.length)
         rest = np.searchsorted(self.at, used, "right") - 1 if used < len(self.tokens) else len(self.at)
         self.tokens, self.at, self.ids = self.tokens[used:], self.at[rest:] - used, self.ids.slice(rest)
         return out
@@ -105,15 +105,16 @@ def sequences(
         task, number, stream = TaskContext.get().partitionId(), 0, None
         pack = zstandard.ZstdCompressor(level=3).compress
 
-        def rows(last: bool = False) -> pa.RecordBatch:
+        def rows(last: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal number
             ids, start, documents, tokens, padded = stream.take(last)
-            n = len(start)
+            if not (n := len(start)):
+                return
             packed = [pack(r.tobytes()) for r in padded.astype(kind)]
             columns = [np.full(n, task, np.int32), np.arange(number, number + n), start, documents, tokens]
             number += n
             made = [pa.array(c, pa.int64()) for c in columns[1:]]
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0]), made[0], ids, *made[1:], pa.array(packed, pa.binary())], names
             )
 
@@ -122,9 +123,9 @@ def sequences(
                 if stream is None:
                     stream = _Stream(length, end_id, part.column(0).slice(0, 0))
                 stream.add(*encoder(vocabulary).encode(part.column(1)), part.column(0))
-                yield rows()
+                yield from rows()
         if stream is not None:
-            yield rows(last=True)
+            yield from rows(last=True)
 
     id_kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
@@ -169,7 +170,7 @@ def write_shards(
             raw = [unpacked(z) for z in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], ["shard", "slot", "value"])
 
-    dealt = placed.repartition(shards, "shard").select("shard", "slot", "packed")
+    dealt = placed.repartitionById(shards, F.col("shard")).select("shard", "slot", "packed")  # a range of slots a task
     records = dealt.mapInArrow(unpack, "shard int, slot long, value binary")
     # The sort comes last: behind a Python step the writer would sort by shard once more and, on spills, lose the slots' order.
     ordered = records.sortWithinPartitions("shard", "slot")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
 import public_tokenizers
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm import (
     bpe,
+    hard_negatives,
+    merkle,
     neighbour_graph,
     ngram_join,
     packing,
@@ -17,6 +20,7 @@ from logloom.llm import (
     rule_quality,
     secret_scan,
     sharding,
+    spherical_filters,
     token_counts,
     training_order,
 )
@@ -147,6 +151,102 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = spherical_filters.near_duplicates(_table(spark, sf, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
+_OP11_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS z FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.z) = len(b.z) AND list_cosine_similarity(a.z, b.z) >= 0.98),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT reach.d, links.b FROM reach JOIN links ON reach.r = links.a),
+found AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN found ON d = vec_id
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth vector's hard negatives; every seventh has a wrong label."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf, "embeddings").withColumn("label", wrong)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+_OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  [floor(256 * x::DOUBLE) FOR x IN embedding] AS z FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.z, b.z)::BIGINT AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+wins AS (SELECT a, b AS p, s AS ps FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, b AS negative_id, ps AS positive_score, s AS negative_score,
+  row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b)::INTEGER AS rank
+FROM wins JOIN met USING (a) WHERE NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps QUALIFY rank <= 10
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's proof; a fifth of them is read with its text in lower case."""
+    shown = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    proved = merkle.manifest(
+        _table(spark, sf, "documents"),
+        shown=[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [shown],
+        changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+    )
+    return proved.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.col("proof").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+  lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+_OP13_SQL = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC_SQL} % 5 = 0 THEN
+  {_leaf_sql(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} END AS changed FROM documents),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+sub AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM placed UNION ALL
+  SELECT tree, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM sub WHERE n > 1
+  GROUP BY tree, level, i // 16, n),
+roots AS (SELECT tree AS i, h AS subroot, max(level) OVER () AS height FROM sub WHERE n = 1),
+top AS (SELECT 0 AS level, i, count(*) OVER () AS n, subroot AS h FROM roots UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1
+  GROUP BY level, i // 16, n),
+near AS (SELECT doc_id, level, coalesce(string_agg(h, '' ORDER BY s.i) FILTER (WHERE s.i < (p.i >> (4 * level))), '') AS before,
+  coalesce(string_agg(h, '' ORDER BY s.i) FILTER (WHERE s.i > (p.i >> (4 * level))), '') AS after
+  FROM placed p JOIN sub s ON s.tree = p.tree AND s.n > 1 AND s.i // 16 = (p.i >> (4 * level + 4)) GROUP BY doc_id, level
+  UNION ALL SELECT doc_id, 1000 + level, coalesce(string_agg(h, '' ORDER BY s.i) FILTER (WHERE s.i < (p.tree >> (4 * level))), ''),
+  coalesce(string_agg(h, '' ORDER BY s.i) FILTER (WHERE s.i > (p.tree >> (4 * level))), '')
+  FROM placed p JOIN top s ON s.n > 1 AND s.i // 16 = (p.tree >> (4 * level + 4)) GROUP BY doc_id, level),
+paths AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY level)) AS proof,
+  list(before || ':' || after ORDER BY level) AS path FROM near GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, t.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM (SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), coalesce(path, [])),
+  lambda a, x: sha256(split_part(x, ':', 1) || a || split_part(x, ':', 2))) AS folded_root
+  FROM placed LEFT JOIN paths USING (doc_id)) p
+JOIN roots r ON r.i = p.tree JOIN (SELECT h FROM top WHERE n = 1) t ON true
+"""
+
+
 def _kind_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
     """Spans of one kind: the pieces between the matches give the places."""
     p = pattern.replace("'", "''")
@@ -188,6 +288,15 @@ QUERIES = {
     "op8_stratified_shards": op8_stratified_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_personal_data": op10_personal_data,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE = {"op3_ngram_jaccard": _OP3_SQL, "op5_secret_scan": _OP5_SQL}
+ORACLE = {
+    "op3_ngram_jaccard": _OP3_SQL,
+    "op5_secret_scan": _OP5_SQL,
+    "op11_embedding_near_dedup": _OP11_SQL,
+    "op12_hard_negatives": _OP12_SQL,
+    "op13_merkle_manifest": _OP13_SQL,
+}

@@ -6,7 +6,8 @@ identifiers, groups of digits and words in any script; punctuation between them
 a cue. Whatever stands at a cue, personal or not, is an instance of it. Cues and instances form
 a graph that is scored in rounds: a cue by the mean confidence of its instances, an instance
 that is no seed by its best cue. Cues with enough seeds and a high score discover what stands
-at them, though no fixed pattern knows it. Cues with fewer seeds never count, so instances are
+at them, though no fixed pattern knows it. Cues with fewer seeds than ``least_seeds``, or with a
+smaller part of them among their instances than ``least_share``, never count, so instances are
 only gathered for the others. Cues and instances are told apart by 64-bit hashes.
 
 All of it is DataFrame expressions. Matches are placed by the lengths of what lies between
@@ -131,27 +132,27 @@ def _is_seed(value: Column) -> Column:
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """``row, at, n, key, seed, cues`` for the units ``u`` of ``rows``: length, hash, hashes of the words around."""
-    found = rows.filter(F.size("u") > 1)
-    none = F.lit(None).cast("string")
-    here = {f"b{k}": F.concat(F.array_repeat(none, k), F.col("u")) for k in (1, 2, 3)}
-    here |= {f"a{k}": F.slice("u", k + 1, F.size("u")) for k in (1, 2)}
-    both = found.select("row", F.size("u").alias("size"), F.arrays_zip(F.col("u"), *[c.alias(k) for k, c in here.items()]).alias("z"))
-    each = both.select("row", "size", F.posexplode("z").alias("at", "x")).filter("at < size")
-    word = {k: F.lower(F.btrim(F.col("x")[k], F.lit(" ().!?-_"))) for k in here}
-    known = {"b1": ["b1"], "b2": ["b2", "b1"], "b3": ["b3", "b2", "b1"], "a1": ["a1"], "a2": ["a1", "a2"]}
-    whole = lambda names: F.coalesce(*[F.when(F.col("x")[k].isNull(), True) for k in names], F.lit(False))
-    cues = [F.when(~whole(w), F.xxhash64(F.lit(k), *[word[j] for j in w])) for k, w in known.items()]
-    value = F.rtrim(F.col("x")["u"], F.lit(" ().!?-"))
-    made = each.select(
-        "row", "at", F.length(value).alias("n"), F.xxhash64(value).alias("key"), _is_seed(value).alias("seed"), F.array(*cues).alias("cues")
-    )
-    return made.filter("n > 0")
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    each = found.select("row", "at", "n", "key", "seed", F.explode("cues").alias("cue"))
-    return each.filter("cue IS NOT NULL")
+    """``row, at, n, key, seed, cue`` for the units ``u`` of ``rows``: length, hash, and one row for each cue around a unit."""
+    word = F.transform("u", lambda x: F.xxhash64(F.lower(F.btrim(x, F.lit(" ().!?-_")))))
+    value = F.transform("u", lambda x: F.rtrim(x, F.lit(" ().!?-")))
+    made = rows.filter(F.size("u") > 1).select("row", "seeds", word.alias("w"), value.alias("v"), F.size("u").alias("size"))
+    none = F.lit(None).cast("long")
+    parts = {
+        "seed": F.col("seeds"),
+        "n": F.transform("v", F.length),
+        "key": F.transform("v", lambda x: F.xxhash64(x)),
+        **{f"b{k}": F.concat(F.array_repeat(none, k), "w") for k in (1, 2, 3)},
+        **{f"a{k}": F.slice("w", k + 1, F.col("size")) for k in (1, 2)},
+    }
+    each = made.select("row", "size", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in parts.items()])).alias("at", "x"))
+    each = each.filter((F.col("at") < F.col("size")) & (F.col("x.n") > 0))
+    around = {"b1": ["b1"], "b2": ["b2", "b1"], "b3": ["b3", "b2", "b1"], "a1": ["a1"], "a2": ["a1", "a2"]}
+    # the farthest word is there only if those between are
+    cues = [
+        F.when(F.col("x")[max(w)].isNotNull(), F.xxhash64(F.lit(k), *[F.col("x")[j] for j in w])) for k, w in around.items()
+    ]
+    found = each.select("row", "at", "x.n", "x.key", "x.seed", F.explode(F.array(*cues)).alias("cue"))
+    return found.filter("cue IS NOT NULL")
 
 
 def scored_cues(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, least_score: float = 0.7) -> DataFrame:
@@ -167,14 +168,18 @@ def scored_cues(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, least_s
         scored = stage(mean.filter(F.col("seeds") >= least_seeds).select("cue", "score"))
         if i + 1 < rounds:
             # a seed's confidence is 1 whatever its cues are, so only other instances meet their cues
-            other = edges.filter("NOT seed").join(F.broadcast(scored), "cue")
+            other = edges.filter("NOT seed").join(scored, "cue")
             best = other.groupBy("value").agg(F.max("score").alias("best"))
             conf = edges.join(best, "value", "left").withColumn("conf", F.greatest(seed, F.coalesce("best", F.lit(0.0))))
     return scored.filter(F.col("score") >= least_score).select("cue")
 
 
 def find_pii(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_seeds: int = 3
+    df: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    least_seeds: int = 3,
+    least_share: float = 0.1,
 ) -> DataFrame:
     """One row per row of ``df``: ``id`` and ``spans``, an array of ``(start, rank, end, kind)``.
 
@@ -185,7 +190,8 @@ def find_pii(
     found = df.select(F.col(id_column).alias("id"), text.alias("text"))
     u = F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0)).alias("u")
     found = found.select("id", "text", base_spans(F.col("text")).alias("base"), cued(F.col("text")).alias("cued"), u)
-    rows = stage(found.withColumn("row", F.monotonically_increasing_id()))
+    seeds = F.transform("u", lambda x: _is_seed(F.rtrim(x, F.lit(" ().!?-"))))
+    rows = stage(found.withColumn("seeds", seeds).withColumn("row", F.monotonically_increasing_id()))
 
     def hit(c: Column, base: Column) -> Column:
         return F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -202,19 +208,27 @@ def find_pii(
         F.col("x.seed").alias("seed"),
     )
     around = units(rows)
-    seeds = _edges(around.filter("seed")).select("cue", "key").distinct()
-    seeded = stage(seeds.groupBy("cue").count().filter(F.col("count") >= least_seeds).select("cue"))
-    near = _edges(around).join(F.broadcast(seeded), "cue", "left_semi")
-    near = near.select("cue", F.col("key").alias("value"), "seed").distinct()
+    seeded = units(rows.filter(F.exists("seeds", lambda x: x))).filter("seed").select("cue", "key").distinct()
+    seeded = stage(seeded.groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= least_seeds))
+    # A cue has at least as many instances as cells of a bitmap they fall into. Where that many are too many for
+    # its seeds, its instances aren't gathered; bitmaps are united before they are shuffled.
+    cell = F.bitmap_bit_position(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)))
+    cells = around.join(seeded.select("cue"), "cue", "left_semi").groupBy("cue")
+    cells = cells.agg(F.bitmap_count(F.bitmap_construct_agg(cell)).alias("cells"))
+    able = stage(cells.join(seeded, "cue").filter(F.col("seeds") >= least_share * F.col("cells")).select("cue"))
+    near = around.join(able, "cue", "left_semi")
+    near = stage(near.select("cue", F.col("key").alias("value"), "seed").distinct())
+    shares = near.groupBy("cue").agg(F.avg(F.col("seed").cast("double")).alias("share")).filter(F.col("share") >= least_share)
+    likely = near.join(shares.select("cue"), "cue", "left_semi")
     labels = named.groupBy("cue", "value").agg(F.max("seed").alias("seed"))
-    edges = stage(near.unionByName(labels))
+    edges = stage(likely.unionByName(labels))
     good = stage(scored_cues(edges, least_seeds=least_seeds))
-    new = edges.filter("NOT seed").join(F.broadcast(good), "cue", "left_semi").select("cue", "value")
-    more = named.filter("NOT seed").join(F.broadcast(good), "cue", "left_semi").join(new, ["cue", "value"], "left_semi")
+    new = edges.filter("NOT seed").join(good, "cue", "left_semi").select("cue", "value")
+    more = named.filter("NOT seed").join(good, "cue", "left_semi").join(new, ["cue", "value"], "left_semi")
     more = more.select("row", "start", "end")
 
     # Places are summed up only for texts in which something was discovered.
-    at = _edges(around).join(F.broadcast(good), "cue", "left_semi").filter("NOT seed")
+    at = around.filter("NOT seed").join(good, "cue", "left_semi")
     at = at.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
     size = F.zip_with(
         F.split("text", _UNIT, -1), F.col("u"),
@@ -239,5 +253,5 @@ def find_pii(
     both = rows.join(more, F.col("row") == F.col("__row"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     result = stage(both.select("id", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans")))
-    unstage(rows, seeded, edges, good)
+    unstage(rows, seeded, able, near, edges, good)
     return result

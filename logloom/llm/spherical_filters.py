@@ -186,7 +186,7 @@ def near_duplicates(
     vector_column: str = "embedding",
     label_column: str = "label",
     codes: int = 2,
-    deviations: float = 5.0,
+    deviations: float = 3.0,
     filter_rows: int = 16,
     block_rows: int = 512,
     seed: int = 17,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from logloom.llm import merkle, queries
+from logloom.llm import hard_negatives, merkle, queries, spherical_filters
 
 
 def sha(*parts: str) -> str:
@@ -98,3 +101,149 @@ def test_manifest_of_narrow_ranges_and_other_fan(spark, tmp_path):
 def test_manifest_of_equal_rows_and_empty_table(spark, tmp_path):
     check_manifest(spark, tmp_path, [(7, "s", None, None, "Q")] * 40)
     check_manifest(spark, tmp_path, [])
+
+
+def clustered(seed: int, n: int, dim: int, families: int, spread: float) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(families, dim))
+    x = middles[rng.integers(0, families, n)] + spread * rng.normal(size=(n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def links_of(vectors, labels, cosine):
+    """Neighbours of every row by all pairs of one label."""
+    good = [
+        v is not None and labels[i] is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        for i, v in enumerate(vectors)
+    ]
+    units = [np.array(v, dtype=float) / np.linalg.norm(np.array(v, dtype=float)) if ok else None for v, ok in zip(vectors, good)]
+    links = []
+    for i, x in enumerate(units):
+        for j in range(i):
+            y = units[j]
+            if x is not None and y is not None and labels[i] == labels[j] and len(x) == len(y) and x @ y >= cosine:
+                links.append((i, j))
+    return links
+
+
+def components_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+def check_near_duplicates(spark, vectors, labels, cosine=0.98, recall=1.0, kind="float", **options):
+    rows = [(i, v, None if l is None else int(l), "x", b"y") for i, (v, l) in enumerate(zip(vectors, labels))]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, node string, raw binary")
+    got = {r.id: r for r in spherical_filters.near_duplicates(table.repartition(3), cosine, **options).collect()}
+    links = links_of(vectors, labels, cosine)
+    want = Counter(x for link in links for x in link)
+    assert len(got) == len(rows)
+    found = sum(r.n_links for r in got.values())
+    assert all(r.n_links <= want[i] for i, r in got.items()), "no pair twice, none below the cosine"
+    assert found >= recall * 2 * len(links)
+    if recall == 1:
+        assert [got[i].component_id for i in range(len(rows))] == components_of(len(rows), links)
+
+
+def test_near_duplicates_by_brute_force(spark):
+    x = [v.tolist() for v in clustered(3, 900, 24, 60, 0.03)]
+    labels = np.random.default_rng(4).integers(0, 3, len(x)).tolist()
+    x[5], x[6], x[7], x[8] = None, [0.0] * 24, [float("nan")] * 24, [None] + [1.0] * 23
+    x[9], labels[10], x[11] = [], None, [float("inf")] + [0.0] * 23
+    x[12], x[13] = [1.0, 2.0], [1.0, 2.0]  # another length
+    labels[12] = labels[13] = 1
+    x += x[20:60]
+    labels += labels[20:60]
+    check_near_duplicates(spark, x, labels)
+    check_near_duplicates(spark, x, labels, kind="double", block_rows=8)
+    check_near_duplicates(spark, [], [])
+
+
+def test_near_duplicates_of_one_hot_family(spark):
+    x = clustered(5, 700, 32, 1, 0.025)
+    x = [v.tolist() for v in np.concatenate([x, clustered(6, 300, 32, 300, 0.1)])]
+    check_near_duplicates(spark, x, [1] * len(x), block_rows=64)
+    check_near_duplicates(spark, [x[0]] * 500, [1] * 500)
+
+
+def test_near_duplicates_recall_near_the_border(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.9801 * base + np.sqrt(1 - 0.9801**2) * other]).tolist()
+    check_near_duplicates(spark, x, [0] * len(x), recall=0.995, kind="double")
+
+
+def negatives_of(vectors, labels, anchors):
+    rows = [
+        (i, l, np.floor(256 * np.array(v, dtype=float)).astype(np.int64))
+        for i, (v, l) in enumerate(zip(vectors, labels))
+        if v is not None and l is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = []
+    for a, la, za in rows:
+        if a not in anchors:
+            continue
+        met = sorted((-int(za @ z), i, l) for i, l, z in rows if i != a)
+        for ps, p, _ in [m for m in met if m[2] == la][:5]:
+            ps = -ps
+            wins = [(i, -s) for s, i, l in met if l != la and 30 * ps <= -100 * s <= 90 * ps][:10]
+            out += [(a, p, r, i, ps, s) for r, (i, s) in enumerate(wins, 1)]
+    return sorted(out)
+
+
+def check_negatives(spark, vectors, labels, **options):
+    rows = [(i, v, l, "x", 0.5) for i, (v, l) in enumerate(zip(vectors, labels))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, block string, need double")
+    got = hard_negatives.mine(table.repartition(3), F.col("id") % 10 == 0, **options)
+    want = negatives_of(vectors, labels, set(range(0, len(rows), 10)))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    return len(want)
+
+
+def test_hard_negatives_by_brute_force(spark):
+    x = [v.tolist() for v in clustered(8, 600, 16, 12, 0.4)]
+    labels = np.random.default_rng(9).integers(0, 4, len(x)).tolist()
+    x[10], x[11], x[12], x[13], labels[14] = None, [float("nan")] * 16, [None] + [1.0] * 15, [0.0] * 16, None
+    x[20], labels[30] = [0.0] * 16, 77  # a zero anchor, one without positives
+    x += x[40:90] + x[40:60]  # ties
+    labels += labels[40:90] + labels[41:61]
+    assert check_negatives(spark, x, labels) > 1000
+    assert check_negatives(spark, x, labels, members=7, chunk_rows=50, probe=3) > 1000
+
+
+def test_hard_negatives_of_few_rows(spark):
+    assert check_negatives(spark, [], []) == 0
+    assert check_negatives(spark, [[1.0, 2.0]], [1]) == 0
+    assert check_negatives(spark, [[1.0, -1.0]] * 40, [1] * 40) == 0  # a third and more of all rows are copies
+    assert check_negatives(spark, [[-1.0, 0.5], [1.0, -0.5], [1.0, 0.1]] * 5, [1, 1, 2] * 5) >= 0
+
+
+def test_a_member_stops_where_nothing_can_count(monkeypatch):
+    """In clustered data a walk ends long before the list does."""
+    x = np.floor(256 * clustered(10, 4000, 16, 40, 0.05).astype(float))
+    candidates = pd.DataFrame({"id": np.arange(4000), "label": np.zeros(4000, np.int64), "z": [r.tobytes() for r in x]})
+    near = np.argsort(-(x @ x[0]))[:20]
+    asked = candidates.iloc[near].rename(columns={"id": "a"}).assign(block=0, low=-(1 << 62), high=1 << 62, need=-(1 << 62))
+    asked["p"] = asked["a"]
+    seen = []
+    rint = np.rint
+    monkeypatch.setattr(hard_negatives.np, "rint", lambda s: (seen.append(s.shape[1]), rint(s))[1])
+    found = hard_negatives._walk(candidates, asked, 5, True)
+    assert sum(seen) < len(x)
+    for a in near:
+        s = x @ x[a]
+        want = sorted((-s[i], i) for i in range(4000) if i != a)[:5]
+        got = found[found["a"] == a].sort_values(["score", "id"], ascending=[False, True])
+        assert [(-r.score, r.id) for r in got.itertuples()] == want

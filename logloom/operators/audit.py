@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.keyvalue import equals_lines, equals_pairs
+from logloom.functions.keyvalue import equals_pairs
 from logloom.functions.text import strip
 from logloom.operators.ordered import scan_prior
 
@@ -92,17 +92,20 @@ def audit_cases(lines: DataFrame) -> DataFrame:
     )
     marked = scanned.withColumn("block", block)
 
-    blocks = (
-        marked.filter(F.col("block").isNotNull())
-        .groupBy("source", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "value"))).alias("body"))
-        .withColumn("pairs", equals_lines(F.transform("body", lambda b: b["value"])))
+    # a block is only the last value of each of its keys, found without gathering its lines
+    pair = F.split(strip(value), "=", 2)
+    named = marked.filter(F.col("block").isNotNull() & (F.size(pair) == 2)).select(
+        "source", "block", strip(pair[0]).alias("key"), strip(pair[1]).alias("v"), here.alias("at")
     )
-    filled = F.size(F.filter(F.map_values("pairs"), lambda v: v != ""))
-    valid = (F.coalesce(F.col("pairs")["timestamp"], F.lit("")) != "") & (filled >= 2)
+    fields = named.groupBy("source", "block", "key").agg(F.max_by("v", "at").alias("v"))
+    blocks = fields.groupBy("source", "block").agg(
+        F.count_if(F.col("v") != "").alias("filled"),
+        *[F.max(F.when(F.col("key") == c, F.col("v"))).alias(c) for c in CASE_FIELDS],
+    )
+    valid = (F.coalesce("timestamp", F.lit("")) != "") & (F.col("filled") >= 2)
     from_blocks = blocks.filter(valid).select(
         "source", F.col("block.chunk").alias("chunk"), F.col("block.pos").alias("pos"),
-        F.lit(0).alias("part"), _case(F.col("pairs")).alias("case"),
+        F.lit(0).alias("part"), F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in CASE_FIELDS]).alias("case"),
     )
     from_pairs = (
         marked.filter("kind = 'pairs'")

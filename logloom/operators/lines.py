@@ -7,7 +7,7 @@ carried by ``scan_prior``, so one huge file is worked on by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.records import noise_line, stack_line, xml_closes, xml_opens
@@ -20,8 +20,10 @@ from logloom.functions.times import (
     normalize_level,
     timestamp_text,
 )
+from logloom.operators.bodies import FIRST_SEGMENTS, SEGMENT_BYTES, segment, segmented, united
 from logloom.operators.ordered import scan_prior
 from logloom.profiles import HeaderPattern, LogProfile
+from logloom.session import durable
 
 _SEP = "\u0001"
 
@@ -96,11 +98,14 @@ def _cut(value: Column, p: HeaderPattern) -> Column:
     return F.split(F.regexp_replace(value, f"(?s){p.regex}", _SEP.join(groups)), _SEP, 6)
 
 
-def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None = None) -> DataFrame:
+def attach_records(
+    lines: DataFrame, profile: LogProfile, base_date: str | None = None, segment_bytes: int = SEGMENT_BYTES
+) -> DataFrame:
     """Give every line its record and its part in it.
 
     Adds ``rec`` (chunk and position of the record's header line), ``ts`` on header
-    lines, and ``kind``: header, xml, stack or text. Lines before the first header
+    lines, ``kind``: header, xml, stack or text, and ``segment``, the line's place on a grid of
+    ``segment_bytes`` over the file. Lines before the first header
     get a null ``rec``. A clock-only header takes the date of the last header before
     it in the source, else ``base_date``; without either it is an ordinary line.
     """
@@ -113,8 +118,12 @@ def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None
         marker = marker.when(
             tagged, F.when(xml_closes(value), F.lit("closed")).when(xml_opens(value), F.lit("open"))
         )
+    # parsed once, by as many tasks as there are chunks; the scan reads its narrow columns twice
+    parsed = parse_headers(lines.repartition("source", "chunk"), profile).withColumns(
+        {"mark": marker, "size": F.octet_length(value)}
+    )
     scanned = scan_prior(
-        parse_headers(lines, profile).withColumn("mark", marker),
+        durable(parsed),
         ["source"],
         ["chunk"],
         ["pos"],
@@ -123,6 +132,7 @@ def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None
             "__rec": F.when(hdr.isNotNull(), here),
             "__mark": F.col("mark"),
         },
+        totals={"__bytes": F.col("size")},
     )
     date = F.coalesce("__date", F.lit(base_date).cast("date"))
     dated = scanned.withColumn("ts", F.coalesce(hdr["full_ts"], clock_on_date(hdr["clock"], date)))
@@ -141,56 +151,105 @@ def attach_records(lines: DataFrame, profile: LogProfile, base_date: str | None
         .otherwise(F.lit("text"))
     )
     return dated.select(
-        "source", "chunk", "pos", "value", "hdr", rec.alias("rec"), "ts", kind.alias("kind")
+        "source", "chunk", "pos", "value", "hdr", rec.alias("rec"), "ts", kind.alias("kind"),
+        segment(F.col("__bytes"), segment_bytes).alias("segment"),
     )
 
 
-def assemble(attached: DataFrame) -> DataFrame:
-    """One row per record: header parts, merged message, stack lines and XML text.
+_BODY = ("text", "stack", "xml")
+_HEAD = ("ts", "dated", "level", "thread", "logger", "pid", "head_message")
+
 
-    Lines of a chunk are together already, so most of a record is gathered map-side.
+def record_segments(attached: DataFrame) -> DataFrame:
+    """One row per record and segment of its body; a segment is bounded whatever the record is.
+
+    ``text``, ``stack`` and ``xml`` are the lines of the segment, ``n_text``, ``n_stack`` and ``n_xml``
+    their numbers; the parts of the header are in the record's first segment.
     """
 
     def head(c: Column) -> Column:
-        return F.max(F.when(F.col("kind") == "header", c))
-
-    def gather(kind: str, c: Column) -> Column:
-        return F.sort_array(
-            F.collect_list(F.when(F.col("kind") == kind, F.struct("chunk", "pos", c.alias("value"))))
-        ).alias(kind)
-
-    grouped = (
-        attached.filter(F.col("rec").isNotNull())
-        .groupBy("source", "rec")
-        .agg(
-            head(F.col("ts")).alias("ts"),
-            head(F.col("hdr.level")).alias("level"),
-            head(F.col("hdr.thread")).alias("thread"),
-            head(F.col("hdr.logger")).alias("logger"),
-            head(F.col("hdr.pid")).alias("pid"),
-            head(F.col("hdr.message")).alias("head_message"),
-            gather("text", strip(F.col("value"))),
-            gather("stack", F.col("value")),
-            gather("xml", F.col("value")),
-        )
-    )
-    message = F.array_join(F.concat(F.array("head_message"), F.col("text.value")), " ")
+        return F.when(F.col("kind") == "header", c)
+
+    def of(kind: str, c: Column) -> Column:
+        return F.when(F.col("kind") == kind, c)
+
+    heads = {
+        "ts": head(F.col("ts")),
+        "dated": head(F.col("hdr.full_ts").isNotNull()),
+        **{c: head(F.col(f"hdr.{c}")) for c in ("level", "thread", "logger", "pid")},
+        "head_message": head(F.col("hdr.message")),
+    }
+    parts = {"text": of("text", strip(F.col("value"))), "stack": of("stack", F.col("value")), "xml": of("xml", F.col("value"))}
+    return segmented(attached.filter(F.col("rec").isNotNull()), ["source", "rec"], ["chunk", "pos"], parts, heads)
+
+
+def assemble(attached: DataFrame, first_segments: int = FIRST_SEGMENTS) -> DataFrame:
+    """One row per record: header parts, merged message, stack lines and XML text.
+
+    ``n_lines`` counts all lines behind the header. Texts come from the first segments of the body; where there are
+    more, ``cut`` is true and ``record_segments`` has the rest.
+    """
+    grouped = united(record_segments(attached), ["source", "rec"], _BODY, _HEAD, first_segments)
+    message = F.array_join(F.concat(F.array("head_message"), F.col("text")), " ")
     return grouped.select(
         "source",
         F.col("rec.chunk").alias("chunk"),
         F.col("rec.pos").alias("pos"),
         "ts",
         iso_millis(F.col("ts")).alias("timestamp"),
+        "dated",
         "level",
         "thread",
         "logger",
         "pid",
         strip(message).alias("message"),
-        F.col("stack.value").alias("stack"),
-        F.when(F.size("xml") > 0, F.array_join(F.col("xml.value"), "\n")).alias("xml_content"),
+        "stack",
+        F.when(F.size("xml") > 0, F.array_join("xml", "\n")).alias("xml_content"),
+        (F.col("n_text") + F.col("n_stack") + F.col("n_xml")).alias("n_lines"),
+        "cut",
     )
 
 
+def roll_over_midnight(records: DataFrame, hours: int = 12) -> DataFrame:
+    """Move records whose header has only a clock on by the midnights passed since the last dated one.
+
+    A midnight has passed where such a clock lies more than ``hours`` before the clock of the record before it.
+    Chunks are scanned by themselves; each is then summed up by its first and last clock, the midnights in it and
+    those since its last dated record, and these states are composed from chunk to chunk.
+    """
+    clock = F.unix_micros(F.col("ts").cast("timestamp")) % F.lit(86_400_000_000)
+    in_chunk = Window.partitionBy("source", "chunk").orderBy("pos")
+    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = lambda before, now: (before - now > F.lit(hours * 3_600_000_000)).cast("long")
+    dated = F.col("dated")
+    rows = records.withColumn("__clock", clock).withColumn("__before", F.lag("__clock").over(in_chunk))
+    rows = rows.withColumn("__roll", F.when(dated, F.lit(0)).otherwise(F.coalesce(passed(F.col("__before"), F.col("__clock")), F.lit(0))))
+    rows = rows.withColumn("__rolls", F.sum("__roll").over(so_far))
+    rows = rows.withColumn("__at", F.last(F.when(dated, F.col("__rolls")), ignorenulls=True).over(so_far))
+
+    end = F.struct("pos")
+    chunks = rows.groupBy("source", "chunk").agg(
+        F.min_by("__clock", end).alias("first"), F.max_by("__clock", end).alias("last"),
+        F.min_by("dated", end).alias("starts_dated"), F.max("__rolls").alias("rolls"), F.max("__at").alias("at"),
+    )
+    of_source = Window.partitionBy("source").orderBy("chunk")
+    before = of_source.rowsBetween(Window.unboundedPreceding, -1)
+    edge = passed(F.lag("last").over(of_source), F.col("first"))
+    chunks = chunks.withColumn("edge", F.when(F.col("starts_dated"), F.lit(0)).otherwise(F.coalesce(edge, F.lit(0))))
+    # midnights up to the end of each chunk, and up to the last dated record at its end
+    chunks = chunks.withColumn("total", F.sum(F.col("edge") + F.col("rolls")).over(of_source))
+    chunks = chunks.withColumn("seen", F.col("total") - F.col("rolls") + F.col("at"))
+    carried = chunks.select(
+        F.col("source").alias("__source"), F.col("chunk").alias("__chunk"),
+        (F.col("total") - F.col("rolls") - F.coalesce(F.last("seen", ignorenulls=True).over(before), F.lit(0))).alias("__days"),
+    )
+    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("chunk").eqNullSafe(F.col("__chunk"))
+    days = F.when(F.col("__at").isNotNull(), F.col("__rolls") - F.col("__at")).otherwise(F.col("__days") + F.col("__rolls"))
+    moved = rows.join(carried, same, "left").withColumn("ts", F.col("ts") + F.make_interval(days=days.cast("int")))
+    out = moved.withColumn("timestamp", iso_millis(F.col("ts"))) if "timestamp" in records.columns else moved
+    return out.select(*records.columns)
+
+
 def line_census(lines: DataFrame, profile: LogProfile, base_date: str | None = None) -> DataFrame:
     """Lines per role: noise, header, xml, stack, text, orphan."""
     quiet = drop_noise(lines, profile)

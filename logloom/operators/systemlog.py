@@ -10,20 +10,26 @@ from logloom.functions import saml
 from logloom.functions.text import complexity, message_template
 from logloom.functions.times import seconds_between
 from logloom.operators.keyed import attach_by_key, count_by_key
-from logloom.operators.lines import assemble, attach_records, drop_noise
+from logloom.operators.lines import assemble, attach_records, drop_noise, roll_over_midnight
 from logloom.operators.ordered import scan_prior
 from logloom.profiles import LogProfile
 from logloom.session import durable
 
 
-def structure(lines: DataFrame, profile: LogProfile, base_date: str | None = None) -> DataFrame:
+def structure(
+    lines: DataFrame, profile: LogProfile, base_date: str | None = None, roll_midnight: bool = False
+) -> DataFrame:
     """Lines -> structured records with all features of the profile.
 
+    With ``roll_midnight`` headers without a date are moved on by the midnights that passed in the file.
+
     The records are written out once before they are counted by template, so the text is
     parsed a single time however often the result is used.
     """
     quiet = _drop_noise_keeping_pool_stats(lines, profile)
     records = assemble(attach_records(quiet, profile, base_date))
+    if roll_midnight:
+        records = roll_over_midnight(records)
     kept = records.filter(
         ~R.low_value(F.col("level"), F.col("message"), F.col("logger"), profile)
         | _pool_stats(F.col("message"), F.col("logger"), profile)

@@ -137,12 +137,30 @@ recs AS (SELECT *, count(*) OVER (PARTITION BY message_template) AS template_fre
 """
 
 
+def clock_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A record per event whose header has a date in one of sixty only; a node's clock goes on by hours."""
+    df = table(spark, sf, "events")
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    seconds = (e * 5003) % 86400
+    clock = F.date_format(F.timestamp_seconds(seconds), "HH:mm:ss.SSS")
+    dated = e % 60 < 4
+    line = F.when(
+        dated, F.concat(_fmt("yyyy-MM-dd "), clock, F.lit(" INFO 121 --- [  exec-1] com.app.Clock : at "), user)
+    ).otherwise(F.concat(clock, F.lit(" [exec-1] INFO a.b.Clock - at "), user))
+    return _lines(df, [(0, F.lit(True), line)])
+
+
+CLOCK_LINES_SQL = """lines AS (SELECT 'node' || (user_id % 4) AS source, event_id * 10 AS pos, (event_id * 5003) % 86400 AS clock,
+  event_id % 60 < 4 AS dated, date_trunc('day', ts)::TIMESTAMP AS day FROM events)"""
+
+
 def signature_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One signature verifier record per purchase or signup."""
-    df = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    """One signature verifier record per event."""
+    df = table(spark, sf, "events")
     e, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     hexa = F.lower(F.hex(F.col("event_id") + 4096))
-    code = F.when(F.col("event_type") == "purchase", "0").otherwise("7")
+    kind = F.col("event_type")
+    code = F.when(kind == "purchase", "0").when(kind == "signup", "7").when(kind == "error", "9").otherwise(F.length(kind).cast("string"))
     text = F.concat(
         _fmt("yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" INFO 7 --- [exec-1] com.app.SignedDataVerifier : SignedDataVO(responseCode="),
         code, F.lit(", msg="), F.when(code == "0", "OK").otherwise("BAD"), F.lit(", userCert=X509Certificate@"), hexa,
@@ -156,8 +174,8 @@ def signature_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 SIGNATURE_SQL = """
 sig AS (SELECT event_id * 10 AS pos, 'node' || (user_id % 4) AS source, date_trunc('millisecond', ts) AS ts, user_id,
-  CASE event_type WHEN 'purchase' THEN 0 ELSE 7 END AS code, lower(to_hex(event_id + 4096)) AS hx, hour(ts) AS hr
-  FROM events WHERE event_type IN ('purchase', 'signup')),
+  CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 7 WHEN 'error' THEN 9 ELSE length(event_type) END AS code,
+  lower(to_hex(event_id + 4096)) AS hx, hour(ts) AS hr FROM events),
 sigw AS (SELECT *, lag(ts) OVER w AS prev, row_number() OVER w AS k FROM sig
   WINDOW w AS (PARTITION BY user_id ORDER BY source, pos))
 """

@@ -13,8 +13,10 @@ from logloom.operators import summaries as A
 from logloom.operators import systemlog
 from logloom.operators.ordered import line_chunk, scan_prior
 from logloom.plans.derived_logs import (
+    CLOCK_LINES_SQL,
     SIGNATURE_SQL,
     SSO_LINES_SQL,
+    clock_lines,
     pool_lines,
     signature_lines,
     sso_lines,
@@ -73,6 +75,38 @@ def record_assembly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {SSO_LINES_SQL}, placed AS (SELECT *, coalesce(sum(strlen(value)) OVER (PARTITION BY source ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS cell FROM grouped WHERE rec >= 0)
+    SELECT source, min(pos) AS pos, count(DISTINCT cell) AS segments, count(*) FILTER (WHERE is_stack) AS n_stack,
+      count(*) FILTER (WHERE NOT is_header AND NOT is_stack) AS n_text
+    FROM (SELECT *, NOT is_header AND (value LIKE '    %' OR value LIKE 'Caused by: %') AS is_stack FROM placed)
+    WHERE rec > 0 GROUP BY source, rec"""
+)
+def record_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Records in segments of 200 bytes: how many each has, and its lines by kind over all of them."""
+    quiet = L.drop_noise(sso_lines(spark, sf), profiles.SSO)
+    segments = L.record_segments(L.attach_records(quiet, profiles.SSO, segment_bytes=200))
+    return segments.groupBy("source", F.col("rec.pos").alias("pos")).agg(
+        F.count(F.lit(1)).alias("segments"), F.sum("n_stack").alias("n_stack"), F.sum("n_text").alias("n_text")
+    )
+
+
+@query(
+    f"""WITH {CLOCK_LINES_SQL},
+    clocked AS (SELECT *, lag(clock) OVER w AS prev, max(CASE WHEN dated THEN pos END) OVER (w ROWS UNBOUNDED PRECEDING) AS from_pos
+      FROM lines WINDOW w AS (PARTITION BY source ORDER BY pos)),
+    rolled AS (SELECT *, CASE WHEN NOT dated AND prev - clock > 43200 THEN 1 ELSE 0 END AS roll FROM clocked),
+    summed AS (SELECT r.source, r.pos, r.clock, r.from_pos, sum(r.roll) OVER (PARTITION BY r.source ORDER BY r.pos) AS rolls FROM rolled r)
+    SELECT s.source, s.pos, strftime(f.day + to_days((s.rolls - f.rolls)::INT) + to_seconds(s.clock), '%Y-%m-%dT%H:%M:%S.%g') AS "timestamp"
+    FROM summed s JOIN (SELECT a.*, l.day FROM summed a JOIN lines l USING (source, pos)) f ON f.source = s.source AND f.pos = s.from_pos"""
+)
+def midnight_rollover(spark: SparkSession, sf: str) -> DataFrame:
+    """Clocks without a date run over many midnights between two dated headers, across chunks."""
+    found = L.assemble(L.attach_records(clock_lines(spark, sf), profiles.SSO))
+    return L.roll_over_midnight(found).select("source", "pos", "timestamp")
+
+
 @query(
     f"""WITH {SSO_LINES_SQL} SELECT source, pos, stacktrace, exception_type, has_stacktrace, severity_score::INT AS severity_score,
     log_category, error_code, message_template, message_len::INT AS message_len, length(message_template)::INT AS template_len,

@@ -5,7 +5,7 @@ Orders play the requesting side and their line items the responding side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import correlate as C
@@ -236,21 +236,65 @@ def country_of_ip(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("c_custkey", "country")
 
 
+def nested_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of both families inside and across each other: a whole network, nations in it, parts of nations, border strips."""
+    n, name = F.col("n_nationkey"), F.left("n_name", F.lit(3))
+
+    def one(first: list, last: list, country) -> Column:
+        return F.struct(F.concat(*first).alias("ip_start"), F.concat(*last).alias("ip_end"), country.alias("country"))
+
+    t, v6 = F.lit("10."), F.lit("2001:db8:")
+    parts = F.array(
+        one([t, F.lit("0.0.0")], [t, F.lit("255.255.255")], F.lit("ALL")),
+        one([t, n, F.lit(".0.0")], [t, n, F.lit(".127.255")], name),
+        one([t, n, F.lit(".64.0")], [t, n, F.lit(".80.255")], F.concat(F.lit("I"), name)),
+        one([t, n, F.lit(".100.0")], [t, n + 1, F.lit(".20.255")], F.concat(F.lit("O"), name)),
+        one([v6, F.lit(":")], [v6, F.lit("ffff:ffff:ffff:ffff:ffff:ffff")], F.lit("ALL")),
+        one([v6, n + 10, F.lit("::")], [v6, n + 10, F.lit(":7fff:ffff:ffff:ffff:ffff")], name),
+        one([v6, n + 10, F.lit(":1000::")], [v6, n + 10, F.lit(":2fff:ffff:ffff:ffff:ffff")], F.concat(F.lit("I"), name)),
+    )
+    return table(spark, sf, "nation").select(F.inline(parts))
+
+
+@query(
+    """WITH k AS (SELECT c_custkey, c_custkey % 4 AS f, c_custkey AS k FROM customer),
+    a AS (SELECT c_custkey, CASE f WHEN 0 THEN printf('%08x', (10 << 24) + (k % 30 << 16) + (k % 256 << 8) + k % 250)
+        WHEN 1 THEN printf('%08x', (8 << 24) + (k % 60 << 16) + (k % 256 << 8) + k % 250)
+        WHEN 2 THEN '20010db8' || lpad((k % 40)::VARCHAR, 4, '0') || lpad((k % 9000)::VARCHAR, 4, '0') || repeat('0', 15) || '1' END AS ip FROM k),
+    n AS (SELECT n_nationkey AS n, left(n_name, 3) AS name, lpad((n_nationkey + 10)::VARCHAR, 4, '0') AS h FROM nation),
+    r AS (SELECT printf('%08x', 10 << 24) AS s, printf('%08x', (11 << 24) - 1) AS e, 'ALL' AS c
+      UNION ALL SELECT printf('%08x', (10 << 24) + (n << 16)), printf('%08x', (10 << 24) + (n << 16) + 32767), name FROM n
+      UNION ALL SELECT printf('%08x', (10 << 24) + (n << 16) + 16384), printf('%08x', (10 << 24) + (n << 16) + 20735), 'I' || name FROM n
+      UNION ALL SELECT printf('%08x', (10 << 24) + (n << 16) + 25600), printf('%08x', (10 << 24) + (n + 1 << 16) + 5375), 'O' || name FROM n
+      UNION ALL SELECT '20010db8' || repeat('0', 24), '20010db8' || repeat('f', 24), 'ALL'
+      UNION ALL SELECT '20010db8' || h || repeat('0', 20), '20010db8' || h || '7' || repeat('f', 19), name FROM n
+      UNION ALL SELECT '20010db8' || h || '1' || repeat('0', 19), '20010db8' || h || '2' || repeat('f', 19), 'I' || name FROM n)
+    SELECT c_custkey, c AS country FROM a LEFT JOIN r ON length(ip) = length(s) AND ip BETWEEN s AND e
+    QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC NULLS LAST, e) = 1"""
+)
+def country_of_nested_ip(spark: SparkSession, sf: str) -> DataFrame:
+    df = geo.country_of_ip(addresses(spark, sf), nested_ranges(spark, sf), chunk_rows=500)
+    return df.select("c_custkey", "country")
+
+
 def _codes(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("s_nationkey")
-    code = F.when(n == 7, F.lit(None)).when(n % 5 == 0, F.lower(F.concat(F.lit("n"), n))).otherwise(F.concat(F.lit("N"), n))
+    code = (
+        F.when(n == 7, F.lit(None)).when(n % 5 == 0, F.concat(F.lit("n"), n)).when(n % 3 == 0, F.concat(F.lit("Q"), n))
+        .otherwise(F.concat(F.lit("N"), n))
+    )
     return table(spark, sf, "supplier").select("s_suppkey", code.alias("country"))
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").filter("n_nationkey % 3 <> 0").select(
+    return table(spark, sf, "nation").select(
         F.concat(F.lit("N"), F.col("n_nationkey")).alias("code"), F.col("n_name").alias("name")
     )
 
 
 _CODES = """c AS (SELECT s_suppkey, CASE WHEN s_nationkey = 7 THEN NULL WHEN s_nationkey % 5 = 0 THEN 'n' || s_nationkey
-  ELSE 'N' || s_nationkey END AS country FROM supplier),
-d AS (SELECT 'N' || n_nationkey AS code, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0)"""
+  WHEN s_nationkey % 3 = 0 THEN 'Q' || s_nationkey ELSE 'N' || s_nationkey END AS country FROM supplier),
+d AS (SELECT 'N' || n_nationkey AS code, n_name AS name FROM nation)"""
 
 
 @query(

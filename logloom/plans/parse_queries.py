@@ -196,29 +196,37 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT page_id, 'true' AS signature_verify_success, 'sn-' || page_id AS cert_sn, url AS "own label",
-    'true' AS cert_verify_success FROM pages"""
+    'true' AS cert_verify_success, 5::INT AS n_fields,
+    md5(trim(regexp_replace(regexp_replace(html, '<br\\s*/?>|\n', ' ', 'g'), '<[^>]+>', '', 'g'))) AS plaintext_md5 FROM pages"""
 )
 def labelled_report(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(
         F.lit("<b>- 서명 검증 성공 [yes]</b><br/>- 인증서 SN<br>[sn-"), _text("page_id"), F.lit("]<br />- own label ["),
-        F.col("url"), F.lit("]\n- 인증서 검증 성공"),
+        F.col("url"), F.lit("]\n- 추출한 서명 원문 ["), F.regexp_replace("html", r"<br\s*/?>|\n", " "), F.lit("]\n- 인증서 검증 성공"),
     )
     m = labelled_fields(body)
     names = ("signature_verify_success", "cert_sn", "own label", "cert_verify_success")
-    return table(spark, sf, "pages").select("page_id", *[m[n].alias(n) for n in names])
+    read = table(spark, sf, "pages").select("page_id", m.alias("m"))
+    m = F.col("m")
+    return read.select(
+        "page_id", *[m[n].alias(n) for n in names], F.size("m").alias("n_fields"),
+        F.md5(F.trim(m["signature_plaintext"])).alias("plaintext_md5"),
+    )
 
 
 @query(
-    """SELECT conv_id, turn, length(text)::INT AS n_chars, CASE role WHEN 'user' THEN 'IN' ELSE 'OUT' END AS direction,
+    """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'IN' ELSE 'OUT' END AS direction,
     role AS action, role AS who, CASE role WHEN 'user' THEN 'json' WHEN 'assistant' THEN 'pairs' ELSE 'text' END AS payload_kind,
-    CASE role WHEN 'user' THEN turn::VARCHAR WHEN 'assistant' THEN 'v ' || turn END AS n FROM conversations"""
+    CASE role WHEN 'user' THEN turn::VARCHAR WHEN 'assistant' THEN 'v ' || turn END AS n,
+    md5(CASE role WHEN 'user' THEN text WHEN 'assistant' THEN trim(translate(text, chr(10) || chr(13), '  '))
+      ELSE trim('plain ' || translate(text, chr(10) || chr(13) || '=-{', '     ')) END) AS body_md5 FROM conversations"""
 )
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as transcript entries with metadata and three kinds of payload."""
     role, turn = F.col("role"), _text("turn")
     c = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     quoted = F.to_json(F.struct(F.col("turn").cast("string").alias("n"), F.col("text")))
-    flat = text.squeeze(F.col("text"))
+    flat = F.translate("text", "\n\r", "  ")
     head = F.concat(
         F.lit("[2030-01-01T00:00:00.000001] ["), F.when(role == "user", "IN").otherwise("OUT"), F.lit("] "), role
     )
@@ -231,17 +239,19 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
         [
             (always, head),
             (always, F.concat(F.lit("- who: "), role)),
-            (always, F.concat(F.lit("- key: "), F.col("conv_id"), F.lit("/"), turn, F.lit("/"), F.length("text"))),
+            (always, F.concat(F.lit("- key: "), F.col("conv_id"), F.lit("/"), turn)),
             (always, F.lit("-- payload begin --")),
             (always, payload),
+            (role == "assistant", F.concat(F.lit("text = "), flat)),
             (role != "system", F.lit("-- payload end --")),
         ],
     )
     key = F.split(F.col("metadata")["key"], "/")
     return transcript_entries(lines).select(
-        key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"), key[2].cast("int").alias("n_chars"),
+        key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"),
         "direction", "action", F.col("metadata")["who"].alias("who"), "payload_kind",
         F.col("payload_fields")["n"].alias("n"),
+        F.md5(F.coalesce(F.col("payload_fields")["text"], F.col("payload_text"))).alias("body_md5"),
     )
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,57 +46,90 @@ def session_totals(stream: DataFrame, gap: str = "30 minutes", late: str = "1 ho
 
 
 _DELTA_OUT = "session_id string, timestamp timestamp, step_id long, delta_ms double, step_gap long"
-_DELTA_STATE = "ts_us long, step long"
 
 
-def _keep_until(state: GroupState, at_ms: int) -> None:
-    """Let the state time out once the watermark passes ``at_ms``."""
-    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+def _wake_at(state: GroupState, at_us: int) -> None:
+    """Call again once the watermark passes ``at_us``."""
+    state.setTimeoutTimestamp(max(-(-at_us // 1000), state.getCurrentWatermarkMs() + 1))
 
 
-def session_deltas(
-    stream: DataFrame, idle_ms: int = 3_600_000, late: str = "1 hour"
-) -> DataFrame:
+def _in_order(pieces: Iterator[pd.DataFrame], state: GroupState, columns: list[str], idle_ms: int) -> tuple[pd.DataFrame, tuple]:
+    """Rows of one key that are final, in order, and the last row that was given out before them.
+
+    A row waits in the state until the watermark passes its time: then no earlier one can come. So neither the
+    borders of batches nor those of pieces matter. ``columns`` are whole numbers, the time in
+    microseconds first. The state is dropped after ``idle_ms`` of silence.
+    """
+    before, waiting = None, [[] for _ in columns]
+    if state.exists:
+        held = state.get
+        before = held[0]
+        waiting = [list(c or ()) for c in held[1:]]
+    if not state.hasTimedOut:
+        for pdf in pieces:
+            for column, name in zip(waiting, columns):
+                column.extend(None if pd.isna(v) else int(v) for v in pdf[name])
+    passed = state.getCurrentWatermarkMs() * 1000
+    rows = sorted(zip(*waiting), key=lambda r: tuple((v is not None, v or 0) for v in r))
+    ready = [r for r in rows if r[0] <= passed]
+    rest = rows[len(ready) :]
+    last = ready[-1] if ready else before
+    if rest:
+        state.update((last and list(last), *[list(c) for c in zip(*rest)]))
+        _wake_at(state, rest[0][0])
+    elif last is not None and last[0] + idle_ms * 1000 > passed:
+        state.update((list(last), *[[] for _ in columns]))
+        _wake_at(state, last[0] + idle_ms * 1000)
+    elif state.exists:
+        state.remove()
+    return pd.DataFrame(ready, columns=columns, dtype="Int64"), before
+
+
+def _state_of(columns: list[str]) -> str:
+    return "before array<long>, " + ", ".join(f"{c} array<long>" for c in columns)
+
+
+def _shifted(column: pd.Series, first) -> pd.Series:
+    """Each value's predecessor; that of the first one is ``first``."""
+    out = column.shift(1).astype("Int64")
+    if len(out):
+        out.iloc[0] = pd.NA if first is None else first
+    return out
+
+
+def session_deltas(stream: DataFrame, idle_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
     """Time and step difference of each event to the one before it in its session.
 
-    State is one timestamp and one step per session, dropped after ``idle_ms`` of
-    silence in event time. Rows of a batch arrive in pieces and are ordered piece by piece.
+    Rows leave in the order of time (then step) once the watermark has passed them, so any split into
+    batches gives what the whole gives. After more than ``idle_ms`` of silence a session starts anew.
     """
+    columns = ["us", "step_id"]
 
     def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        rows, last = _in_order(pieces, state, columns, idle_ms)
+        if rows.empty:
             return
-        ts_us, last_step = state.get if state.exists else (None, None)
-        for pdf in pieces:
-            rows = pdf.sort_values(["timestamp", "step_id"], kind="stable")
-            us = rows["timestamp"].astype("datetime64[us]").astype("int64")
-            steps = rows["step_id"].astype("float64")
-            before, step_before = us.shift(1).astype("float64"), steps.shift(1)
-            if ts_us is not None:
-                before.iloc[0], step_before.iloc[0] = float(ts_us), np.nan if last_step is None else float(last_step)
-            yield pd.DataFrame(
-                {
-                    "session_id": rows["session_id"],
-                    "timestamp": rows["timestamp"],
-                    "step_id": rows["step_id"],
-                    "delta_ms": ((us - before) / 1000.0).fillna(0.0),
-                    "step_gap": (steps - step_before).fillna(1).astype("int64"),
-                }
-            )
-            ts_us, last_step = int(us.iloc[-1]), None if pd.isna(steps.iloc[-1]) else int(steps.iloc[-1])
-        if ts_us is not None:
-            state.update((ts_us, last_step))
-            _keep_until(state, ts_us // 1000 + idle_ms)
+        before, step_before = (_shifted(rows[c], last[i] if last else None) for i, c in enumerate(columns))
+        gone = rows["us"] - before
+        anew = (gone > idle_ms * 1000).fillna(True)
+        gap = (rows["step_id"] - step_before).mask(anew)
+        yield pd.DataFrame(
+            {
+                "session_id": key[0],
+                "timestamp": pd.to_datetime(rows["us"].astype("int64"), unit="us"),
+                "step_id": rows["step_id"],
+                "delta_ms": gone.mask(anew, 0).astype("float64") / 1000.0,
+                "step_gap": gap.fillna(1).astype("int64"),
+            }
+        )
 
     return (
-        stream.select("session_id", "timestamp", "step_id")
-        .filter("timestamp IS NOT NULL")
+        stream.select("session_id", "timestamp", F.col("step_id").cast("long"))
+        .filter("timestamp IS NOT NULL AND session_id IS NOT NULL")
         .withWatermark("timestamp", late)
+        .withColumn("us", F.unix_micros(F.col("timestamp").cast("timestamp")))
         .groupBy("session_id")
-        .applyInPandasWithState(
-            step, _DELTA_OUT, _DELTA_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .applyInPandasWithState(step, _DELTA_OUT, _state_of(columns), "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -133,42 +165,32 @@ def signature_alerts(
 ) -> DataFrame:
     """Signatures that follow the user's previous one too quickly or too late.
 
-    State is one timestamp per user, dropped after ``idle_ms`` of silence.
+    Rows are looked at in the order of time once the watermark has passed them. Silence of more
+    than ``idle_ms`` is a new start and no alarm.
     """
 
     def watch(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        rows, last = _in_order(pieces, state, ["us"], idle_ms)
+        if rows.empty:
             return
-        last = state.get[0] if state.exists else None
-        for pdf in pieces:
-            rows = pdf.sort_values("ts", kind="stable")
-            us = rows["ts"].astype("datetime64[us]").astype("int64")
-            before = us.shift(1).astype("float64")
-            if last is not None:
-                before.iloc[0] = float(last)
-            gap = (us - before) / 1e6
-            out = pd.DataFrame(
-                {
-                    "user_name": rows["user_name"],
-                    "ts": rows["ts"],
-                    "interval_seconds": gap,
-                    "rapid": gap < rapid_below,
-                    "delayed": gap > delayed_above,
-                }
-            )
-            yield out[out["rapid"] | out["delayed"]]
-            last = int(us.iloc[-1])
-        if last is not None:
-            state.update((last,))
-            _keep_until(state, last // 1000 + idle_ms)
+        gone = rows["us"] - _shifted(rows["us"], last[0] if last else None)
+        gap = gone.mask((gone > idle_ms * 1000).fillna(True)).astype("float64") / 1e6
+        out = pd.DataFrame(
+            {
+                "user_name": key[0],
+                "ts": pd.to_datetime(rows["us"].astype("int64"), unit="us"),
+                "interval_seconds": gap,
+                "rapid": gap < rapid_below,
+                "delayed": gap > delayed_above,
+            }
+        )
+        yield out[out["rapid"] | out["delayed"]]
 
     return (
         stream.select("user_name", "ts")
-        .filter("ts IS NOT NULL")
+        .filter("ts IS NOT NULL AND user_name IS NOT NULL")
         .withWatermark("ts", late)
+        .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
         .groupBy("user_name")
-        .applyInPandasWithState(
-            watch, _ALERT_OUT, "ts_us long", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .applyInPandasWithState(watch, _ALERT_OUT, _state_of(["us"]), "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from logloom.streaming import live
 
@@ -36,11 +37,41 @@ def test_hourly_counts(spark, tmp_path):
     assert sorted(got.values()) == [1, 1, 2]
 
 
-def test_session_deltas(spark, tmp_path):
-    rows = [[("s", at(1), 1), ("s", at(1, 0, 1.5), 3), ("t", at(1), 1)], [("s", at(1, 0, 2), 2)]]
-    stream = source(spark, tmp_path, "d", rows, "session_id string, timestamp timestamp, step_id long")
-    got = sorted((r.session_id, r.delta_ms, r.step_gap) for r in run(spark, live.session_deltas(stream), tmp_path, "deltas"))
-    assert got == [("s", 0.0, 1), ("s", 500.0, -1), ("s", 1500.0, 2), ("t", 0.0, 1)]
+END = at(23, 59)
+
+
+def splits(rows, end, seed):
+    """The same rows in one batch, one by one, and in shuffled batches; a far row at the end moves the watermark on."""
+    rng = random.Random(seed)
+    mixed = list(rows)
+    rng.shuffle(mixed)
+    cut = sorted(rng.sample(range(1, len(mixed)), 2))
+    return [[rows, [end]], [[r] for r in sorted(rows, key=lambda r: r[1])] + [[end]], [mixed[: cut[0]], mixed[cut[0] : cut[1]], mixed[cut[1] :], [end]]]
+
+
+def test_session_deltas_do_not_depend_on_batches(spark, tmp_path):
+    rows = [
+        ("s", at(1, 0, 1.5), 3), ("s", at(1), 1), ("s", at(1, 0, 2), 2), ("s", at(1, 0, 2), None), ("t", at(1, 30), 1),
+        ("t", at(1, 0, 0.25), 4), ("s", at(1, 50), 7), ("u", at(1), None), (None, at(1), 1),
+    ]
+    want = [
+        ("s", at(1), 1, 0.0, 1), ("s", at(1, 0, 1.5), 3, 1500.0, 2), ("s", at(1, 0, 2), None, 500.0, 1), ("s", at(1, 0, 2), 2, 0.0, 1),
+        ("s", at(1, 50), 7, 2998000.0, 5), ("t", at(1, 0, 0.25), 4, 0.0, 1), ("t", at(1, 30), 1, 1799750.0, -3), ("u", at(1), None, 0.0, 1),
+    ]
+    for i, batches in enumerate(splits(rows, ("end", END, 1), 3)):
+        stream = source(spark, tmp_path, f"d{i}", batches, "session_id string, timestamp timestamp, step_id long")
+        got = run(spark, live.session_deltas(stream), tmp_path, f"deltas{i}")
+        got = [(r.session_id, r.timestamp.replace(tzinfo=UTC), r.step_id, r.delta_ms, r.step_gap) for r in got if r.session_id != "end"]
+        for key in {r[0] for r in want}:
+            assert [r for r in got if r[0] == key] == [r for r in want if r[0] == key], "in order of time"
+        assert len(got) == len(want)
+
+
+def test_a_long_silence_starts_a_session_anew(spark, tmp_path):
+    for i, batches in enumerate(splits([("s", at(1), 1), ("s", at(3), 2), ("s", at(3, 5), 4)], ("end", END, 1), 4)[:2]):
+        stream = source(spark, tmp_path, f"w{i}", batches, "session_id string, timestamp timestamp, step_id long")
+        got = sorted((r.timestamp.hour, r.delta_ms, r.step_gap) for r in run(spark, live.session_deltas(stream), tmp_path, f"anew{i}") if r.session_id == "s")
+        assert [g[1:] for g in got] == [(0.0, 1), (0.0, 1), (300000.0, 2)]
 
 
 def test_session_totals(spark, tmp_path):
@@ -71,8 +102,10 @@ def test_match_stream(spark, tmp_path):
     assert ("r2", None) in pairs
 
 
-def test_signature_alerts(spark, tmp_path):
-    rows = [[("u", at(1)), ("u", at(1, 0, 29)), ("v", at(1))], [("u", at(1, 0, 59)), ("v", at(2, 0, 1))]]
-    stream = source(spark, tmp_path, "s", rows, "user_name string, ts timestamp")
-    got = sorted((r.user_name, r.interval_seconds, r.rapid, r.delayed) for r in run(spark, live.signature_alerts(stream), tmp_path, "alerts"))
-    assert got == [("u", 29.0, True, False), ("v", 3601.0, False, True)]
+def test_signature_alerts_do_not_depend_on_batches(spark, tmp_path):
+    rows = [("u", at(1, 0, 59)), ("u", at(1)), ("u", at(1, 0, 29)), ("v", at(2, 0, 1)), ("v", at(1)), (None, at(1))]
+    for i, batches in enumerate(splits(rows, ("end", END), 5)):
+        stream = source(spark, tmp_path, f"s{i}", batches, "user_name string, ts timestamp")
+        got = run(spark, live.signature_alerts(stream, late="2 hours"), tmp_path, f"alerts{i}")
+        got = sorted((r.user_name, r.interval_seconds, r.rapid, r.delayed) for r in got)
+        assert got == [("u", 29.0, True, False), ("v", 3601.0, False, True)]

@@ -57,15 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and continue from the files.
 
-    Later readers take the columns they need; ``unstage`` drops the files once nothing
+    ``codec`` compresses them; ``zstd`` is for wide text. Later readers take the columns they need; ``unstage`` drops the files once nothing
     that still has to run reads them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._stage_path = path
     return read

@@ -27,6 +27,7 @@ from logloom.session import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
+_CELLS = 1024
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -191,7 +192,13 @@ def find_pii(
     u = F.regexp_extract_all("text", F.lit(_UNIT), F.lit(0)).alias("u")
     found = found.select("id", "text", base_spans(F.col("text")).alias("base"), cued(F.col("text")).alias("cued"), u)
     seeds = F.transform("u", lambda x: _is_seed(F.rtrim(x, F.lit(" ().!?-"))))
-    rows = stage(found.withColumn("seeds", seeds).withColumn("row", F.monotonically_increasing_id()))
+    # places are told by lengths, so that no text is kept
+    size = F.zip_with(
+        F.split("text", _UNIT, -1), F.col("u"),
+        lambda b, u: F.struct(F.length(b).alias("b"), F.coalesce(F.length(u), F.lit(0)).alias("u")),
+    )
+    found = found.select("id", "base", "cued", "u", seeds.alias("seeds"), size.alias("size"))
+    rows = stage(found.withColumn("row", F.monotonically_increasing_id()), "zstd")
 
     def hit(c: Column, base: Column) -> Column:
         return F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -210,11 +217,11 @@ def find_pii(
     around = units(rows)
     seeded = units(rows.filter(F.exists("seeds", lambda x: x))).filter("seed").select("cue", "key").distinct()
     seeded = stage(seeded.groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= least_seeds))
-    # A cue has at least as many instances as cells of a bitmap they fall into. Where that many are too many for
-    # its seeds, its instances aren't gathered; bitmaps are united before they are shuffled.
-    cell = F.bitmap_bit_position(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)))
-    cells = around.join(seeded.select("cue"), "cue", "left_semi").groupBy("cue")
-    cells = cells.agg(F.bitmap_count(F.bitmap_construct_agg(cell)).alias("cells"))
+    # A cue has at least as many instances as cells they fall into. Where that many are too many for its seeds, its
+    # instances aren't gathered; no task sends on more than ``_CELLS`` rows of a cue.
+    cell = F.pmod(F.col("key"), F.lit(_CELLS)).cast("int").alias("cell")
+    cells = around.join(seeded.select("cue"), "cue", "left_semi").select("cue", cell).distinct()
+    cells = cells.groupBy("cue").agg(F.count(F.lit(1)).alias("cells"))
     able = stage(cells.join(seeded, "cue").filter(F.col("seeds") >= least_share * F.col("cells")).select("cue"))
     near = around.join(able, "cue", "left_semi")
     near = stage(near.select("cue", F.col("key").alias("value"), "seed").distinct())
@@ -230,11 +237,7 @@ def find_pii(
     # Places are summed up only for texts in which something was discovered.
     at = around.filter("NOT seed").join(good, "cue", "left_semi")
     at = at.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
-    size = F.zip_with(
-        F.split("text", _UNIT, -1), F.col("u"),
-        lambda b, u: F.struct(F.length(b).alias("b"), F.coalesce(F.length(u), F.lit(0)).alias("u")),
-    )
-    sized = rows.join(at, F.col("row") == F.col("__row")).select("row", "base", "hits", size.alias("size"))
+    sized = rows.join(at, F.col("row") == F.col("__row")).select("row", "base", "hits", "size")
 
     def place(h: Column) -> Column:
         before = F.slice("size", F.lit(1), h["at"])

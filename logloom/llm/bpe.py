@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.vocab import NO_RANK, TextEncoder, Vocabulary, in_order, load
+from logloom.llm.vocab import NO_RANK, Vocabulary, encoder, in_order, load
 
 LONG = 64  # symbols from which a pre-token gets a tree of its own
 _NONE = np.int64(2**62)
@@ -138,14 +138,9 @@ def merge_trees(vocab: Vocabulary, flat: np.ndarray, lengths: np.ndarray) -> tup
     return in_order(owners, ids, len(lengths))
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encode_all(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit ids of all texts in a row, and their number for each text."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path, merge_trees)
-    return _ENCODERS[path].encode(texts)
+    return encoder(path, merge_trees).encode(texts)
 
 
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ Other columns are not read, so their names don't matter.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +41,10 @@ from pyspark.sql.window import Window
 
 from logloom.llm.bpe import slices
 from logloom.llm.components import connected_components
+from logloom.llm.vocab import release
 from logloom.session import stage, unstage
 
-_CELL_BITS = 20
+_CELL_BITS = 22
 _CHUNK = 1 << 14
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -131,9 +133,13 @@ def set_name(hashes: np.ndarray) -> bytes:
 
 
 def _cells(docs: DataFrame, words: int) -> np.ndarray:
-    """How many shingles of all texts fall into each of ``2 ** 20`` cells; 64 rows come to the driver."""
+    """How common the shingles of each of ``2 ** 22`` cells are in all texts: 8 MB, the same at every size.
+
+    Counts are logarithms in steps of a part in 2000, which keeps their order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cells: list[np.ndarray] = []
         total = np.zeros(1 << _CELL_BITS, dtype=np.int64)
         for batch in batches:
@@ -162,9 +168,9 @@ def _cells(docs: DataFrame, words: int) -> np.ndarray:
 
     shape = "salt int, chunk int, counts binary"
     part = docs.select("text").mapInArrow(count, shape)
-    out = np.zeros(1 << _CELL_BITS, dtype=np.int64)
+    out = np.zeros(1 << _CELL_BITS, dtype=np.uint16)
     for row in _united(part, add, shape).collect():
-        out[row["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(row["counts"], dtype="<i8")
+        out[row["chunk"] * _CHUNK :][:_CHUNK] = np.log2(np.frombuffer(row["counts"], dtype="<i8") + 1.0) * 1024
     return out
 
 
@@ -188,6 +194,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     cells = docs.sparkSession.sparkContext.broadcast(_cells(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         common = cells.value
         for batch in batches:
             for part in slices(batch, 1 << 20):
@@ -222,13 +229,15 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("rid", "id", "text").mapInArrow(
-        run, f"rid long, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<tinyint>"
+        run, f"rid binary, id {kind}, n long, sid binary, gkey binary, prefix array<long>, parts array<tinyint>"
     )
 
 
 def row_key(id_column: str, text_column: str) -> Column:
-    """Names a row by id and text; rows equal in both have one key."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """128 bits that name a row by id and text; rows equal in both have one key."""
+    id, text = F.col(id_column).cast("string"), F.col(text_column)
+    parts = [F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in (id, text)]
+    return F.unhex(F.md5(F.concat(F.octet_length(parts[0]).cast("string"), *parts)))
 
 
 _MARK_BITS = 25
@@ -265,7 +274,8 @@ def _marks(keys: DataFrame) -> np.ndarray:
 
 
 def _cell(keys: pa.Array) -> np.ndarray:
-    return (keys.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+    first = np.frombuffer(b"".join(keys.to_pylist()), dtype="<u8")[::2]
+    return (first >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
 
 
 def _wanted_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -276,6 +286,7 @@ def _wanted_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     marks = docs.sparkSession.sparkContext.broadcast(_marks(names.select("rid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bits = marks.value
         for batch in batches:
             cell = _cell(batch.column(0))
@@ -284,7 +295,7 @@ def _wanted_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
             packed = [zlib.compress((t or "").encode("utf-8")) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["rid", "z"])
 
-    found = docs.select("rid", "text").mapInArrow(run, "rid long, z binary").dropDuplicates(["rid"])
+    found = docs.select("rid", "text").mapInArrow(run, "rid binary, z binary").dropDuplicates(["rid"])
     return found.join(names, "rid").select("sid", "z")
 
 
@@ -297,6 +308,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 packed = part.column(2).to_pylist() + part.column(3).to_pylist()
@@ -381,7 +393,7 @@ def ngram_classes(
     members = named.groupBy("sid").agg(
         F.min("id").alias("id"), F.min("rid").alias("rid"), F.min("gkey").alias("gkey"), F.min("n").alias("n")
     )
-    members = stage(members.withColumn("g", F.xxhash64("gkey")))
+    members = stage(members)
     groups = named.groupBy("gkey").agg(
         F.min("sid").alias("lead"), F.max("sid").alias("last"), F.min("n").alias("n"),
         F.first("prefix").alias("prefix"), F.first("parts").alias("parts"),
@@ -389,7 +401,7 @@ def ngram_classes(
     many = F.col("lead") < F.col("last")
     groups = stage(
         groups.select(
-            F.xxhash64("gkey").alias("g"), "gkey", "lead", many.alias("many"), "n", "prefix",
+            F.monotonically_increasing_id().alias("g"), "gkey", "lead", many.alias("many"), "n", "prefix",
             F.when(~many, F.col("parts")).alias("parts"),
         )
     )
@@ -417,13 +429,14 @@ def ngram_classes(
     joined = connected_components(links)
 
     # group pairs between components: shared prefix shingles and what can follow them
-    of_member = members.select("g", "sid").join(shared.select("g").distinct(), "g", "left_semi")
+    met = groups.select("g", "gkey").join(shared.select("g").distinct(), "g", "left_semi")
+    of_member = members.select("gkey", "sid").join(met, "gkey").select("g", "sid")
     placed = of_member.join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stage(placed.select("g", "sid", F.coalesce("root", "sid").alias("root")))
     units = placed.select("g", "root").distinct()
     lists = shared.join(units, "g")
     mixed = lists.groupBy("tok").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    of_group = groups.select("g", "parts").dropDuplicates(["g"])
+    of_group = groups.select("g", "parts")
     lists = stage(lists.join(mixed.select("tok"), "tok").join(of_group, "g"))
     one, two = (lists.select("tok", *[F.col(c).alias(c + x) for c in ("g", "root", "n", "pos", "cap", "parts")]) for x in "12")
     # the smaller set of a link shares more of itself, so a shorter prefix of it will do
@@ -471,7 +484,8 @@ def keep_one(
     """
     classes = ngram_classes(df, id_column, text_column, words, percent).filter("class_key IS NOT NULL")
     best = classes.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("best"))
-    kept = best.select(F.col("best.rid").alias("__rid"))
+    rid = next(name for i in itertools.count() if (name := f"__rid{i}") not in df.columns)
+    kept = best.select(F.col("best.rid").alias(rid))
     wordless = ~F.coalesce(F.col(text_column), F.lit("")).rlike("[^\\x09-\\x0D ]")
-    keyed = df.filter(~wordless).withColumn("__rid", row_key(id_column, text_column)).dropDuplicates(["__rid"])
-    return keyed.join(kept, "__rid", "left_semi").drop("__rid").unionByName(df.filter(wordless))
+    keyed = df.filter(~wordless).withColumn(rid, row_key(id_column, text_column)).dropDuplicates([rid])
+    return keyed.join(kept, rid, "left_semi").drop(rid).unionByName(df.filter(wordless))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.bpe import slices
 from logloom.llm.ngram_join import row_key
+from logloom.llm.vocab import release
 from logloom.session import stage, unstage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,6 +83,7 @@ def count_rules(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """``rid, id`` and the counts of every row; ``rid`` names a row by id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 rows = [rule_counts(t) for t in part.column(2).to_pylist()]
@@ -95,7 +97,7 @@ def count_rules(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     chosen = df.select(
         row_key(id_column, text_column).alias("rid"), F.col(id_column).alias("id"), F.col(text_column).alias("text")
     )
-    return chosen.mapInArrow(run, f"rid long, id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return chosen.mapInArrow(run, f"rid binary, id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def base_failed(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> Column:
@@ -202,6 +204,7 @@ def forest_scores(counts: DataFrame, forest: Forest, keep: list[str]) -> DataFra
     names = (*COUNTS, *MORE_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
             score = pa.array(shared.value.score(ratio_matrix(found)))
@@ -298,6 +301,7 @@ def keep_good(
     names, at = (*COUNTS, *MORE_COUNTS), df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 rows = [rule_counts(t) for t in part.column(at).to_pylist()]

@@ -144,6 +144,7 @@ def find_secrets(
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scan, kinds = scanner(rules), [r.kind for r in rules]
         for batch in batches:
             for part in slices(batch):
@@ -181,6 +182,7 @@ def redact_secrets(
         return "".join([*out, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scan = scanner(rules)
         for batch in batches:
             for part in slices(batch):

@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm import vocab
 from logloom.llm.bpe import slices
 from logloom.llm.vocab import NO_RANK, TextEncoder, Vocabulary, in_order
 
 
-def merge_ragged(vocab: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merge_ragged(words: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pre-tokens in a row, and their numbers; they are merged together, round by round."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
     rank, made = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=np.int64)
     inner = np.flatnonzero(owner[:-1] == owner[1:])
-    rank[inner], made[inner] = vocab.lookup(sym[inner], sym[inner + 1])
+    rank[inner], made[inner] = words.lookup(sym[inner], sym[inner + 1])
     owners, ids = [], []
     while sym.size:
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -56,18 +57,13 @@ def merge_ragged(vocab: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tup
         new[at] = new[at[at > 0] - 1] = True
         rank[new] = NO_RANK
         at = np.flatnonzero(new[:-1] & (owner[:-1] == owner[1:]))
-        rank[at], made[at] = vocab.lookup(sym[at], sym[at + 1])
+        rank[at], made[at] = words.lookup(sym[at], sym[at + 1])
     return in_order(owners, ids, len(lengths))
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """Of this Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path, merge_ragged)
-    return _ENCODERS[path]
+    return vocab.encoder(path, merge_ragged)
 
 
 def token_counts(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

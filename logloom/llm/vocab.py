@@ -163,24 +163,30 @@ def in_order(owners: list[np.ndarray], ids: list[np.ndarray], n: int) -> tuple[n
     return np.concatenate(ids)[order], np.bincount(owner, minlength=n)
 
 
+_MOST_LETTERS = 16  # a remembered entry on average
+
+
 class _Memo(dict):
-    """A memo of bounded size: beyond ``most`` entries it keeps those in use now.
+    """A memo of bounded size: beyond ``most`` entries, or ``_MOST_LETTERS`` times as many letters, it keeps those in use now.
 
     What it forgets is made again, so results don't depend on its size.
     """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self._letters = make, most, 0
 
     def prepare(self, keys: set) -> None:
         """Afterwards all ``keys`` are there."""
         new = keys.difference(self)
-        if new and len(self) + len(new) > self._most:
+        more = sum(map(len, new))
+        if new and (len(self) + len(new) > self._most or self._letters + more > _MOST_LETTERS * self._most):
             used = {k: self[k] for k in keys if k in self}
             self.clear()
             self.update(used)
+            self._letters = sum(map(len, used))
         if new:
+            self._letters += more
             new = list(new)
             self.update(zip(new, self._make(new)))
 
@@ -193,14 +199,15 @@ def _ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 class _Store:
-    """Ids of chunks met before, in one array; beyond ``most`` chunks only those in use now stay."""
+    """Ids of chunks met before, in one array; beyond ``most`` chunks or so many letters only those in use now stay."""
 
     def __init__(self, most: int):
-        self.most, self.place = most, {}
+        self.most, self.place, self.letters = most, {}, 0
         self.flat, self.start, self.count = np.empty(0, "<i4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, chunks: list, flat: np.ndarray, count: np.ndarray) -> None:
         """``count`` is -1 for a chunk whose ids can't be told."""
+        self.letters += sum(map(len, chunks))
         self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
         size = np.maximum(count, 0)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
@@ -290,7 +297,7 @@ class TextEncoder:
         coded = cut.flatten().dictionary_encode()
         at, chunks, store = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), self._chunks
         new = [c for c in chunks if c not in store.place]
-        if len(store.place) + len(new) > store.most:
+        if len(store.place) + len(new) > store.most or store.letters + sum(map(len, new)) > _MOST_LETTERS * store.most:
             store.shrink(chunks)
         if new:
             self._remember(new)
@@ -321,3 +328,20 @@ class TextEncoder:
                 parts[i] = np.frombuffer(ids, dtype="<i4")
             flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
         return flat, counts
+
+
+_ENCODERS: dict[tuple, TextEncoder] = {}
+
+
+def encoder(path: str, merge) -> TextEncoder:
+    """Of this Python worker."""
+    if (path, merge) not in _ENCODERS:
+        _ENCODERS[path, merge] = TextEncoder(path, merge)
+    return _ENCODERS[path, merge]
+
+
+def release() -> None:
+    """Forget encoders and vocabularies that an earlier stage left in this Python worker."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        load.cache_clear()

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.quantiles import quantile_row
+from logloom.operators.quantiles import rank_quantiles
+from logloom.session import durable
 
 _EPS = 1e-8
 
@@ -56,10 +57,12 @@ def extreme_importance(
 ) -> DataFrame:
     """``P(flag | extreme) - P(flag)``; extreme is outside the outer quantiles."""
     on = F.col(flag).cast("int")
+    ends = {f: {} for f in features}
+    for r in rank_quantiles(df, {f: (low, high) for f in features}).collect():  # two rows a feature
+        ends[r["feature"]][r["prob"]] = r["value"]
     aggs = [F.avg(on).alias("overall")]
     for f in features:
-        ends = quantile_row(df, f, {"lo": low, "hi": high}).first()
-        extreme = (F.col(f) < F.lit(ends["lo"])) | (F.col(f) > F.lit(ends["hi"]))
+        extreme = (F.col(f) < F.lit(ends[f][low])) | (F.col(f) > F.lit(ends[f][high]))
         aggs.append(F.avg(F.when(extreme, on)).alias(f))
     wide = df.agg(*aggs)
     return wide.unpivot(["overall"], list(features), "feature", "extreme_anomaly_rate").select(
@@ -70,23 +73,28 @@ def extreme_importance(
     )
 
 
-def shuffled(df: DataFrame, key: str, column: str, seed: int, block: int = 50_000) -> DataFrame:
-    """``df`` with the values of one column permuted among rows.
+def permuted(df: DataFrame, key: str, features: Sequence[str], seed: int, range_rows: int = 50_000) -> DataFrame:
+    """``df`` with ``p_<feature>`` columns: the features of another row, a permutation of all rows.
 
-    Rows are dealt into blocks by hash and every row takes the value of the next row of
-    its block in hash order, the last one that of the first: a permutation whose groups
-    are balanced however the data are skewed.
+    Rows are put in the order of a hash of seed and key, and each takes the values of the next one, the last
+    those of the first. Ranges of the order are tasks; what the last row of a range takes comes from the first
+    of the next. The permutation is the same however many ranges there are.
     """
-    blocks = max(1, df.count() // block)
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    dealt = df.withColumn("__h", order).withColumn(
-        "__b", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(blocks))
-    )
-    line = Window.partitionBy("__b").orderBy("__h", key)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    boxed = F.struct(F.col(column).alias("v"))
-    taken = F.coalesce(F.lead(boxed).over(line), F.first(boxed).over(whole))
-    return dealt.withColumn("__t", taken).withColumn(column, F.col("__t.v")).drop("__h", "__b", "__t")
+    name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    parts = max(1, -(-df.count() // range_rows))
+    order = ["__h", key]
+    laid = df.withColumn("__h", name).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    laid = durable(laid)
+    boxed = F.struct(*features)
+    # one row for each range: the first row of the next one, and of the first one for the last
+    firsts = laid.groupBy("__part").agg(F.min_by(boxed, F.struct(*order)).alias("first"))
+    by_part = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = F.coalesce(F.lead("first").over(Window.orderBy("__part")), F.first("first").over(by_part))
+    firsts = firsts.select("__part", over.alias("__over"))
+    following = F.lead(boxed).over(Window.partitionBy("__part").orderBy(*order))
+    taken = laid.withColumn("__next", following).join(firsts, "__part")
+    taken = taken.withColumn("__next", F.coalesce("__next", "__over"))
+    return taken.select(*df.columns, *[F.col("__next")[f].alias(f"p_{f}") for f in features])
 
 
 def permutation_importance(
@@ -96,18 +104,22 @@ def permutation_importance(
     score: Callable[[DataFrame], DataFrame],
     repeats: int = 3,
     seed: int = 11,
+    range_rows: int = 50_000,
 ) -> DataFrame:
-    """Mean and deviation over repeats of the mean score change when a feature is shuffled.
+    """Mean and deviation over repeats of the mean score change when a feature is permuted.
 
-    ``score`` adds a column ``score`` to rows with the features.
+    ``score`` adds a column ``score`` to rows with the features; ``key`` tells the rows apart. A repeat
+    orders the rows once for all features.
     """
+    df = durable(df)
     base = score(df).agg(F.avg("score").alias("m")).first()["m"]
     parts = None
-    for i, f in enumerate(features):
-        for r in range(repeats):
-            one = score(shuffled(df, key, f, seed + 101 * i + r)).agg(
-                F.lit(f).alias("feature"), F.abs(F.avg("score") - F.lit(base)).alias("change")
-            )
+    for r in range(repeats):
+        mixed = durable(permuted(df, key, features, seed + r, range_rows))
+        for f in features:
+            one = mixed.withColumn(f, F.col(f"p_{f}")).select(*df.columns)
+            change = F.abs(F.avg("score") - F.lit(base)).alias("change")
+            one = score(one).agg(F.lit(f).alias("feature"), change)
             parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("feature").agg(
         F.avg("change").alias("importance_mean"), F.stddev_pop("change").alias("importance_std")

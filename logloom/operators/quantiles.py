@@ -1,119 +1,83 @@
 """Exact quantiles with linear interpolation, in bounded memory.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is
-fine for a small domain (a score from 0 to 110), not for billions of distinct
-doubles. ``exact_quantiles`` selects by rank instead: two histograms of at most
-``bins`` cells narrow each wanted rank down to one tiny interval, and only the
-distinct values inside that interval are sorted.
-
-The distinct values with their counts are written to the checkpoint folder first:
-the rows behind them, often a whole pipeline, are computed once. One row of
-extremes and counts comes to the driver to place the cells.
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here the distinct values of
+all columns asked for, with their counts, are dealt into ranges that Spark samples from the
+values themselves, so their spread doesn't matter: one value may be 1e300 or infinite and a million
+others close together. Counts per range tell in which range each wanted rank lies, and only these
+ranges are looked at once more. No range holds more than about ``range_rows`` values, whatever the
+number of rows, and all columns share the passes.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.session import durable
 
-_BINS = 65536
-_OUT = "prob double, value double"
+_RANGE_ROWS = 50_000
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], bins: int = _BINS
-) -> DataFrame:
-    """Rows ``(prob, value)``: numpy-style linear quantiles of a numeric column.
+def rank_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], range_rows: int = _RANGE_ROWS) -> DataFrame:
+    """Rows ``(feature, prob, value)``: numpy-style linear quantiles of numeric columns.
 
-    Null and NaN are left out; of no values at all every quantile is null.
+    Null and NaN are left out; of no values at all every quantile is null. The values are
+    written to the checkpoint folder, so the rows behind them are computed once.
     """
-    x = F.col(column).cast("double")
-    values = durable(
-        df.select(x.alias("x"))
-        .filter(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy("x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    lo, hi, total, distinct = values.agg(
-        F.min("x"), F.max("x"), F.sum("n"), F.count(F.lit(1))
-    ).first()
-    if not total:
-        return df.sparkSession.createDataFrame([(p, None) for p in probs], _OUT)
-    # each quantile needs the two order statistics around p * (n - 1)
-    places = [p * (total - 1) for p in probs]
-    want = F.array(
-        *[
-            F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), F.lit(rank).cast("bigint").alias("rank"))
-            for q, at in enumerate(places)
-            for side, rank in ((0, math.floor(at)), (1, math.ceil(at)))
-        ]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in wanted])
+    long = df.select(F.explode(cells).alias("f")).select("f.feature", "f.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    values = durable(long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")))
+    parts = max(1, -(-values.count() // range_rows))
+    laid = values.repartitionByRange(parts, "feature", "x").withColumn("part", F.spark_partition_id())
+    laid = durable(laid)
+
+    of_feature = Window.partitionBy("feature")
+    ranges = laid.groupBy("feature", "part").agg(F.sum("n").alias("n"))
+    # one row for each feature and range
+    ranges = ranges.withColumns(
+        {
+            "total": F.sum("n").over(of_feature),
+            "before": F.sum("n").over(of_feature.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"),
+        }
     )
-    width = (hi - lo) / bins
-    if distinct <= bins or width / bins == 0.0:
-        found = _locate(values.withColumn("want", want), [], "x")
-    else:
-        offset = F.col("x") - F.lit(lo)
-        outer = F.least(F.floor(offset / width), F.lit(bins - 1))
-        inner = F.floor((offset - F.col("b1") * width) / (width / bins))
-        binned = values.withColumn("b1", outer.cast("bigint")).withColumn(
-            "b2", F.greatest(F.lit(0), F.least(inner, F.lit(bins - 1))).cast("bigint")
-        )
-        coarse = binned.groupBy("b1").agg(F.sum("n").alias("n")).withColumn("want", want)
-        first = _locate(coarse, [], "b1")
-        second = _locate(_within(binned, first, ["b1"], "b2"), ["b1"], "b2")
-        found = _locate(_within(binned, second, ["b1", "b2"], "x"), ["b1", "b2"], "x")
-    ends = found.groupBy("q").agg(
-        F.max(F.when(F.col("side") == 0, F.col("x"))).alias("below"),
-        F.max(F.when(F.col("side") == 1, F.col("x"))).alias("above"),
+    probs = F.create_map(
+        *[x for c, ps in wanted.items() for x in (F.lit(c), F.array(*[F.lit(float(p)) for p in ps]).cast("array<double>"))]
     )
-    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("q") + 1)
-    frac = F.element_at(F.array(*[F.lit(p - math.floor(p)) for p in places]), F.col("q") + 1)
-    return ends.select(
-        at.alias("prob"), (F.col("below") + (F.col("above") - F.col("below")) * frac).alias("value")
-    )
-
-
-def _within(binned: DataFrame, picks: DataFrame, path: list[str], level: str) -> DataFrame:
-    """Histogram of the next level, only inside the cells picked so far."""
-    # at most two cells per wanted quantile, so the pick table is a few rows
-    wants = picks.groupBy(*path).agg(F.collect_list(F.struct("q", "side", "rank")).alias("want"))
-    return (
-        binned.join(F.broadcast(wants), path)
-        .groupBy(*path, level)
-        .agg(F.sum("n").alias("n"), F.first("want").alias("want"))
+    # each quantile needs the two order statistics around p * (total - 1)
+    at = F.col("prob") * (F.col("total") - 1)
+    asked = ranges.withColumn("prob", F.explode(F.array_distinct(probs[F.col("feature")])))
+    ends = F.array(*[F.struct(F.lit(i).alias("side"), c(at).cast("bigint").alias("rank")) for i, c in enumerate((F.floor, F.ceil))])
+    asked = asked.withColumn("end", F.explode(ends)).filter("end.rank >= before AND end.rank < before + n")
+    frac = (at - F.floor(at)).alias("frac")
+    asked = asked.select("feature", "part", F.struct("prob", "end.side", (F.col("end.rank") - F.col("before")).alias("rank"), frac).alias("w"))
+    wants = asked.groupBy("feature", "part").agg(F.collect_list("w").alias("wants"))  # two for each quantile at most
+
+    hit = laid.join(wants, ["feature", "part"])
+    before = Window.partitionBy("feature", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = hit.withColumn("upto", F.sum("n").over(before))
+    inside = F.filter("wants", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))
+    found = hit.select("feature", "x", F.explode(inside).alias("w"))
+    sides = found.groupBy("feature", "w.prob").agg(
+        F.max(F.when(F.col("w.side") == 0, F.col("x"))).alias("below"),
+        F.max(F.when(F.col("w.side") == 1, F.col("x"))).alias("above"),
+        F.max("w.frac").alias("frac"),
     )
+    below, above, frac = F.col("below"), F.col("above"), F.col("frac")
+    value = F.when((frac == 0) | (below == above), below).otherwise(below + (above - below) * frac)
+    every = [(c, float(p)) for c, ps in wanted.items() for p in dict.fromkeys(ps)]
+    names = df.sparkSession.createDataFrame(every, "feature string, prob double")
+    return names.join(sides.select("feature", "prob", value.alias("value")), ["feature", "prob"], "left")
 
 
-def _locate(hist: DataFrame, path: list[str], level: str) -> DataFrame:
-    """For every wanted rank, the cell of ``level`` that holds it and the rank left inside."""
-    before = Window.partitionBy(*path).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    cells = hist.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    hit = F.filter(
-        "want",
-        lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n")),
-    )
-    return cells.select(*path, level, "before", F.explode(hit).alias("w")).select(
-        *path,
-        level,
-        F.col("w.q").alias("q"),
-        F.col("w.side").alias("side"),
-        (F.col("w.rank") - F.col("before")).alias("rank"),
-    )
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], range_rows: int = _RANGE_ROWS) -> DataFrame:
+    """Rows ``(prob, value)`` of one column."""
+    return rank_quantiles(df, {column: probs}, range_rows).select("prob", "value")
 
 
 def quantile_row(df: DataFrame, column: str, named: dict[str, float]) -> DataFrame:
     """One row with a column per named quantile."""
     names = list(named)
     found = exact_quantiles(df, column, [named[n] for n in names])
-    # repeated probabilities give equal values, so max() is only a pick
-    return found.agg(
-        *[
-            F.max(F.when(F.col("prob") == F.lit(float(named[n])), F.col("value"))).alias(n)
-            for n in names
-        ]
-    )
+    return found.agg(*[F.max(F.when(F.col("prob") == F.lit(float(named[n])), F.col("value"))).alias(n) for n in names])

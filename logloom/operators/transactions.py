@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions.times import seconds_between
 from logloom.operators.keyed import attach_by_key
 from logloom.operators.ordered import scan_some, time_chunk
+from logloom.session import durable
 
 
 def transaction_features(
@@ -20,9 +21,10 @@ def transaction_features(
     ``tx`` has ``request_id, request_timestamp, response_id, status_code,
     transaction_duration`` and the columns to encode. ``one_hot`` maps such a column to
     the prefix of its indicator columns; missing values get the level ``nan``. ``levels``
-    names the levels of a column (None for missing values); without it they are looked up,
-    which makes a column for every level there is.
+    names the levels of a column (None for missing values); a column whose levels aren't named becomes one
+    map ``<prefix>level`` from the row's level to 1, so that their number doesn't matter.
     """
+    tx = durable(tx)  # scanned, counted by hour and averaged: matched once
     ts = F.col("request_timestamp")
     chunked = tx.withColumn("__chunk", time_chunk(ts, "10 minutes"))
     # rows without a time have no predecessor
@@ -62,18 +64,17 @@ def transaction_features(
         "hourly_transaction_count": F.col("hourly_transaction_count"),
         "duration_z_score": F.try_divide(F.col("transaction_duration") - F.col("__m.m"), F.col("__m.s")),
     }
+    maps = []
     for column, prefix in one_hot.items():
-        for level in (levels or {}).get(column) or _levels(tx, column):
+        if column not in (levels or {}):
+            maps.append(F.create_map(F.coalesce(F.col(column).cast("string"), F.lit("nan")), F.lit(1)).alias(f"{prefix}level"))
+            continue
+        for level in levels[column]:
             hit = F.col(column).isNull() if level is None else F.col(column).eqNullSafe(F.lit(level))
             named[f"{prefix}{'nan' if level is None else level}"] = hit.cast("int")
     keep = [c for c in tx.columns if c not in named]
     out = df.withColumn("__m", moments).select(
-        *keep, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in named.items()]
+        *keep, *maps, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in named.items()]
     )
     return out, list(named)
 
-
-def _levels(df: DataFrame, column: str) -> Sequence[str | None]:
-    rows = df.select(column).distinct().collect()
-    levels = sorted(r[0] for r in rows if r[0] is not None)
-    return [*levels, None] if any(r[0] is None for r in rows) else levels

@@ -51,7 +51,8 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def transaction_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    df, _ = transaction_features(transactions(spark, sf), {"sp_provider": "sp_"})
+    levels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", None]
+    df, _ = transaction_features(transactions(spark, sf), {"sp_provider": "sp_"}, {"sp_provider": levels})
     return df.select(
         "request_id", "response_id", "in_response_to", "hour", "day_of_week", "is_complete", "is_success",
         F.round("transaction_duration_filled", 3).alias("transaction_duration_filled"), "request_id_length",
@@ -104,14 +105,26 @@ def extreme_value_importance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(I.extreme_importance(labelled(spark, sf), "flag", _FEATURES))
 
 
-@query(None)
+def _permuted_sql(f: str, seed: int) -> str:
+    """Mean change of the score when ``f`` comes from the next row in the order of a hash."""
+    other = {x: x for x in ("n_chars", "punctuation_count")} | {f: "p"}
+    return f"""SELECT '{f}' AS feature, abs(avg(abs({other["n_chars"]} / ({other["punctuation_count"]} + 1))) - (SELECT m FROM base)) AS change
+      FROM (SELECT *, coalesce(lead({f}) OVER w, first_value({f}) OVER w) AS p FROM lab
+      WINDOW w AS (ORDER BY md5('{seed}:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(
+    f"""WITH {_LABELLED}, base AS (SELECT avg(abs(n_chars / (punctuation_count + 1))) AS m FROM lab),
+    c AS ({" UNION ALL ".join(_permuted_sql(f, 11 + r) for f in ("n_chars", "punctuation_count") for r in range(2))})
+    SELECT feature, round(avg(change), 6) AS importance_mean, round(stddev_pop(change), 6) AS importance_std FROM c GROUP BY 1"""
+)
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Change of a simple length score when one feature is shuffled."""
 
     def score(df: DataFrame) -> DataFrame:
         return df.withColumn("score", F.abs(F.col("n_chars") / (F.col("punctuation_count") + 1)))
 
-    return I.permutation_importance(labelled(spark, sf), "doc_id", ["n_chars", "punctuation_count"], score, 2)
+    return rounded(I.permutation_importance(labelled(spark, sf), "doc_id", ["n_chars", "punctuation_count"], score, 2))
 
 
 @query(None)

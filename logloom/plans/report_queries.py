@@ -109,7 +109,7 @@ def revenue_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select(
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x")
     )
-    return rounded(exact_quantiles(df, "x", [0.0, 0.05, 0.5, 0.95, 1.0], bins=256))
+    return rounded(exact_quantiles(df, "x", [0.0, 0.05, 0.5, 0.95, 1.0], range_rows=256))
 
 
 @query(

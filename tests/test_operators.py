@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 
 import numpy as np
@@ -14,7 +15,7 @@ from logloom.operators import correlate, geo, importance, keyed, ordered
 from logloom.operators.audit import audit_cases
 from logloom.operators.forest import isolation_forest
 from logloom.operators.quality import column_set_check
-from logloom.operators.quantiles import exact_quantiles
+from logloom.operators.quantiles import exact_quantiles, rank_quantiles
 from logloom.operators.transcripts import transcript_entries
 from logloom.sources import readers, sinks
 from logloom.functions.net import simple_country
@@ -56,17 +57,35 @@ def test_scan_prior(spark, chunk):
         state[r.k] = [r.v if r.v is not None else state[r.k][0], state[r.k][1] + 1]
 
 
-@pytest.mark.parametrize("bins", [4, 16, 65536])
-def test_exact_quantiles(spark, bins):
+@pytest.mark.parametrize("range_rows", [30, 65536])
+def test_exact_quantiles(spark, range_rows):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.lognormal(0, 3, 400), np.full(200, 2.5), [-7.0, 1e6]])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {r.prob: r.value for r in exact_quantiles(df, "x", probs, bins).collect()}
+    got = {r.prob: r.value for r in exact_quantiles(df, "x", probs, range_rows).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(x, p)), rel=1e-9)
 
 
+def test_quantiles_beside_extreme_values(spark):
+    """Spread doesn't matter: small values are told apart beside 1e300 and infinity, and no range is much larger than asked for."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random(20000) * 1e-9, [1e300, float("inf"), -1e300]])
+    rows = [(float(v), None if i % 3 else float(i % 7)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r.feature, r.prob): r.value for r in rank_quantiles(df, {"x": probs, "y": [0.25, 0.5]}, 1000).collect()}
+    for p in probs[:-1]:
+        assert got["x", p] == pytest.approx(float(np.quantile(x, p)), rel=1e-9)
+    assert got["x", 1.0] == float("inf")
+    y = np.array([r[1] for r in rows if r[1] is not None])
+    assert [got["y", p] for p in (0.25, 0.5)] == [float(np.quantile(y, p)) for p in (0.25, 0.5)]
+    assert exact_quantiles(df, "x", [0.99999]).first().value == float("inf")
+    sizes = df.select("x").distinct().repartitionByRange(20, "x").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 3000
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, "x", [0.5]).first().value is None
@@ -197,11 +216,13 @@ def test_statistical_importance_known_values(spark):
     assert r.importance == pytest.approx(562893132.2969677, rel=1e-6)
 
 
-def test_shuffle_is_a_permutation(spark):
-    df = spark.createDataFrame([(i, float(i)) for i in range(500)], "id long, x double")
-    out = importance.shuffled(df, "id", "x", seed=3, block=50).collect()
-    assert sorted(r.x for r in out) == [float(i) for i in range(500)]
-    assert sum(r.x == r.id for r in out) < 50
+@pytest.mark.parametrize("range_rows", [13, 100_000])
+def test_permutation_is_one_and_the_same(spark, range_rows):
+    rows = [(i, float(i % 9), f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double, y string").repartition(4)
+    out = {r.id: (r.p_x, r.p_y) for r in importance.permuted(df, "id", ["x", "y"], 3, range_rows).collect()}
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+    assert out == {i: rows[order[(k + 1) % 500]][1:] for k, i in enumerate(order)}
 
 
 def test_isolation_forest(spark):

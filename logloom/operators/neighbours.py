@@ -1,123 +1,114 @@
 """Exact nearest neighbours and the local outlier factor (Breunig et al., SIGMOD 2000).
 
-Points are cut into cells around pivots and cells into blocks of bounded size. A block
-only meets the blocks that can hold a nearer neighbour than those already known, by the
-triangle inequality; each meeting is one bounded task that hands on ``k`` rows per
-point. Pairs of points are never written out, and no partner is dropped that could
-change the result.
+Points are split around pivots, level by level, until no leaf holds more than a bounded number of
+them. A point meets its own leaf first, which gives a bound for its ``k``-th distance; then it goes
+down the tree from the root, into those nodes only whose ball reaches nearer than that bound. So
+what a point costs follows from how many leaves lie around it and not from how many there
+are. Pairs of points are never written out, and no partner is dropped that could change the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.quantiles import quantile_row
 from logloom.session import durable
 
+_NEAR = "id long, other long, dist double"
 
-def nearest_neighbours(
-    df: DataFrame, key: str, features: str, k: int, block: int = 2000, pivots: int = 128, seed: int = 3
-) -> DataFrame:
-    """Rows ``(id, other, dist)``: the ``k`` nearest other rows of each row (Euclidean).
 
-    ``key`` is a unique bigint column, ``features`` an array of numbers. Equal distances
-    are resolved by the smaller id among the blocks that were met.
-    """
-    points = df.select(
-        F.col(key).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("x")
-    )
-    pivots = min(pivots, max(1, -(-points.count() // block)))
-    drawn = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots).collect()
-    centres = np.array([r.x for r in drawn])
-    shared = df.sparkSession.sparkContext.broadcast(centres)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf["x"].to_numpy())
-                d = np.vstack([_distances(x[i : i + 256], shared.value) for i in range(0, len(x), 256)])
-                yield pdf.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
-
-    located = points.mapInPandas(assign, "id long, x array<double>, cell int, far double")
-    # at most one size per pivot, so the table of sizes is broadcast
-    sizes = located.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("parts"))
-    placed = durable(
-        located.join(F.broadcast(sizes), "cell").select("id", "x", "cell", "far", part.alias("part"))
-    )
+def _distance(a: Column | str, b: Column | str) -> Column:
+    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _merge(pdf, pdf, k)
 
-    near = placed.groupBy("cell", "part").applyInPandas(own, _NEAR)
-    # a point with fewer than k neighbours in its block has no bound yet
-    bound = near.groupBy("id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound")
-    )
-    bounded = durable(
-        placed.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    )
-    blocks = durable(
-        bounded.groupBy("cell", "part").agg(F.max("far").alias("far"), F.max("bound").alias("bound"))
-    )
-    cells = blocks.groupBy("cell").agg(F.max("far").alias("far"), F.max("bound").alias("bound")).collect()
-    between = _distances(centres, centres)
-    # cells that can matter to each other: at most pivots squared, decided here once
-    pairs = [
-        (a.cell, b.cell, float(between[a.cell, b.cell]))
-        for a in cells
-        for b in cells
-        if max(between[a.cell, b.cell] - a.far - b.far, 0.0) < a.bound
-    ]
-    wanted = df.sparkSession.createDataFrame(pairs, "cell int, to_cell int, apart double")
-    target = blocks.select(
-        F.col("cell").alias("to_cell"), F.col("part").alias("to_part"), F.col("far").alias("to_far")
-    )
-    meet = (
-        blocks.join(F.broadcast(wanted), "cell")
-        .join(target, "to_cell")
-        .filter((F.col("cell") != F.col("to_cell")) | (F.col("part") != F.col("to_part")))
-        .withColumn("least", F.greatest(F.col("apart") - F.col("far") - F.col("to_far"), F.lit(0.0)))
-        .filter(F.col("least") < F.col("bound"))
-        .select("cell", "part", "to_cell", "to_part", "least")
-    )
-    # fresh column names on both sides: they come from the same tables
-    # only rows that can still gain ask; a row with k copies of itself has nothing to gain
-    asking = bounded.join(meet, ["cell", "part"]).filter(F.col("least") < bounded["bound"]).select(
-        F.col("id").alias("id"), F.col("x").alias("x"), *[F.col(c).alias(f"q_{c}") for c in _MEET]
-    )
-    answering = meet.join(
-        placed.select(
-            F.col("id").alias("id"), F.col("x").alias("x"),
-            F.col("cell").alias("to_cell"), F.col("part").alias("to_part"),
-        ),
-        ["to_cell", "to_part"],
-    ).select("id", "x", *[F.col(c).alias(f"a_{c}") for c in _MEET])
-
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _merge(left, right, k)
-
-    abroad = (
-        asking.groupBy(*[f"q_{c}" for c in _MEET])
-        .cogroup(answering.groupBy(*[f"a_{c}" for c in _MEET]))
-        .applyInPandas(ask, _NEAR)
-    )
-    rank = Window.partitionBy("id").orderBy("dist", "other")
-    return (
-        near.unionByName(abroad)
-        .withColumn("place", F.row_number().over(rank))
-        .filter(F.col("place") <= k)
-        .drop("place")
-    )
+def pivot_tree(points: DataFrame, block: int, fan: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Points ``(id, x)`` -> ``(id, x, leaf)`` and the nodes ``(parent, node, centre, far, leaf)``.
 
+    A node with more than ``block`` points is split around ``fan`` of them, drawn by hash. Where all drawn points
+    are equal, as among copies, it is dealt by hash. ``far`` is the radius of a node around ``centre``.
+    """
+    here = durable(points.select("id", "x", F.lit("").alias("node")))
+    placed, nodes, level = None, None, 0
+    while True:
+        sizes = here.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        big = sizes.filter(F.col("n") > block)
+        if level:
+            done = here.join(sizes.filter(F.col("n") <= block).select("node"), "node", "left_semi")
+            placed = done if placed is None else placed.unionByName(done)
+            here = here.join(big.select("node"), "node", "left_semi")
+        if level and big.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(fan)).cast("int")
+        first = F.struct(F.xxhash64("id", F.lit(seed - 1 - level)).alias("h"), F.col("id").alias("i"))
+        drawn = here.groupBy("node", slot.alias("slot")).agg(F.min_by("x", first).alias("centre"))
+        drawn = drawn.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("slot", "centre"))).alias("pivots"))  # ``fan`` at most
+        drawn = durable(drawn.join(sizes, "node"))
+        parted = here.join(drawn, "node")
+        near = F.array_min(F.transform("pivots", lambda p: F.struct(_distance("x", p["centre"]).alias("d"), p["slot"].alias("slot"), p["centre"].alias("centre"))))
+        parted = parted.withColumn("near", near)
+        same = F.size(F.array_distinct(F.transform("pivots", lambda p: p["centre"]))) == 1
+        parts = F.ceil(F.col("n") / block).cast("int")
+        dealt = F.pmod(F.xxhash64("id", F.lit(seed + 1 + level)), parts).cast("int")
+        child = F.concat_ws("/", "node", F.when(same, dealt).otherwise(F.col("near.slot")).cast("string"))
+        next_ = durable(parted.select("id", "x", "node", child.alias("child"), "near.centre", F.col("near.d").alias("d")))
+        made = next_.groupBy(F.col("node").alias("parent"), F.col("child").alias("node")).agg(
+            F.first("centre").alias("centre"), F.max("d").alias("far"), (F.count(F.lit(1)) <= block).alias("leaf")
+        )
+        made = durable(made)
+        nodes = made if nodes is None else nodes.unionByName(made)
+        here, level = next_.select("id", "x", F.col("child").alias("node")), level + 1
+    return placed.withColumnRenamed("node", "leaf"), nodes
+
+
+def leaf_visits(asking: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """``id, x, leaf`` for the leaves, besides its own, that may hold a nearer point than ``bound`` for each of ``asking``."""
+    found = None
+    frontier = asking.select("id", "x", "bound", F.col("leaf").alias("own"), F.lit("").alias("node"))
+    below = nodes.withColumnRenamed("node", "child").withColumnRenamed("parent", "node")
+    for _ in range(levels):
+        met = frontier.join(below, "node").filter(_distance("x", "centre") - F.col("far") < F.col("bound"))
+        met = durable(met.filter("child <> own").select("id", "x", "bound", "own", F.col("child").alias("node"), "leaf"))
+        visits = met.filter("leaf").select("id", "x", F.col("node").alias("leaf"))
+        found = visits if found is None else found.unionByName(visits)
+        frontier = met.filter("NOT leaf").drop("leaf")
+    return found
+
+
+def nearest_neighbours(df: DataFrame, key: str, features: str, k: int, block: int = 2000, fan: int = 16, seed: int = 3) -> DataFrame:
+    """Rows ``(id, other, dist)``: the ``k`` nearest other rows of each row (Euclidean).
 
-_NEAR = "id long, other long, dist double"
-_MEET = ("cell", "part", "to_cell", "to_part")
+    ``key`` is a unique bigint column, ``features`` an array of numbers. Equal distances
+    are resolved by the smaller id among the leaves that were met.
+    """
+    points = df.select(F.col(key).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("x"))
+    placed, nodes = pivot_tree(points, block, fan, seed)
+    placed = durable(placed)
+    near = durable(placed.groupBy("leaf").applyInPandas(lambda p: _merge(p, p, k), _NEAR))
+    # a point with fewer than k neighbours in its leaf has no bound yet
+    bound = near.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("bound"))
+    asking = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    levels = nodes.agg(F.max(F.size(F.split("node", "/")))).first()[0] or 0
+    visits = durable(leaf_visits(durable(asking), nodes, levels - 1)) if levels > 1 else None
+    if visits is None:
+        found = near
+    else:
+        # a leaf that many points visit meets them in parts
+        parts = durable(visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("parts")))
+        asks = visits.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        answers = placed.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        columns = ["id", "x", "leaf", "part"]
+        abroad = (
+            asks.select(*columns).groupBy("leaf", "part")
+            .cogroup(answers.select(*columns).groupBy("leaf", "part"))
+            .applyInPandas(lambda left, right: _merge(left, right, k), _NEAR)
+        )
+        found = near.unionByName(abroad)
+    rank = Window.partitionBy("id").orderBy("dist", "other")
+    return found.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k).drop("place")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

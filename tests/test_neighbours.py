@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from logloom.operators.neighbours import flag_outliers, local_outlier_factor, nearest_neighbours
+from pyspark.sql import functions as F
+
+from logloom.operators.neighbours import flag_outliers, leaf_visits, local_outlier_factor, nearest_neighbours, pivot_tree
 
 
 def brute_lof(x: np.ndarray, k: int) -> np.ndarray:
@@ -18,18 +20,18 @@ def brute_lof(x: np.ndarray, k: int) -> np.ndarray:
     return lrd[order].mean(axis=1) / lrd
 
 
-@pytest.mark.parametrize("block,pivots", [(10, 5), (40, 12), (1000, 1)])
-def test_against_brute_force(spark, block, pivots):
+@pytest.mark.parametrize("block,fan", [(10, 3), (40, 8), (1000, 4)])
+def test_against_brute_force(spark, block, fan):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(8, 0.5, (40, 3)), [[20, 20, 20], [4, 4, 4]]])
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
-    near = nearest_neighbours(df, "id", "x", 5, block=block, pivots=pivots).collect()
+    near = nearest_neighbours(df, "id", "x", 5, block=block, fan=fan).collect()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5]}
     assert {(r.id, r.other) for r in near} == want
     if block == 10:
-        scored = local_outlier_factor(df, "id", "x", 5, block=block, pivots=pivots)
+        scored = local_outlier_factor(df, "id", "x", 5, block=block, fan=fan)
         got = {r.id: r.lof for r in scored.collect()}
         assert np.allclose([got[i] for i in range(len(x))], brute_lof(x, 5))
         flagged = {r.id for r in flag_outliers(scored, 0.02).collect() if r.is_anomaly}
@@ -39,6 +41,22 @@ def test_against_brute_force(spark, block, pivots):
 def test_copies(spark):
     rows = [(i, [1.0, 1.0]) for i in range(30)] + [(100 + i, [float(i), 0.0]) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, x array<double>")
-    near = nearest_neighbours(df, "id", "x", 3, block=8, pivots=4)
+    near = nearest_neighbours(df, "id", "x", 3, block=8, fan=4)
     assert near.groupBy("id").count().filter("count <> 3").count() == 0
     assert near.filter("id < 30 AND dist > 0").count() == 0
+
+
+def test_visits_of_a_point_do_not_grow_with_the_leaves(spark):
+    """Four times the clusters are four times the leaves; a point still goes to those around it only."""
+    rng = np.random.default_rng(4)
+    share = []
+    for clusters in (20, 80):
+        centres = rng.uniform(0, 1000, (clusters, 2))
+        x = np.vstack([c + rng.normal(0, 0.1, (30, 2)) for c in centres])
+        df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
+        placed, nodes = pivot_tree(df, 40, 4, 3)
+        assert placed.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 40
+        assert nodes.filter("leaf").count() >= 0.6 * clusters
+        visits = leaf_visits(placed.withColumn("bound", F.lit(0.3)), nodes, 12)
+        share.append(visits.count() / len(x))
+    assert share[1] < 2 * max(share[0], 0.5)

@@ -122,11 +122,22 @@ def _block(node: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
 
 
+_SALTS = 64
+
+
+def _first_of(rows: DataFrame, keys: list[str], salt: Column, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each key with their place ``r``; a hot key is thinned in ``_SALTS`` parts before."""
+    part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    thin = rows.withColumn("__salt", salt).withColumn("r", F.row_number().over(part)).filter(F.col("r") <= most).drop("r", "__salt")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return thin.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= most)
+
+
 def _lists(edges: DataFrame, reverse: int, salt: int) -> DataFrame:
     """``host, guest``: forward lists and random samples of the reverse ones."""
     back = edges.select(F.col("v").alias("host"), F.col("u").alias("guest"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("host", "guest", F.lit(salt)), "guest")
-    back = back.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
+    back = back.withColumn("h", F.xxhash64("host", "guest", F.lit(salt)))
+    back = _first_of(back, ["host"], F.pmod(F.xxhash64("guest"), F.lit(_SALTS)), ["h", "guest"], reverse).drop("h", "r")
     return edges.select(F.col("u").alias("host"), F.col("v").alias("guest")).unionByName(back)
 
 
@@ -244,21 +255,25 @@ def nearest(
     vector_column: str = "embedding",
     degree: int = 32,
     reverse: int = 32,
-    rounds: int = 6,
+    gain: float = 0.002,
     beam: int = 160,
-    hops: int = 12,
     block_rows: int = 4096,
     seed: int = 11,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row with ``is_query`` (on column ``id``)."""
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row with ``is_query`` (on column ``id``).
+
+    Rounds of NN-descent go on while the mean nearness rises by more than ``gain`` of itself; a query goes on while
+    one of its ``beam`` best finds is not opened.
+    """
     rows = stage(usable(df, id_column, vector_column))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes["d"]
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS))
+    ranked = _first_of(rows.filter(F.size("vec") == dim), ["vec"], salt, ["id"], k + 1)
     equal = Window.partitionBy("vec").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.filter(F.size("vec") == dim).withColumn("r", F.row_number().over(equal))
-    members = stage(ranked.withColumn("c", F.first("id").over(equal)).filter(F.col("r") <= k + 1))
+    members = stage(ranked.withColumn("c", F.first("id").over(equal)))
     nodes = members.filter("r = 1").select("c", "vec")
     n, most = nodes.agg(
         F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
@@ -267,10 +282,15 @@ def nearest(
     blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // block_rows))
     packed = stage(_packed(nodes, float(most) ** 0.5))
     edges = stage(_first_lists(nodes, packed, dim, degree, max(1, n // 1024), 2, seed))
-    for i in range(rounds):
+    reached, i = -float("inf"), 0
+    while True:
         better = stage(_descend(edges, packed, dim, degree, reverse, blocks, seed + i))
         unstage(edges)
-        edges = better
+        edges, before, i = better, reached, i + 1
+        # the mean nearness in the lists rises with every round, in the end by next to nothing
+        reached = edges.agg(F.avg("s")).first()[0]
+        if reached is None or reached - before <= gain * abs(reached):
+            break
     lists = stage(_lists(edges, 2 * degree, seed).distinct())
 
     asking = rows.filter(F.size("vec") == dim).filter(is_query)
@@ -280,10 +300,7 @@ def nearest(
     none = F.lit(float("-inf"))
     begin = queries.select("q", F.col("q").alias("v"), none.alias("low"))
     state = stage(_beams(_scored(begin, queries, nodes, dim, blocks), beam, blocks))
-    for _ in range(hops):
-        closed = state.filter("NOT opened")
-        if closed.isEmpty():
-            break
+    while not (closed := state.filter("NOT opened")).isEmpty():
         low = state.groupBy("q").agg(F.when(F.count(F.lit(1)) >= beam, F.min("s")).otherwise(none).alias("low"))
         found = closed.join(lists, closed["v"] == lists["host"]).select("q", F.col("guest").alias("v"))
         wanted = found.distinct().join(low, "q").select("q", "v", "low")

@@ -130,7 +130,7 @@ def test_neighbours_reach_the_recall(spark):
     odd += [(9005, [float("inf")] + [1.0] * 23), (9006, [1.0] * 3), (None, [1.0] * 24)]
     table = spark.createDataFrame([*rows, *((i, v, 1) for i, v in odd), rows[20]], "vec_id long, embedding array<double>, rank int")
     got = {}
-    for r in nearest(table, F.col("id") % 20 == 0, block_rows=512, rounds=5).collect():
+    for r in nearest(table, F.col("id") % 20 == 0, block_rows=512).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 2500, 20))
     hit = 0

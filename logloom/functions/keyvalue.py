@@ -12,18 +12,11 @@ _QUOTED = r'(?s)^"(?:[^"\\]|\\.)*"$'
 
 
 def last_wins_map(keys: Column, values: Column) -> Column:
-    """Map of two arrays in which the last of several equal keys wins."""
-
-    def build(s: Column) -> Column:
-        entries = F.zip_with(s["k"], s["v"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-        return F.map_from_entries(
-            F.filter(
-                entries,
-                lambda e, i: F.array_position(F.reverse(s["k"]), e["k"]) == (F.size(s["k"]) - i),
-            )
-        )
+    """Map of two arrays in which the last of several equal keys wins, at the place of the first.
 
-    return let(F.struct(keys.alias("k"), values.alias("v")), build)
+    The session's rule for repeated keys, which ``session.prepare`` sets, makes it so.
+    """
+    return F.map_from_arrays(keys, values)
 
 
 def unescape(inner: Column) -> Column:
@@ -38,26 +31,49 @@ def unescape(inner: Column) -> Column:
 
 
 def _clean_value(raw: Column) -> Column:
-    plain = F.when(
-        raw.rlike(_QUOTED), unescape(F.substring(raw, F.lit(2), F.length(raw) - 2))
-    ).otherwise(strip(raw))
-    wrapped = (F.length(plain) >= 2) & plain.rlike(r"(?s)^(?:\".*\"|'.*')$")
-    return F.when(wrapped, F.substring(plain, F.lit(2), F.length(plain) - 2)).otherwise(plain)
+    # the first character turns most values down before a pattern is tried
+    quoted = raw.startswith('"') & raw.rlike(_QUOTED)
+    plain = F.when(quoted, unescape(F.substring(raw, F.lit(2), F.length(raw) - 2))).otherwise(strip(raw))
+
+    def unwrapped(text: Column) -> Column:
+        edged = (text.startswith('"') & text.endswith('"')) | (text.startswith("'") & text.endswith("'"))
+        wrapped = edged & (F.length(text) >= 2)
+        return F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+
+    return let(plain, unwrapped)
 
 
 def colon_pairs(line: Column) -> Column:
     """``key: value, key: "quoted, value"`` -> map; the last duplicate wins."""
-    keys = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1))
-    raw = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2))
-    return last_wins_map(keys, F.transform(raw, _clean_value))
+    return colon_parts(line)["pairs"]
 
 
 def colon_pairs_rest(line: Column) -> Column:
     """What is left of the line after its last pair, null when nothing is."""
-    marked = F.regexp_replace(line, _PAIR, "\u0001")
-    rest = strip(F.substring_index(marked, "\u0001", -1))
-    return F.when(rest != "", rest)
+    return colon_parts(line)["rest"]
+
+
+def colon_parts(line: Column) -> Column:
+    """Struct of ``pairs``, the map of a line, and ``rest``, what stands behind its last pair.
+
+    One pass of the pattern puts marks around keys and values; marks that are in the line
+    already are no text a log can mean and are dropped first.
+    """
+    clean = F.translate(line, "\u0001\u0002\u0003", "")
+    marked = F.split(F.regexp_replace(clean, _PAIR, "\u0001$1\u0002$2\u0003"), "\u0001")
+
+    def parts(pieces: Column) -> Column:
+        found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.split(p, "\u0002|\u0003"))
+        last = F.element_at(pieces, -1)
+        rest = strip(F.when(F.size(pieces) > 1, F.substring_index(last, "\u0003", -1)).otherwise(last))
+        return F.struct(
+            last_wins_map(
+                F.transform(found, lambda p: p[0]), F.transform(found, lambda p: _clean_value(p[1]))
+            ).alias("pairs"),
+            F.when(rest != "", rest).alias("rest"),
+        )
 
+    return let(marked, parts)
 
 _EQUALS = rf"([{WORD}]+)=([^=]*?)(?=\s+[{WORD}]+=|$)"
 

@@ -60,9 +60,55 @@ def _has_dtd(xml: Column) -> Column:
     return F.contains(F.upper(xml), F.lit("<!DOCTYPE"))
 
 
-def _has_tag(xml: Column, name: str) -> Column:
-    """Whether an element of this name stands anywhere in the text, in any name space."""
-    return xml.rlike(rf"<(?:[\w.\-]+:)?{name}[\s/>]")
+_SKIPPED = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def plain_markup(xml: Column) -> Column:
+    """The text without comments and processing instructions, CDATA as escaped text.
+
+    What is left holds ``<`` only where a tag begins, so patterns see tags as a reader does.
+    """
+
+    def shown(token: Column) -> Column:
+        inner = F.substring(token, F.lit(10), F.length(token) - 12)
+        for char, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
+            inner = F.replace(inner, F.lit(char), F.lit(f"&{name};"))
+        return F.when(token.startswith("<![CDATA["), inner).otherwise(F.lit(""))
+
+    tokens = F.regexp_extract_all(xml, F.lit(_SKIPPED), F.lit(0))
+    parts = F.zip_with(F.split(xml, _SKIPPED, -1), tokens, lambda b, t: F.concat(b, F.coalesce(shown(t), F.lit(""))))
+    some = F.contains(xml, F.lit("<!")) | F.contains(xml, F.lit("<?"))
+    return F.when(some, F.array_join(parts, "")).otherwise(xml)
+
+
+def resolved(text: Column) -> Column:
+    """Text with the five named and all numeric character references resolved."""
+
+    def one(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        digits = F.when(name.startswith("#x"), F.substring(name, F.lit(3), F.length(name))).otherwise(
+            F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16)
+        )
+        number = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        char = F.when(name.rlike("^#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7})$"), number)
+        for known, c in _NAMED.items():
+            char = F.when(name == known, F.lit(c)).otherwise(char)
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        ended = F.contains(piece, F.lit(";")) & char.isNotNull()
+        return F.when(ended, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&", -1)
+    read = F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(read, "")).otherwise(text)
+
+
+def _has_tag(plain: Column, name: str) -> Column:
+    """Whether an element of this name stands anywhere in the markup, in any name space."""
+    return plain.rlike(rf"<(?:[\w.\-]+:)?{name}[\s/>]")
+
+
+_ATTRIBUTES = r"""(?:\s+[^\s=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
 
 
 def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
@@ -71,7 +117,8 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     Malformed text sets ``xml_parse_error`` and nothing else.
     """
     has_dtd = _has_dtd(xml)
-    root = F.regexp_extract(xml, r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.\-]+:)?([\w.\-]+)", 1)
+    plain = plain_markup(xml)
+    root = F.regexp_extract(plain, r"\A\s*<(?:[\w.\-]+:)?([\w.\-]+)", 1)
     broken = has_dtd | (xml.isNotNull() & (x.isNull() | x["_corrupt_record"].isNotNull()))
     kind = F.when(
         ~broken,
@@ -84,7 +131,7 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     inner = x["Assertion"]
     issuer = F.coalesce(x["Issuer"], F.when(resp, inner["Issuer"]))
     name_id = x["Subject"]["NameID"]
-    deep_id = F.nullif(F.regexp_extract(xml, r"<(?:[\w.\-]+:)?NameID(?:\s[^>]*)?>([^<]*)<", 1), F.lit(""))
+    deep_id = resolved(F.nullif(F.regexp_extract(plain, rf"<(?:[\w.\-]+:)?NameID{_ATTRIBUTES}>([^<]*)<", 1), F.lit("")))
     classes = x["RequestedAuthnContext"]["AuthnContextClassRef"]
     status = x["Status"]["StatusCode"]["_Value"]
     confirm = F.get(x["Subject"]["SubjectConfirmation"], F.lit(0))
@@ -96,7 +143,7 @@ def saml_fields(xml: Column, x: Column) -> dict[str, Column]:
     signature = F.coalesce(x["Signature"], inner["Signature"])
 
     def flag(name: str) -> Column:
-        return F.when(~broken & _has_tag(xml, name), F.lit(True))
+        return F.when(~broken & _has_tag(plain, name), F.lit(True))
 
     return {
         "saml_type": kind,

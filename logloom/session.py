@@ -15,6 +15,7 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

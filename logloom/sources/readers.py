@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.keyvalue import colon_pairs, colon_pairs_rest
+from logloom.functions.keyvalue import colon_parts
 from logloom.functions.text import strip
 from logloom.operators.lines import number_lines
 
@@ -48,9 +48,8 @@ def key_value_events(lines: DataFrame) -> DataFrame:
     parsed = numbered.select(
         "source",
         F.col("line_no").alias("line_number"),
-        colon_pairs(F.col("line")).alias("pairs"),
-        colon_pairs_rest(F.col("line")).alias("unparsed"),
-    ).filter((F.size("pairs") > 0) | F.col("unparsed").isNotNull())
+        colon_parts(F.col("line")).alias("parts"),
+    ).select("source", "line_number", "parts.pairs", F.col("parts.rest").alias("unparsed")).filter((F.size("pairs") > 0) | F.col("unparsed").isNotNull())
     return parsed.select(
         *[F.col("pairs")[c].alias(c) for c in EVENT_COLUMNS],
         F.map_filter("pairs", lambda k, _: ~k.isin(*EVENT_COLUMNS)).alias("extras"),

@@ -298,3 +298,25 @@ def test_saml_elements_at_any_depth(spark):
     df = spark.createDataFrame([(text,)], "xml string").withColumn("x", read_saml(F.col("xml")))
     row = df.select(*[c.alias(n) for n, c in saml_fields(F.col("xml"), F.col("x")).items()]).first()
     assert (row.saml_has_encrypted_data, row.saml_name_id, row.saml_has_signature) == (True, "deep", None)
+
+
+def test_saml_markup_as_a_reader_sees_it(spark):
+    ns = 'xmlns:p="urn:p" xmlns:a="urn:a"'
+    texts = [
+        f'<p:Response {ns} ID="1"><!-- <a:EncryptedAssertion/> --><![CDATA[<Signature/>]]></p:Response>',
+        f'<p:AuthnRequest {ns} ID="2"><x><a:NameID Format="a>b"><![CDATA[u<1>&]]></a:NameID></x></p:AuthnRequest>',
+        f'<p:AuthnRequest {ns} ID="3"><x><a:NameID>A&amp;B &#xE9;&#8364;<!-- c -->&lt;t&gt;</a:NameID></x></p:AuthnRequest>',
+        f'<p:AuthnRequest {ns} ID="4"><a:NameID x="/"/><y>no</y><!-- <a:NameID>hidden</a:NameID> --></p:AuthnRequest>',
+        f'<?xml version="1.0"?><!-- <p:Response> --><p:Response {ns} ID="5"><Signature><SignedInfo/></Signature></p:Response>',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, xml string").withColumn("x", read_saml(F.col("xml")))
+    fields = saml_fields(F.col("xml"), F.col("x"))
+    names = ("saml_type", "saml_name_id", "saml_has_encrypted_assertion", "saml_has_signature", "xml_parse_error")
+    got = {r.i: tuple(r[1:]) for r in df.select("i", *[fields[n].alias(n) for n in names]).collect()}
+    assert got == {
+        0: ("Response", None, None, None, None),
+        1: ("AuthnRequest", "u<1>&", None, None, None),
+        2: ("AuthnRequest", "A&B \u00e9\u20ac<t>", None, None, None),
+        3: ("AuthnRequest", None, None, None, None),
+        4: ("Response", None, None, True, None),
+    }

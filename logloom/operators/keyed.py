@@ -31,6 +31,25 @@ def count_by_key(df: DataFrame, keys: Sequence[str], *extra: Column) -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, distinct``: different non-null values of several columns from one scan.
+
+    Values become (column, value) pairs that are united map-side, so a task sends on each value
+    once whatever the number of columns; of a long value its digest is sent.
+    """
+
+    def pair(c: str) -> Column:
+        kind = dict(df.dtypes)[c]
+        plain = F.col(c) + F.lit(0).cast(kind) if kind in ("double", "float") else F.col(c)  # one zero
+        text = plain.cast("string")
+        value = F.when(F.octet_length(text) <= 64, text).otherwise(F.sha2(text, 256))
+        return F.struct(F.lit(c).alias("column"), value.alias("value"))
+
+    pairs = df.select(F.explode(F.array(*[pair(c) for c in columns])).alias("p")).select("p.*")
+    values = pairs.filter("value IS NOT NULL").distinct()
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+
+
 def attach_by_key(
     df: DataFrame,
     stats: DataFrame,

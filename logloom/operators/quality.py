@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.keyed import distinct_counts
 from logloom.functions.net import ip_family
 
 
@@ -25,22 +26,23 @@ def null_report(df: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, nulls, distinct values."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     kinds = dict(df.dtypes)
+    more = {c: {"distinct": F.approx_count_distinct(c)} if approximate else {} for c in df.columns}
     wide = df.agg(
         *[
             F.struct(
                 F.lit(kinds[c]).alias("type"),
                 F.count_if(F.col(c).isNull()).alias("nulls"),
-                distinct(F.col(c)).alias("distinct"),
+                *[x.alias(n) for n, x in more[c].items()],
             ).alias(c)
             for c in df.columns
         ]
     )
-    return wide.unpivot([], df.columns, "column", "p").select(
-        "column", F.col("p.type").alias("type"), F.col("p.nulls").alias("nulls"),
-        F.col("p.distinct").alias("distinct"),
-    )
+    long = wide.unpivot([], df.columns, "column", "p").select("column", "p.*")
+    if approximate:
+        return long
+    counts = distinct_counts(df, df.columns)
+    return long.join(counts, "column", "left").select("column", "type", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def completeness(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.net import simple_country
 from logloom.functions.times import calendar
+from logloom.operators.keyed import distinct_counts
 from logloom.operators.quantiles import quantile_row
 
 
@@ -209,15 +210,17 @@ def country_counts(events: DataFrame, country: Column | None = None) -> DataFram
 
 def overview(events: DataFrame, approximate: bool = False) -> DataFrame:
     """Rows, distinct sessions, users and addresses, and the time range."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return events.agg(
-        F.count(F.lit(1)).alias("total_events"),
-        distinct("session_id").alias("unique_sessions"),
-        distinct("user_id").alias("unique_users"),
-        distinct("source_ip").alias("unique_ips"),
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
-    )
+    names = {"session_id": "unique_sessions", "user_id": "unique_users", "source_ip": "unique_ips"}
+    range_ = [F.min("timestamp").alias("start"), F.max("timestamp").alias("end")]
+    total = F.count(F.lit(1)).alias("total_events")
+    if approximate:
+        return events.agg(total, *[F.approx_count_distinct(c).alias(n) for c, n in names.items()], *range_)
+    found = distinct_counts(events, list(names))
+    wide = found.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0)).alias(n) for c, n in names.items()])
+    # two rows, one of totals and one of distinct counts, become one
+    both = events.agg(total, *range_).unionByName(wide, allowMissingColumns=True)
+    order = ("total_events", *names.values(), "start", "end")
+    return both.agg(*[F.max(c).alias(c) for c in order])
 
 
 def session_kpis(scored: DataFrame, high_risk: float = 1.0) -> DataFrame:
@@ -298,16 +301,9 @@ def headline(records: DataFrame) -> DataFrame:
 
 def domain_summary(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts of each value of several columns as ``(field, value, n)``."""
-    parts = [
-        records.filter(F.col(c).isNotNull())
-        .groupBy(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        for c in columns
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pair = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
+    pairs = records.select(F.explode(F.array(*[pair(c) for c in columns])).alias("p")).select("p.*")
+    return pairs.filter("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_key_census(df: DataFrame, column: str) -> DataFrame:

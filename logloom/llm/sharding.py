@@ -34,8 +34,7 @@ def _numbered(rows: DataFrame, group: list[str], of: Column, order: list[str], n
     cells = F.ceil(of / cell_rows)
     celled = rows.withColumn("__cell", F.least(F.floor(F.col("at") * cells), cells - 1).cast("long"))
     counts = celled.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = _starts(counts, group)
     inside = Window.partitionBy(*group, "__cell").orderBy("at", *order)
     ranked = celled.withColumn("__rank", F.row_number().over(inside) - 1)
     return (
@@ -45,6 +44,17 @@ def _numbered(rows: DataFrame, group: list[str], of: Column, order: list[str], n
     )
 
 
+def _starts(counts: DataFrame, group: list[str], fan: int = 1000) -> DataFrame:
+    """Rows in the cells before each cell of its group, in two steps: over ranges of ``fan`` cells, then inside each range."""
+    ranged = counts.withColumn("__range", F.floor(F.col("__cell") / fan).cast("long"))
+    earlier = lambda window: F.coalesce(F.sum("__n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy(*group, "__range").agg(F.sum("__n").alias("__n"))
+    sums = sums.withColumn("__before", earlier(Window.partitionBy(*group).orderBy("__range"))).drop("__n")
+    inside = earlier(Window.partitionBy(*group, "__range").orderBy("__cell"))
+    both = _attach(ranged.withColumn("__inside", inside), sums, [*group, "__range"], "__before")
+    return both.select(*group, "__cell", (F.col("__before") + F.col("__inside")).alias("__start"))
+
+
 def _attach(rows: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One value per key to rows, null keys included; hot keys of the join are split at run time."""
     named = values.select(*[F.col(k).alias(f"__k_{k}") for k in keys], value)

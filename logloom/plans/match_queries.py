@@ -238,7 +238,7 @@ def country_of_ip(spark: SparkSession, sf: str) -> DataFrame:
 
 def nested_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of both families inside and across each other: a whole network, nations in it, parts of nations, border strips."""
-    n, name = F.col("n_nationkey"), F.left("n_name", F.lit(3))
+    n, name = F.col("n_nationkey"), F.col("n_name")
 
     def one(first: list, last: list, country) -> Column:
         return F.struct(F.concat(*first).alias("ip_start"), F.concat(*last).alias("ip_end"), country.alias("country"))
@@ -261,7 +261,7 @@ def nested_ranges(spark: SparkSession, sf: str) -> DataFrame:
     a AS (SELECT c_custkey, CASE f WHEN 0 THEN printf('%08x', (10 << 24) + (k % 30 << 16) + (k % 256 << 8) + k % 250)
         WHEN 1 THEN printf('%08x', (8 << 24) + (k % 60 << 16) + (k % 256 << 8) + k % 250)
         WHEN 2 THEN '20010db8' || lpad((k % 40)::VARCHAR, 4, '0') || lpad((k % 9000)::VARCHAR, 4, '0') || repeat('0', 15) || '1' END AS ip FROM k),
-    n AS (SELECT n_nationkey AS n, left(n_name, 3) AS name, lpad((n_nationkey + 10)::VARCHAR, 4, '0') AS h FROM nation),
+    n AS (SELECT n_nationkey AS n, n_name AS name, lpad((n_nationkey + 10)::VARCHAR, 4, '0') AS h FROM nation),
     r AS (SELECT printf('%08x', 10 << 24) AS s, printf('%08x', (11 << 24) - 1) AS e, 'ALL' AS c
       UNION ALL SELECT printf('%08x', (10 << 24) + (n << 16)), printf('%08x', (10 << 24) + (n << 16) + 32767), name FROM n
       UNION ALL SELECT printf('%08x', (10 << 24) + (n << 16) + 16384), printf('%08x', (10 << 24) + (n << 16) + 20735), 'I' || name FROM n

@@ -27,7 +27,7 @@ from logloom.session import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-_CELLS = 1024
+_WORDS = 16  # of 64 bits
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -217,11 +217,14 @@ def find_pii(
     around = units(rows)
     seeded = units(rows.filter(F.exists("seeds", lambda x: x))).filter("seed").select("cue", "key").distinct()
     seeded = stage(seeded.groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= least_seeds))
-    # A cue has at least as many instances as cells they fall into. Where that many are too many for its seeds, its
-    # instances aren't gathered; no task sends on more than ``_CELLS`` rows of a cue.
-    cell = F.pmod(F.col("key"), F.lit(_CELLS)).cast("int").alias("cell")
-    cells = around.join(seeded.select("cue"), "cue", "left_semi").select("cue", cell).distinct()
-    cells = cells.groupBy("cue").agg(F.count(F.lit(1)).alias("cells"))
+    # A cue has at least as many instances as bits they set. Where that many are too many for its seeds, its
+    # instances aren't gathered; the bits of a cue are one row of a task.
+    bit = F.pmod(F.col("key"), F.lit(64 * _WORDS))
+    mark = F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
+    bits = [F.bit_or(F.when(F.floor(bit / 64) == k, mark)).alias(f"b{k}") for k in range(_WORDS)]
+    cells = around.join(seeded.select("cue"), "cue", "left_semi").groupBy("cue").agg(*bits)
+    set_bits = sum((F.coalesce(F.bit_count(f"b{k}"), F.lit(0)) for k in range(_WORDS)), F.lit(0))
+    cells = cells.select("cue", set_bits.alias("cells"))
     able = stage(cells.join(seeded, "cue").filter(F.col("seeds") >= least_share * F.col("cells")).select("cue"))
     near = around.join(able, "cue", "left_semi")
     near = stage(near.select("cue", F.col("key").alias("value"), "seed").distinct())

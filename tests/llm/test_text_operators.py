@@ -288,3 +288,23 @@ def test_digest_columns_of_the_queries(spark, tmp_path):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         decoded = lib.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_training_order_of_short_and_exact_streams(spark, tmp_path):
+    """Slices and tasks that end without a whole sequence, whole sequences only, nothing at all."""
+    def run(texts, parts, length):
+        df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, slot string").repartition(parts)
+        path = f"file://{tmp_path}/{len(texts)}-{parts}-{length}"
+        index = training_order.write_shards(training_order.sequences(df, BYTE, length), path, length)
+        rows = index.collect()
+        records = training_order.read_records(spark, path, length).collect() if rows else []
+        assert sorted(r.slot for r in rows) == sorted(r.slot for r in records) == list(range(len(rows)))
+        assert all(len(r.record) == 2 * length for r in records)
+        return sum(r.n_tokens for r in rows), len(rows)
+
+    assert run(["a"], 1, 1024) == (2, 1)
+    assert run([None, "", None], 2, 16)[0] == 3
+    assert run([None] * 32, 1, 16) == (32, 2)  # an exact multiple
+    assert run(["word " * 5] * 9, 9, 8)[1] >= 9  # partitions of one row
+    assert run(["long " * 20_000, "b"], 1, 1024)[1] > 15
+    assert run([], 1, 16) == (0, 0)

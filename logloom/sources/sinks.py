@@ -23,12 +23,18 @@ def write_parquet(df: DataFrame, path: str, ts: str | None = None, mode: str = "
     ).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line; nested columns are written as JSON text."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = False) -> None:
+    """CSV with a header line; nested columns are written as JSON text.
+
+    With ``bom`` every file begins with a byte order mark, which spreadsheets take as a sign of UTF-8.
+    """
     flat = [
         F.to_json(c).alias(c) if "<" in dict(df.dtypes)[c] else F.col(c) for c in df.columns
     ]
-    df.select(*flat).write.mode(mode).option("header", True).csv(path)
+    named = df.select(*flat)
+    if bom:
+        named = named.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    named.write.mode(mode).option("header", True).csv(path)
 
 
 def write_schema(df: DataFrame, path: str) -> None:

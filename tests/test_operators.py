@@ -320,3 +320,13 @@ def test_saml_markup_as_a_reader_sees_it(spark):
         3: ("AuthnRequest", None, None, None, None),
         4: ("Response", None, None, True, None),
     }
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    path = str(tmp_path / "bom")
+    df = spark.createDataFrame([(1, "é", [1, 2]), (2, None, None)], "i int, t string, a array<int>")
+    sinks.write_csv(df.coalesce(1), path, bom=True)
+    (part,) = (tmp_path / "bom").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfi,t,a")
+    rows = readers.csv_table(spark, path, "i int, t string, a string").collect()
+    assert sorted((r.i, r.t, r.a) for r in rows) == [(1, "é", "[1,2]"), (2, None, None)]

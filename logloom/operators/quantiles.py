@@ -4,8 +4,8 @@ Spark's ``percentile`` keeps every distinct value of a group in one task. Here t
 all columns asked for, with their counts, are dealt into ranges that Spark samples from the
 values themselves, so their spread doesn't matter: one value may be 1e300 or infinite and a million
 others close together. Counts per range tell in which range each wanted rank lies, and only these
-ranges are looked at once more. No range holds more than about ``range_rows`` values, whatever the
-number of rows, and all columns share the passes.
+ranges are looked at once more. A range holds about ``range_rows`` values; where that would make more than
+``_MOST_SMALL`` ranges, it holds up to ``_TASK_ROWS``, as each range is a task. All columns share the passes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 from logloom.session import durable
 
 _RANGE_ROWS = 50_000
+_MOST_SMALL = 200
+_TASK_ROWS = 500_000
+
+
+def range_count(values: int, range_rows: int) -> int:
+    """Ranges for so many distinct values: small ones while they are few, then no more than tasks of full size need."""
+    wanted = -(-values // range_rows)
+    return max(1, min(wanted, max(_MOST_SMALL, -(-values // _TASK_ROWS))))
 
 
 def rank_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], range_rows: int = _RANGE_ROWS) -> DataFrame:
@@ -29,7 +37,7 @@ def rank_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], range_r
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in wanted])
     long = df.select(F.explode(cells).alias("f")).select("f.feature", "f.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
     values = durable(long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")))
-    parts = max(1, -(-values.count() // range_rows))
+    parts = range_count(values.count(), range_rows)
     laid = values.repartitionByRange(parts, "feature", "x").withColumn("part", F.spark_partition_id())
     laid = durable(laid)
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import net, times
-from logloom.functions.keyvalue import colon_pairs, colon_pairs_rest, equals_pairs
-from logloom.operators import correlate, geo, importance, keyed, ordered
+from logloom.functions.keyvalue import colon_pairs, colon_pairs_rest, colon_parts, equals_pairs
+from logloom.operators import correlate, geo, importance, keyed, ordered, quantiles
 from logloom.operators.audit import audit_cases
 from logloom.operators.forest import isolation_forest
 from logloom.operators.quality import column_set_check
@@ -68,6 +68,17 @@ def test_exact_quantiles(spark, range_rows):
         assert got[p] == pytest.approx(float(np.quantile(x, p)), rel=1e-9)
 
 
+def test_quantile_ranges_stay_few(spark, monkeypatch):
+    assert quantiles.range_count(1000, 256) == 4 and quantiles.range_count(0, 256) == 1
+    assert quantiles.range_count(36_000_000, 256) == 200
+    assert quantiles.range_count(500_000_000, 256) == 1000
+    monkeypatch.setattr(quantiles, "_MOST_SMALL", 3)
+    x = np.random.default_rng(4).normal(0, 9, 900)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = {r.prob: r.value for r in exact_quantiles(df, "x", [0.0, 0.3, 0.5, 1.0], 16).collect()}
+    assert all(got[p] == pytest.approx(float(np.quantile(x, p)), rel=1e-9) for p in got) and len(got) == 4
+
+
 def test_quantiles_beside_extreme_values(spark):
     """Spread doesn't matter: small values are told apart beside 1e300 and infinity, and no range is much larger than asked for."""
     rng = np.random.default_rng(6)

@@ -115,6 +115,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, left_out: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and distance of the ``k`` nearest rows of ``b`` for each of ``a``, equal ones in the order of ``b``.
+
+    Squares from one matrix product tell which rows may be among them, within a bound of its rounding; the
+    distances of these are taken by differences. Where a square isn't finite or the bound tells little, all are.
+    """
+    with np.errstate(all="ignore"):
+        sizes, others = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        squares = sizes[:, None] + others[None, :] - 2.0 * (a @ b.T)
+        slack = 1e-14 * a.shape[1] * (sizes + others.max())
+    if len(b) > 2 * k and np.isfinite(squares).all() and np.isfinite(slack).all():
+        squares[left_out] = np.inf
+        edge = np.partition(squares, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(squares <= (edge + 2 * slack)[:, None])
+        if 4 * len(row) < squares.size:
+            dist = np.sqrt(((a[row] - b[col]) ** 2).sum(axis=1))
+            dist[left_out[row, col]] = np.inf
+            order = np.lexsort((col, dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            return row[place < k], col[place < k], dist[place < k]
+    d = _distances(a, b)
+    d[left_out] = np.inf
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(a)), best.shape[1]), best.ravel(), np.take_along_axis(d, best, axis=1).ravel()
+
+
 def _merge(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of ``right`` for every row of ``left``, itself left out."""
     out: list[pd.DataFrame] = []
@@ -123,16 +150,9 @@ def _merge(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
         ids, points = right["id"].to_numpy(), np.vstack(right["x"].to_numpy())
         for start in range(0, len(left), 64):
             some = left.iloc[start : start + 64]
-            d = _distances(np.vstack(some["x"].to_numpy()), points)
-            d[some["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame(
-                {
-                    "id": np.repeat(some["id"].to_numpy(), best.shape[1]),
-                    "other": ids[best].ravel(),
-                    "dist": np.take_along_axis(d, best, axis=1).ravel(),
-                }
-            )
+            own, asked = some["id"].to_numpy(), np.vstack(some["x"].to_numpy())
+            row, best, dist = _nearest(asked, points, own[:, None] == ids[None, :], k)
+            found = pd.DataFrame({"id": own[row], "other": ids[best], "dist": dist})
             out.append(found[np.isfinite(found["dist"])])
     if not out:
         return pd.DataFrame({"id": [], "other": [], "dist": []}).astype({"id": "int64", "other": "int64"})

@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from logloom.operators import neighbours
 from logloom.operators.neighbours import flag_outliers, leaf_visits, local_outlier_factor, nearest_neighbours, pivot_tree
 
 
@@ -60,3 +61,31 @@ def test_visits_of_a_point_do_not_grow_with_the_leaves(spark):
         visits = leaf_visits(placed.withColumn("bound", F.lit(0.3)), nodes, 12)
         share.append(visits.count() / len(x))
     assert share[1] < 2 * max(share[0], 0.5)
+
+
+@pytest.mark.parametrize("spread,offset", [(1.0, 0.0), (1e-3, 50.0)])
+def test_nearest_rows_need_few_differences(monkeypatch, spread, offset):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(offset, spread, (400, 16)), np.full((3, 16), offset)])
+    left_out = np.eye(len(x), dtype=bool)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[left_out] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+
+    def refuse(a, b):
+        raise AssertionError("all distances by differences")
+
+    monkeypatch.setattr(neighbours, "_distances", refuse)
+    row, col, dist = neighbours._nearest(x, x, left_out, 5)
+    assert (col.reshape(-1, 5) == order).all() and (row.reshape(-1, 5) == np.arange(len(x))[:, None]).all()
+    assert (dist.reshape(-1, 5) == np.take_along_axis(d, order, axis=1)).all()
+
+
+def test_nearest_rows_with_holes():
+    x = np.random.default_rng(6).normal(0, 1, (60, 4))
+    x[7, 2] = np.nan
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[np.eye(60, dtype=bool)] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    row, col, _ = neighbours._nearest(x, x, np.eye(60, dtype=bool), 5)
+    assert (col.reshape(-1, 5) == order).all()

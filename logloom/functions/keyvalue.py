@@ -21,13 +21,20 @@ def last_wins_map(keys: Column, values: Column) -> Column:
 
 def unescape(inner: Column) -> Column:
     """Resolve backslash escapes of a quoted value."""
-    doc = F.concat(F.lit('{"v":"'), inner, F.lit('"}'))
-    read = F.from_json(
-        doc,
-        "v string",
-        {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"},
-    )
-    return F.when(F.contains(inner, F.lit("\\")), F.coalesce(read["v"], inner)).otherwise(inner)
+    slash, quote = F.lit("\\"), F.lit('\\"')
+
+    def read(text: Column) -> Column:
+        doc = F.concat(F.lit('{"v":"'), text, F.lit('"}'))
+        options = {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+        # escaped quotes alone, the usual case, need no JSON reader
+        only_quotes = ~F.contains(F.replace(text, quote, F.lit("")), slash) & ~F.replace(text, quote, F.lit("")).contains('"')
+        return (
+            F.when(~F.contains(text, slash), text)
+            .when(only_quotes, F.replace(text, quote, F.lit('"')))
+            .otherwise(F.coalesce(F.from_json(doc, "v string", options)["v"], text))
+        )
+
+    return let(inner, read)
 
 
 def _clean_value(raw: Column) -> Column:
@@ -43,6 +50,10 @@ def _clean_value(raw: Column) -> Column:
     return let(plain, unwrapped)
 
 
+def _between(c: Column, left: str, right: str) -> Column:
+    return F.substring_index(F.substring_index(c, right, 1), left, -1)
+
+
 def colon_pairs(line: Column) -> Column:
     """``key: value, key: "quoted, value"`` -> map; the last duplicate wins."""
     return colon_parts(line)["pairs"]
@@ -59,16 +70,19 @@ def colon_parts(line: Column) -> Column:
     One pass of the pattern puts marks around keys and values; marks that are in the line
     already are no text a log can mean and are dropped first.
     """
-    clean = F.translate(line, "\u0001\u0002\u0003", "")
+    marks = "\u0001\u0002\u0003"
+    held = F.contains(line, F.lit(marks[0])) | F.contains(line, F.lit(marks[1])) | F.contains(line, F.lit(marks[2]))
+    clean = F.when(held, F.translate(line, marks, "")).otherwise(line)
     marked = F.split(F.regexp_replace(clean, _PAIR, "\u0001$1\u0002$2\u0003"), "\u0001")
 
     def parts(pieces: Column) -> Column:
-        found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.split(p, "\u0002|\u0003"))
+        found = F.slice(pieces, F.lit(2), F.size(pieces))
         last = F.element_at(pieces, -1)
         rest = strip(F.when(F.size(pieces) > 1, F.substring_index(last, "\u0003", -1)).otherwise(last))
         return F.struct(
             last_wins_map(
-                F.transform(found, lambda p: p[0]), F.transform(found, lambda p: _clean_value(p[1]))
+                F.transform(found, lambda p: F.substring_index(p, "\u0002", 1)),
+                F.transform(found, lambda p: _clean_value(_between(p, "\u0002", "\u0003"))),
             ).alias("pairs"),
             F.when(rest != "", rest).alias("rest"),
         )

@@ -341,3 +341,17 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     assert part.read_bytes().startswith(b"\xef\xbb\xbfi,t,a")
     rows = readers.csv_table(spark, path, "i int, t string, a string").collect()
     assert sorted((r.i, r.t, r.a) for r in rows) == [(1, "é", "[1,2]"), (2, None, None)]
+
+
+def test_key_value_lines_without_patterns_inside(spark):
+    lines = [
+        r'a: "x \"y\"", b: "c:\\d", c: "\\\"q", d: "\u0041\"", e: plain, f: ""',
+        "a: 1\u0001, b\u0003: 2, a: 3, tail",
+        "no pair",
+    ]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, v string")
+    got = [(r.p.pairs, r.p.rest) for r in df.orderBy("i").select(colon_parts(F.col("v")).alias("p")).collect()]
+    assert got[0] == ({"a": 'x "y"', "b": "c:\\d", "c": '\\"q', "d": 'A"', "e": "plain", "f": ""}, None)
+    assert got[1] == ({"a": "3", "b": "2"}, "tail") and got[2] == ({}, "no pair")
+    plan = df.select(colon_parts(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\u0002|\u0003" not in plan  # no pattern is compiled for each piece

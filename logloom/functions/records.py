@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import DIGIT, SPACE, WORD, contains_any, first_group, rstrip, strip
+from logloom.functions.text import DIGIT, SPACE, WORD, contains_any, filled_group, first_group, let, rstrip, strip
 from logloom.profiles import LogProfile
 
 
@@ -85,11 +85,14 @@ def severity_score(level: Column, has_stack: Column) -> Column:
 
 def log_category(logger: Column, message: Column, profile: LogProfile) -> Column:
     """First category rule that fits; UNKNOWN without a logger, OTHER when none fits."""
-    texts = {"logger": F.lower(logger), "message": F.lower(message)}
-    out = F.when(logger.isNull() | (logger == ""), F.lit("UNKNOWN"))
-    for category, where, terms in profile.categories:
-        out = out.when(contains_any(texts[where], terms), F.lit(category))
-    return out.otherwise(F.lit("OTHER"))
+
+    def chosen(texts: Column) -> Column:
+        out = F.when(logger.isNull() | (logger == ""), F.lit("UNKNOWN"))
+        for category, where, terms in profile.categories:
+            out = out.when(contains_any(texts[where], terms), F.lit(category))
+        return out.otherwise(F.lit("OTHER"))
+
+    return let(F.struct(F.lower(logger).alias("logger"), F.lower(message).alias("message")), chosen)
 
 
 def error_code(message: Column, timing_aware: bool = False) -> Column:
@@ -99,14 +102,14 @@ def error_code(message: Column, timing_aware: bool = False) -> Column:
     name of an exception class.
     """
     left, right = rf"(?<![{WORD}])", rf"(?![{WORD}])"
-    http = first_group(message, rf"(?=[45]){left}([45]{DIGIT}{{2}}){right}")
+    http = filled_group(message, rf"(?=[45]){left}([45]{DIGIT}{{2}}){right}")
     tries = [
         F.concat(F.lit("HTTP_"), http),
-        first_group(message, rf"(?=[A-Z]){left}([A-Z]{{2,}}-{DIGIT}{{3,}}){right}"),
+        filled_group(message, rf"(?=[A-Z]){left}([A-Z]{{2,}}-{DIGIT}{{3,}}){right}"),
     ]
     if not timing_aware:
         return F.coalesce(*tries)
-    tries.append(first_group(message, rf"{left}([{WORD}]+(?:Exception|Error)){right}"))
+    tries.append(filled_group(message, rf"{left}([{WORD}]+(?:Exception|Error)){right}"))
     timing = message.rlike(r"(?i)\[[0-9]+\]\s*milliseconds?") | contains_any(
         F.lower(message),
         ("initialization", "startup", "took", "elapsed", "duration", "completed in"),
@@ -117,21 +120,25 @@ def error_code(message: Column, timing_aware: bool = False) -> Column:
 def processing_time_ms(message: Column) -> Column:
     """Milliseconds a message reports; seconds are not scaled."""
     found = F.coalesce(
-        first_group(message, r"(?i)\[([0-9]+)\]\s*milliseconds?"),
-        first_group(message, r"(?i)(?:took|elapsed|duration)[:=\s]*([0-9]+)\s*m?s"),
+        F.when(F.contains(F.lower(message), F.lit("millisecond")), filled_group(message, r"(?i)\[([0-9]+)\]\s*milliseconds?")),
+        filled_group(message, r"(?i)(?:took|elapsed|duration)[:=\s]*([0-9]+)\s*m?s"),
     )
     return found.try_cast("int")
 
 
 def low_value(level: Column, message: Column, logger: Column, profile: LogProfile) -> Column:
     """True for records that are dropped: TRACE, plain DEBUG, and start-up chatter."""
-    msg, log = F.lower(message), F.lower(F.coalesce(logger, F.lit("")))
-    kept = contains_any(msg, profile.keep_debug) | contains_any(log, profile.keep_debug)
-    chatter = contains_any(msg, profile.drop_terms)
-    if profile.protect_errors:
-        chatter = chatter & ~level.isin("ERROR", "FATAL")
-    always = contains_any(F.coalesce(logger, F.lit("")), profile.keep_loggers)
-    return ~always & F.when(level == "DEBUG", ~kept).when(level == "TRACE", F.lit(True)).otherwise(chatter)
+
+    def dropped(x: Column) -> Column:
+        kept = contains_any(x["msg"], profile.keep_debug) | contains_any(x["log"], profile.keep_debug)
+        chatter = contains_any(x["msg"], profile.drop_terms)
+        if profile.protect_errors:
+            chatter = chatter & ~level.isin("ERROR", "FATAL")
+        always = contains_any(F.coalesce(logger, F.lit("")), profile.keep_loggers)
+        return ~always & F.when(level == "DEBUG", ~kept).when(level == "TRACE", F.lit(True)).otherwise(chatter)
+
+    # a filter works an expression out as often as it is named, and a message is put together from its lines
+    return let(F.struct(F.lower(message).alias("msg"), F.lower(F.coalesce(logger, F.lit(""))).alias("log")), dropped)
 
 
 def sso_fields(message: Column) -> dict[str, Column]:
@@ -149,11 +156,11 @@ def sso_fields(message: Column) -> dict[str, Column]:
             is_license & (contains_any(message, ("만료",)) | contains_any(low, ("expired",))), "EXPIRED"
         ).when(is_license & (contains_any(message, ("체크",)) | contains_any(low, ("check",))), "CHECKING"),
         "saml_message_type": F.when(is_request, "AUTHN_REQUEST").when(is_response, "RESPONSE"),
-        "saml_destination": F.when(is_request, first_group(message, r'Destination="([^"]+)"')),
-        "saml_issuer": F.when(is_request, first_group(message, issuer)),
+        "saml_destination": F.when(is_request, filled_group(message, r'Destination="([^"]+)"')),
+        "saml_issuer": F.when(is_request, filled_group(message, issuer)),
         "crypto_operation": F.when(is_init, "INIT").when(is_test, "SELF_TEST"),
         "crypto_status": F.when(is_test & contains_any(message, ("OK",)), "SUCCESS"),
-        "connection_time_ms": F.when(is_pool, first_group(message, r"\[ (\d+) ms\.\]")).try_cast("int"),
+        "connection_time_ms": F.when(is_pool, filled_group(message, r"\[ (\d+) ms\.\]")).try_cast("int"),
         "db_operation": F.when(is_pool, "POOL_CREATE"),
     }
 
@@ -163,7 +170,7 @@ def pool_fields(message: Column, logger: Column) -> dict[str, Column]:
     pool = contains_any(F.lower(F.coalesce(logger, F.lit(""))), ("hikari",))
     stats = r"Pool stats \(total=(\d+), active=(\d+), idle=(\d+), waiting=(\d+)\)"
     total, active, idle, waiting = (
-        F.when(pool, first_group(message, stats, i)).try_cast("int") for i in (1, 2, 3, 4)
+        F.when(pool, filled_group(message, stats, i)).try_cast("int") for i in (1, 2, 3, 4)
     )
     added = contains_any(message, ("Added connection",))
     closed = contains_any(message, ("Closing connection",)) & ~added
@@ -184,17 +191,17 @@ def signature_parts(message: Column, logger: Column) -> dict[str, Column]:
     m = F.when(is_sig, message)
     return {
         "__msg": m,
-        "__code": first_group(m, r"responseCode=(\d+)"),
+        "__code": filled_group(m, r"responseCode=(\d+)"),
         "__dn": F.coalesce(
-            first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signOrgData"),
-            first_group(m, r"dn=([^,]+,[^,]+.*?),\s*signerInfos"),
+            filled_group(m, r"dn=([^,]+,[^,]+.*?),\s*signOrgData"),
+            filled_group(m, r"dn=([^,]+,[^,]+.*?),\s*signerInfos"),
         ),
         "__chain": first_group(m, r"userCerts=\[(.*?)\]"),
-        "__bytes": F.split(first_group(m, r"signOrgData=\[([^\]]+)\]"), ", "),
+        "__bytes": F.split(filled_group(m, r"signOrgData=\[([^\]]+)\]"), ", "),
         "__signers": F.regexp_extract_all(
             first_group(m, r"signerInfos=\[(.*?)\]"), F.lit(r"SignerInfo@([a-fA-F0-9]+)"), F.lit(1)
         ),
-        "__signed_at": strip(first_group(m, r"signingTime=([^,)]+)")),
+        "__signed_at": strip(filled_group(m, r"signingTime=([^,)]+)")),
     }
 
 
@@ -225,12 +232,12 @@ def signature_fields() -> dict[str, Column]:
     return {
         "signature_response_code": code,
         "signature_success": code == 0,
-        "signature_msg": strip(first_group(m, r"msg=([^,]+)")),
+        "signature_msg": strip(filled_group(m, r"msg=([^,]+)")),
         "user_dn": dn,
-        "user_name": first_group(dn, r"cn=([^()]+)"),
+        "user_name": filled_group(dn, r"cn=([^()]+)"),
         "user_organization": F.when(F.size(units) > 0, F.array_join(units, ",")),
-        "user_country": first_group(dn, r"c=([^,]+)"),
-        "primary_cert_hash": first_group(m, r"userCert=.*@([a-fA-F0-9]+)"),
+        "user_country": filled_group(dn, r"c=([^,]+)"),
+        "primary_cert_hash": filled_group(m, r"userCert=.*@([a-fA-F0-9]+)"),
         "cert_chain_length": F.when(F.col("__chain").isNotNull(), F.size(hashes)),
         "cert_chain_hashes": F.when(F.size(hashes) > 0, hashes),
         "signing_time": F.col("__signed_at"),
@@ -246,7 +253,7 @@ def signature_fields() -> dict[str, Column]:
         "sign_data_ascii_range": F.when(whole, F.forall(numbers, lambda n: n.between(32, 126))),
         "signer_info_hashes": F.when(F.size(signers) > 0, signers),
         "signer_count": F.when(F.size(signers) > 0, F.size(signers)),
-        "signed_data_hash": first_group(m, r"signedData=.*@([a-fA-F0-9]+)"),
+        "signed_data_hash": filled_group(m, r"signedData=.*@([a-fA-F0-9]+)"),
         "signature_data_complexity": F.when(is_vo, F.length(m)),
         # a word followed by "=" is counted at its "="
         "signature_field_count": F.when(is_vo, F.regexp_count(m, F.lit(rf"(?<=[{WORD}])="))),

@@ -38,7 +38,10 @@ def squeeze(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Array of words; empty text gives an empty array."""
-    return F.array_remove(F.split(c, rf"[{SPACE}]+"), "")
+    # one kind of blank first: a single character is split at without a pattern
+    odd = c.rlike(rf"[{SPACE}&&[^ ]]")
+    plain = F.when(odd, F.translate(c, _BLANKS, " " * len(_BLANKS))).otherwise(c)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,10 +54,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
     """True when the text holds one of the literal terms; false for null."""
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | F.contains(c, F.lit(term))
-    return F.coalesce(hit, F.lit(False))
+
+    def hit(text: Column) -> Column:
+        found = F.lit(False)
+        for term in terms:
+            found = found | F.contains(text, F.lit(term))
+        return found
+
+    return F.coalesce(let(c, hit) if len(terms) > 1 else hit(c), F.lit(False))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
@@ -62,6 +69,11 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def filled_group(c: Column, pattern: str, group: int = 1) -> Column:
+    """``first_group`` of a group that is never empty: one run of the pattern tells whether it matches."""
+    return let(F.regexp_extract(c, pattern, group), lambda found: F.when(found != "", found))
+
+
 # The order-sensitive rewriting chain that turns a message into its
 # template. Each profile names the steps it uses; the order below is the order of use.
 TEMPLATE_STEPS: dict[str, tuple[str, str]] = {
@@ -74,15 +86,15 @@ TEMPLATE_STEPS: dict[str, tuple[str, str]] = {
         "<EMAIL>",
     ),
     "UUID": (
-        rf"(?=[0-9a-fA-F]){_LEFT}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}{_RIGHT}",
+        rf"(?=[0-9a-fA-F]{{8}}-){_LEFT}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}{_RIGHT}",
         "<UUID>",
     ),
     "IP": (
-        rf"(?={DIGIT}){_LEFT}{DIGIT}{{1,3}}(?:\.{DIGIT}{{1,3}}){{3}}{_RIGHT}",
+        rf"(?={DIGIT}{{1,3}}\.){_LEFT}{DIGIT}{{1,3}}(?:\.{DIGIT}{{1,3}}){{3}}{_RIGHT}",
         "<IP>",
     ),
     "CONN_HASH": (r"@[a-fA-F0-9]+", "@<HASH>"),
-    "HEX": (rf"(?=[0-9a-fA-F]){_LEFT}[0-9a-fA-F]{{16,}}{_RIGHT}", "<HEX>"),
+    "HEX": (rf"(?=[0-9a-fA-F]{{16}}){_LEFT}[0-9a-fA-F]{{16,}}{_RIGHT}", "<HEX>"),
     "PATH": (r"(?:/[^ \t\n\r\f\x0B:]+)+", "<PATH>"),
     "QUOTE": (r"\"[^\"]+\"|'[^']+'", "<QUOTE>"),
     "NUM": (rf"(?={DIGIT}){_LEFT}{DIGIT}+{_RIGHT}", "<NUM>"),
@@ -90,6 +102,13 @@ TEMPLATE_STEPS: dict[str, tuple[str, str]] = {
 BASE_STEPS = ("COOKIE", "EMAIL", "UUID", "IP", "HEX", "PATH", "QUOTE", "NUM")
 POOL_STEPS = ("COOKIE", "EMAIL", "UUID", "IP", "CONN_HASH", "HEX", "PATH", "QUOTE", "NUM")
 SSO_STEPS = tuple(TEMPLATE_STEPS)
+# Text without which a step finds nothing; most messages lack most of it and pass the pattern by.
+_HINTS = {
+    "SAML_ID": 'ID="', "TIMESTAMP": 'IssueInstant="', "URL": "://", "COOKIE": "JSESSIONID=", "EMAIL": "@",
+    "UUID": "-", "IP": ".", "CONN_HASH": "@", "PATH": "/",
+}
+# any address has this, and it is cheap to look for
+_ADDRESS = r"@[A-Za-z0-9.\-]+\.[A-Za-z]{2}"
 
 
 def message_template(c: Column, steps: Sequence[str] = BASE_STEPS) -> Column:
@@ -97,17 +116,18 @@ def message_template(c: Column, steps: Sequence[str] = BASE_STEPS) -> Column:
     out = c
     for step in steps:
         pattern, label = TEMPLATE_STEPS[step]
-        if step == "EMAIL":
-            # the dearest pattern; most messages hold no "@" at all
-            out = let(out, _replace_if("@", pattern, label))
+        if step in _HINTS:
+            out = let(out, _replace_if(_HINTS[step], pattern, label, _ADDRESS if step == "EMAIL" else None))
         else:
             out = F.regexp_replace(out, pattern, label)
     return squeeze(out)
 
 
-def _replace_if(hint: str, pattern: str, label: str) -> Callable[[Column], Column]:
+def _replace_if(hint: str, pattern: str, label: str, needs: str | None = None) -> Callable[[Column], Column]:
     def body(c: Column) -> Column:
         found = F.contains(c, F.lit(hint))
+        if needs:
+            found = found & c.rlike(needs)
         return F.when(found, F.regexp_replace(c, pattern, label)).otherwise(c)
 
     return body
@@ -120,7 +140,7 @@ def complexity(c: Column) -> dict[str, Column]:
         "word_count": F.size(tokens),
         "char_count": F.length(c),
         "unique_words": F.size(F.array_distinct(F.transform(tokens, F.lower))),
-        "punctuation_count": F.length(F.regexp_replace(c, r"[^.,;:!?]", "")),
+        "punctuation_count": F.regexp_count(c, F.lit("[.,;:!?]")),
         "number_count": F.regexp_count(c, F.lit(rf"{DIGIT}+")),
     }
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom import profiles as P
+from logloom.functions import records as R
+from logloom.functions import text
 from logloom.operators import lines as L
 from logloom.operators import systemlog as S
 from logloom.sources.readers import table_lines, text_lines
@@ -178,3 +180,34 @@ def test_template_is_idempotent(spark):
     ]
     twice = [r[0] for r in df.select(message_template(F.col("t"), SSO_STEPS)).collect()]
     assert twice == once
+
+
+def test_texts_are_worked_out_once(spark):
+    df = spark.createDataFrame([("DEBUG", "Login page", "a.B"), ("INFO", "VERSION 2", None), (None, None, None)], "level string, message string, logger string")
+    level, message, logger = F.col("level"), F.col("message"), F.col("logger")
+    low = df.filter(R.low_value(level, F.concat(message, logger), logger, P.SSO))
+    plan = low._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat(message") == 1
+    found = df.select(R.low_value(level, message, logger, P.SSO), R.log_category(logger, message, P.SSO)).collect()
+    assert [tuple(r) for r in found] == [(False, "OTHER"), (True, "UNKNOWN"), (False, "UNKNOWN")]
+
+
+def test_template_steps_pass_by_what_they_cannot_change(spark):
+    texts = [
+        "X509Certificate@1ab2, a.b@c.de a@b.c1 x@y, 1.2.3.4 11.22.33 1.2.3.4.5 v1.2.3.4", "0123456789abcdef 0123456789abcde g0123456789abcdef01",
+        "12345678-1234-1234-1234-123456789abc 2-3 https://a/b /c/d:e 'q' \"r\" \uff11\uff12 \u4e001 5", "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = F.col("t")
+    for step in text.SSO_STEPS:
+        out = F.regexp_replace(out, *text.TEMPLATE_STEPS[step])
+    rows = df.select(text.message_template(F.col("t"), text.SSO_STEPS).alias("a"), text.squeeze(out).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and "<EMAIL>" in "".join(r.a or "" for r in rows)
+    shown = df.select(text.message_template(F.col("t"), text.SSO_STEPS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "JSESSIONID=)" in shown  # looked for before the pattern runs
+
+
+def test_words_and_points(spark):
+    df = spark.createDataFrame([("a\tb\u00a0c  a.,!",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in text.complexity(F.col("t")).items()]).collect()]
+    assert got == [(4, 11, 4, 3, 0), (0, 0, 0, 0, 0), (None, None, None, None, None)]

@@ -7,8 +7,9 @@ a cue. Whatever stands at a cue, personal or not, is an instance of it. Cues and
 a graph that is scored in rounds: a cue by the mean confidence of its instances, an instance
 that is no seed by its best cue. Cues with enough seeds and a high score discover what stands
 at them, though no fixed pattern knows it. Cues with fewer seeds than ``least_seeds``, or with a
-smaller part of them among their instances than ``least_share``, never count, so instances are
-only gathered for the others. Cues and instances are told apart by 64-bit hashes.
+smaller part of them among their instances than ``least_share``, never count. Instances are
+gathered and counted exactly for all others, and for no cue that has by far too many of them; so what is
+gathered grows with the seeds, not with the words. Cues and instances are told apart by 64-bit hashes.
 
 All of it is DataFrame expressions. Matches are placed by the lengths of what lies between
 them. The patterns are the fixed ones with possessive repeats and starts only where a run of
@@ -27,7 +28,8 @@ from logloom.session import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-_WORDS = 16  # of 64 bits
+_ERROR = 0.1  # standard error of an estimated number of instances
+_MARGIN = 4
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -132,27 +134,29 @@ def _is_seed(value: Column) -> Column:
     )
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """``row, at, n, key, seed, cue`` for the units ``u`` of ``rows``: length, hash, and one row for each cue around a unit."""
+def units(rows: DataFrame, *wanted: str) -> DataFrame:
+    """``row, at, seed, cue`` for the units ``u`` of ``rows``, one row for each cue around a unit.
+
+    ``wanted`` adds ``n`` and ``key``, a unit's length and hash.
+    """
     word = F.transform("u", lambda x: F.xxhash64(F.lower(F.btrim(x, F.lit(" ().!?-_")))))
     value = F.transform("u", lambda x: F.rtrim(x, F.lit(" ().!?-")))
-    made = rows.filter(F.size("u") > 1).select("row", "seeds", word.alias("w"), value.alias("v"), F.size("u").alias("size"))
+    made = rows.filter(F.size("u") > 1).select("row", "seeds", word.alias("w"), value.alias("v"), F.size("u").alias("many"))
     none = F.lit(None).cast("long")
     parts = {
         "seed": F.col("seeds"),
-        "n": F.transform("v", F.length),
-        "key": F.transform("v", lambda x: F.xxhash64(x)),
+        **{k: F.transform("v", f) for k, f in (("n", F.length), ("key", lambda x: F.xxhash64(x))) if k in wanted},
         **{f"b{k}": F.concat(F.array_repeat(none, k), "w") for k in (1, 2, 3)},
-        **{f"a{k}": F.slice("w", k + 1, F.col("size")) for k in (1, 2)},
+        **{f"a{k}": F.slice("w", k + 1, F.col("many")) for k in (1, 2)},
     }
-    each = made.select("row", "size", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in parts.items()])).alias("at", "x"))
-    each = each.filter((F.col("at") < F.col("size")) & (F.col("x.n") > 0))
+    each = made.select("row", "many", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in parts.items()])).alias("at", "x"))
+    each = each.filter(F.col("at") < F.col("many"))
     around = {"b1": ["b1"], "b2": ["b2", "b1"], "b3": ["b3", "b2", "b1"], "a1": ["a1"], "a2": ["a1", "a2"]}
     # the farthest word is there only if those between are
     cues = [
         F.when(F.col("x")[max(w)].isNotNull(), F.xxhash64(F.lit(k), *[F.col("x")[j] for j in w])) for k, w in around.items()
     ]
-    found = each.select("row", "at", "x.n", "x.key", "x.seed", F.explode(F.array(*cues)).alias("cue"))
+    found = each.select("row", "at", "x.seed", *[f"x.{k}" for k in wanted], F.explode(F.array(*cues)).alias("cue"))
     return found.filter("cue IS NOT NULL")
 
 
@@ -214,18 +218,14 @@ def find_pii(
         F.col("x.c.end").alias("end"),
         F.col("x.seed").alias("seed"),
     )
-    around = units(rows)
-    seeded = units(rows.filter(F.exists("seeds", lambda x: x))).filter("seed").select("cue", "key").distinct()
+    around = units(rows, "key")
+    seeded = units(rows.filter(F.exists("seeds", lambda x: x)), "key").filter("seed").select("cue", "key").distinct()
     seeded = stage(seeded.groupBy("cue").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= least_seeds))
-    # A cue has at least as many instances as bits they set. Where that many are too many for its seeds, its
-    # instances aren't gathered; the bits of a cue are one row of a task.
-    bit = F.pmod(F.col("key"), F.lit(64 * _WORDS))
-    mark = F.expr("shiftleft(1L, cast(pmod(key, 64) AS INT))")
-    bits = [F.bit_or(F.when(F.floor(bit / 64) == k, mark)).alias(f"b{k}") for k in range(_WORDS)]
-    cells = around.join(seeded.select("cue"), "cue", "left_semi").groupBy("cue").agg(*bits)
-    set_bits = sum((F.coalesce(F.bit_count(f"b{k}"), F.lit(0)) for k in range(_WORDS)), F.lit(0))
-    cells = cells.select("cue", set_bits.alias("cells"))
-    able = stage(cells.join(seeded, "cue").filter(F.col("seeds") >= least_share * F.col("cells")).select("cue"))
+    # Where a cue has by far too many instances for its seeds, they aren't gathered. That a HyperLogLog sketch of 128
+    # registers finds four times as many as there are has a chance below e^-80; equal hashes are likelier by far.
+    many = around.join(seeded.select("cue"), "cue", "left_semi")
+    many = many.groupBy("cue").agg(F.approx_count_distinct("key", _ERROR).alias("many"))
+    able = stage(many.join(seeded, "cue").filter(_MARGIN * F.col("seeds") >= least_share * F.col("many")).select("cue"))
     near = around.join(able, "cue", "left_semi")
     near = stage(near.select("cue", F.col("key").alias("value"), "seed").distinct())
     shares = near.groupBy("cue").agg(F.avg(F.col("seed").cast("double")).alias("share")).filter(F.col("share") >= least_share)
@@ -237,27 +237,34 @@ def find_pii(
     more = named.filter("NOT seed").join(good, "cue", "left_semi").join(new, ["cue", "value"], "left_semi")
     more = more.select("row", "start", "end")
 
-    # Places are summed up only for texts in which something was discovered.
-    at = around.filter("NOT seed").join(good, "cue", "left_semi")
-    at = at.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
-    sized = rows.join(at, F.col("row") == F.col("__row")).select("row", "base", "hits", "size")
+    # Places are summed up only for texts in which something was discovered. These are staged first: where they are few,
+    # the lengths of all others needn't be shuffled to meet them, and else they go as plain numbers, not as structs.
+    at = units(rows, "n").filter("NOT seed").join(good, "cue", "left_semi")
+    at = stage(at.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("hits")))
+    sized = rows.select("row", F.col("size.b").alias("between"), F.col("size.u").alias("of"))
+    sized = sized.join(at, F.col("row") == F.col("__row")).select("row", "hits", "between", "of")
+
+    def total(lengths: str, n: Column) -> Column:
+        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
 
     def place(h: Column) -> Column:
-        before = F.slice("size", F.lit(1), h["at"])
-        start = F.aggregate(before, F.lit(0), lambda n, x: n + x["b"] + x["u"]) + F.col("size")[h["at"]]["b"]
+        start = total("between", h["at"] + 1) + total("of", h["at"])
         return F.struct(start.alias("start"), (start + h["n"]).alias("end"))
 
-    placed = sized.select("row", "base", F.explode(F.transform("hits", place)).alias("c"))
-    placed = placed.filter(~hit(F.col("c"), F.col("base"))).select("row", "c.start", "c.end")
-    more = more.unionByName(placed).select(
-        "row", F.struct("start", F.lit(4).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).alias("span")
-    )
-    more = more.groupBy(F.col("row").alias("__row")).agg(F.collect_set("span").alias("more"))  # spans of one text
+    placed = sized.select("row", F.explode(F.transform("hits", place)).alias("c")).select("row", "c.start", "c.end")
+    more = more.unionByName(placed)
+    more = more.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("start", "end")).alias("more"))  # of one text
+    more = stage(more)
+
+    def span(c: Column) -> Column:
+        return F.struct(c["start"].alias("start"), F.lit(4).alias("rank"), c["end"].alias("end"), F.lit(CONTEXT).alias("kind"))
+
+    both = rows.join(more, F.col("row") == F.col("__row"), "left")
+    apart = F.transform(F.filter("more", lambda c: ~hit(c, F.col("base"))), span)
+    both = both.select("id", "base", apart.alias("more"))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)
     outer = F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y)))
-    more = more.select("__row", outer.alias("more"))
-    both = rows.join(more, F.col("row") == F.col("__row"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    result = stage(both.select("id", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans")))
-    unstage(rows, seeded, able, near, edges, good)
+    result = stage(both.select("id", F.array_sort(F.concat("base", F.coalesce(outer, none))).alias("spans")))
+    unstage(rows, seeded, able, near, edges, good, at, more)
     return result

@@ -165,6 +165,30 @@ def test_personal_data_in_prose_contexts(spark):
         assert spans == want.get(r.id, []), texts[r.id]
 
 
+def test_personal_data_moves_no_whole_texts_and_no_hopeless_instances(spark, monkeypatch):
+    real, plans, gathered = pii.stage, [], []
+
+    def stage(df, *codec):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        staged = real(df, *codec)
+        if staged.columns == ["cue", "value", "seed"]:
+            gathered.append(staged.count())
+        return staged
+
+    monkeypatch.setattr(pii, "stage", stage)
+    texts = [f"w{i} " * 5 + f"You may call +1 (743) 555-30{10 + i} tonight" for i in range(9)]
+    texts.append("x " * 700 + "You may call 555-12345 tonight" + " é y" * 300)
+    # far too many things at a cue of 110 seeds
+    things = [f"+1 (743) 555-{i}" for i in range(4000, 4110)] + [f"thing{i}" for i in range(8000)]
+    texts += [" ".join(f"the {x}" for x in things[k::20]) for k in range(20)]
+    for r in pii.find_pii(frame(spark, texts)).collect():
+        new = [(s["start"], s["end"]) for s in r.spans if s["kind"] == pii.CONTEXT]
+        assert new == ([(1413, 1422)] if r.id == 9 else [])
+    assert gathered[0] < 1000
+    # no join is given the structs with the lengths of all parts of a text
+    assert not any(re.search(r"Project \[(?:.*, )?size#\d+[,\]]", p) for p in plans if "Join" in p)
+
+
 def test_rule_counts_by_brute_force():
     rng = random.Random(3)
     for _ in range(300):

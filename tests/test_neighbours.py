@@ -89,3 +89,73 @@ def test_nearest_rows_with_holes():
     order = np.argsort(d, axis=1, kind="stable")[:, :5]
     row, col, _ = neighbours._nearest(x, x, np.eye(60, dtype=bool), 5)
     assert (col.reshape(-1, 5) == order).all()
+
+
+def rows_of(x: np.ndarray, ids) -> list:
+    return [(int(i), None if row is None else [float(v) for v in row]) for i, row in zip(ids, x, strict=True)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_leaves_ask_for_their_points_together(spark, monkeypatch, kind):
+    """Where nearly every leaf has to be visited, the tree is descended once a leaf and not once a point."""
+    monkeypatch.setattr(neighbours, "HOME_BYTES", 8 * 12 * 60, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * 12 * 90, raising=False)
+    asked, visits = [], neighbours.leaf_visits
+    monkeypatch.setattr(neighbours, "leaf_visits", lambda asking, *rest: asked.append(asking.count()) or visits(asking, *rest))
+    x = np.random.default_rng(7).normal(0, 1, (300, 12)).astype("float32" if kind == "float" else "float64").astype("float64")
+    ids = np.arange(300) // 2  # every id twice, with different vectors
+    df = spark.createDataFrame(rows_of(x, ids), f"id long, x array<{kind}>")
+    got = sorted((r.id, r.dist, r.other) for r in nearest_neighbours(df, "id", "x", 5, block=30, fan=4).collect())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(150):
+        pairs = [(d[r, c], int(ids[c])) for r in (2 * i, 2 * i + 1) for c in range(300) if ids[c] != i]
+        want += [(i, *pair) for pair in sorted(pairs)[:5]]
+    assert got == sorted(want)
+    assert asked and asked[0] < 100
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    x = [*np.random.default_rng(8).normal(0, 1, (40, 2))]
+    holes = [None, [1.0, None], [float("nan"), 0.0], [float("inf"), 0.0]]
+    rows = rows_of(x, range(40)) + [(100 + i, hole) for i, hole in enumerate(holes)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {(r.id, r.other) for r in nearest_neighbours(df, "id", "x", 3, block=10, fan=3).collect()}
+    d = np.sqrt(((np.array(x)[:, None] - np.array(x)[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j)) for i in range(40) for j in np.argsort(d[i], kind="stable")[:3]}
+
+
+def leaf_of(x: np.ndarray, ids: np.ndarray, k: int):
+    centre, far = neighbours._ball(x)
+    free = np.full((len(x), k), np.inf)
+    return neighbours._Leaf("", 0, ids, np.ones(len(x), bool), x, centre, far, free, np.zeros((len(x), k), "int64"), np.zeros((len(x), k), "int8"))
+
+
+@pytest.mark.parametrize("spread,offset,scale", [(1.0, 0.0, 1.0), (1e-3, 50.0, 1.0), (1e-7, 1.0, 1.0), (1.0, 0.0, 1e-200), (1.0, 0.0, 1e200), (0.0, 3.0, 1.0)])
+def test_search_in_other_leaves_is_exact(spread, offset, scale):
+    """Points of two scales, copies among them; what single precision can't tell apart is compared by differences."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(offset, spread, (500, 8))
+    x[250:] += rng.normal(0, 1, (250, 8)) * (spread > 0)
+    x[100:120], x[400:410] = x[0], x[300]
+    x *= scale
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[~np.isfinite(d)] = np.inf
+    np.fill_diagonal(d, np.inf)
+    leaves = [leaf_of(x[i::5], np.arange(500)[i::5], 4) for i in range(5)]
+    for i, leaf in enumerate(leaves):
+        neighbours._compare(leaf, leaf.x, np.arange(100), leaf.x, leaf.ids, leaf.known)
+        neighbours._search(leaf, leaves[:i] + leaves[i + 1 :])
+        assert (leaf.dist == np.sort(d[leaf.ids], axis=1)[:, :4]).all()
+        told = np.isfinite(leaf.dist)
+        assert (np.take_along_axis(d[leaf.ids], leaf.other, axis=1)[told] == leaf.dist[told]).all()
+
+
+def test_points_of_one_key_and_vector_are_dealt_out(spark):
+    """No hash parts rows that are equal in all; a leaf stays bounded."""
+    df = spark.createDataFrame([(1, [1.0, 2.0])] * 50 + [(i, [float(i), 0.0]) for i in range(10, 20)], "id long, x array<double>")
+    placed, _ = pivot_tree(df, 20, 4, 3)
+    sizes = [r["count"] for r in placed.groupBy("leaf").count().collect()]
+    assert sum(sizes) == 60 and max(sizes) <= 20

@@ -37,8 +37,9 @@ def _distance(a: Column | str, b: Column | str) -> Column:
 def pivot_tree(points: DataFrame, block: int, fan: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Points ``(id, x)`` -> ``(id, x, leaf)`` and the nodes ``(parent, node, centre, far, leaf)``.
 
-    A node with more than ``block`` points is split around ``fan`` of them, drawn by hash. Where all drawn points
-    are equal, as among copies, it is dealt out evenly. ``far`` is the radius of a node around ``centre``.
+    A node with more than ``block`` points is split around as many of them as make leaves of half a block on average, ``fan``
+    at most, drawn by hash. Where all drawn points are equal, as among copies, it is dealt out evenly. ``far`` is the
+    radius of a node around ``centre``.
     """
     here = durable(points.select("id", "x", F.lit("").alias("node")))
     kind = here.schema["x"].dataType.simpleString()
@@ -52,14 +53,19 @@ def pivot_tree(points: DataFrame, block: int, fan: int, seed: int) -> tuple[Data
             here = here.join(big.select("node"), "node", "left_semi")
         if level and big.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(fan)).cast("int")
-        first = F.struct(F.xxhash64("id", F.lit(seed - 1 - level)).alias("h"), F.col("id").alias("i"))
-        drawn = here.groupBy("node", slot.alias("slot")).agg(F.min_by("x", first).alias("centre"))
         # a big node meets its pivots in parts
-        parts = durable(sizes.select("node", F.ceil(F.col("n") / block).cast("int").alias("split"), F.ceil(F.col("n") / (8 * block)).cast("int").alias("parts")))
-        drawn = durable(drawn.join(parts, "node"))
+        n = F.col("n") / block
+        parts = durable(sizes.select(
+            "node", F.ceil(n).cast("int").alias("split"), F.ceil(n / 8).cast("int").alias("parts"),
+            F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(2 * n).cast("int"))).alias("fan"),
+        ))
+        here = here.join(parts, "node")
+        slot = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("fan")).cast("int")
+        first = F.struct(F.xxhash64("id", F.lit(seed - 1 - level)).alias("h"), F.col("id").alias("i"))
+        drawn = here.groupBy("node", "parts", slot.alias("slot")).agg(F.min_by("x", first).alias("centre"))
+        drawn = durable(drawn)
         pivots = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = here.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("id", "x"), F.col("parts")).cast("int"))
+        dealt = here.withColumn("part", F.pmod(F.xxhash64("id", "x"), F.col("parts")).cast("int"))
         next_ = durable(
             dealt.select("id", "x", "node", "part", "split").groupBy("node", "part")
             .cogroup(pivots.select("node", "slot", "centre", "part").groupBy("node", "part"))

@@ -57,7 +57,7 @@ def pivot_tree(points: DataFrame, block: int, fan: int, seed: int) -> tuple[Data
         n = F.col("n") / block
         parts = durable(sizes.select(
             "node", F.ceil(n).cast("int").alias("split"), F.ceil(n / 8).cast("int").alias("parts"),
-            F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(2 * n).cast("int"))).alias("fan"),
+            F.least(F.lit(fan), F.greatest(F.lit(4), F.ceil(2 * n).cast("int"))).alias("fan"),
         ))
         here = here.join(parts, "node")
         slot = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("fan")).cast("int")
